@@ -29,7 +29,10 @@ from medcorpus.llm.common import table
 CAPACITY = 2048
 END_ID = 1
 #: Distinct words whose ids a worker remembers; the memory is emptied when full.
-WORD_MEMORY = 400_000
+WORD_MEMORY = 800_000
+#: Words up to this length stay when the memory is full.
+SHORT_WORD = 8
+TEXTS_AT_ONCE = 200
 BLOCK_TOKENS = 1 << 22
 #: A sequence with no more room than this share of the capacity is written as it is.
 SLACK = 0.01
@@ -62,17 +65,41 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        for text in texts:
-            words = _WORDS(text) if _SEPARATORS(text) else text.split()
-            known = self.known
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            if new:
-                if len(known) + len(new) > self.memory:
-                    known.clear()
-                    new = list(dict.fromkeys(words))
-                for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
-            yield b"".join(map(known.__getitem__, words))
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            split = [_WORDS(t) if _SEPARATORS(t) else t.split() for t in texts[at : at + TEXTS_AT_ONCE]]
+            words = [w for own in split for w in own]
+            ids = list(map(self.known.get, words))
+            missing = [k for k, own in enumerate(ids) if own is None]
+            if missing:
+                new = self._learned(list({words[k] for k in missing}))
+                for k in missing:
+                    ids[k] = new[words[k]]
+            end = 0
+            for own in split:
+                begin, end = end, end + len(own)
+                yield b"".join(ids[begin:end])
+
+    def _learned(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words, remembered from now on."""
+        if len(self.known) + len(words) > self.memory:
+            # long words seldom come back; if dropping them is not enough, all go
+            self.known = {w: ids for w, ids in self.known.items() if len(w) <= SHORT_WORD}
+            if len(self.known) > self.memory // 2:
+                self.known = {}
+        new: dict[str, bytes] = {}
+        for k in range(0, len(words), 1000):
+            new |= self._encoded(words[k : k + 1000])
+        self.known |= new
+        return new
+
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        """Encodes words in one text and deals its ids out by their places in it."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        begins = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
+        starts = np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(found.ids))
+        counts = np.bincount(np.searchsorted(begins, starts, side="right") - 1, minlength=len(words))
+        ids, ends = np.array(found.ids, dtype="<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        return dict(zip(words, [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
 
 class RoomTree:
