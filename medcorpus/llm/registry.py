@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("op01_packing", "op08_urls", "op09_chat", "op10_exact")
+MODULES = ("op01_packing", "op03_near", "op08_urls", "op09_chat", "op10_exact")
 
 
 def _modules():
