@@ -1,7 +1,7 @@
 """Near-duplicates by MinHash with sequential Bayesian verification.
 
 1. One pass over the texts gives each document's set size, a digest of its shingle set and a signature of
-   ``N_HASHES`` 16-bit values. Documents with equal sets are one class, represented by its smallest doc_id.
+   ``N_HASHES`` 8-bit values. Documents with equal sets are one class, represented by its smallest doc_id.
 2. Representatives that share a band of the signature are candidates. ``BANDS`` bands of ``ROWS`` values miss
    a pair at the threshold of 0.85 with a chance of 4e-7.
 3. A candidate pair's signatures are compared batch by batch; it is dropped as soon as the posterior chance that its
@@ -93,7 +93,7 @@ class Verifier:
 
 
 def _signatures(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype="<u2").reshape(len(column), N_HASHES)
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), N_HASHES)
 
 
 def _prune(batches, threshold: float, miss: float):
@@ -201,18 +201,18 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     classes = saved(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     by_doc = usable.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep")
     twice = by_doc.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).filter("a <> b").select("a", "b")
-    reps = usable.join(classes, "digest").filter("doc_id = rep").dropDuplicates(["rep", "digest"]).select(F.col("rep").alias("id"), "n", "sig")
-    reps = stored(reps)
-    width = 2 * ROWS
-    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * width + 1, width)) for k in range(BANDS)])
-    bands = reps.select("id", "n", F.posexplode(keys).alias("band", "bucket"))
-    full = bands.groupBy("band", "bucket").agg(F.count("*").alias("members"), F.min("id").alias("leader")).filter("members > 1")
-    members = stored(bands.join(full, ["band", "bucket"]))
-    needed = members.select("id").distinct()
-    texts = base.join(needed.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    # the place of the band is hashed too, so a bucket is of one band
+    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * ROWS + 1, ROWS)) for k in range(BANDS)])
+    narrow = usable.select("doc_id", "digest", "n", keys.alias("keys"))
+    reps = narrow.join(classes, "digest").filter("doc_id = rep").dropDuplicates(["rep", "digest"])
+    bands = reps.select(F.col("rep").alias("id"), "n", F.posexplode("keys").alias("band", "bucket"))
+    full = bands.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("leader")).filter("members > 1")
+    members = stored(bands.join(full, "bucket"))
+    needed = members.select(F.col("id").alias("doc_id")).distinct()
+    texts = base.join(needed, "doc_id", "left_semi")
     sets = stored(texts.select("doc_id", "text").mapInArrow(lambda it: _sets(it, shingle_words), "id bigint, set binary"))
     linker = Linker(sets, percent)
-    sig = reps.select("id", "sig")
+    sig = stored(usable.join(needed, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "sig"))
 
     star = members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     with_a = star.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
@@ -223,12 +223,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     checked = star
     for first in (FIRST, 0):
         at = members.join(labels, "id", "left").select("id", "n", "band", "bucket", "members", F.coalesce("component", "id").alias("component"))
-        mixed = at.groupBy("band", "bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band", "bucket")
+        mixed = at.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
         blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-        at = at.join(mixed, ["band", "bucket"]).join(sig, "id").withColumn("blocks", blocks)
+        at = at.join(mixed, "bucket").join(sig, "id").withColumn("blocks", blocks)
         at = at.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        group = F.xxhash64("band", "bucket", F.least("own", "other"), F.greatest("own", "other"))
+        group = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
         at = at.select(group.alias("group"), "band", (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component", "n", "sig")
         at = at.repartition("group").sortWithinPartitions("group")
         found = at.mapInArrow(lambda it, first=first: _block_pairs(it, threshold, miss, first), "a bigint, b bigint").distinct()

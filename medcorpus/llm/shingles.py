@@ -53,7 +53,7 @@ def set_digest(shingles: np.ndarray) -> bytes:
 
 
 class MinHasher:
-    """Signatures of n_hashes 16-bit values."""
+    """Signatures of n_hashes 8-bit values; unlike documents agree in one of 256 by chance."""
 
     def __init__(self, n_hashes: int, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -66,4 +66,4 @@ class MinHasher:
         for at in range(0, len(x), 1024):
             own = (x[None, at : at + 1024] * self.a + self.b).min(axis=1)
             least = own if least is None else np.minimum(least, own)
-        return ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2").tobytes()
+        return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
