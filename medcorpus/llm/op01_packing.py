@@ -29,7 +29,7 @@ from medcorpus.llm.common import table
 CAPACITY = 2048
 END_ID = 1
 #: Distinct words whose ids a worker remembers; the memory is emptied when full.
-WORD_MEMORY = 800_000
+WORD_MEMORY = 600_000
 #: Words up to this length stay when the memory is full.
 SHORT_WORD = 8
 TEXTS_AT_ONCE = 200
@@ -40,6 +40,14 @@ SLACK = 0.01
 #: The white space of Unicode, which ends a word for the tokenizer.
 _SPACES = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _WORDS = re.compile(f"[^{_SPACES}]+").findall
+#: Words of printable ASCII and Latin letters that the normaliser only lower-cases; others go through the whole tokenizer.
+_LETTERS = "\xdf-\xf6\xf8-\u017f"
+_PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e]+").fullmatch
+#: The pre-tokenizer's pattern on such words, lower-cased.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^a-z0-9{_LETTERS}]+").findall
+#: Byte-level vocabularies write printable bytes as their own character and the others as those from 256 on.
+_OWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE_CHARS = {b: chr(b) for b in _OWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_OWN))}
 #: str.split also splits at these, the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]").search
 
@@ -61,7 +69,7 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memory, self.known = Tokenizer.from_file(path), memory, {}
+        self.tokenizer, self.memory, self.known, self.pieces = Tokenizer.from_file(path), memory, {}, {}
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -86,20 +94,27 @@ class WordTokenizer:
             self.known = {w: ids for w, ids in self.known.items() if len(w) <= SHORT_WORD}
             if len(self.known) > self.memory // 2:
                 self.known = {}
-        new: dict[str, bytes] = {}
-        for k in range(0, len(words), 1000):
-            new |= self._encoded(words[k : k + 1000])
+        new, odd, piece = {}, [], self._piece
+        for w in words:
+            if _PLAIN(w) and "<|" not in w:
+                new[w] = b"".join(map(piece, _PIECES(w.lower())))
+            else:
+                odd.append(w)
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            new[w] = np.array(e.ids, dtype="<u4").tobytes()
         self.known |= new
         return new
 
-    def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        """Encodes words in one text and deals its ids out by their places in it."""
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        begins = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
-        starts = np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(found.ids))
-        counts = np.bincount(np.searchsorted(begins, starts, side="right") - 1, minlength=len(words))
-        ids, ends = np.array(found.ids, dtype="<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-        return dict(zip(words, [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+    def _piece(self, piece: str) -> bytes:
+        """Ids of what the pre-tokenizer would cut out, by the vocabulary's merges alone."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= self.memory // 2:
+                self.pieces.clear()
+            chars = piece if piece.isascii() else "".join(_BYTE_CHARS[b] for b in piece.encode())
+            ids = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(chars))
+            self.pieces[piece] = ids
+        return ids
 
 
 class RoomTree:
