@@ -37,15 +37,17 @@ WINDOW, PREFIX = 13, 5
 #: Runs of PREFIX words in a window, and the words kept on the left of an anchor.
 RUNS = WINDOW - PREFIX + 1
 #: Suffixes that a group may hold, and that a task sorts at a time.
-GROUP_ROWS, CHUNK = 400_000, 200_000
+GROUP_ROWS, CHUNK = 20_000, 200_000
 _BLANK = np.iinfo(np.int64).min
 
 
-def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash and place of each window's anchor, from the hashes of a document's words."""
-    runs = gram_hashes(words, PREFIX)
-    at = np.lib.stride_tricks.sliding_window_view(runs, RUNS).argmin(axis=1) + np.arange(len(runs) - RUNS + 1)
-    return runs[at].view(np.int64), at
+def anchor_hashes(runs: np.ndarray) -> np.ndarray:
+    """The smallest hash among each window's runs of PREFIX words."""
+    out, width = runs, 1
+    while width < RUNS:
+        step = min(width, RUNS - width)
+        out, width = np.minimum(out[:-step], out[step:]), width + step
+    return out.view(np.int64)
 
 
 def _text_key(text: str) -> int:
@@ -54,15 +56,18 @@ def _text_key(text: str) -> int:
 
 
 def _anchor_rows(batches):
+    """(doc_id, text) -> each document's distinct anchors and how often they occur in it."""
     for batch in batches:
         ids, hashes, counts = batch.column(0).to_pylist(), [], []
         for text in batch.column(1).to_pylist():
-            words = find_words(text or "")
-            own = np.unique(anchors(word_hashes(words))[0]) if len(words) >= WINDOW else np.zeros(0, dtype=np.int64)
+            words = word_hashes(text or "")
+            own = anchor_hashes(gram_hashes(words, PREFIX)) if len(words) >= WINDOW else np.zeros(0, dtype=np.int64)
+            own, n = np.unique(own[np.flatnonzero(np.diff(own, prepend=~own[:1]))], return_counts=True)
             hashes.append(own)
-            counts.append(len(own))
-        if sum(counts):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.repeat(np.array(ids, dtype=np.int64), counts))], names=["h", "doc_id"])
+            counts.append(n)
+        if any(map(len, hashes)):
+            docs = np.repeat(np.array(ids, dtype=np.int64), list(map(len, hashes)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(docs), pa.array(np.concatenate(counts).astype(np.int32))], names=["h", "doc_id", "times"])
 
 
 def _suffix_rows(batches):
@@ -79,27 +84,29 @@ def _suffix_rows(batches):
     for batch in batches:
         parts, n = [], 0
         for doc, text, found, salts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            words = find_words(text or "")
-            if len(words) < WINDOW:
+            hashes = word_hashes(text or "")
+            if len(hashes) < WINDOW:
                 continue
-            hashes = word_hashes(words)
-            h, at = anchors(hashes)
+            runs = gram_hashes(hashes, PREFIX)
+            h = anchor_hashes(runs)
             found, order = np.unique(np.array(found, dtype=np.int64), return_index=True)
             salts = np.array(salts, dtype=np.int64)[order]
             place = np.minimum(np.searchsorted(found, h), len(found) - 1)
-            windows = np.nonzero(found[place] == h)[0]
+            windows = np.flatnonzero(found[place] == h)
             if not len(windows):
                 continue
+            # the first place of the smallest hash in each window
+            at = np.lib.stride_tricks.sliding_window_view(runs, RUNS)[windows].argmin(axis=1) + windows
             # one row for the windows that share an anchor: they follow one another
-            first = np.concatenate([[True], at[windows[1:]] != at[windows[:-1]]])
+            first = np.concatenate([[True], at[1:] != at[:-1]])
             begin = np.nonzero(first)[0]
             end = np.concatenate([begin[1:], [len(windows)]]) - 1
-            centre = at[windows[begin]]
+            centre = at[begin]
             codes = np.zeros(left + len(hashes) + WINDOW, dtype=np.uint32)
             codes[left : left + len(hashes)] = (hashes >> np.uint64(32)).astype(np.uint32)
             own = salts[place[windows[begin]]]
             right = np.lib.stride_tricks.sliding_window_view(codes, width)[centre]
-            salt = int(mixed(np.array([doc & (2**63 - 1)], dtype=np.uint64))[0] >> np.uint64(1)) % own
+            salt = (mixed(np.uint64(doc & (2**63 - 1)) + centre.astype(np.uint64)) >> np.uint64(1)).astype(np.int64) % own
             key, low, high = h[windows[begin]], (centre - windows[end]).astype(np.int32), (centre - windows[begin]).astype(np.int32)
             base, doc_ids = _text_key(text) << 32, np.full(len(begin), doc, dtype=np.int64)
             hot, reach = own > 1, RUNS - 2
@@ -231,18 +238,17 @@ def drop_repeats(docs: DataFrame, with_text: bool = True, group_rows: int = GROU
     own = texts.join(copies.groupBy("doc_id").agg(F.collect_set("m").alias("ms")), "doc_id", "left")
     is_copy: Column = F.coalesce(F.array_contains("ms", F.unhex(F.md5(F.col("text").cast("binary")))), F.lit(False))
     marked = own.select("doc_id", "text", is_copy.alias("copy"))
-    found = marked.filter("not copy").select("doc_id", "text").mapInArrow(_anchor_rows, "h long, doc_id long")
+    found = marked.filter("not copy").select("doc_id", "text").mapInArrow(_anchor_rows, "h long, doc_id long, times int")
     salts = F.ceil(F.col("n") / group_rows).cast("int")
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", salts.alias("salts"))
-    repeated = found.join(twice, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "salts")).alias("found"))
-    suffixes = texts.join(repeated, "doc_id").select("doc_id", "text", F.col("found.h").alias("h"), F.col("found.salts").alias("salts"))
+    twice = found.groupBy("h").agg(F.count("*").alias("docs"), F.sum("times").alias("n")).filter("docs > 1").select("h", salts.alias("salts"))
+    repeated = found.select("h", "doc_id").join(twice, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "salts")).alias("found"))
+    suffixes = marked.filter("not copy").join(repeated, "doc_id").select("doc_id", "text", F.col("found.h").alias("h"), F.col("found.salts").alias("salts"))
     suffixes = suffixes.mapInArrow(_suffix_rows, "h long, salt long, doc_id long, at long, lo int, hi int, words binary")
     spans = suffixes.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_subtrees, "doc_id long, start long, end long, node long")
-    ranges = spans.filter("node is null").select("doc_id", "start", "end")
-    if docs.count() > group_rows:  # else no group is split
-        named = spans.filter("node is not null")
-        firsts = named.groupBy("node").agg(F.min("doc_id").alias("first"))
-        ranges = ranges.unionByName(named.join(firsts, "node").filter("doc_id > first").select("doc_id", "start", "end"))
+    named = spans.filter("node is not null")
+    firsts = named.groupBy("node").agg(F.min("doc_id").alias("first"))
+    later = named.join(firsts, "node").filter("doc_id > first").select("doc_id", "start", "end")
+    ranges = spans.filter("node is null").select("doc_id", "start", "end").unionByName(later)
     ranges = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     done = marked.join(ranges, "doc_id", "left").select("doc_id", "text", "copy", F.col("ranges.start").alias("starts"), F.col("ranges.end").alias("ends"))
     rest = base.filter("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<long>").alias("starts"), F.lit(None).cast("array<long>").alias("ends"))

@@ -6,7 +6,6 @@ import hashlib
 import re
 
 import numpy as np
-import pandas as pd
 
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 find_words = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -25,8 +24,39 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    return pd.util.hash_array(np.array(words, dtype=object), categorize=False)
+_rng = np.random.default_rng(20)
+_BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _powers(n: int) -> np.ndarray:
+    """Odd 64-bit powers, one for each place in a word."""
+    if n > len(_powers.known):
+        _powers.known = np.cumprod(np.full(2 * n, _MIX[0], dtype=np.uint64))
+    return _powers.known
+
+
+_powers.known = np.cumprod(np.full(64, _MIX[0], dtype=np.uint64))
+
+
+def word_hashes(text: str, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word of text (find_words), with A-Z lower-cased if asked for."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    if lower:
+        data = _LOWER[data]
+    inside = ~_SPACE[data]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    if not len(edges):
+        return np.zeros(0, dtype=np.uint64)
+    lengths = edges[1::2] - edges[::2]
+    begins = np.cumsum(lengths) - lengths
+    own = data[inside]
+    place = np.arange(len(own)) - np.repeat(begins, lengths)
+    sums = np.add.reduceat(_BYTE[own] * _powers(int(lengths.max()))[place], begins)
+    return mixed(sums + lengths.astype(np.uint64))
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -44,8 +74,7 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """The sorted distinct shingle hashes of a text, A-Z lower-cased."""
-    words = find_words(lowered(text or ""))
-    return np.unique(gram_hashes(word_hashes(words), size)) if words else np.zeros(0, dtype=np.uint64)
+    return np.unique(gram_hashes(word_hashes(text or "", lower=True), size))
 
 
 def set_digest(shingles: np.ndarray) -> bytes:
