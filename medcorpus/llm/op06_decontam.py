@@ -20,8 +20,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,18 +143,34 @@ def _match(batches, items, error: float, min_chars: int):
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "item_id", "start", "end", "distance"])
 
 
+def _blocks(items: DataFrame, block_chars: int) -> list[list[tuple[int, str]]]:
+    """items(item_id, text) in blocks of about block_chars characters; one empty block if there are none."""
+    items = items.select(F.col("item_id").cast("long"), "text").filter("length(text) > 0")
+    n = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    return [[tuple(r) for r in items.filter(part == k).orderBy("item_id", "text").collect()] for k in range(n)]
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, error: float = ERROR, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, start, end, distance: the best occurrence of each item(item_id, text) in each document that has one."""
-    items = items.select(F.col("item_id").cast("long"), "text").filter("length(text) > 0")
-    blocks = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {dict(base.dtypes)['doc_id']}, item_id long, start long, end long, distance long"
-    out = None
-    for k in range(max(1, blocks)):
-        own = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks))) == k).orderBy("item_id", "text").collect()]
-        found = base.mapInArrow(lambda it, own=own: _match(it, own, error, min_chars), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+    found = [base.mapInArrow(lambda it, own=own: _match(it, own, error, min_chars), schema) for own in _blocks(items, block_chars)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, error: float = ERROR, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS, text_col: str = "text") -> DataFrame:
+    """The rows of docs in which no item occurs, all their columns unchanged."""
+    for own in _blocks(items, block_chars):
+
+        @F.pandas_udf("boolean")
+        def clean(batches: Iterator[pd.Series], own=own) -> Iterator[pd.Series]:
+            matcher = Matcher(own, error, min_chars)
+            for texts in batches:
+                yield pd.Series([not matcher.find(t or "") for t in texts], index=texts.index)
+
+        docs = docs.filter(clean(F.col(text_col)))
+    return docs
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

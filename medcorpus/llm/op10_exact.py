@@ -80,6 +80,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return alone.unionByName(copies)
 
 
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, all their columns unchanged."""
+    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    marked = docs.withColumn("_sha", sha)
+    same = marked[id_col].eqNullSafe(kept["_keep_id"]) & (marked["_sha"] == kept["_keep_sha"])
+    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
