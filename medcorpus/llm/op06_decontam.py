@@ -162,15 +162,20 @@ def find_contamination(docs: DataFrame, items: DataFrame, error: float = ERROR,
 def drop_contaminated(docs: DataFrame, items: DataFrame, error: float = ERROR, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS, text_col: str = "text") -> DataFrame:
     """The rows of docs in which no item occurs, all their columns unchanged."""
     for own in _blocks(items, block_chars):
+        docs = docs.filter(_is_clean(own, error, min_chars)(F.col(text_col)))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], own=own) -> Iterator[pd.Series]:
-            matcher = Matcher(own, error, min_chars)
-            for texts in batches:
-                yield pd.Series([not matcher.find(t or "") for t in texts], index=texts.index)
 
-        docs = docs.filter(clean(F.col(text_col)))
-    return docs
+def _is_clean(items: list[tuple[int, str]], error: float, min_chars: int):
+    """A function of a text column: no item occurs."""
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(items, error, min_chars)
+        for texts in batches:
+            yield pd.Series([not matcher.find(t or "") for t in texts], index=texts.index)
+
+    return clean
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
