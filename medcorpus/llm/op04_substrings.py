@@ -229,7 +229,9 @@ def _cut(batches, with_text: bool):
 
 def drop_repeats(docs: DataFrame, with_text: bool = True, group_rows: int = GROUP_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the text that is left, per row of docs."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # a bare column where it can be: behind an alias Spark would not see that the shuffled texts are the same in every branch
+    own_id = F.col(id_col) if (id_col, dict(docs.dtypes)[id_col]) == ("doc_id", "bigint") else F.col(id_col).cast("long").alias("doc_id")
+    base = docs.select(own_id, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = base.filter("doc_id is not null")
     equal = texts.select("doc_id", F.md5(F.col("text").cast("binary")).alias("m"))
     first = equal.groupBy("m").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("m", "first")
