@@ -147,7 +147,7 @@ LABELS = ("f1", "f2", "f3", "f4", "f5", "nofinding")
 
 
 def sql_labels14(name: str, salt: str = "l") -> str:
-    return f"{name} as (select path, " + ", ".join(f"[1.0, 0.0, -1.0, null]::double[][{sql_h(repr(salt), repr(k), 'path')} % 4 + 1] {k}" for k in LABELS) + " from (select distinct concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey) path from lineitem))"
+    return f"{name} as (select path, " + ", ".join(f"([1.0, 0.0, -1.0, null]::double[])[{sql_h(repr(salt), repr(k), 'path')} % 4 + 1] {k}" for k in LABELS) + " from (select distinct concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey) path from lineitem))"
 
 
 def _pairs(t: Tables) -> DataFrame:
