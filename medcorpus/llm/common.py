@@ -46,3 +46,10 @@ def stored(df: DataFrame) -> DataFrame:
 def lower_ascii(col):
     """A-Z lower-cased, all else unchanged."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def sliced(batches, rows: int = 500):
+    """Arrow batches in small slices, so that a worker holds few texts as Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

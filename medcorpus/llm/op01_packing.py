@@ -24,16 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medcorpus.llm.common import table
+from medcorpus.llm.common import sliced, table
 
 CAPACITY = 2048
 END_ID = 1
 #: Distinct words whose ids a worker remembers; the memory is emptied when full.
-WORD_MEMORY = 600_000
+WORD_MEMORY = 400_000
 #: Words up to this length stay when the memory is full.
 SHORT_WORD = 8
 TEXTS_AT_ONCE = 200
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 21
 #: A sequence with no more room than this share of the capacity is written as it is.
 SLACK = 0.01
 
@@ -266,12 +266,12 @@ def _pack_partition(batches, tokenizer: str, capacity: int, end_id: int, block_t
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     out, id_type = [], pa.int64()
-    for batch in batches:
+    for batch in sliced(batches):
         id_type = batch.schema.field(0).type
         docs = batch.column(0).to_pylist()
         for doc, ids in zip(docs, words.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
             out.extend(packer.add(doc, ids + end))
-            if len(out) >= 4000:
+            if len(out) >= 500:
                 yield rows(out, id_type)
                 out = []
     out.extend(packer.pack(last=True))

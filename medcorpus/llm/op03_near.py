@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medcorpus.llm.common import saved, stored, table
+from medcorpus.llm.common import saved, sliced, stored, table
 from medcorpus.llm.components import components
 from medcorpus.llm.shingles import MinHasher, set_digest, shingle_set
 
@@ -59,7 +59,7 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
 
 def _sign(batches, size: int):
     hasher = MinHasher(N_HASHES)
-    for batch in batches:
+    for batch in sliced(batches):
         rows = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             s = shingle_set(text, size)
@@ -164,13 +164,13 @@ def _block_pairs(batches, threshold: float, miss: float, first: int):
 
 
 def _sets(batches, size: int):
-    for batch in batches:
+    for batch in sliced(batches):
         sets = [shingle_set(t, size).tobytes() for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, type=pa.binary())], names=["id", "set"])
 
 
 def _linked(batches, percent: int):
-    for batch in batches:
+    for batch in sliced(batches):
         keep = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medcorpus.llm.common import table
+from medcorpus.llm.common import sliced, table
 from medcorpus.llm.shingles import find_words, gram_hashes, mixed, word_hashes
 
 WINDOW, PREFIX = 13, 5
@@ -57,7 +57,7 @@ def _text_key(text: str) -> int:
 
 def _anchor_rows(batches):
     """(doc_id, text) -> each document's distinct anchors and how often they occur in it."""
-    for batch in batches:
+    for batch in sliced(batches):
         ids, hashes, counts = batch.column(0).to_pylist(), [], []
         for text in batch.column(1).to_pylist():
             words = word_hashes(text or "")
@@ -81,7 +81,7 @@ def _suffix_rows(batches):
         words = pa.Array.from_buffers(pa.binary(4 * width), len(data), [None, pa.py_buffer(np.ascontiguousarray(data))])
         return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), words.cast(pa.binary())], names=names)
 
-    for batch in batches:
+    for batch in sliced(batches):
         parts, n = [], 0
         for doc, text, found, salts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             hashes = word_hashes(text or "")
@@ -203,7 +203,7 @@ def _subtrees(batches):
 
 def _cut(batches, with_text: bool):
     """(doc_id, text, copy, starts, ends) -> what is left of each document."""
-    for batch in batches:
+    for batch in sliced(batches):
         rows = []
         for doc, text, copy, starts, ends in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             text = text or ""

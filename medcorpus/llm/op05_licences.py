@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medcorpus.llm.common import table
+from medcorpus.llm.common import sliced, table
 
 #: What licence notices of each family say.
 TEMPLATES = {
@@ -130,7 +130,7 @@ def fit_licences(ordinary: list[list[str]], seed: int = 13) -> LicenceModel:
 
 
 def _paragraphs(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         found = [line for text in batch.column(0).to_pylist() for line in (text or "").split("\n") if CUES.isdisjoint(_find(line.lower()))]
         yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.string())], names=["line"])
 
@@ -157,7 +157,7 @@ def licence_spans(text: str, model: LicenceModel) -> list[tuple[int, int, str]]:
 
 
 def _scan(batches, model: LicenceModel):
-    for batch in batches:
+    for batch in sliced(batches):
         rows = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = licence_spans(text or "", model)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medcorpus.llm.common import table
+from medcorpus.llm.common import sliced, table
 
 ERROR = 0.08
 MIN_CHARS = 30
@@ -136,7 +136,7 @@ class Matcher:
 
 def _match(batches, items, error: float, min_chars: int):
     matcher = Matcher(items, error, min_chars)
-    for batch in batches:
+    for batch in sliced(batches):
         rows = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in matcher.find(text or "")]
         if rows:
             types = (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64())
