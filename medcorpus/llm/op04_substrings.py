@@ -62,7 +62,12 @@ def _anchor_rows(batches):
         for text in batch.column(1).to_pylist():
             words = word_hashes(text or "")
             own = anchor_hashes(gram_hashes(words, PREFIX)) if len(words) >= WINDOW else np.zeros(0, dtype=np.int64)
-            own, n = np.unique(own[np.flatnonzero(np.diff(own, prepend=~own[:1]))], return_counts=True)
+            begin = np.flatnonzero(np.diff(own, prepend=~own[:1]))
+            run = np.diff(begin, append=len(own))
+            # one place serves RUNS windows at most; a longer run of one hash is text that repeats itself, place after place
+            places = np.where(run > RUNS, run, 1)
+            own, at = np.unique(own[begin], return_inverse=True)
+            n = np.bincount(at, places, len(own))
             hashes.append(own)
             counts.append(n)
         if any(map(len, hashes)):
@@ -248,8 +253,9 @@ def drop_repeats(docs: DataFrame, with_text: bool = True, group_rows: int = GROU
     suffixes = suffixes.mapInArrow(_suffix_rows, "h long, salt long, doc_id long, at long, lo int, hi int, words binary")
     spans = suffixes.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_subtrees, "doc_id long, start long, end long, node long")
     named = spans.filter("node is not null")
-    firsts = named.groupBy("node").agg(F.min("doc_id").alias("first"))
-    later = named.join(firsts, "node").filter("doc_id > first").select("doc_id", "start", "end")
+    # a node of a split group has one document for each of its salts
+    firsts = named.groupBy("node").agg(F.min("doc_id").alias("first"), F.collect_list(F.struct("doc_id", "start", "end")).alias("own"))
+    later = firsts.select("first", F.explode("own").alias("r")).filter("r.doc_id > first").select("r.doc_id", "r.start", "r.end")
     ranges = spans.filter("node is null").select("doc_id", "start", "end").unionByName(later)
     ranges = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     done = marked.join(ranges, "doc_id", "left").select("doc_id", "text", "copy", F.col("ranges.start").alias("starts"), F.col("ranges.end").alias("ends"))
