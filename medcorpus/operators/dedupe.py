@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from medcorpus.functions.text import rank_key
 
@@ -51,7 +50,3 @@ def bad_ids(df: DataFrame, key: str, required: str) -> DataFrame:
     counted = df.groupBy(key).agg(F.count("*").alias("n"), F.min(F.length(F.trim(F.coalesce(F.col(required), F.lit(""))))).alias("shortest"))
     return counted.filter(F.col(key).isNull() | (F.col("n") > 1) | (F.col("shortest") == 0)).select(key, "n")
 
-
-def ranked(df: DataFrame, group: list[str], *order: Column) -> DataFrame:
-    """rn: the place of each row in its group."""
-    return df.withColumn("rn", F.row_number().over(W.partitionBy(*group).orderBy(*order)))

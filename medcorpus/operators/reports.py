@@ -89,22 +89,28 @@ def film_group(findings: list[Column], normal: Column) -> Column:
     return F.when(F.exists(F.array(*findings), lambda v: v == 1.0), "abnormal").when(normal == 1.0, "normal").otherwise("uncertain_only")
 
 
-def unpivot(df: DataFrame, key: str, columns: list[str], name: str = "finding", value: str = "value") -> DataFrame:
-    return df.unpivot(key, columns, name, value)
-
-
 def labeler_agreement(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Agreement and recovered positives by finding and over all (finding null) of two labelings."""
-    both = unpivot(a, key, columns).join(unpivot(b, key, columns).withColumnRenamed("value", "other"), [key, "finding"])
+    other = b.select(key, *[F.col(k).alias(f"_{k}") for k in columns])
+    cells = F.array(*[F.struct(F.lit(k).alias("finding"), F.col(k).alias("value"), F.col(f"_{k}").alias("other")) for k in columns])
+    # the wide rows are joined once and only then taken apart
+    both = a.join(other, key).select(F.inline(cells))
     same, pos = F.col("value").eqNullSafe(F.col("other")), F.col("value") == 1.0
     return both.rollup("finding").agg(F.count("*").alias("n"), (100.0 * F.avg(same.cast("double"))).alias("agreement"), (100.0 * share(F.coalesce(F.col("other") == 1.0, F.lit(False)), F.coalesce(pos, F.lit(False)))).alias("recovered"))
 
 
 def order_statistics(df: DataFrame, group: list[str], value: str, **places: Column) -> DataFrame:
-    """Order statistics of value by group: places are 0-based ranks as columns of the group's size n."""
+    """Order statistics of value by group: places are 0-based ranks as columns of the group's size n.
+
+    Values are counted first, so the running count goes over distinct values, not over rows.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
     w = W.partitionBy(*group)
-    ranked = df.select(*group, value, F.row_number().over(w.orderBy(value)).alias("_rn"), F.count("*").over(w).alias("n"))
-    return ranked.groupBy(*group).agg(*[F.max(F.when(F.col("_rn") - 1 == p, F.col(value))).alias(k) for k, p in places.items()], F.first("n").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    x = counts.withColumn("n", F.sum("_c").over(w)).withColumn("_to", upto)
+    at = lambda p: (p < F.col("_to")) & (p >= F.col("_to") - F.col("_c"))
+    mean = F.sum(F.col(value) * F.col("_c")) / F.sum("_c")
+    return x.groupBy(*group).agg(*[F.max(F.when(at(p), F.col(value))).alias(k) for k, p in places.items()], F.max("n").alias("n"), mean.alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
 
 
 def score_summary(df: DataFrame, value: str) -> DataFrame:

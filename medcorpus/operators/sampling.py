@@ -44,21 +44,35 @@ def take_target(df: DataFrame, target: int, oversample: float, seed: int, key: s
     return pool.withColumns({"seen": seen, "kept": F.col("ok") & (F.col("_n") <= target)}).drop("_rank", "_n")
 
 
+def seeded_places(df: DataFrame, group: str, seed: int, salt: str, key: str, parts: int = 256) -> DataFrame:
+    """df with _rn, each row's place from 1 in its group's seeded order, and _size, the group's size.
+
+    Two passes: a group is cut into parts by the beginning of its rank, the parts' sizes give each its offset, and rows
+    are numbered inside a part. So a table of two or three classes is still many tasks.
+    """
+    x = df.withColumn("_rank", rank_key(seed, salt, F.col(key)))
+    x = x.withColumn("_part", F.floor(F.conv(F.substring("_rank", 1, 4), 16, 10).cast("int") * parts / 65536).cast("int"))
+    sizes = x.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    w = W.partitionBy(group)  # parts rows a group
+    offsets = sizes.select(group, "_part", (F.sum("_n").over(w.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("_size"))
+    inside = F.row_number().over(W.partitionBy(group, "_part").orderBy("_rank", key))
+    return x.join(offsets, [group, "_part"]).withColumn("_rn", inside + F.col("_before")).drop("_rank", "_part", "_before")
+
+
 def oversample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int) -> DataFrame:
     """Exactly n rows of each group: without replacement where it has n, else with replacement. slot numbers them."""
-    ranked = df.withColumn("_rn", F.row_number().over(W.partitionBy(group).orderBy(*seeded(seed, "over", key))) - 1)
+    ranked = seeded_places(df, group, seed, "over", key)
     sizes = df.groupBy(group).agg(F.count("*").alias("_size"))
     slots = sizes.select(group, "_size", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("slot"))
-    drawn = hash_number(F.lit(seed), F.col(group), F.col("slot")) % F.col("_size")
-    slots = slots.withColumn("_rn", F.when(F.col("_size") >= n, F.col("slot") - 1).otherwise(drawn).cast("int")).drop("_size")
-    return slots.join(ranked, [group, "_rn"]).drop("_rn")
+    drawn = hash_number(F.lit(seed), F.col(group), F.col("slot")) % F.col("_size") + 1
+    slots = slots.withColumn("_rn", F.when(F.col("_size") >= n, F.col("slot")).otherwise(drawn).cast("long")).drop("_size")
+    return slots.join(ranked.drop("_size"), [group, "_rn"]).drop("_rn")
 
 
 def stratified_half_split(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
     """half: train for the first half of each label's seeded order, else test."""
-    w = W.partitionBy(label)
-    rn = F.row_number().over(w.orderBy(*seeded(seed, "half", key)))
-    return df.withColumn("half", F.when(rn <= F.floor(F.count("*").over(w) / 2), "train").otherwise("test"))
+    x = seeded_places(df, label, seed, "half", key)
+    return x.withColumn("half", F.when(F.col("_rn") <= F.floor(F.col("_size") / 2), "train").otherwise("test")).drop("_rn", "_size").select(*df.columns, "half")
 
 
 def ratio_split(df: DataFrame, cap: int, ratio: float, seed: int, key: str) -> DataFrame:

@@ -125,15 +125,15 @@ def _questions(t: Tables) -> DataFrame:
 
 def _reports(t: Tables) -> DataFrame:
     """patient, study, path, frontal, findings, impression: an order is a study, its lines are pictures."""
-    docs = t.documents.select("doc_id", "text")
-    x = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("doc_id", F.col("o_orderkey") % 200)
+    docs = t.documents.select(F.col("doc_id").alias("o_orderkey"), "text")
+    x = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).join(docs, "o_orderkey", "left")
     path = F.concat_ws("/", F.col("o_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber"))
     impression = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderpriority"))
-    return x.join(docs, "doc_id").select(F.col("o_custkey").alias("patient"), F.col("o_orderkey").alias("study"), path.alias("path"), (F.col("l_linenumber") % 2 == 1).alias("frontal"), F.substring_index("text", ".", 1).alias("findings"), impression.alias("impression"))
+    return x.select(F.col("o_custkey").alias("patient"), F.col("o_orderkey").alias("study"), path.alias("path"), (F.col("l_linenumber") % 2 == 1).alias("frontal"), F.coalesce("text", F.lit("")).alias("findings"), impression.alias("impression"))
 
 
-REPORTS = """reports as (select o_custkey patient, o_orderkey study, concat_ws('/', o_orderkey, l_partkey, l_suppkey, l_linenumber) path, l_linenumber % 2 = 1 frontal, string_split(text, '.')[1] findings,
-    case when o_orderkey % 3 = 0 then '' else o_orderpriority end impression from orders join lineitem on o_orderkey = l_orderkey join documents on doc_id = o_orderkey % 200)"""
+REPORTS = """reports as (select o_custkey patient, o_orderkey study, concat_ws('/', o_orderkey, l_partkey, l_suppkey, l_linenumber) path, l_linenumber % 2 = 1 frontal, coalesce(text, '') findings,
+    case when o_orderkey % 3 = 0 then '' else o_orderpriority end impression from orders join lineitem on o_orderkey = l_orderkey left join documents on doc_id = o_orderkey)"""
 
 
 def _labels14(t: Tables, salt: str = "l") -> DataFrame:
@@ -161,12 +161,12 @@ PAIRS = "pairs as (select x.vec_id id, x.embedding::double[] a, y.embedding::dou
 
 
 def _captions(t: Tables) -> DataFrame:
-    """item, pred, refs: the first sentences of each text."""
+    """item, pred, refs: the first sentence of each text against all others."""
     s = F.split("text", r"\.")
-    return t.documents.select(F.col("doc_id").alias("item"), F.get(s, F.lit(0)).alias("pred"), F.filter(F.slice(s, 2, 2), lambda x: F.trim(x) != "").alias("refs"))
+    return t.documents.select(F.col("doc_id").alias("item"), F.get(s, F.lit(0)).alias("pred"), F.filter(F.slice(s, F.lit(2), F.size(s)), lambda x: F.trim(x) != "").alias("refs"))
 
 
-CAPTIONS = "captions as (select doc_id item, string_split(text, '.')[1] pred, list_filter(string_split(text, '.')[2:3], lambda x: trim(x) <> '') refs from documents)"
+CAPTIONS = "captions as (select doc_id item, string_split(text, '.')[1] pred, list_filter(string_split(text, '.')[2:], lambda x: trim(x) <> '') refs from documents)"
 
 
 def _log(t: Tables) -> DataFrame:

@@ -203,7 +203,7 @@ def v3_mismatched_mean(t):
     return rounded(V.mismatched_mean(t.pairs), "mean")
 
 
-@query(with_(CAPTIONS) + """, side as (select item, -1 ref, regexp_extract_all(lower(pred), '[a-z0-9]+') t from captions union all select item, k - 1, regexp_extract_all(lower(refs[k]), '[a-z0-9]+') from captions, range(1, 3) r(k) where k <= len(refs)),
+@query(with_(CAPTIONS) + """, side as (select item, -1 ref, regexp_extract_all(lower(pred), '[a-z0-9]+') t from captions union all select item, k - 1, regexp_extract_all(lower(refs[k]), '[a-z0-9]+') from (select item, refs, unnest(range(1, len(refs) + 1)) k from captions)),
     g as (select item, ref, n, unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i+n-1], ' '))) g from side, range(1, 5) r(n) where len(t) >= n), tf as (select item, ref, n, g, count(*) tf from g group by all),
     df as (select n, g, count(distinct item) df from tf where ref >= 0 group by all), v as (select item, ref, n, g, tf * (ln((select count(*) from captions)) - ln(greatest(1, coalesce(df, 0)))) w from tf left join df using (n, g)), nm as (select item, ref, n, sqrt(sum(w * w)) nrm from v group by all),
     dt as (select r.item, r.ref, r.n, sum(least(h.w, r.w) * r.w) d from v r join v h on r.item = h.item and r.n = h.n and r.g = h.g and h.ref = -1 where r.ref >= 0 group by all),

@@ -250,9 +250,9 @@ def d5_selection_overlap(t):
     return D.selection_overlap(t.lineitem.filter("l_quantity > 45"), t.lineitem.filter("l_discount > 0.08"), "l_partkey")
 
 
-@query("select k, count(*) as n from (select doc_id // 2 k, text from documents where doc_id % 10 > 1) group by k having count(*) > 1 or min(length(trim(text))) = 0")
+@query("select k, count(*) as n from (select doc_id // 2 k, text from documents) group by k having count(*) > 1 or min(length(trim(text))) = 0")
 def d6_require_unique_ids(t):
-    return D.bad_ids(t.documents.filter("doc_id % 10 > 1").select(F.expr("doc_id div 2").alias("k"), "text"), "k", "text")
+    return D.bad_ids(t.documents.select(F.expr("doc_id div 2").alias("k"), "text"), "k", "text")
 
 
 @query(f"select doc_id from documents order by {sql_rank(42, 'sample', 'doc_id')}, doc_id limit 50")
