@@ -78,3 +78,17 @@ def restrict_to_split(df: DataFrame, split: DataFrame, key: str, half: str | Non
     """Rows of one stored half; all rows of both for None."""
     ids = split if half is None else split.filter(F.col("half") == half)
     return df.join(ids.select(key), key, "left_semi")
+
+
+def isolation_matrix(train: DataFrame, test: DataFrame, group: str, entity: str) -> DataFrame:
+    """group, train, test, seen_rows: distinct entities of both sides, and test rows whose entity is in the training rows."""
+    both = train.select(group, entity, F.lit("train").alias("_half")).unionByName(test.select(group, entity, F.lit("test").alias("_half")))
+    wide = both.groupBy(group).pivot("_half", ["train", "test"]).agg(F.count_distinct(entity)).na.fill(0)
+    seen = test.join(train.select(entity).distinct(), entity, "left_semi").groupBy(group).agg(F.count("*").alias("seen_rows"))
+    return wide.join(seen, group, "left").na.fill(0, ["seen_rows"])
+
+
+def seen_unseen_accuracy(df: DataFrame, seen: DataFrame, entity: str, correct: Column) -> DataFrame:
+    """tag, seen, n, accuracy for all items (seen null), and for those on seen and on unseen entities."""
+    x = df.join(seen.select(entity).distinct().withColumn("seen", F.lit(True)), entity, "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+    return x.groupingSets([[F.col("tag")], [F.col("tag"), F.col("seen")]], F.col("tag"), F.col("seen")).agg(F.count("*").alias("n"), F.avg(correct.cast("int")).alias("accuracy"))

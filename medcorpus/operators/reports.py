@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from medcorpus.functions.scoring import REFUSAL, distinct2, latin_tokens
+
 
 def mean_if(value: Column, when: Column) -> Column:
     """The mean of value where when holds; null if it never does."""
@@ -136,3 +138,65 @@ def funnel(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
 def token_weighted_loss(df: DataFrame, loss: str, n: str) -> DataFrame:
     """The mean loss over tokens rather than batches."""
     return df.agg((F.sum(F.col(loss) * F.col(n)) / F.sum(n)).alias("loss"), F.sum(n).alias("tokens"))
+
+
+def rescore(df: DataFrame, old: Column, new: Column) -> DataFrame:
+    """tag, old, new, delta: mean scores of stored answers under two rules."""
+    return df.groupBy("tag").agg(F.avg(old).alias("old"), F.avg(new).alias("new")).withColumn("delta", F.col("new") - F.col("old"))
+
+
+def film_report(df: DataFrame) -> DataFrame:
+    """Answers, reports and contradictions by group of (grp, closed, reports)."""
+    yes = F.col("closed") == "yes"
+    return df.groupBy("grp").agg(
+        F.count("*").alias("n"), *[count_if(F.col("closed") == k).alias(k) for k in ("yes", "no", "other")], count_if(F.col("reports")).alias("reports"),
+        count_if(yes & ~F.col("reports")).alias("contradictions"), (100.0 * count_if(~F.col("reports")) / F.count("*")).alias("missed_pct"),
+    )
+
+
+def per_finding_report(df: DataFrame, findings: list[str]) -> DataFrame:
+    """finding, n, yes_pct, reports_pct; a film with several findings counts in each."""
+    found = F.filter(F.array(*[F.when(F.col(k) == 1, k) for k in findings]), lambda x: x.isNotNull())
+    each = df.select("closed", "reports", F.explode(found).alias("finding"))
+    return each.groupBy("finding").agg(F.count("*").alias("n"), (100.0 * F.avg((F.col("closed") == "yes").cast("int"))).alias("yes_pct"), (100.0 * F.avg(F.col("reports").cast("int"))).alias("reports_pct"))
+
+
+def judge_report(df: DataFrame, first: str, second: str, finding: str) -> DataFrame:
+    """By group: items where the second judge reports nothing, agreement of the judges, and one finding named or uncertain."""
+    return df.groupBy("grp").agg(
+        F.count("*").alias("n"), count_if(F.col(second) == 1).alias("none_reported"), (100.0 * F.avg(F.col(first).eqNullSafe(F.col(second)).cast("int"))).alias("agreement"),
+        count_if(F.col(finding).isin(1.0, -1.0)).alias(f"{finding}_pos_or_uncertain"),
+    )
+
+
+def polarity_audit(df: DataFrame) -> DataFrame:
+    """Answers, distinct questions and images by kind of (kind, q, img)."""
+    return df.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("q").alias("questions"), F.count_distinct("img").alias("images"))
+
+
+def elsewhere_flag(df: DataFrame) -> DataFrame:
+    """item, elsewhere: a named disease that an image is said not to have, but another answer of the image names; of (item, img, q, a, kind)."""
+    x = df.withColumn("disease", F.lower(F.regexp_extract("q", "Can (.+?) be observed", 1)))
+    # the answers of an image other than yes and no, each once
+    said = x.withColumn("a", F.lower(F.trim("a"))).filter("a not in ('yes', 'no')").groupBy("img").agg(F.array_join(F.array_sort(F.collect_set("a")), "|").alias("said"))
+    y = x.filter("kind = 'neg_specific'").join(said, "img", "left")
+    return y.select("item", ((F.col("disease") != "") & F.contains(F.coalesce("said", F.lit("")), F.col("disease"))).alias("elsewhere"))
+
+
+def entity_abnormal(df: DataFrame) -> DataFrame:
+    """img, abnormal: whether any closed answer of an image says so; "healthy" is looked for anywhere in the question. Of (img, q, a)."""
+    a = F.lower(F.trim("a"))
+    healthy = F.contains(F.lower("q"), F.lit("healthy"))
+    return df.filter(a.isin("yes", "no")).groupBy("img").agg(F.bool_or(F.when(healthy, a == "no").otherwise(a == "yes")).alias("abnormal"))
+
+
+def style_stats(df: DataFrame, text: str) -> DataFrame:
+    """Mean words, share of very short and of refusing texts, mean share of distinct pairs."""
+    w = latin_tokens(F.col(text))
+    x = df.select(F.size(w).alias("n"), F.col(text).rlike(REFUSAL).cast("int").alias("r"), distinct2(w).alias("d"))
+    return x.agg(F.avg("n").alias("mean_words"), (100.0 * F.avg((F.col("n") < 5).cast("int"))).alias("short_pct"), (100.0 * F.avg("r")).alias("refusal_pct"), F.avg("d").alias("distinct2"))
+
+
+def accuracy_by_type(df: DataFrame, types: list[str], correct: Column, least: int = 20) -> DataFrame:
+    """Groups of at least so many items, largest first, with their accuracy."""
+    return df.groupBy(*types).agg(F.count("*").alias("n"), F.avg(correct.cast("int")).alias("accuracy")).filter(F.col("n") >= least).orderBy(F.desc("n"), *types)

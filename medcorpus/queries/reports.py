@@ -29,8 +29,7 @@ def a1_vqa_report(t):
 
 @query(with_(VQA, SCORED) + "select tag, round(avg((pred = gold)::int), 6) as old, round(avg(em), 6) as new, round(avg(em) - avg((pred = gold)::int), 6) as delta from scored group by tag")
 def a2_rescore(t):
-    x = scored(t).groupBy("tag").agg(F.avg((c("pred") == c("gold")).cast("int")).alias("old"), F.avg("em").alias("new"))
-    return rounded(x.withColumn("delta", c("new") - c("old")), "old", "new", "delta")
+    return rounded(A.rescore(scored(t), (c("pred") == c("gold")).cast("int"), c("em")), "old", "new", "delta")
 
 
 @query(with_(VQA) + f""", f as (select tag, {YES_NO('g')} gold, {YES_NO('p')} pred from (select tag, {NORM('gold')} g, {NORM('pred')} p from vqa where closed)) select tag, count(*) filter (where gold = 'yes') as gold_yes, count(*) filter (where gold = 'no') as gold_no,
@@ -89,18 +88,12 @@ def a8_film_group(t):
 
 @query(with_(FILMS) + "select grp, count(*) as n, count(*) filter (where closed = 'yes') as yes, count(*) filter (where closed = 'no') as no, count(*) filter (where closed = 'other') as other, count(*) filter (where reports) as reports, count(*) filter (where closed = 'yes' and not reports) as contradictions, round(100.0 * count(*) filter (where not reports) / count(*), 6) as missed_pct from films group by grp")
 def a9_film_report(t):
-    n = A.count_if
-    return _films(t).groupBy("grp").agg(
-        F.count("*").alias("n"), *[n(c("closed") == k).alias(k) for k in ("yes", "no", "other")], n(c("reports")).alias("reports"),
-        n((c("closed") == "yes") & ~c("reports")).alias("contradictions"), F.round(100.0 * n(~c("reports")) / F.count("*"), 6).alias("missed_pct"),
-    )
+    return rounded(A.film_report(_films(t)), "missed_pct")
 
 
 @query(with_(FILMS) + "select finding, count(*) as n, round(100.0 * avg((closed = 'yes')::int), 6) as yes_pct, round(100.0 * avg(reports::int), 6) as reports_pct from (select closed, reports, unnest(list_filter([case when f1 = 1 then 'f1' end, case when f2 = 1 then 'f2' end, case when f3 = 1 then 'f3' end, case when f4 = 1 then 'f4' end, case when f5 = 1 then 'f5' end], lambda x: x is not null)) finding from films) group by finding")
 def a10_per_finding_report(t):
-    found = F.filter(F.array(*[F.when(c(k) == 1, k) for k in FIVE]), lambda x: x.isNotNull())
-    x = _films(t).select("closed", "reports", F.explode(found).alias("finding"))
-    return x.groupBy("finding").agg(F.count("*").alias("n"), F.round(100.0 * F.avg((c("closed") == "yes").cast("int")), 6).alias("yes_pct"), F.round(100.0 * F.avg(c("reports").cast("int")), 6).alias("reports_pct"))
+    return rounded(A.per_finding_report(_films(t), list(FIVE)), "yes_pct", "reports_pct")
 
 
 BOTH = f"{sql_labels14('la')}, {sql_labels14('lb', 'z')}, both2 as (select finding, a, b from (" + " union all ".join(f"select path, '{k}' finding, la.{k} a, lb.{k} b from la join lb using (path)" for k in LABELS) + "))"
@@ -114,37 +107,28 @@ def a11_labeler_agreement(t):
 @query(f"with {sql_labels14('la')}, {sql_labels14('lb', 'z')}, lc as (select path, nofinding other from lb), x as (select la.*, other, {GROUP} grp from la join lc using (path)) select grp, count(*) as n, count(*) filter (where other = 1) as none_reported, round(100.0 * avg((nofinding is not distinct from other)::int), 6) as agreement, sum((f1 = 1)::int + (f1 = -1)::int)::bigint as f1_pos_or_uncertain from x where f1 is not null group by grp")
 def a12_judge_report(t):
     other = _labels14(t, "z").select("path", c("nofinding").alias("other"))
-    x = _films(t).join(other, "path").filter("f1 is not null")
-    return x.groupBy("grp").agg(F.count("*").alias("n"), A.count_if(c("other") == 1).alias("none_reported"), F.round(100.0 * F.avg(c("nofinding").eqNullSafe(c("other")).cast("int")), 6).alias("agreement"), A.count_if(c("f1").isin(1.0, -1.0)).alias("f1_pos_or_uncertain"))
+    return rounded(A.judge_report(_films(t).join(other, "path").filter("f1 is not null"), "nofinding", "other", "f1"), "agreement")
 
 
 @query(with_(POLARITY) + f"select {KIND} as kind, count(*) as n, count(distinct q) as questions, count(distinct img) as images from polarity group by 1")
 def a13_polarity_audit(t):
-    return polarity(t).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("q").alias("questions"), F.count_distinct("img").alias("images"))
+    return A.polarity_audit(polarity(t))
 
 
 @query(with_(POLARITY) + f""", k as (select item, img, lower(trim(a)) a, case when q like 'Can % be observed?' then substr(q, 5, length(q) - 17) else '' end disease, {KIND} kind from polarity), said as (select distinct img, a from k where a not in ('yes', 'no'))
     select item, disease <> '' and exists (select 1 from said where said.img = k.img and contains(said.a, lower(disease))) as elsewhere from k where kind = 'neg_specific'""")
 def a14_elsewhere_flag(t):
-    x = polarity(t).withColumn("disease", F.lower(F.regexp_extract("q", "Can (.+?) be observed", 1)))
-    # the answers of an image other than yes and no, each once
-    said = x.withColumn("a", F.lower(F.trim("a"))).filter("a not in ('yes', 'no')").groupBy("img").agg(F.array_join(F.array_sort(F.collect_set("a")), "|").alias("said"))
-    y = x.filter("kind = 'neg_specific'").join(said, "img", "left")
-    return y.select("item", ((c("disease") != "") & F.contains(F.coalesce("said", F.lit("")), c("disease"))).alias("elsewhere"))
+    return A.elsewhere_flag(polarity(t))
 
 
 @query(with_(POLARITY) + "select img, bool_or(case when contains(lower(q), 'healthy') then lower(trim(a)) = 'no' else lower(trim(a)) = 'yes' end) as abnormal from polarity where lower(trim(a)) in ('yes', 'no') and ct = 'Abnormality' group by img")
 def a15_entity_abnormal(t):
-    a = F.lower(F.trim("a"))
-    x = polarity(t).filter(a.isin("yes", "no") & (c("ct") == "Abnormality"))
-    return x.groupBy("img").agg(F.bool_or(F.when(F.contains(F.lower("q"), F.lit("healthy")), a == "no").otherwise(a == "yes")).alias("abnormal"))
+    return A.entity_abnormal(polarity(t).filter("ct = 'Abnormality'"))
 
 
 @query(with_(D2) + r"select round(avg(len(w)), 6) as mean_words, round(100.0 * avg((len(w) < 5)::int), 6) as short_pct, round(100.0 * avg(regexp_matches(text, '(?i)\b(unanswerable|cannot|can''t|unable|not possible|no image|sorry)\b')::int), 6) as refusal_pct, round(avg(d), 6) as distinct2 from d2")
 def a16_style_stats(t):
-    w = S.latin_tokens(c("text"))
-    x = t.documents.select(F.size(w).alias("n"), c("text").rlike(S.REFUSAL).cast("int").alias("r"), S.distinct2(w).alias("d"))
-    return x.agg(F.round(F.avg("n"), 6).alias("mean_words"), F.round(100.0 * F.avg((c("n") < 5).cast("int")), 6).alias("short_pct"), F.round(100.0 * F.avg("r"), 6).alias("refusal_pct"), F.round(F.avg("d"), 6).alias("distinct2"))
+    return rounded(A.style_stats(t.documents, "text"), "mean_words", "short_pct", "refusal_pct", "distinct2")
 
 
 @query("select count(l_discount) as n, round(avg(l_extendedprice), 4) as mean, round(stddev_samp(l_extendedprice), 4) as std, min(l_extendedprice) as min, max(l_extendedprice) as max, round(quantile_cont(l_extendedprice, 0.25), 4) as q25, round(quantile_cont(l_extendedprice, 0.5), 4) as q50, round(quantile_cont(l_extendedprice, 0.75), 4) as q75 from lineitem")
@@ -171,8 +155,7 @@ def a20_train_curve_summary(t):
 
 @query(with_(VQA) + "select content, closed, count(*) as n, round(avg((gold = pred)::int), 6) as accuracy from vqa group by all having count(*) >= 20")
 def a21_accuracy_by_type(t):
-    x = t.vqa.groupBy("content", "closed").agg(F.count("*").alias("n"), F.round(F.avg((c("gold") == c("pred")).cast("int")), 6).alias("accuracy"))
-    return x.filter("n >= 20").orderBy(F.desc("n"), "content")
+    return rounded(A.accuracy_by_type(t.vqa, ["content", "closed"], c("gold") == c("pred")), "accuracy")
 
 
 @query(with_(REPORTS) + "select case when not frontal then 'not_frontal' when trim(findings) = '' and trim(impression) = '' then 'empty' when patient % 10 = 0 then 'excluded' else 'kept' end as step, count(*) as n from reports group by 1")
@@ -215,9 +198,8 @@ def v4_cider(t):
 
 def _subs(t):
     """tag, sub, item, score: scores of closed and open questions, and of labels."""
-    x = scored(t)
-    own = x.select("tag", F.when(c("closed"), "closed").otherwise("open").alias("sub"), "item", F.when(c("closed"), c("closed_score")).otherwise(c("recall")).alias("score"))
-    return own.unionByName(parsed(t).select("tag", F.lit("label").alias("sub"), "item", (c("gold") == c("pred")).cast("double").alias("score")))
+    own = R.sub_scores(scored(t), {"closed": (c("closed"), c("closed_score")), "open": (~c("closed"), c("recall"))})
+    return own.unionByName(R.sub_scores(parsed(t), {"label": (F.lit(True), c("gold") == c("pred"))}))
 
 
 SUBS = "subs as (select tag, case when closed then 'closed' else 'open' end sub, item, case when closed then closed_score else recall end score from scored union all select tag, 'label', item, (gold = pred)::int::double from parsed)"

@@ -170,19 +170,13 @@ def j6_leakage_report(t):
 @query(f"with {HALVES} select lang, (select count(distinct k) from train x where x.lang = l.lang) as train, (select count(distinct k) from test x where x.lang = l.lang) as test, (select count(*) from test x where x.lang = l.lang and k in (select k from train)) as seen_rows from (select distinct lang from documents) l")
 def j7_isolation_matrix(t):
     a, b = _halves(t)
-    both = a.withColumn("half", F.lit("train")).unionByName(b.withColumn("half", F.lit("test")))
-    wide = both.groupBy("lang").pivot("half", ["train", "test"]).agg(F.count_distinct("k")).na.fill(0)
-    seen = b.join(a.select("k").distinct(), "k", "left_semi").groupBy("lang").agg(F.count("*").alias("seen_rows"))
-    return wide.join(seen, "lang", "left").na.fill(0, ["seen_rows"])
+    return J.isolation_matrix(a, b, "lang", "k")
 
 
 @query(with_(VQA, "s as (select v.*, content in (select source from documents where doc_id % 2 = 1 and lang = 'de') seen from vqa v)") + "select tag, seen, count(*) as n, round(avg((pred = gold)::int), 6) as accuracy from s group by grouping sets ((tag), (tag, seen))")
 def j8_seen_unseen_accuracy(t):
-    from medcorpus.operators.reports import by_groups
-
-    seen = t.documents.filter("doc_id % 2 = 1 and lang = 'de'").select(c("source").alias("content")).distinct().withColumn("seen", F.lit(True))
-    x = t.vqa.join(seen, "content", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
-    return by_groups(x, [["tag"], ["tag", "seen"]], n=F.count("*"), accuracy=F.round(F.avg((c("pred") == c("gold")).cast("int")), 6))
+    seen = t.documents.filter("doc_id % 2 = 1 and lang = 'de'").select(c("source").alias("content"))
+    return J.seen_unseen_accuracy(t.vqa, seen, "content", c("pred") == c("gold")).withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query("select o_orderkey from orders where o_custkey not in (select c_custkey from customer where c_mktsegment = 'MACHINERY')")
