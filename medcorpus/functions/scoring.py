@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from medcorpus.functions.text import negation_scrub, text_of
+from medcorpus.functions.text import let, negation_scrub, text_of
 
 #: Word lists of the scores.
 ARTICLES = ("a", "an", "the")
@@ -88,15 +88,22 @@ def _answer_words(col: Column) -> Column:
     return words(normalize_answer(col))
 
 
+def _of_two(pred: Column, gold: Column, f) -> Column:
+    """f of two word lists, each made once."""
+    return let(F.struct(pred.alias("p"), gold.alias("g")), lambda x: f(x["p"], x["g"]))
+
+
 def recall_of(pred: Column, gold: Column) -> Column:
     """Share of the gold list that pred has."""
-    return F.when(F.size(gold) == 0, 0.0).otherwise(overlap(gold, pred) / F.size(gold))
+    return _of_two(pred, gold, lambda p, g: F.when(F.size(g) == 0, 0.0).otherwise(overlap(g, p) / F.size(g)))
 
 
 def f1_of(pred: Column, gold: Column) -> Column:
-    same = overlap(gold, pred)
-    none = (F.size(gold) == 0) | (F.size(pred) == 0)
-    return F.when(none, (F.size(gold) == F.size(pred)).cast("double")).otherwise(2.0 * same / (F.size(gold) + F.size(pred)))
+    def f1(p: Column, g: Column) -> Column:
+        none = (F.size(g) == 0) | (F.size(p) == 0)
+        return F.when(none, (F.size(g) == F.size(p)).cast("double")).otherwise(2.0 * overlap(g, p) / (F.size(g) + F.size(p)))
+
+    return _of_two(pred, gold, f1)
 
 
 def token_recall(pred: Column, gold: Column) -> Column:
@@ -198,20 +205,23 @@ def latin_tokens(col: Column) -> Column:
 def ref_recall(pred: Column, refs: Column) -> Column:
     """The best share of a reference's content words that pred has."""
     stop = F.array(*[F.lit(w) for w in STOP_WORDS.split()])
-    have = F.array_distinct(latin_tokens(pred))
 
-    def share(ref: Column) -> Column:
-        content = F.array_except(latin_tokens(ref), stop)
-        return F.when(F.size(content) > 0, F.size(F.array_intersect(content, have)) / F.size(content)).otherwise(0.0)
+    def best(have: Column) -> Column:
+        share = lambda content: F.when(F.size(content) > 0, F.size(F.array_intersect(content, have)) / F.size(content)).otherwise(0.0)
+        return F.array_max(F.transform(F.transform(refs, lambda r: F.array_except(latin_tokens(r), stop)), share))
 
-    return F.coalesce(F.array_max(F.transform(refs, share)), F.lit(0.0))
+    return F.coalesce(let(F.array_distinct(latin_tokens(pred)), best), F.lit(0.0))
 
 
 def distinct2(tokens: Column) -> Column:
     """Distinct pairs of neighbours among all; 1 if there are none."""
-    n = F.size(tokens) - 1
-    pairs = F.transform(F.arrays_zip(F.slice(tokens, 1, F.greatest(n, F.lit(0))).alias("a"), F.slice(tokens, 2, F.greatest(n, F.lit(0))).alias("b")), lambda p: F.concat_ws(" ", p["a"], p["b"]))
-    return F.when(n < 1, 1.0).otherwise(F.size(F.array_distinct(pairs)) / n)
+
+    def share(t: Column) -> Column:
+        n = F.size(t) - 1
+        pairs = F.zip_with(F.slice(t, F.lit(1), F.greatest(n, F.lit(0))), F.slice(t, F.lit(2), F.greatest(n, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+        return F.when(n < 1, 1.0).otherwise(F.size(F.array_distinct(pairs)) / n)
+
+    return let(tokens, share)
 
 
 def classify_polarity(question: Column, answer: Column, content_type: Column) -> Column:

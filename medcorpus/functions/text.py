@@ -21,6 +21,11 @@ ANSWER_PREFIX = r"(?i)^\s*(ans(wer)?\.?\s*(is)?\s*[:\-]?\s*['\"‘’(]?\s*[a-d]
 NEGATED = r"(?i)\b(?:no|without|negative for|free of|absence of|absent|rule[sd]? out|not (?:seen|present|identified|visible))\b[^.;]*?(?=\bbut\b|\bhowever\b|\balthough\b|[.;]|$)"
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, though lambdas inside f use it for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def text_of(col: Column) -> Column:
     """A missing text is an empty one."""
     return F.coalesce(col, F.lit(""))

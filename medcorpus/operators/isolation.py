@@ -29,7 +29,8 @@ def contamination(texts: DataFrame, key: str, text: str, questions: DataFrame, f
     exact, index, _ = build_eval_index(questions, chars)
     keyed = texts.select(key, norm_key(F.col(text)).alias("_key"))
     cut = keyed.select(key, windows(F.col("_key"), chars).alias("_ws"))
-    exploded = cut.select(key, F.size("_ws").alias("n_windows"), F.explode("_ws").alias("w"))
+    # explode_outer: for explode Spark would infer a filter on the windows' number and make them twice
+    exploded = cut.select(key, F.size("_ws").alias("n_windows"), F.explode_outer("_ws").alias("w")).filter("w is not null")
     small = index.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     hits = exploded.join(F.broadcast(index) if small else index, "w").groupBy(key, "n_windows").agg(F.count("*").alias("n_hits"))
     same = keyed.join(exact, keyed["_key"] == exact["key"], "left_semi").select(key, F.lit(True).alias("exact")).distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medcorpus.functions.scoring import latin_tokens
+from medcorpus.functions.text import let
 
 BLOCK = 512
 
@@ -91,9 +92,10 @@ def cider(captions: DataFrame, max_n: int = 4) -> DataFrame:
     side = captions.select("item", F.lit(-1).alias("ref"), latin_tokens(F.col("pred")).alias("t")).unionByName(
         captions.select("item", F.posexplode("refs").alias("ref", "r")).select("item", "ref", latin_tokens(F.col("r")).alias("t"))
     )
-    grams = side.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(max_n)))).filter(F.size("t") >= F.col("n"))
-    starts = F.sequence(F.lit(1), F.size("t") - F.col("n") + 1)
-    grams = grams.select("item", "ref", "n", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("t", i, F.col("n")), " "))).alias("g"))
+    # the tokens are made once a text; all gram sizes come from them
+    ngrams = lambda t, n: F.transform(F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(t, i, F.lit(n)), " ").alias("g")))
+    every = let(F.col("t"), lambda t: F.concat(*[ngrams(t, n) for n in range(1, max_n + 1)]))
+    grams = side.select("item", "ref", F.explode_outer(every).alias("x")).filter("x is not null").select("item", "ref", "x.n", "x.g")
     tf = grams.groupBy("item", "ref", "n", "g").agg(F.count("*").alias("tf"))
     df = tf.filter("ref >= 0").select("item", "n", "g").distinct().groupBy("n", "g").agg(F.count("*").alias("df"))
     total = captions.select("item").distinct().count()
