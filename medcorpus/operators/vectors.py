@@ -92,19 +92,23 @@ def cider(captions: DataFrame, max_n: int = 4) -> DataFrame:
     side = captions.select("item", F.lit(-1).alias("ref"), latin_tokens(F.col("pred")).alias("t")).unionByName(
         captions.select("item", F.posexplode("refs").alias("ref", "r")).select("item", "ref", latin_tokens(F.col("r")).alias("t"))
     )
-    # the tokens are made once a text; all gram sizes come from them
-    ngrams = lambda t, n: F.transform(F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(t, i, F.lit(n)), " ").alias("g")))
+    # the tokens are made once a text; all gram sizes come from them, as 64-bit hashes
+    ngrams = lambda t, n: F.transform(F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice(t, i, F.lit(n))).alias("g")))
     every = let(F.col("t"), lambda t: F.concat(*[ngrams(t, n) for n in range(1, max_n + 1)]))
     grams = side.select("item", "ref", F.explode_outer(every).alias("x")).filter("x is not null").select("item", "ref", "x.n", "x.g")
     tf = grams.groupBy("item", "ref", "n", "g").agg(F.count("*").alias("tf"))
-    df = tf.filter("ref >= 0").select("item", "n", "g").distinct().groupBy("n", "g").agg(F.count("*").alias("df"))
+    is_pred = F.col("ref") < 0
+    # one row per gram of an item: its count in the prediction and in each reference that has it
+    own = tf.groupBy("item", "n", "g").agg(F.max(F.when(is_pred, F.col("tf"))).alias("h"), F.collect_list(F.when(~is_pred, F.struct("ref", "tf"))).alias("r"))
+    df = own.filter(F.size("r") > 0).groupBy("n", "g").agg(F.count("*").alias("df"))
     total = captions.select("item").distinct().count()
     idf = F.log(F.lit(float(max(1, total)))) - F.log(F.greatest(F.lit(1), F.coalesce("df", F.lit(0))).cast("double"))
-    vec = tf.join(df, ["n", "g"], "left").select("item", "ref", "n", "g", (F.col("tf") * idf).alias("w"))
-    norms = vec.groupBy("item", "ref", "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    hyp = vec.filter("ref < 0").select("item", "n", "g", F.col("w").alias("hw"))
-    dots = vec.filter("ref >= 0").join(hyp, ["item", "n", "g"]).groupBy("item", "ref", "n").agg(F.sum(F.least("hw", "w") * F.col("w")).alias("dot"))
-    both = dots.join(norms, ["item", "ref", "n"]).join(norms.filter("ref < 0").select("item", "n", F.col("norm").alias("hnorm")), ["item", "n"])
-    cos = F.when((F.col("norm") > 0) & (F.col("hnorm") > 0), F.col("dot") / (F.col("norm") * F.col("hnorm"))).otherwise(0.0)
-    sums = both.groupBy("item").agg(F.sum(cos).alias("s"))
-    return captions.select("item", F.size("refs").alias("k")).join(sums, "item", "left").select("item", F.when(F.col("k") > 0, F.coalesce("s", F.lit(0.0)) * 10 / max_n / F.col("k")).otherwise(0.0).alias("cider"))
+    weighed = own.join(df, ["n", "g"], "left").select("item", "n", "h", "r", idf.alias("idf"))
+    squares = F.transform("r", lambda r: F.struct(r["ref"].alias("ref"), (F.least(F.coalesce("h", F.lit(0)), r["tf"]) * r["tf"] * F.col("idf") * F.col("idf")).alias("dot"), F.pow(r["tf"] * F.col("idf"), 2.0).alias("sq")))
+    pred = F.when(F.col("h").isNotNull(), F.array(F.struct(F.lit(-1).alias("ref"), F.lit(0.0).alias("dot"), F.pow(F.col("h") * F.col("idf"), 2.0).alias("sq"))))
+    parts = weighed.select("item", "n", F.inline(F.concat(squares, F.coalesce(pred, F.slice(squares, 1, 0)))))
+    sums = parts.groupBy("item", "n", "ref").agg(F.sum("dot").alias("dot"), F.sum("sq").alias("sq"))
+    by_n = sums.groupBy("item", "n").agg(F.max(F.when(F.col("ref") < 0, F.col("sq"))).alias("hq"), F.collect_list(F.when(F.col("ref") >= 0, F.struct("dot", "sq"))).alias("rs"))
+    cos = F.aggregate("rs", F.lit(0.0), lambda a, r: a + F.when((r["sq"] > 0) & (F.col("hq") > 0), r["dot"] / F.sqrt(r["sq"] * F.col("hq"))).otherwise(0.0))
+    scores = by_n.groupBy("item").agg(F.sum(cos).alias("s"))
+    return captions.select("item", F.size("refs").alias("k")).join(scores, "item", "left").select("item", F.when(F.col("k") > 0, F.coalesce("s", F.lit(0.0)) * 10 / max_n / F.col("k")).otherwise(0.0).alias("cider"))
