@@ -125,8 +125,8 @@ def test_files(spark, tmp_path):
         z.writestr("p/x.txt", "eins")
         z.writestr("q/y.txt", "zwei")
     assert [tuple(r) for r in readers.read_zip_members(spark, str(tmp_path / "z.zip"), "p/").collect()] == [("p/x.txt", "eins")]
-    (tmp_path / "pubmed_base_preds.jsonl").write_text('{"id": 1}\n')
-    assert tuple(readers.read_predictions(spark, str(tmp_path / "*_preds.jsonl"), "id long").first()) == ("pubmed", "base", 1)
+    (tmp_path / "abstracts_base_preds.jsonl").write_text('{"id": 1}\n')
+    assert tuple(readers.read_predictions(spark, str(tmp_path / "*_preds.jsonl"), "id long").first()) == ("abstracts", "base", 1)
     registry = str(tmp_path / "sets.json")
     for name in ("one", "two"):
         readers.write_training_set(spark.range(3), str(tmp_path), name, registry)
