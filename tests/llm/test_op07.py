@@ -46,3 +46,24 @@ def test_query_rows(spark):
     assert got[100].spans == "" and got[101].base_sha256 == hashlib.sha256(b"").hexdigest() and got[102].spans == "access:0:20"
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert scan_secrets(empty, train_formats(empty)).count() == 0
+
+
+def random_token(rng, start, letters, n):
+    return start + "".join(rng.choice(letters) for _ in range(n))
+
+
+def test_unlabelled_secrets_in_the_sample(spark):
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    formats = (("ghp_", letters, 36), ("sk-", letters, 40), ("", "0123456789ABCDEF", 32))
+    planted = [random_token(rng, *formats[k % 3]) for k in range(90)]
+    words = ["".join(rng.choice(("tion", "er", "the", "ing", "ment", "lich")) for _ in range(6)) for _ in range(300)]
+    words += [w.upper() for w in words[:40]] + [f"{w[:6]}/{w[6:12]}_{w[12:]}-2024" for w in words[40:80]]
+    for n in (3, 90):  # one of each format, and nearly a fifth of the sample's long tokens
+        texts = [f"a {w} b" for w in words] + [f"x {p} y" for p in planted[:n]] + [f"token = {hashlib.sha1(str(k).encode()).hexdigest()}" for k in range(60)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        found = {r.doc_id: r.spans for r in scan_secrets(df, train_formats(df)).collect()}
+        assert [found[len(words) + k] for k in range(n)] == [f"format:2:{2 + len(p)}" for p in planted[:n]]
+        assert not any(found[k] for k in range(len(words)))
+    model = fit_formats([hashlib.sha1(str(k).encode()).hexdigest() for k in range(60)], planted)
+    assert sum(model.score(p) >= model.threshold for p in planted) >= 86  # no ordinary token in the sample at all
