@@ -2,11 +2,13 @@
 
 Labelled page outcomes (bad or not) are counted by host. A host's bad share is shrunk towards that of its
 registered domain, that towards its suffix, and that towards the share of all pages, by beta-binomial priors
-whose strengths come from the spread between the groups themselves (method of moments). A page is blocked if
-the lower posterior bound of its host's bad share is above ``max_bad``.
+whose strengths come from the spread between the groups themselves (method of moments). A host without outcomes
+has the mean of its registered domain, else of its suffix, else of all pages; its variance is that of a host drawn
+from there, with every level that is not known drawn as well. A page is blocked if the lower posterior bound of its
+host's bad share is above ``max_bad``.
 
 Everything is DataFrame expressions. Counts are pre-aggregated before they are shuffled, so a host that holds
-a third of all pages costs one row a task; only three fitted strengths and one share reach the driver. The join of pages with
+a third of all pages costs one row a task; hosts are judged once each; only three fitted strengths and one share reach the driver. The join of pages with
 hosts is left to adaptive execution, which splits a hot host's pages.
 
 Cases: a null url or one without ``://`` has an empty host and path, which no rule fits; its reputation is
@@ -83,26 +85,33 @@ def _strength(groups: DataFrame, n: str, bad: str, mean: str) -> float:
     return high if rho <= 1 / (high + 1) else min(high, max(low, 1 / rho - 1))
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """Per host of outcomes (host, bad 0/1): n, mean and lower bound of the posterior bad share, shrunk level by level."""
+def host_reputation(outcomes: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """Per host of outcomes (host, bad 0/1), or per distinct host of hosts (host) if given: n, mean and lower bound of the posterior bad share, shrunk level by level."""
     domain, suffix = host_levels(F.col("host"))
-    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum("bad").cast("double").alias("bad")).filter("n > 0")
-    hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("db"))
+    known = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum("bad").cast("double").alias("bad")).filter("n > 0")
+    levels = known.withColumns({"domain": domain, "suffix": suffix})
+    domains = levels.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("db"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
     total = suffixes.agg(F.sum("sb").alias("b"), F.sum("sn").alias("n")).first()
-    share = (total["b"] + 0.5) / (total["n"] + 1) if total and total["n"] else 0.5
-    up = F.lit(share)
-    k = _strength(suffixes.withColumn("m0", up), "sn", "sb", "m0")
-    suffixes = suffixes.select("suffix", ((F.col("sb") + k * up) / (F.col("sn") + k)).alias("sm"))
+    any_known = bool(total and total["n"])
+    up = F.lit((total["b"] + 0.5) / (total["n"] + 1) if any_known else 0.5)
+    ks = _strength(suffixes.withColumn("m0", up), "sn", "sb", "m0")
+    suffixes = suffixes.select("suffix", ((F.col("sb") + ks * up) / (F.col("sn") + ks)).alias("sm"))
     domains = domains.join(suffixes, "suffix")
-    k = _strength(domains, "dn", "db", "sm")
-    domains = domains.select("domain", "suffix", ((F.col("db") + k * F.col("sm")) / (F.col("dn") + k)).alias("dm"))
-    hosts = hosts.join(domains, ["domain", "suffix"])
-    k = _strength(hosts, "n", "bad", "dm")
-    mean = (F.col("bad") + k * F.col("dm")) / (F.col("n") + k)
-    bound = mean - BOUND_Z * F.sqrt(mean * (1 - mean) / (F.col("n") + k + 1))
-    return hosts.select("host", "n", mean.alias("bad_mean"), bound.alias("bad_bound"))
+    kd = _strength(domains, "dn", "db", "sm")
+    domains = domains.select("domain", "suffix", ((F.col("db") + kd * F.col("sm")) / (F.col("dn") + kd)).alias("dm"))
+    kh = _strength(levels.join(domains, ["domain", "suffix"]), "n", "bad", "dm")
+    # the share of m (1 - m) that is the variance of a host drawn below a domain, a suffix, or the whole
+    drawn = [1 - kh / (kh + 1), 1 - kh / (kh + 1) * kd / (kd + 1), 1 - kh / (kh + 1) * kd / (kd + 1) * ks / (ks + 1)]
+    if hosts is not None:
+        known = hosts.select("host").distinct().join(known, "host", "left")
+    n = F.coalesce("n", F.lit(0))
+    judged = known.withColumns({"domain": domain, "suffix": suffix}).join(domains, ["domain", "suffix"], "left").join(suffixes, "suffix", "left")
+    mean = (F.coalesce("bad", F.lit(0.0)) + kh * F.coalesce("dm", "sm", up)) / (n + kh)
+    part = F.when(n > 0, 1 / (n + kh + 1)).when(F.col("dm").isNotNull(), drawn[0]).when(F.col("sm").isNotNull(), drawn[1]).otherwise(drawn[2])
+    bound = mean - BOUND_Z * F.sqrt(mean * (1 - mean) * part)
+    held = lambda c: F.when(F.lit(any_known), c)
+    return judged.select("host", n.alias("n"), held(mean).alias("bad_mean"), held(bound).alias("bad_bound"))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = MAX_BAD) -> DataFrame:
@@ -110,7 +119,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: flo
     host, path = url_parts(F.col("url"))
     pages = pages.select("page_id", host.alias("host"), path.alias("path"))
     known = outcomes.filter("bad is not null and page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    reputation = host_reputation(pages.join(known, "page_id").select("host", "bad"))
+    reputation = host_reputation(pages.join(known, "page_id").select("host", "bad"), pages)
     rule = rule_of(F.col("host"), F.col("path"), rules)
     pages = pages.withColumn("k", rule)
     names = F.array(*[F.lit(h + p) for _, h, p in rules])

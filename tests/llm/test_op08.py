@@ -49,3 +49,19 @@ def test_reputation(spark):
 def test_empty(spark):
     assert filter_urls(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int")).count() == 0
     assert url_parts and rule_of
+
+
+def test_hosts_without_outcomes(spark):
+    pages, bad = [], []
+    for suffix in ("org", "bad", "net"):
+        for d in range(12):
+            for k in range(40):
+                bad.append((len(pages), int(suffix == "bad" or (suffix == "org" and d < 3))))
+                pages.append((len(pages), f"https://h{k % 4}.d{d}.{suffix}/x"))
+    new = {"new.d0.org": "block", "new.d9.org": "allow", "new.other.org": "allow", "new.d1.bad": "block", "new.other.bad": "block", "new.other.net": "allow", "new.other.info": "allow"}
+    pages += [(9000 + k, f"https://{host}/") for k, host in enumerate(new)] + [(9000, "https://new.d0.org/")]
+    got = filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad int")).collect()
+    assert len(got) == len(pages)
+    assert {r.host: r.verdict for r in got if r.page_id >= 9000} == new
+    mean = {r.host: r.bad_mean for r in got}
+    assert mean["new.d0.org"] > 0.9 > 0.5 > mean["new.other.org"] > mean["new.d9.org"] and mean["new.other.bad"] > 0.9 and abs(mean["new.other.info"] - (15 * 40 + 0.5) / (36 * 40 + 1)) < 1e-9
