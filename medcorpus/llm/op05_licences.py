@@ -1,11 +1,12 @@
 """Licence scans by a trained paragraph classifier.
 
-A paragraph (line) is a sparse set of word 1-grams and 2-grams. A multinomial logistic regression over the n-grams
-of the families' templates says which family it names, if any. It is trained here on variants of the templates
+A paragraph (line) is a sparse set of word 1-grams and 2-grams, of its words as written and with hyphens split. A multinomial logistic regression over the n-grams
+of the families' templates and SPDX identifiers says which family it names, if any. It is trained here on variants of the templates
 (words dropped, ordinary words put in) and on ordinary paragraphs of a bounded sample of documents; its
 probabilities are calibrated by a temperature on variants it was not trained on. A paragraph that is licence-like but
 of no family with probability ``SURE`` is ``unknown``. A predicted family is confirmed only if the paragraph holds at
-least ``CONFIRM`` of the n-grams of one of the family's templates; otherwise it is ``unknown`` as well.
+least ``CONFIRM`` of the n-grams of one of the family's templates or one of its identifiers; otherwise it is ``unknown``
+as well. A licence-like paragraph that holds a template whole is of the family of the largest such template. Every paragraph with an n-gram of the templates is scored; no word list is asked first.
 
 The model is a table of weights, learnt on the driver; the scan is one pass over the documents without a shuffle.
 
@@ -44,10 +45,28 @@ TEMPLATES = {
     "proprietary": ("all rights reserved", "copyright all rights reserved no part may be reproduced without permission", "proprietary and confidential unauthorized copying is prohibited"),
     "unlicense": ("this is free and unencumbered software released into the public domain", "released under the unlicense"),
 }
-#: A paragraph without any of these is not licence-like.
+#: SPDX identifiers, as one token; those without a hyphen count only after IDENTIFIER, since they may be plain words.
+SPDX = {
+    "agpl": ("agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later"),
+    "apache": ("apache-2.0", "apache-1.1"),
+    "bsd": ("bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "0bsd"),
+    "cc0": ("cc0-1.0",),
+    "cc-by": ("cc-by-4.0", "cc-by-3.0"),
+    "cc-by-nc": ("cc-by-nc-4.0", "cc-by-nc-3.0", "cc-by-nc-sa-4.0", "cc-by-nc-nd-4.0"),
+    "cc-by-sa": ("cc-by-sa-4.0", "cc-by-sa-3.0"),
+    "gpl": ("gpl-2.0", "gpl-2.0-only", "gpl-2.0-or-later", "gpl-3.0", "gpl-3.0-only", "gpl-3.0-or-later"),
+    "isc": ("isc",),
+    "lgpl": ("lgpl-2.1", "lgpl-2.1-only", "lgpl-2.1-or-later", "lgpl-3.0", "lgpl-3.0-only", "lgpl-3.0-or-later"),
+    "mit": ("mit", "mit-0"),
+    "mpl": ("mpl-1.1", "mpl-2.0"),
+    "unlicense": ("unlicense",),
+}
+IDENTIFIER = "spdx-license-identifier"
+#: Paragraphs with any of these are no examples of ordinary text.
 CUES = frozenset("license licensed licence licenced licensing copyright copyrighted rights gpl agpl lgpl cc cc0 unlicense redistribution permission proprietary mozilla apache creative mit bsd isc".split())
-#: Without one of these a paragraph of no sure family is no licence either.
+#: A licence-like paragraph of no sure family is ``unknown`` if it has one of these or the share LIKE of a template's n-grams.
 NAMING = frozenset("license licensed licence licenced licensing copyright copyrighted gpl agpl lgpl cc0 unlicense".split())
+LIKE = 0.5
 FAMILIES = tuple(TEMPLATES)
 SURE, CONFIRM = 0.8, 0.6
 #: Documents whose paragraphs are the ordinary ones, and paragraphs kept of them, at most; variants of each template.
@@ -56,7 +75,36 @@ _find = re.compile(r"[a-z0-9]+(?:[-.][a-z0-9]+)*").findall
 
 
 def grams(words: list[str]) -> set[str]:
-    return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
+    """1-grams and 2-grams of the words, and of the words with hyphens split."""
+    own = {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
+    parts = [p for w in words for p in w.split("-")]
+    if len(parts) > len(words):
+        own |= {*parts, *(f"{a} {b}" for a, b in zip(parts, parts[1:], strict=False))}
+    return own
+
+
+def identifiers(family: str) -> list[str]:
+    """The texts that name a family by an SPDX identifier alone."""
+    return [x for i in SPDX.get(family, ()) for x in ([f"{IDENTIFIER} {i}", i] if "-" in i else [f"{IDENTIFIER} {i}"])]
+
+
+TEMPLATE_GRAMS = [[frozenset(grams(_find(t))) for t in TEMPLATES[f]] for f in FAMILIES]
+#: The n-grams that only this family's templates have.
+OWN_GRAMS = [frozenset().union(*texts) - frozenset().union(*(t for other in TEMPLATE_GRAMS if other is not texts for t in other)) for texts in TEMPLATE_GRAMS]
+
+
+def held_share(own: set[str], family: int) -> float:
+    """The largest share of a template that the n-grams hold, with one that only its family has; 1 if they hold an identifier."""
+    if any(i in own for i in identifiers(FAMILIES[family])):
+        return 1.0
+    return max(0.0 if own.isdisjoint(t & OWN_GRAMS[family]) else len(t & own) / len(t) for t in TEMPLATE_GRAMS[family])
+
+
+def whole_size(own: set[str], family: int) -> int:
+    """The n-grams of the largest template of the family that is held whole; an identifier is more than any template."""
+    if any(i in own for i in identifiers(FAMILIES[family])):
+        return 1000
+    return max((len(t) for t in TEMPLATE_GRAMS[family] if t <= own), default=0)
 
 
 @dataclass
@@ -67,7 +115,6 @@ class LicenceModel:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
-    templates: list[list[frozenset[str]]]
 
     def probabilities(self, own: set[str]) -> np.ndarray:
         z = (self.bias + self.weights[[self.index[g] for g in own if g in self.index]].sum(axis=0)) / self.temperature
@@ -76,17 +123,20 @@ class LicenceModel:
 
     def family(self, words: list[str]) -> str | None:
         """The family that a paragraph names, ``unknown``, or None."""
-        if CUES.isdisjoint(words):
-            return None
         own = grams(words)
+        if own.isdisjoint(self.index):
+            return None
         p = self.probabilities(own)
         best = int(np.argmax(p[1:]))
-        held = max(len(t & own) / len(t) for t in self.templates[best])
+        held = held_share(own, best)
         if p[0] >= 0.5 and held < CONFIRM:
             return None
+        whole = max((whole_size(own, k), p[k + 1], k) for k in range(len(FAMILIES))) if p[0] < 0.5 else (0, 0, 0)
+        if whole[0]:
+            return FAMILIES[whole[2]]
         if p[best + 1] >= SURE and held >= CONFIRM:
             return FAMILIES[best]
-        return None if NAMING.isdisjoint(words) or p[0] >= 0.5 else "unknown"
+        return "unknown" if p[0] < 0.5 and (held >= LIKE or not NAMING.isdisjoint(own)) else None
 
 
 def fit_licences(ordinary: list[list[str]], seed: int = 13) -> LicenceModel:
@@ -95,14 +145,14 @@ def fit_licences(ordinary: list[list[str]], seed: int = 13) -> LicenceModel:
     other = sorted({w for p in ordinary for w in p} - CUES)[:5000] or ["blank"]
     rows: list[tuple[set[str], int]] = [(grams(p), 0) for p in ordinary] + [(set(), 0)]
     for k, family in enumerate(FAMILIES):
-        for text in TEMPLATES[family]:
+        for text in (*TEMPLATES[family], *identifiers(family)):
             words = _find(text)
             for v in range(VARIANTS):
                 own = [w for w in words if rng.random() > (0.12 if v and len(words) > 4 else 0)]
                 pad = [rng.choice(other) for _ in range(rng.randrange(0, 12) if v else 0)]
                 cut = rng.randrange(len(pad) + 1)
                 rows.append((grams(pad[:cut] + own + pad[cut:]), k + 1))
-    index = {g: k for k, g in enumerate(sorted({g for texts in TEMPLATES.values() for t in texts for g in grams(_find(t))}))}
+    index = {g: k for k, g in enumerate(sorted({g for f in FAMILIES for t in (*TEMPLATES[f], *identifiers(f)) for g in grams(_find(t))}))}
     x = np.zeros((len(rows), len(index)), dtype=np.float32)
     for k, (own, _) in enumerate(rows):
         x[k, [index[g] for g in own if g in index]] = 1
@@ -125,18 +175,23 @@ def fit_licences(ordinary: list[list[str]], seed: int = 13) -> LicenceModel:
         w, b = w + moved, b + moved_b
     z = x[held] @ w + b
     loss = {t: -float(np.log(softmax(z / t)[np.arange(len(z)), y[held]].clip(1e-9)).mean()) for t in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)}
-    templates = [[frozenset(grams(_find(t))) for t in TEMPLATES[f]] for f in FAMILIES]
-    return LicenceModel(index, w, b, min(loss, key=loss.get), templates)
+    return LicenceModel(index, w, b, min(loss, key=loss.get))
+
+
+def is_ordinary(words: list[str]) -> bool:
+    """Whether a paragraph can stand for ordinary text: it has no cue and is like no template."""
+    own = grams(words)
+    return CUES.isdisjoint(own) and all(held_share(own, k) < CONFIRM for k in range(len(FAMILIES)))
 
 
 def _paragraphs(batches):
     for batch in sliced(batches):
-        found = [line for text in batch.column(0).to_pylist() for line in (text or "").split("\n") if CUES.isdisjoint(_find(line.lower()))]
+        found = [line for text in batch.column(0).to_pylist() for line in (text or "").split("\n") if is_ordinary(_find(line.lower()))]
         yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.string())], names=["line"])
 
 
 def train_licences(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_paragraphs: int = SAMPLE_PARAGRAPHS, id_col: str = "doc_id", text_col: str = "text") -> LicenceModel:
-    """The model against paragraphs without a cue, of the documents with the smallest hashes of their ids."""
+    """The model against ordinary paragraphs, of the documents with the smallest hashes of their ids."""
     ids = docs.select(F.col(id_col).alias("doc_id")).filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     # at most sample_docs ids are broadcast
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id").select("text")

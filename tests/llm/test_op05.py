@@ -2,7 +2,7 @@
 
 import random
 
-from medcorpus.llm.op05_licences import fit_licences, licence_spans, scan_licences, train_licences
+from medcorpus.llm.op05_licences import SPDX, TEMPLATES, fit_licences, licence_spans, scan_licences, train_licences
 
 NOTICES = {
     "Released under the MIT License.": "mit",
@@ -40,3 +40,20 @@ def test_rows(spark):
     assert sum(r.n_licences for r in got.values()) == 1
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert scan_licences(empty, train_licences(empty)).count() == 0
+
+
+def test_templates_and_identifiers():
+    model = fit_licences(ordinary())
+    for family, texts in TEMPLATES.items():
+        for text in (*texts, *(f"SPDX-License-Identifier: {i.upper()}" for i in SPDX.get(family, ())), *(i.upper() for i in SPDX.get(family, ()) if "-" in i)):
+            assert [f for _, _, f in licence_spans("a b c\n" + text + "\nd", model)] == [family], text
+    for text in ("mit dem Fluss", "the public domain of the river", "a free and open work", "this is free for any purpose", "in compliance with the terms"):
+        assert licence_spans(text, model) == [], text
+
+
+def test_unlicense_rows(spark):
+    notice = "This is free and unencumbered software released into the public domain."
+    rows = [(k, " ".join(p)) for k, p in enumerate(ordinary())] + [(900 + k, f"x {k}\n{notice}") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.families for r in scan_licences(df, train_licences(df)).collect()}
+    assert {got[900 + k] for k in range(30)} == {"unlicense"} and not any(got[k] for k in range(500))
