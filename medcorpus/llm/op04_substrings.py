@@ -1,17 +1,18 @@
-"""Substring deduplication by prefix-partitioned suffix trees over words.
+"""Substring deduplication by anchored windows of words, in place of suffix trees.
 
-A window of 13 words is repeated if a document with a smaller doc_id has it too. Indexing every suffix would
-move the corpus many times over, so the trees are sparse: suffixes start at anchors only. A window's anchor is the
+A window of 13 words is repeated if a document with a smaller doc_id has it too. No suffix tree
+is built and no common-prefix length computed, since indexing every suffix would move the corpus many times over:
+stored suffixes start at anchors only and end a window after them. A window's anchor is the
 run of ``PREFIX`` words in it with the smallest hash; equal windows have the same anchor at the same place.
 
 1. Anchors that a single text has cannot be part of a repeat: their prefix leads to a leaf. They are found by
    counting, pre-aggregated, and left out.
-2. The other anchors' suffixes, with the words to their left, are dealt by prefix, so that each group is a subtree.
+2. The other anchors' suffixes, with the words to their left, are dealt by prefix into groups.
    A prefix too frequent for one task is lengthened by a word and then split by salt; groups
    follow one another in a sorted stream, and a task holds about ``CHUNK`` suffixes at a time.
-3. A group's subtree is kept as its sorted suffixes with the lengths of their common prefixes. The internal nodes
-   at least a window deep, with the left words that their suffixes share, are the repeats: every suffix whose
-   document is not the node's first is a repeated window. Of split groups the first documents are compared once more by node.
+3. For each of the RUNS places that an anchor can have in a window, a group's windows are sorted and equal neighbours
+   make a node: every window whose document is not the node's first is repeated. Longer repeats are runs of such
+   windows. Of split groups the first documents are compared once more by node.
 
 A text that equals that of a smaller doc_id is a repeat as a whole and needs no tree. Words are compared as 32-bit
 codes beside the 64-bit hash of the anchor.
