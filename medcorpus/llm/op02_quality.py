@@ -5,16 +5,18 @@ quantiles; boosting goes round the features in turn and adds to each one's looku
 bins, then does the same for the few pairs of features whose interaction explains most of what is left. A
 document's score is the logistic of the intercept plus one table entry per feature and pair.
 
-The tables are learnt on the driver from at most ``max_rows`` labelled documents, those with the smallest hash
-of their id; only their features leave the executors. Everything else is one pass over the documents.
+The tables are learnt on the driver from the rows of at most ``max_rows`` labelled documents, those with the smallest hash
+of their id, and of these rows from at most max_rows; only their features leave the executors. Everything else is one pass
+over the documents.
 
-Cases: a null text is empty and gets a score like any other; labels that are null do not count, and of repeated
-labels of one document the largest counts; repeated rows are scored once each; a null doc_id is not held out;
-with no labels, or labels of one kind, the score is the smoothed share of label 1 for all; an empty table gives no rows.
+Cases: a null text is empty and gets a score like any other; very long texts are read whole; labels that are null do not
+count, and of repeated labels of one document the largest counts; repeated rows are scored once each, and all rows of a labelled
+doc_id are learnt from; texts with the same features tie; a null doc_id is not held out; other columns are never read; with no labels, or labels of one kind, the score is the smoothed share of label 1 for all; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -53,7 +55,7 @@ def text_features(text: str) -> list[float]:
     late = np.bincount(data[len(data) // 2 :], minlength=256) @ _TABLE / max(1, len(data) - len(data) // 2)
     half = words[k // 2 :]
     distinct = set(words)
-    top = max(map(words.count, sorted(distinct, key=len)[:8])) if words else 0
+    top = max(Counter(words).values(), default=0)
     own = {"upper": shares[0], **dict(zip(_GROUPS, shares, strict=True))}
     own |= {
         "log_words": np.log1p(k), "word_length": sum(map(len, words)) / max(1, k), "distinct_words": len(distinct) / max(1, k), "distinct_lines": len(set(lines)) / len(lines),
@@ -180,7 +182,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     # at most max_rows ids and labels are broadcast
     joined = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
     schema = "doc_id long, quality int, " + ", ".join(f"{n} double" for n in FEATURES)
-    rows = joined.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text").mapInPandas(features, schema).toPandas()
+    # of a doc_id that many rows share as many are kept as of any other, up to max_rows in all
+    order = [F.xxhash64("doc_id", *FEATURES), F.col("doc_id"), *map(F.col, FEATURES)]
+    rows = joined.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text").mapInPandas(features, schema).orderBy(*order).limit(max_rows).toPandas()
     rows = rows.sort_values(["doc_id", *FEATURES])
     return fit_additive(rows[list(FEATURES)].to_numpy(dtype=float), rows["quality"].to_numpy(dtype=float))
 

@@ -1,10 +1,13 @@
 """Quality classifier: accuracy on rows it did not see, and its parts."""
 
+import math
 import random
+import zlib
+from bisect import bisect_right
 
 import numpy as np
 
-from medcorpus.llm.op02_quality import FEATURES, AdditiveModel, fit_additive, quality_score, text_features, train_quality
+from medcorpus.llm.op02_quality import FEATURES, THRESHOLD, AdditiveModel, fit_additive, is_held_out, op2_quality, quality_score, text_features, train_quality
 
 
 def texts(n, seed):
@@ -50,3 +53,45 @@ def test_pairs_find_an_interaction():
 def test_features():
     assert len(text_features("")) == len(FEATURES) and text_features("a a\na a")[FEATURES.index("distinct_lines")] == 0.5
     assert AdditiveModel().score(np.zeros((1, 1)))[0] == 0.5
+
+
+def by_hand(model, features):
+    """The score of one text, looked up table by table."""
+    total = model.intercept
+    for v, edges, table in zip(features, model.edges, model.tables, strict=True):
+        total += table[bisect_right(edges.tolist(), v)]
+    for (a, b), table in zip(model.pairs, model.pair_tables, strict=True):
+        total += table[bisect_right(model.pair_edges[a].tolist(), features[a])][bisect_right(model.pair_edges[b].tolist(), features[b])]
+    return 1 / (1 + math.exp(-max(-30, min(30, total))))
+
+
+def test_registered_query_against_a_plain_loop(spark, tmp_path):
+    rows = texts(300, 4) + [(7, "a second text of doc seven", 1), (900, None, 1), (901, "", 1), (901, "", 1), (902, "long! " * 100_000, 0)]
+    docs = spark.createDataFrame([(d, t, 1, 2.0) for d, t, _ in rows], "doc_id long, text string, predicted int, score double")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(d, q, 0) for d, _, q in texts(300, 4)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert {d: is_held for d, is_held in docs.select("doc_id", is_held_out(docs.doc_id)).collect()} == {d: zlib.crc32(str(d).encode()) % 4 == 2 for d, *_ in rows}
+    got = sorted(tuple(r) for r in op2_quality(spark, str(tmp_path)).collect())
+    model = train_quality(spark.read.parquet(f"{tmp_path}/documents.parquet"), labels.filter(~is_held_out(labels.doc_id)))
+    want = []
+    for d, t, _ in rows:
+        s = by_hand(model, text_features(t or ""))
+        want.append((d, zlib.crc32(str(d).encode()) % 4 == 2, s, int(s >= THRESHOLD)))
+    want.sort()
+    assert [(d, h, p) for d, h, _, p in got] == [(d, h, p) for d, h, _, p in want]
+    assert np.allclose([s for *_, s, _ in got], [s for *_, s, _ in want], atol=1e-9)
+    truth = {d: q for d, _, q in texts(300, 4)}
+    held = [(d, p) for d, h, _, p in got if h and d in truth]
+    assert len(held) > 40 and np.mean([truth[d] == p for d, p in held]) > 0.95
+
+
+def test_rows_that_are_learnt_from_are_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(200)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert train_quality(docs, labels, max_rows=50).intercept > 0
+
+
+def test_most_frequent_word_does_not_depend_on_its_length():
+    top = FEATURES.index("top_word")
+    assert text_features("considerable " * 8 + "a b c d e f g h i j k l")[top] == 8 / 20
