@@ -1,18 +1,24 @@
 """Licence scans by a trained paragraph classifier.
 
-A paragraph (line) is a sparse set of word 1-grams and 2-grams, of its words as written and with hyphens split. A multinomial logistic regression over the n-grams
-of the families' templates and SPDX identifiers says which family it names, if any. It is trained here on variants of the templates
-(words dropped, ordinary words put in) and on ordinary paragraphs of a bounded sample of documents; its
-probabilities are calibrated by a temperature on variants it was not trained on. A paragraph that is licence-like but
-of no family with probability ``SURE`` is ``unknown``. A predicted family is confirmed only if the paragraph holds at
-least ``CONFIRM`` of the n-grams of one of the family's templates or one of its identifiers; otherwise it is ``unknown``
-as well. A licence-like paragraph that holds a template whole is of the family of the largest such template. Every paragraph with an n-gram of the templates is scored; no word list is asked first.
+A paragraph is a line, or several lines in a row that only together make a notice (a wrapped notice); blank lines end it. It is
+a sparse set of word 1-grams and 2-grams, of its words as written and with hyphens split. A multinomial logistic
+regression over the n-grams of templates and SPDX identifiers has a class for no licence, one for each family, and ``unknown``.
+It is trained here on variants of the families' templates (words dropped, ordinary words put in), on variants of the notices of
+``OTHERS`` (licences that have no family) for ``unknown``, and for no licence on ordinary paragraphs of a bounded sample of
+documents, also with single words of the templates put in. Its probabilities are calibrated by a temperature on variants it was
+not trained on; what probability a family needs is the least, from ``SURE`` up, at which at most ``WRONG`` of the variants of the
+notices of ``HELD_OTHERS``, which it has never seen, are taken for a family.
+
+A predicted family is confirmed only if the paragraph holds at least ``CONFIRM`` of the n-grams of one of the family's templates, or
+one of its identifiers; otherwise it is ``unknown``. A licence-like paragraph that holds a template whole is of the family of
+the largest such template. Every paragraph with an n-gram of the templates is scored; no word list is asked first.
 
 The model is a table of weights, learnt on the driver; the scan is one pass over the documents without a shuffle.
 
-Cases: a null or empty text has no licences; a paragraph with no n-gram of the templates is never a licence; repeated rows
-are scanned once each; without ordinary paragraphs the model is trained on variants and made-up blanks; an empty table
-gives no rows; other columns are never read. Places are code points, the end exclusive.
+Cases: a null or empty text has no licences; a paragraph with no n-gram of the templates is never a licence; very long texts
+are scanned whole, line by line; repeated rows are scanned once each; families that tie are told apart by the size of the template held,
+then the probability, then the later name; without ordinary paragraphs the model is trained on variants and made-up blanks; an
+empty table gives no rows; other columns are never read. Places are code points, the end exclusive.
 """
 
 from __future__ import annotations
@@ -62,13 +68,20 @@ SPDX = {
     "unlicense": ("unlicense",),
 }
 IDENTIFIER = "spdx-license-identifier"
-#: Paragraphs with any of these are no examples of ordinary text.
-CUES = frozenset("license licensed licence licenced licensing copyright copyrighted rights gpl agpl lgpl cc cc0 unlicense redistribution permission proprietary mozilla apache creative mit bsd isc".split())
-#: A licence-like paragraph of no sure family is ``unknown`` if it has one of these or the share LIKE of a template's n-grams.
-NAMING = frozenset("license licensed licence licenced licensing copyright copyrighted gpl agpl lgpl cc0 unlicense".split())
-LIKE = 0.5
+#: Notices of licences that have no family; ``unknown`` is learnt from the first and tried on the second.
+OTHERS = (
+    "licensed under the eclipse public license 2.0", "made available under the terms of the eclipse public license", "distributed under the boost software license version 1.0", "licensed under the artistic license 2.0",
+    "released under the zlib license", "licensed under the academic free license version 3.0", "this font software is licensed under the sil open font license version 1.1", "licensed under the microsoft public license",
+    "licensed under the postgresql license", "available under the vim license", "licensed under the common development and distribution license", "released under the terms of the python software foundation license",
+)
+HELD_OTHERS = ("licensed under the european union public licence 1.2", "released under the open software license 3.0", "made available under the open database license", "distributed under the terms of the cecill license")
+UNKNOWN = "unknown"
+#: The share of a template's n-grams that makes a licence-like paragraph one of an unknown licence, and lines worth joining with their neighbours.
+LIKE, PART = 0.5, 0.2
+#: Lines that a wrapped notice may take.
+MOST_LINES = 4
 FAMILIES = tuple(TEMPLATES)
-SURE, CONFIRM = 0.8, 0.6
+SURE, CONFIRM, WRONG = 0.8, 0.6, 0.02
 #: Documents whose paragraphs are the ordinary ones, and paragraphs kept of them, at most; variants of each template.
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS, VARIANTS = 2_000, 4_000, 24
 _find = re.compile(r"[a-z0-9]+(?:[-.][a-z0-9]+)*").findall
@@ -93,6 +106,11 @@ TEMPLATE_GRAMS = [[frozenset(grams(_find(t))) for t in TEMPLATES[f]] for f in FA
 OWN_GRAMS = [frozenset().union(*texts) - frozenset().union(*(t for other in TEMPLATE_GRAMS if other is not texts for t in other)) for texts in TEMPLATE_GRAMS]
 
 
+_OTHER_GRAMS = [frozenset(grams(_find(t))) for t in (*OTHERS, *HELD_OTHERS)]
+#: 1-grams that tell a licence notice from other text, and so are put into ordinary paragraphs one at a time.
+CUES = sorted({g for texts in TEMPLATE_GRAMS for t in texts for g in t if g.isalpha() and len(g) > 3})
+
+
 def held_share(own: set[str], family: int) -> float:
     """The largest share of a template that the n-grams hold, with one that only its family has; 1 if they hold an identifier."""
     if any(i in own for i in identifiers(FAMILIES[family])):
@@ -109,79 +127,120 @@ def whole_size(own: set[str], family: int) -> int:
 
 @dataclass
 class LicenceModel:
-    """Weights of n-grams for no licence and for each family."""
+    """Weights of n-grams for no licence, for each family, and for ``unknown``."""
 
     index: dict[str, int]
     weights: np.ndarray
     bias: np.ndarray
-    temperature: float
+    temperature: float = 1.0
+    sure: float = SURE
 
     def probabilities(self, own: set[str]) -> np.ndarray:
         z = (self.bias + self.weights[[self.index[g] for g in own if g in self.index]].sum(axis=0)) / self.temperature
         e = np.exp(z - z.max())
         return e / e.sum()
 
-    def family(self, words: list[str]) -> str | None:
-        """The family that a paragraph names, ``unknown``, or None."""
+    def judged(self, words: list[str]) -> tuple[str | None, float]:
+        """The family that a paragraph names, ``unknown``, or None; and how much of a family's template it holds."""
         own = grams(words)
         if own.isdisjoint(self.index):
-            return None
+            return None, 0.0
         p = self.probabilities(own)
-        best = int(np.argmax(p[1:]))
+        named = p[1:-1]
+        best = int(np.argmax(named))
         held = held_share(own, best)
         if p[0] >= 0.5 and held < CONFIRM:
-            return None
-        whole = max((whole_size(own, k), p[k + 1], k) for k in range(len(FAMILIES))) if p[0] < 0.5 else (0, 0, 0)
+            return None, held
+        whole = max((whole_size(own, k), named[k], k) for k in range(len(FAMILIES))) if p[0] < 0.5 else (0, 0, 0)
         if whole[0]:
-            return FAMILIES[whole[2]]
-        if p[best + 1] >= SURE and held >= CONFIRM:
-            return FAMILIES[best]
-        return "unknown" if p[0] < 0.5 and (held >= LIKE or not NAMING.isdisjoint(own)) else None
+            return FAMILIES[whole[2]], 1.0
+        if named[best] >= self.sure and held >= CONFIRM:
+            return FAMILIES[best], held
+        return UNKNOWN if p[0] < 0.5 and (held >= LIKE or p[-1] >= 0.5) else None, held
+
+    def family(self, words: list[str]) -> str | None:
+        return self.judged(words)[0]
+
+
+def variants(text: str, other: list[str], rng: random.Random, n: int = VARIANTS) -> list[set[str]]:
+    """The n-grams of a notice as it is, and of others with words dropped and ordinary words around them."""
+    words, out = _find(text), []
+    for v in range(n):
+        own = [w for w in words if rng.random() > (0.12 if v and len(words) > 4 else 0)]
+        pad = [rng.choice(other) for _ in range(rng.randrange(0, 12) if v else 0)]
+        cut = rng.randrange(len(pad) + 1)
+        out.append(grams(pad[:cut] + own + pad[cut:]))
+    return out
+
+
+def ordinary_words(ordinary: list[list[str]]) -> list[str]:
+    return sorted({w for p in ordinary for w in p}) or ["blank"]
+
+
+def examples(ordinary: list[list[str]], rng: random.Random) -> list[tuple[set[str], int]]:
+    """n-grams and class of the training paragraphs."""
+    other = ordinary_words(ordinary)
+    rows = [(grams(p), 0) for p in ordinary] + [(set(), 0)]
+    for p in ordinary[:1000] or [["blank"] * 5]:
+        own = list(p)
+        for _ in range(rng.randrange(1, 4)):
+            own.insert(rng.randrange(len(own) + 1), rng.choice(CUES))
+        rows.append((grams(own), 0))
+    for k, family in enumerate(FAMILIES):
+        rows += [(own, k + 1) for text in (*TEMPLATES[family], *identifiers(family)) for own in variants(text, other, rng)]
+    return rows + [(own, len(FAMILIES) + 1) for text in OTHERS for own in variants(text, other, rng)]
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
 
 def fit_licences(ordinary: list[list[str]], seed: int = 13) -> LicenceModel:
-    """The model of the templates' variants against ordinary paragraphs (lists of words)."""
+    """The model of notices against ordinary paragraphs (lists of words)."""
     rng = random.Random(seed)
-    other = sorted({w for p in ordinary for w in p} - CUES)[:5000] or ["blank"]
-    rows: list[tuple[set[str], int]] = [(grams(p), 0) for p in ordinary] + [(set(), 0)]
-    for k, family in enumerate(FAMILIES):
-        for text in (*TEMPLATES[family], *identifiers(family)):
-            words = _find(text)
-            for v in range(VARIANTS):
-                own = [w for w in words if rng.random() > (0.12 if v and len(words) > 4 else 0)]
-                pad = [rng.choice(other) for _ in range(rng.randrange(0, 12) if v else 0)]
-                cut = rng.randrange(len(pad) + 1)
-                rows.append((grams(pad[:cut] + own + pad[cut:]), k + 1))
-    index = {g: k for k, g in enumerate(sorted({g for f in FAMILIES for t in (*TEMPLATES[f], *identifiers(f)) for g in grams(_find(t))}))}
+    rows = examples(ordinary, rng)
+    texts = [*(t for f in FAMILIES for t in (*TEMPLATES[f], *identifiers(f))), *OTHERS]
+    index = {g: k for k, g in enumerate(sorted({g for t in texts for g in grams(_find(t))}))}
     x = np.zeros((len(rows), len(index)), dtype=np.float32)
     for k, (own, _) in enumerate(rows):
         x[k, [index[g] for g in own if g in index]] = 1
     y = np.array([r[1] for r in rows])
-    held = np.arange(len(rows)) % 5 == 0
-    target = np.eye(len(FAMILIES) + 1, dtype=np.float32)[y]
-    weight = (1 / np.bincount(y, minlength=target.shape[1]).clip(1))[y][:, None].astype(np.float32)
+    held, classes = np.arange(len(rows)) % 5 == 0, len(FAMILIES) + 2
+    target = np.eye(classes, dtype=np.float32)[y]
+    weight = (1 / np.bincount(y, minlength=classes).clip(1))[y][:, None].astype(np.float32)
     weight[y == 0] *= len(FAMILIES)
-    w, b = np.zeros((len(index), target.shape[1]), dtype=np.float32), np.zeros(target.shape[1], dtype=np.float32)
-
-    def softmax(z: np.ndarray) -> np.ndarray:
-        e = np.exp(z - z.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
-
+    w, b = np.zeros((len(index), classes), dtype=np.float32), np.zeros(classes, dtype=np.float32)
     train, moved, moved_b = ~held, np.zeros_like(w), np.zeros_like(b)
+    seen, wanted, weighs = x[train], target[train], weight[train]
     for _ in range(200):
-        error = (softmax(x[train] @ w + b) - target[train]) * weight[train]
-        moved = 0.9 * moved - 0.25 * (x[train].T @ error + 2e-4 * w)
+        error = (softmax(seen @ w + b) - wanted) * weighs
+        moved = 0.9 * moved - 0.25 * (seen.T @ error + 2e-4 * w)
         moved_b = 0.9 * moved_b - 0.25 * error.sum(axis=0)
         w, b = w + moved, b + moved_b
     z = x[held] @ w + b
-    loss = {t: -float(np.log(softmax(z / t)[np.arange(len(z)), y[held]].clip(1e-9)).mean()) for t in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)}
-    return LicenceModel(index, w, b, min(loss, key=loss.get))
+    loss = {t: -float(np.log(softmax(z / t)[np.arange(len(z)), y[held]].clip(1e-9)).mean()) for t in np.geomspace(0.25, 4, 33).tolist()}
+    model = LicenceModel(index, w, b, min(loss, key=loss.get))
+    other = ordinary_words(ordinary)
+    never = [own for text in HELD_OTHERS for own in variants(text, other, rng, 4 * VARIANTS)]
+    taken = []
+    for own in never:
+        p = model.probabilities(own)[1:-1]
+        if held_share(own, int(np.argmax(p))) >= CONFIRM:
+            taken.append(float(p.max()))
+    taken.sort(reverse=True)
+    allowed = int(WRONG * len(never))
+    if len(taken) > allowed:
+        model.sure = max(SURE, min(0.99, float(np.nextafter(taken[allowed], 1))))
+    return model
 
 
 def is_ordinary(words: list[str]) -> bool:
-    """Whether a paragraph can stand for ordinary text: it has no cue and is like no template."""
+    """Whether a paragraph can stand for ordinary text: it is like no template and no notice."""
     own = grams(words)
-    return CUES.isdisjoint(own) and all(held_share(own, k) < CONFIRM for k in range(len(FAMILIES)))
+    if own.isdisjoint(CUES):
+        return True
+    return all(held_share(own, k) < LIKE for k in range(len(FAMILIES))) and all(len(t & own) < LIKE * len(t) for t in _OTHER_GRAMS)
 
 
 def _paragraphs(batches):
@@ -201,13 +260,27 @@ def train_licences(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_parag
 
 def licence_spans(text: str, model: LicenceModel) -> list[tuple[int, int, str]]:
     """(start, end, family) of the paragraphs that name a licence."""
-    out, at = [], 0
+    lines, at = [], 0
     for line in text.split("\n"):
         words = _find(line.lower())
-        family = model.family(words) if words else None
-        if family:
-            out.append((at, at + len(line), family))
+        lines.append((at, at + len(line), words, *(model.judged(words) if words else (None, 0.0))))
         at += len(line) + 1
+    out, k = [], 0
+    while k < len(lines):
+        start, end, words, family, held = lines[k]
+        best, used = (family not in (None, UNKNOWN), held), 1
+        # a wrapped notice: a line and the next ones, while each holds a part of a template
+        joined = words
+        for n in range(1, MOST_LINES):
+            if held < PART or k + n >= len(lines) or lines[k + n][4] < PART or lines[k + n][3] not in (None, UNKNOWN):
+                break
+            joined = joined + lines[k + n][2]
+            said, share = model.judged(joined)
+            if said and (said != UNKNOWN, share) > best:
+                best, used, family, end = (said != UNKNOWN, share), n + 1, said, lines[k + n][1]
+        if family:
+            out.append((start, end, family))
+        k += used
     return out
 
 

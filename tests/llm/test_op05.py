@@ -1,8 +1,11 @@
 """Licence scans: notices in words the model has not seen, and ordinary text."""
 
+import math
 import random
 
-from medcorpus.llm.op05_licences import SPDX, TEMPLATES, fit_licences, licence_spans, scan_licences, train_licences
+import numpy as np
+
+from medcorpus.llm.op05_licences import CONFIRM, CUES, FAMILIES, HELD_OTHERS, SPDX, TEMPLATES, _find, examples, fit_licences, grams, licence_spans, op5_licences, scan_licences, train_licences, variants
 
 NOTICES = {
     "Released under the MIT License.": "mit",
@@ -29,7 +32,7 @@ def test_notices():
         assert licence_spans("a b c\n" + text + "\nd", model)[0][:2] == (6, 6 + len(text))
     for text in ("the permission of the river", "my rights and the public work", "version 2.0 of the general terms", "", "mit dem Fluss und der Stadt", "cc"):
         assert licence_spans(text, model) == [], text
-    assert [f for _, _, f in licence_spans("This file is licensed under the Fantasia Software License version 9", model)] in (["unknown"], [])
+    assert [f for _, _, f in licence_spans("This file is licensed under the Fantasia Software License version 9", model)] == ["unknown"]
 
 
 def test_rows(spark):
@@ -57,3 +60,58 @@ def test_unlicense_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.families for r in scan_licences(df, train_licences(df)).collect()}
     assert {got[900 + k] for k in range(30)} == {"unlicense"} and not any(got[k] for k in range(500))
+
+
+def test_recall_false_alarms_and_calibration():
+    model, rng = fit_licences(ordinary()), random.Random(99)
+    other = sorted({w for p in ordinary() for w in p})
+    found = [(k + 1, model.probabilities(own), own) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f] for own in variants(t, other, rng, 20)]
+    # a dropped word can turn one family's notice into another's ("affero", "lesser", a "by"), so not all can be told apart
+    assert sum(int(np.argmax(p)) == k for k, p, _ in found) > 0.9 * len(found)
+    unknown = [model.probabilities(own) for t in HELD_OTHERS for own in variants(t, other, rng, 50)]
+    assert sum(p[0] < 0.5 for p in unknown) > 0.8 * len(unknown) and sum(p[-1] >= 0.5 for p in unknown) > 0.6 * len(unknown)
+    cued = []
+    for p in ordinary():
+        own = list(p)
+        for _ in range(3):
+            own.insert(rng.randrange(len(own) + 1), rng.choice(CUES))
+        cued.append(own)
+    assert sum(model.family(own) is not None for own in cued) < 0.02 * len(cued)
+    # calibration: of paragraphs with a top probability of about p, about p are right
+    new = examples(ordinary()[:250], random.Random(7))
+    top = [(float(q.max()), int(np.argmax(q)) == k) for own, k in new if (q := model.probabilities(own)) is not None]
+    error = sum(abs(np.mean([r for _, r in part]) - np.mean([p for p, _ in part])) * len(part) for a in np.arange(0, 1, 0.1) if (part := [x for x in top if a <= x[0] < a + 0.1 or x[0] == a + 0.1 == 1.0])) / len(top)
+    assert error < 0.08, error
+
+
+def test_probabilities_by_hand():
+    model = fit_licences(ordinary())
+    own = grams(_find("released under the mit license by the river"))
+    z = [float(model.bias[k]) + sum(float(model.weights[model.index[g]][k]) for g in own if g in model.index) for k in range(len(FAMILIES) + 2)]
+    e = [math.exp(x / model.temperature) for x in z]
+    assert np.allclose(model.probabilities(own), [x / sum(e) for x in e], atol=1e-4)
+
+
+def test_wrapped_notices():
+    model = fit_licences(ordinary())
+    text = "first line\nPermission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and more\nlast line"
+    spans = licence_spans(text, model)
+    assert [f for _, _, f in spans] == ["mit"] and text[spans[0][0] : spans[0][1]].startswith("Permission is") and "person obtaining" in text[: spans[0][1]]
+    broken = text.replace("any\nperson", "any\n\nperson")
+    assert all(b - a < 60 for a, b, _ in licence_spans(broken, model))
+
+
+def test_registered_query(spark, tmp_path):
+    lines = [" ".join(p) for p in ordinary()]
+    long = "\n".join(lines * 40)
+    rows = [(k, t, 0) for k, t in enumerate(lines)] + [(900, long + "\nLicensed under the Apache License, Version 2.0.", 1), (901, None, 0), (902, "All rights reserved.", 0), (902, "All rights reserved.", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, families int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in op5_licences(spark, str(tmp_path)).filter("n_licences > 0").collect()]
+    # the same by a plain loop over the registered parts
+    model = train_licences(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    want = []
+    for d, t, _ in rows:
+        spans = licence_spans(t or "", model)
+        if spans:
+            want.append((d, len(spans), ",".join(sorted({f for *_, f in spans})), ",".join(f"{f}:{a}:{b}" for a, b, f in spans)))
+    assert sorted(got) == sorted(want) and [g[2] for g in sorted(got)] == ["apache", "proprietary", "proprietary"] and 0 < CONFIRM < 1
