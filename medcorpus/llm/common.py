@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where the session has none (tests)."""
+    """The folder that driver and executors share, as the session's spark.checkpoint.dir or checkpoint directory names it.
+
+    Only a local session, where all run on one machine, gets one of its own if none is set.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         import tempfile
 
@@ -35,14 +41,32 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_scopes: list[list[str]] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df as a compressed Parquet table in the shared folder: smaller than a checkpoint where rows hold text."""
+    """df as a compressed Parquet table in the shared folder: smaller than a checkpoint where rows hold text, and of known size."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """The paths of the tables stored inside; those that are still listed are deleted at the end."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in _scopes.pop():
+            at = hadoop(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def lower_ascii(col):
     """A-Z lower-cased, all else unchanged."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

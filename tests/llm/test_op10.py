@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from medcorpus.llm.op10_exact import drop_exact_duplicates, exact_duplicates, name_texts
+from medcorpus.llm.op10_exact import drop_exact_duplicates, exact_duplicates, name_texts, op10_exact_dedup
 
 
 def brute(rows):
@@ -41,7 +41,21 @@ def test_names_are_equal_where_texts_are(spark):
 
 def test_dropping_keeps_columns(spark):
     rows = [(1, "a", "x"), (2, "a", "y"), (2, "a", "y"), (3, None, "z"), (None, "", "q"), (4, "b", "w")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, sha string")
-    got = sorted(map(tuple, drop_exact_duplicates(df).collect()), key=str)
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, sha string, print long, row long, `kept.x` int")
+    out = drop_exact_duplicates(df)
+    assert out.columns == df.columns
+    got = sorted((tuple(r)[:3] for r in out.collect()), key=str)
     assert got == [(2, "a", "y"), (3, None, "z"), (4, "b", "w")]
     assert exact_duplicates(df.limit(0)).count() == 0
+
+
+def test_a_tie_of_rows_is_always_decided_alike(spark):
+    rows = [(5, "same", f"c{k}") for k in range(40)] + [(4, "same", "x")]
+    kept = {drop_exact_duplicates(spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, name string").repartition(n)).collect()[0].name for k, n in ((0, 1), (7, 3), (20, 5))}
+    assert len(kept) == 1
+
+
+def test_registered_query_with_very_long_texts(spark, tmp_path):
+    rows = [(1, "long " * 300_000), (2, "long " * 300_000), (3, "long " * 299_999), (4, None), (5, "")]
+    spark.createDataFrame([(a, b, 0) for a, b in rows], "doc_id long, text string, keep_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((tuple(r) for r in op10_exact_dedup(spark, str(tmp_path)).collect()), key=str) == brute(rows)
