@@ -5,7 +5,6 @@ The order of a sample is the md5 of seed, salt and key, so it does not depend on
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,6 +21,19 @@ def sample_n(df: DataFrame, n: int, seed: int, *keys: str, salt: str = "sample")
     return df.orderBy(*seeded(seed, salt, *keys)).limit(n) if n > 0 else df
 
 
+def sample_in_order(df: DataFrame, n: int, seed: int, *keys: str, salt: str = "sample") -> DataFrame:
+    """As sample_n, in the order of the keys."""
+    return sample_n(df, n, seed, *keys, salt=salt).orderBy(*keys)
+
+
+def sample_exactly(df: DataFrame, n: int, seed: int, *keys: str, salt: str = "sample") -> DataFrame:
+    """As sample_in_order, but a table of fewer than n rows is an error."""
+    there = df.limit(n).count() if n > 0 else 0
+    if there < n:
+        raise ValueError(f"{n} rows are wanted and {there} are there")
+    return sample_in_order(df, n, seed, *keys, salt=salt)
+
+
 def _first_in_group(df: DataFrame, group: str, n: int, order: list[Column]) -> DataFrame:
     """Up to n rows of each group, least first. Rows are cut to n a group and part before the last cut."""
     parts = F.pmod(F.xxhash64(*df.columns), F.lit(64))
@@ -75,6 +87,12 @@ def stratified_half_split(df: DataFrame, label: str, key: str, seed: int) -> Dat
     return x.withColumn("half", F.when(F.col("_rn") <= F.floor(F.col("_size") / 2), "train").otherwise("test")).drop("_rn", "_size").select(*df.columns, "half")
 
 
+def write_split_once(split: DataFrame, path: str) -> DataFrame:
+    """The split stored at path, which is written if it is not there yet and never overwritten."""
+    split.write.mode("ignore").parquet(path)
+    return split.sparkSession.read.schema(split.schema).parquet(path)
+
+
 def ratio_split(df: DataFrame, cap: int, ratio: float, seed: int, key: str) -> DataFrame:
     """split: of at most cap rows, max(1, n * ratio) for val and the rest for train."""
     rows = sample_n(df, cap, seed, key, salt="ratio")
@@ -92,21 +110,15 @@ def val_split_by_document(chunks: DataFrame, frac: float, seed: int, cap: int =
     docs = chunks.groupBy("source", "doc_id").agg(F.count("*").alias("n"))
     totals = docs.groupBy("source").agg(F.sum("n").alias("total"), F.count("*").alias("docs"))
     first = _first_in_group(docs.withColumn("rank", rank_key(seed, "val", F.col("doc_id"))), "source", cap + 1, [F.col("rank"), F.col("doc_id")])
-
-    def walk(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["rank", "doc_id"])
-        total, left, rows = int(p["total"].iloc[0]), int(p["docs"].iloc[0]), []
-        need = min(cap, max(1, round(total * frac))) if total >= 20 else 0
-        for doc, n in zip(p["doc_id"], p["n"], strict=True):
-            if need <= 0 or len(rows) >= left - 1:
-                break
-            whole = n <= max(2 * need, 3)
-            rows.append((p["source"].iloc[0], doc, 0 if whole else n - need))
-            need -= n if whole else need
-        return pd.DataFrame(rows, columns=["source", "doc_id", "tail_from"])
-
-    kind = dict(chunks.dtypes)["doc_id"]
-    taken = first.join(totals, "source").groupBy("source").applyInPandas(walk, f"source string, doc_id {kind}, tail_from long")
+    wanted = F.when(F.col("total") >= 20, F.least(F.lit(cap), F.greatest(F.lit(1), F.bround(F.col("total") * frac)))).otherwise(0).cast("long")
+    order = W.partitionBy("source").orderBy("rank", "doc_id")  # cap + 1 documents a source
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    # up to the first document that only gives its tail, all before went whole; so what is still wanted is a running difference
+    x = first.join(totals, "source").withColumn("left", wanted - F.coalesce(F.sum("n").over(before), F.lit(0)))
+    x = x.withColumn("whole", F.col("n") <= F.greatest(2 * F.col("left"), F.lit(3)))
+    reached = (F.col("left") > 0) & F.coalesce(F.min("whole").over(before), F.lit(True)) & (F.row_number().over(order) < F.col("docs"))
+    taken = x.withColumn("reached", reached).filter("reached")
+    taken = taken.select("source", "doc_id", F.when(F.col("whole"), F.lit(0)).otherwise(F.col("n") - F.col("left")).alias("tail_from"))
     is_val = F.col("tail_from").isNotNull() & (F.col("chunk_no") >= F.col("tail_from"))
     return chunks.join(taken, ["source", "doc_id"], "left").withColumn("split", F.when(is_val, "val").otherwise("train")).drop("tail_from")
 
