@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from medcorpus.functions.text import norm_key
 WINDOW_CHARS = 20
 #: An evaluation index up to so many windows is broadcast; a larger one is joined by shuffle.
 BROADCAST_WINDOWS = 2_000_000
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def windows(key: Column, chars: int = WINDOW_CHARS) -> Column:
@@ -24,24 +27,73 @@ def build_eval_index(questions: DataFrame, chars: int = WINDOW_CHARS) -> tuple[D
     return exact, exact.select(F.explode(windows(F.col("key"), chars)).alias("w")).distinct(), keyed.groupBy("source").agg(F.count("*").alias("n"))
 
 
+def window_hashes(codes: np.ndarray, chars: int) -> np.ndarray:
+    """A 64-bit hash of each run of chars code points."""
+    n = max(0, len(codes) - chars + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(chars):
+        out = out * _STEP + codes[k : k + n]
+    out ^= out >> np.uint64(32)
+    return out * _STEP
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
+def shares_window(index: list[str], chars: int):
+    """A function of a column of normalised keys: whether one of its windows may be in the index; the hashes can only say so too often."""
+    hashes = np.unique(window_hashes(_codes("".join(index)), chars)[::chars]) if index else np.zeros(0, dtype=np.uint64)
+    first = np.zeros(1 << 20, dtype=bool)
+    first[(hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    @F.pandas_udf("boolean")
+    def shares(keys: pd.Series) -> pd.Series:
+        # all texts of a batch as one; a window over the end of a text can only be a needless candidate
+        own = window_hashes(_codes("".join(keys)), chars)
+        at = np.flatnonzero(first[(own >> np.uint64(44)).astype(np.int64)])
+        if len(at) and len(hashes):
+            place = np.minimum(np.searchsorted(hashes, own[at]), len(hashes) - 1)
+            at = at[hashes[place] == own[at]]
+        ends = np.cumsum(keys.str.len().to_numpy(dtype=np.int64))
+        hit = np.zeros(len(keys), dtype=bool)
+        hit[np.searchsorted(ends, at, side="right")] = True
+        return pd.Series(hit, index=keys.index)
+
+    return shares
+
+
 def contamination(texts: DataFrame, key: str, text: str, questions: DataFrame, frac: float = 0.5, chars: int = WINDOW_CHARS) -> DataFrame:
-    """key, n_hits, n_windows, exact, contaminated per row of texts that shares anything with the questions."""
+    """key, n_hits, n_windows, exact, contaminated per distinct normalised text of a key that shares anything with the questions.
+
+    A key may have several texts (turns): each is judged by itself. A small index goes to the tasks as hashes, and only texts that
+    share one are taken apart; a large one is joined with the windows of all texts.
+    """
     exact, index, _ = build_eval_index(questions, chars)
     keyed = texts.select(key, norm_key(F.col(text)).alias("_key"))
-    cut = keyed.select(key, windows(F.col("_key"), chars).alias("_ws"))
-    # explode_outer: for explode Spark would infer a filter on the windows' number and make them twice
-    exploded = cut.select(key, F.size("_ws").alias("n_windows"), F.explode_outer("_ws").alias("w")).filter("w is not null")
     small = index.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    hits = exploded.join(F.broadcast(index) if small else index, "w").groupBy(key, "n_windows").agg(F.count("*").alias("n_hits"))
-    same = keyed.join(exact, keyed["_key"] == exact["key"], "left_semi").select(key, F.lit(True).alias("exact")).distinct()
-    out = hits.join(same, key, "full").na.fill({"n_hits": 0, "n_windows": 0, "exact": False})
+    some = keyed
+    if small:
+        # at most BROADCAST_WINDOWS windows of chars characters
+        some = keyed.filter(shares_window(index.toArrow().column(0).to_pylist(), chars)(F.col("_key")))
+    some = some.distinct()
+    cut = some.select(key, F.md5("_key").alias("_text"), windows(F.col("_key"), chars).alias("_ws"))
+    # explode_outer: for explode Spark would infer a filter on the windows' number and make them twice
+    exploded = cut.select(key, "_text", F.size("_ws").alias("n_windows"), F.explode_outer("_ws").alias("w")).filter("w is not null")
+    hits = exploded.join(F.broadcast(index) if small else index, "w").groupBy(key, "_text", "n_windows").agg(F.count("*").alias("n_hits"))
+    same = keyed.join(exact.withColumnRenamed("key", "_key"), "_key", "left_semi").select(key, F.md5("_key").alias("_text"), F.lit(True).alias("exact")).distinct()
+    out = hits.join(same, [key, "_text"], "full").drop("_text").na.fill({"n_hits": 0, "n_windows": 0, "exact": False})
     return out.withColumn("contaminated", F.col("exact") | ((F.col("n_windows") > 0) & (F.col("n_hits") >= frac * F.col("n_windows"))))
 
 
+def contaminated_keys(df: DataFrame, key: str, text: str, questions: DataFrame, frac: float = 0.5) -> DataFrame:
+    """The keys with a contaminated text, each once."""
+    return contamination(df, key, text, questions, frac).filter("contaminated").select(key).distinct()
+
+
 def decontaminate(df: DataFrame, key: str, text: str, questions: DataFrame, frac: float = 0.5) -> DataFrame:
     """Rows whose key is not contaminated by any of its texts."""
-    bad = contamination(df, key, text, questions, frac).filter("contaminated").select(key)
-    return df.join(bad, key, "left_anti")
+    return df.join(contaminated_keys(df, key, text, questions, frac), key, "left_anti")
 
 
 def drop_shared(train: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,11 +120,15 @@ def same_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return x.join(y, key, "full").filter("_a is null or _b is null").select(key, F.when(F.col("_a").isNull(), "left").otherwise("right").alias("missing_in"))
 
 
-def first_of_each(rows: DataFrame, key: str, order: str, wanted: DataFrame) -> DataFrame:
-    """The first row by order of each wanted key."""
-    own = rows.join(wanted.select(key).distinct(), key, "left_semi")
+def first_of_each(rows: DataFrame, key: str, order: str, wanted: DataFrame, fail: bool = False) -> DataFrame:
+    """The first row by order of each wanted key; with fail, a wanted key without a row is an error when the result is used."""
+    keys = wanted.select(key).distinct()
     rest = [c for c in rows.columns if c not in (key, order)]
-    return own.groupBy(key).agg(F.min(F.struct(order, *rest)).alias("_r")).select(key, "_r.*")
+    first = rows.join(keys, key, "left_semi").groupBy(key).agg(F.min(F.struct(order, *rest)).alias("_r"))
+    if fail:
+        missing = F.raise_error(F.concat(F.lit(f"no row for {key} "), F.col(key).cast("string")))
+        first = keys.join(first, key, "left").withColumn("_r", F.when(F.col("_r").isNull(), missing).otherwise(F.col("_r")))
+    return first.select(key, "_r.*")
 
 
 def restrict_to_split(df: DataFrame, split: DataFrame, key: str, half: str | None) -> DataFrame:
@@ -81,6 +137,23 @@ def restrict_to_split(df: DataFrame, split: DataFrame, key: str, half: str | Non
     return df.join(ids.select(key), key, "left_semi")
 
 
+def split_misses(df: DataFrame, split: DataFrame, key: str) -> DataFrame:
+    """half, n, missing: ids of each stored half, and those of them that df has no row of."""
+    there = df.select(key).distinct().withColumn("_there", F.lit(1))
+    return split.select(key, "half").join(there, key, "left").groupBy("half").agg(F.count("*").alias("n"), F.count(F.when(F.col("_there").isNull(), 1)).alias("missing"))
+
+
+def group_overlaps(train: DataFrame, test: DataFrame, group: str, entity: str) -> DataFrame:
+    """train_group, test_group, shared: entities that each group of the training rows shares with each of the test rows, where there are any."""
+    a, b = (x.select(F.col(group).alias(name), entity).distinct() for x, name in ((train, "train_group"), (test, "test_group")))
+    return a.join(b, entity).groupBy("train_group", "test_group").agg(F.count("*").alias("shared"))
+
+
+def half_overlap(split: DataFrame, key: str, half: str = "half") -> DataFrame:
+    """n_shared: ids that are in more than one half of a stored split."""
+    return split.groupBy(key).agg(F.count_distinct(half).alias("_n")).filter("_n > 1").agg(F.count("*").alias("n_shared"))
+
+
 def isolation_matrix(train: DataFrame, test: DataFrame, group: str, entity: str) -> DataFrame:
     """group, train, test, seen_rows: distinct entities of both sides, and test rows whose entity is in the training rows."""
     both = train.select(group, entity, F.lit("train").alias("_half")).unionByName(test.select(group, entity, F.lit("test").alias("_half")))
