@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,13 +116,30 @@ def token_count(col: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text_of(col)) / 2)).cast("int")
 
 
+def token_counts(texts: Column) -> Column:
+    """token_count of each of an array of texts."""
+    return F.transform(texts, token_count)
+
+
+def counter(load: Callable[[], Callable[[str], int]]) -> Callable[[Column], Column]:
+    """As token_counts, by a tokenizer: load makes the function that counts one text, once a worker and batch of tasks."""
+
+    @F.pandas_udf("array<int>")
+    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = load()
+        for texts in batches:
+            yield texts.map(lambda own: [count(t or "") for t in own] if own is not None else None)
+
+    return counts
+
+
 def paragraphs(col: Column) -> Column:
-    """Parts between empty lines, or lines if there are many and no empty one; wrapped lines joined."""
+    """Parts between empty lines, or lines if there are many and no empty one; wrapped lines joined, by a blank, or as they are if the part is Chinese."""
     drop = lambda a: F.filter(F.transform(a, lambda s: F.trim(s)), lambda s: s != "")
     x = text_of(col)
     by_blank = drop(F.split(x, r"\n\s*\n"))
     parts = F.when((F.size(by_blank) <= 1) & (F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))) > 10), drop(F.split(x, "\n"))).otherwise(by_blank)
-    return F.transform(parts, lambda s: F.regexp_replace(s, r"\s*\n\s*", F.when(s.rlike("[一-鿿]"), F.lit("")).otherwise(F.lit(" "))))
+    return F.transform(parts, lambda s: F.when(s.rlike("[一-鿿]"), F.replace(s, F.lit("\n"), F.lit(""))).otherwise(F.regexp_replace(s, r"\s*\n\s*", " ")))
 
 
 def rank_key(seed: int | str, salt: str, *key: Column) -> Column:

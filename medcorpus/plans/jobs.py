@@ -2,39 +2,97 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from medcorpus.functions import text as T
+from medcorpus.functions.text import rank_key
 from medcorpus.operators import chunking, dedupe, dialogues, isolation, reports, sampling
 
 
 def clean_corpus(docs: DataFrame, min_chars: int = 200) -> DataFrame:
-    """Documents without attribution, promotion and page remains, long enough, one of each text."""
+    """Documents without attribution, promotion and page remains, long enough, the first of each text."""
     own = docs.filter(~T.looks_like_ad(F.col("text"))).withColumn("text", T.clean_text(T.strip_attribution(F.col("text"))))
-    return dedupe.dedupe_first(own.filter(F.length("text") >= min_chars), ["text"], ["doc_id"])
+    own = own.filter(F.length("text") >= min_chars).withColumn("_digest", F.sha2(F.col("text").cast("binary"), 256))
+    return dedupe.dedupe_first(own, ["_digest"], ["doc_id"]).drop("_digest")
 
 
 def build_corpus(docs: DataFrame, questions: DataFrame, frac: float, limit: int, budget: int, seed: int) -> DataFrame:
-    """Chunks of a clean corpus that the evaluation does not touch, within a budget a source, with their split."""
-    clean = isolation.decontaminate(clean_corpus(docs), "doc_id", "text", questions, frac)
-    chunks = chunking.take_token_budget(chunking.pack_chunks(clean, limit), budget, seed)
-    return sampling.val_split_by_document(chunks, 0.01, seed)
-
-
-def build_dialogues(turns: DataFrame, questions: DataFrame, limit: int, seed: int, target: int) -> DataFrame:
-    """conv_id, reason, kept, messages: the first target dialogues in seeded order that pass every test."""
-    df = dialogues.turns_to_messages(turns.filter(F.col("role") != "system"))
-    cut, reason = dialogues.drop_reason(F.col("messages"))
-    df = df.select("conv_id", cut.alias("messages"), reason.alias("row_reason"))
-    asked = df.select("conv_id", F.explode("messages").alias("m")).filter("m.role = 'user'").select("conv_id", F.col("m.content").alias("text"))
-    hit = isolation.contamination(asked.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text")), "conv_id", "text", questions).filter("contaminated")
-    df = df.join(hit.select("conv_id", F.lit(True).alias("hit")), "conv_id", "left").withColumn("fit", dialogues.trim_rounds(F.col("messages"), limit))
-    df = df.withColumn("reason", F.coalesce("row_reason", F.when(F.col("hit"), "contaminated"), F.when(F.col("fit").isNull(), "long")))
-    key = T.norm_key(F.col("fit")[0]["content"])
-    first = df.filter("reason is null").groupBy(key.alias("key")).agg(F.min(F.struct(T.rank_key(seed, "pool", F.col("conv_id")), F.col("conv_id"))).alias("first"))
-    kept = sampling.sample_n(first.select(F.col("first.conv_id").alias("conv_id")), target, seed, "conv_id", salt="pool").withColumn("kept", F.lit(True))
-    return df.join(kept, "conv_id", "left").select("conv_id", "reason", F.coalesce("kept", F.lit(False)).alias("kept"), F.col("fit").alias("messages"))
+    """Chunks of a clean corpus that the evaluation does not touch, within a budget a source, with their split.
+
+    The chunks are made once and kept on the executors' disks, since budget and split each read them twice.
+    """
+    clean = isolation.decontaminate(clean_corpus(docs).persist(StorageLevel.DISK_ONLY), "doc_id", "text", questions, frac)
+    chunks = chunking.pack_chunks(clean, limit).persist(StorageLevel.DISK_ONLY)
+    return sampling.val_split_by_document(chunking.take_token_budget(chunks, budget, seed), 0.01, seed)
+
+
+def fill_targets(rows: DataFrame, targets: dict[str, int], oversample: float, seed: int, once: bool = False) -> DataFrame:
+    """Each source's first target fit rows of its seeded pool, of rows(source, id, reason, late_reason, messages) and, if once, key.
+
+    Returns rows with reason (null: fit), kept, and seen: whether the pool was read so far before the target was reached. once: a row whose key
+    an earlier kept row of any source has is a duplicate; that comes after reason and before late_reason. A source's pool is
+    target * oversample rows, so its order fits one task.
+    """
+    taken, out = None, []
+    for k, (name, target) in enumerate(targets.items()):
+        own = sampling.sample_n(rows.filter(F.col("source") == name), int(target * oversample), seed + k, "id", salt="pool")
+        pool = own.withColumn("_at", F.struct(rank_key(seed + k, "pool", F.col("id")).alias("rank"), F.col("id").alias("id")))
+        is_late = F.lit(False)
+        if once:
+            fit = pool.filter("reason is null and late_reason is null")
+            pool = pool.join(fit.groupBy("key").agg(F.min("_at").alias("_first")), "key", "left")
+            is_late = F.coalesce(F.col("_at") > F.col("_first"), F.lit(False))
+            if taken is not None:
+                pool = pool.join(taken.withColumn("_taken", F.lit(True)), "key", "left")
+                is_late = is_late | F.coalesce("_taken", F.lit(False))
+        pool = pool.withColumn("reason", F.coalesce("reason", F.when(is_late, "duplicate"), "late_reason"))
+        fit = F.col("reason").isNull()
+        pool = pool.withColumn("_n", F.sum(fit.cast("int")).over(W.orderBy("_at").rowsBetween(W.unboundedPreceding, 0)))
+        pool = pool.withColumns({"seen": (F.col("_n") < target) | (fit & (F.col("_n") == target)), "kept": fit & (F.col("_n") <= target)})
+        part = pool.select(*[c for c in rows.columns if c != "late_reason"], "seen", "kept").persist(StorageLevel.MEMORY_AND_DISK)
+        if once:
+            keys = part.filter("kept").select("key")
+            taken = keys if taken is None else taken.unionByName(keys)
+        out.append(part)
+    return reduce(DataFrame.unionByName, out)
+
+
+def build_dialogues(
+    turns: DataFrame, questions: DataFrame, targets: dict[str, int], limit: int, seed: int, oversample: float = 3.0, rounds: int = 3,
+    user_chars: int = 4, assistant_chars: int = 10, counts: Callable[[Column], Column] = T.token_counts,
+) -> DataFrame:
+    """conv_id, source, reason, seen, kept, messages of turns(source, conv_id, turn, role, text): dialogues that pass every test, up to each source's target.
+
+    A dialogue is out if any of its user turns is contaminated, or if an earlier kept dialogue of any source begins with the same question.
+    """
+    df = dialogues.turns_to_messages(turns.filter(F.col("role") != "system"), "source", "conv_id")
+    cut, reason = dialogues.drop_reason(F.col("messages"), rounds, user_chars, assistant_chars)
+    df = df.select("source", F.col("conv_id").alias("id"), cut.alias("messages"), reason.alias("reason"))
+    asked = df.select("id", F.explode("messages").alias("m")).filter("m.role = 'user'").select("id", F.col("m.content").alias("text"))
+    hit = isolation.contaminated_keys(asked, "id", "text", questions).withColumn("_hit", F.lit(True))
+    df = df.join(hit, "id", "left").withColumn("_fit", dialogues.trim_rounds(F.col("messages"), limit, counts))
+    late = F.when(F.col("_hit"), "contaminated").when(F.col("_fit").isNull(), "long")
+    key = T.norm_key(F.get("messages", F.lit(0))["content"])
+    df = df.select("source", "id", "reason", late.alias("late_reason"), key.alias("key"), F.col("_fit").alias("messages"))
+    return fill_targets(df, targets, oversample, seed, once=True).select(F.col("id").alias("conv_id"), "source", "reason", "seen", "kept", "messages")
+
+
+def build_exam_rows(rows: DataFrame, questions: DataFrame, targets: dict[str, int], limit: int, seed: int, oversample: float = 3.0, counts: Callable[[Column], Column] = T.token_counts) -> DataFrame:
+    """id, source, reason, seen, kept, messages of rows(source, id, question, messages, reason): exam items that pass every test, up to each source's target.
+
+    reason is that of the record builder (see operators.records); then come personal data in the answer, contamination of the question, and length.
+    """
+    hit = isolation.contaminated_keys(rows, "id", "question", questions).withColumn("_hit", F.lit(True))
+    answer = F.element_at("messages", -1)["content"]
+    late = F.when(T.has_pii(answer), "pii").when(F.col("_hit"), "contaminated").when(dialogues.message_cost(F.col("messages"), counts) > limit, "long")
+    df = rows.join(hit, "id", "left").select("source", "id", "reason", late.alias("late_reason"), "messages")
+    return fill_targets(df, targets, oversample, seed).select("id", "source", "reason", "seen", "kept", "messages")
 
 
 def select_reports(rows: DataFrame, excluded: DataFrame, n: int, seed: int) -> DataFrame:
