@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medcorpus.functions.scoring import normalize_answer
-from medcorpus.functions.text import strip_answer_prefix, text_of
+from medcorpus.functions.text import hash_number, strip_answer_prefix, text_of
 
 #: What the prompts say.
 CLOSED_SUFFIX = "\nAnswer with yes or no only."
@@ -70,6 +70,24 @@ def report_text(findings: Column, impression: Column) -> Column:
     return F.nullif(F.concat_ws("\n", part("Findings", findings), part("Impression", impression)), F.lit(""))
 
 
+#: What a report is asked for.
+REPORT_PROMPTS = ("Describe the findings in this image.", "Write the report of this study.", "What does this image show? Give findings and impression.")
+
+
+def report_row(key: Column, findings: Column, impression: Column, seed: int, prompts: tuple[str, ...] = REPORT_PROMPTS) -> Column:
+    """Messages of a report, one of the prompts by seed and key; null for a report without sections."""
+    text = report_text(findings, impression)
+    prompt = F.get(F.array(*[F.lit(f"<image>{p}") for p in prompts]), (hash_number(F.lit(seed), key) % len(prompts)).cast("int"))
+    return F.when(text.isNotNull(), chat(prompt, text))
+
+
+def report_rows(df: DataFrame, key: str, seed: int, prompts: tuple[str, ...] = REPORT_PROMPTS) -> tuple[DataFrame, DataFrame]:
+    """key and messages of the reports(key, findings, impression) that have a section, and one row: n_skipped, those that have none."""
+    messages = report_row(F.col(key), F.col("findings"), F.col("impression"), seed, prompts)
+    rows = df.select(key, messages.alias("messages"))
+    return rows.filter("messages is not null"), rows.agg(F.count(F.when(F.col("messages").isNull(), 1)).alias("n_skipped"))
+
+
 def report_qa_rows(problems: Column) -> Column:
     """A yes/no row, and for an abnormal study a row that lists its problems."""
     some = F.size(problems) > 0
@@ -102,6 +120,55 @@ def rewrite_ok(rewrite: Column, answer: Column) -> Column:
     return ~F.contains(x, F.lit("\n")) & n.between(4, 40) & held
 
 
+#: Fixed value: what a rewritten answer is asked for, and the line that its question gets.
+REWRITE_PROMPT = "Rewrite the answer as one full sentence that keeps it word for word.\nQuestion: {question}\nAnswer: {answer}"
+SENTENCE_SUFFIX = "\nAnswer in one sentence."
+
+
+def rewrite_requests(rows: DataFrame, key: str, share: float, seed: int) -> DataFrame:
+    """key, question, answer, prompt of a seeded share of rows(key, question, answer): a row is drawn by the hash of its key."""
+    drawn = hash_number(F.lit(seed), F.lit("rewrite"), F.col(key)) < share * 4294967296
+    a, rest = REWRITE_PROMPT.split("{question}")
+    b, c = rest.split("{answer}")
+    prompt = F.concat(F.lit(a), F.col("question"), F.lit(b), F.col("answer"), F.lit(c))
+    return rows.filter(drawn).select(key, "question", "answer", prompt.alias("prompt"))
+
+
+def apply_rewrites(rows: DataFrame, rewrites: DataFrame, key: str) -> DataFrame:
+    """rows(key, question, answer) with the sentences of rewrites(key, rewrite) that are fit (see rewrite_ok) in place of their answers.
+
+    applied is true for those, false for rows whose sentence was rejected, null for rows without one.
+    """
+    x = rows.join(rewrites.select(key, F.trim("rewrite").alias("_rewrite")), key, "left")
+    applied = F.when(F.col("_rewrite").isNotNull(), F.coalesce(rewrite_ok(F.col("_rewrite"), F.col("answer")), F.lit(False)))
+    x = x.withColumn("applied", applied)
+    return x.withColumns({"question": F.when(F.col("applied"), F.concat("question", F.lit(SENTENCE_SUFFIX))).otherwise(F.col("question")), "answer": F.when(F.col("applied"), F.col("_rewrite")).otherwise(F.col("answer"))}).drop("_rewrite")
+
+
+def rewrite_stats(applied: DataFrame, least: float | None = None) -> DataFrame:
+    """One row: requested, applied, rejected of apply_rewrites; with least, a smaller share of applied ones is an error when the row is used."""
+    n = applied.agg(F.count("applied").alias("requested"), F.count(F.when(F.col("applied"), 1)).alias("applied"), F.count(F.when(~F.col("applied"), 1)).alias("rejected"))
+    if least is None:
+        return n
+    short = F.col("applied") < least * F.col("requested")
+    return n.withColumn("applied", F.when(short, F.raise_error(F.lit(f"fewer than {least:.0%} of the rewrites are fit"))).otherwise(F.col("applied")))
+
+
+#: Fixed value: what a picture's description is asked for.
+DESCRIBE_PROMPT = "<image>Describe this image."
+
+
+def description_requests(rows: DataFrame, image: str) -> DataFrame:
+    """The distinct pictures of rows."""
+    return rows.filter(F.col(image).isNotNull()).select(image).distinct()
+
+
+def description_samples(described: DataFrame, image: str, text: str) -> DataFrame:
+    """image and messages of the pictures whose text is not blank."""
+    own = described.filter(F.trim(text_of(F.col(text))) != "")
+    return own.select(image, chat(F.lit(DESCRIBE_PROMPT), F.trim(text)).alias("messages"))
+
+
 def mcq_eval_prompt(hint: Column, question: Column, options: dict[str, Column]) -> Column:
     """Hint line if any, question, and the options that are there."""
     line = lambda k, c: F.when(~F.lower(F.trim(text_of(c))).isin("", "nan"), F.concat(F.lit(f"{k}. "), F.trim(c)))

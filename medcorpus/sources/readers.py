@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import warnings
 import zipfile
 from io import BytesIO
 
@@ -41,7 +42,10 @@ def zip_members(prefix: str = "", suffix: str = ".txt"):
             for content in b["content"]:
                 with zipfile.ZipFile(BytesIO(content)) as z:
                     names = [n for n in z.namelist() if n.startswith(prefix) and n.endswith(suffix)]
-                    yield pd.DataFrame({"name": names, "text": [z.read(n).decode("utf-8", "ignore") for n in names]})
+                    # a few members at a time are unpacked
+                    for at in range(0, len(names), 100):
+                        own = names[at : at + 100]
+                        yield pd.DataFrame({"name": own, "text": [z.read(n).decode("utf-8", "ignore") for n in own]})
 
     return members
 
@@ -57,10 +61,10 @@ def read_parquet_source(spark: SparkSession, path: str, *columns: str) -> DataFr
 
 
 def read_predictions(spark: SparkSession, pattern: str, schema: StructType | str) -> DataFrame:
-    """test, tag and the rows of all ``<test>_<tag>_preds.jsonl`` that pattern matches; a missing file is no error."""
-    name = F.col("_metadata.file_name")
+    """test, tag and the rows of all ``<test>_<tag>_preds.jsonl`` (files, or folders of part files) that pattern matches; a missing one is no error."""
+    name = F.url_decode(F.col("_metadata.file_path"))
     df = spark.read.schema(schema).json(pattern)
-    part = lambda k: F.regexp_extract(name, r"^([^_]+)_(.+)_preds\.jsonl", k)
+    part = lambda k: F.regexp_extract(name, r"([^/_=]+)_([^/]+)_preds\.jsonl(?:/[^/]*)?$", k)
     return df.select(part(1).alias("test"), part(2).alias("tag"), *[F.col(c) for c in df.columns])
 
 
@@ -86,6 +90,25 @@ def check_expected_counts(df: DataFrame, source: str, expected: DataFrame) -> Da
     return out.select(source, F.coalesce("n", F.lit(0)).alias("n"), "expected", (F.coalesce("n", F.lit(0)).eqNullSafe(F.col("expected"))).alias("ok"))
 
 
+def require_expected_counts(df: DataFrame, source: str, expected: DataFrame, allow: bool = False) -> DataFrame:
+    """df, if every source has its expected number of rows; else an error that names the first ten wrong ones, or a warning if allowed."""
+    wrong = check_expected_counts(df, source, expected).filter("not ok").orderBy(source).limit(10).collect()
+    if wrong:
+        said = "wrong numbers of rows: " + ", ".join(f"{r[source]}: {r['n']} of {r['expected']}" for r in wrong)
+        if not allow:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=2)
+    return df
+
+
+def common_path_root(df: DataFrame, absolute: str, relative: str) -> str:
+    """The one root of absolute paths that end with their relative one; none or several are an error."""
+    roots = infer_path_root(df, absolute, relative).orderBy(F.desc("n"), "root").limit(2).collect()
+    if len(roots) != 1:
+        raise ValueError("no common root: " + (", ".join(r["root"] for r in roots) or "no path ends with its relative one"))
+    return roots[0]["root"]
+
+
 def infer_path_root(df: DataFrame, absolute: str, relative: str) -> DataFrame:
     """root and n of absolute paths that end with their relative one; more than one row means that there is no common root."""
     root = F.substring(F.col(absolute), F.lit(1), F.length(absolute) - F.length(relative))
