@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -59,6 +61,27 @@ def label_scores(df: DataFrame, labels: list[str]) -> DataFrame:
     return sums.select("tag", "label", ratio(F.col("tp"), F.col("p")).alias("precision"), ratio(F.col("tp"), F.col("g")).alias("recall"), ratio(2 * F.col("tp"), F.col("p") + F.col("g")).alias("f1"))
 
 
+def label_table(df: DataFrame, labels: list[str]) -> DataFrame:
+    """label_scores with n_gold, n_pred, n_right: how often a label is the truth, is said, and is said rightly."""
+    each = df.withColumn("label", F.explode(F.array(*[F.lit(x) for x in labels])))
+    g, p = F.col("gold") == F.col("label"), F.col("pred") == F.col("label")
+    n = each.groupBy("tag", "label").agg(count_if(g).alias("n_gold"), count_if(p).alias("n_pred"), count_if(g & p).alias("n_right"))
+    return label_scores(df, labels).join(n, ["tag", "label"])
+
+
+def answer_flips(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
+    """gold, old, new, n: items (key) whose answer differs between two tags."""
+    a = df.filter(F.col("tag") == before).select(key, "gold", F.col("pred").alias("old"))
+    b = df.filter(F.col("tag") == after).select(key, F.col("pred").alias("new"))
+    return a.join(b, key).filter("old <> new").groupBy("gold", "old", "new").agg(F.count("*").alias("n"))
+
+
+def letter_histograms(df: DataFrame) -> DataFrame:
+    """tag, letter, n_gold, n_pred of (tag, gold, pred); an unread answer is the empty letter."""
+    sides = F.array(F.struct(F.col("gold").alias("letter"), F.lit(1).alias("g"), F.lit(0).alias("p")), F.struct(F.col("pred").alias("letter"), F.lit(0).alias("g"), F.lit(1).alias("p")))
+    return df.select("tag", F.inline(sides)).groupBy("tag", "letter").agg(F.sum("g").alias("n_gold"), F.sum("p").alias("n_pred"))
+
+
 def macro_f1(df: DataFrame, labels: list[str]) -> DataFrame:
     """tag, macro_f1, accuracy."""
     scores = label_scores(df, labels).groupBy("tag").agg(F.avg("f1").alias("macro_f1"))
@@ -101,15 +124,32 @@ def labeler_agreement(a: DataFrame, b: DataFrame, key: str, columns: list[str])
     return both.rollup("finding").agg(F.count("*").alias("n"), (100.0 * F.avg(same.cast("double"))).alias("agreement"), (100.0 * share(F.coalesce(F.col("other") == 1.0, F.lit(False)), F.coalesce(pos, F.lit(False)))).alias("recovered"))
 
 
+def range_parts(df: DataFrame, group: list[str], value: str, parts: int = 512) -> DataFrame:
+    """df with _part: the part of its group's range of values that a row's value lies in. Null values have none."""
+    v = F.col(value).cast("double")
+    ends = df.groupBy(*[F.col(g).alias(f"_end_{g}") for g in group]).agg(F.min(v).alias("_low"), F.max(v).alias("_high"))
+    # the groups' ends are one row a group; a group with a null in its name is found again, too
+    same = [F.col(g).eqNullSafe(F.col(f"_end_{g}")) for g in group]
+    x = df.join(ends, reduce(lambda a, b: a & b, same)) if group else df.join(ends)
+    place = F.floor((v - F.col("_low")) / (F.col("_high") - F.col("_low")) * parts)
+    return x.select(*df.columns, F.when(F.col("_high") > F.col("_low"), F.least(place, F.lit(parts - 1))).otherwise(F.lit(0)).cast("int").alias("_part"))
+
+
 def order_statistics(df: DataFrame, group: list[str], value: str, **places: Column) -> DataFrame:
     """Order statistics of value by group: places are 0-based ranks as columns of the group's size n.
 
-    Values are counted first, so the running count goes over distinct values, not over rows.
+    Values are counted first; their range is cut into parts, the parts' sizes give each its offset, and running counts are
+    taken inside a part. So a table of two or three groups is still many tasks.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
-    w = W.partitionBy(*group)
-    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    x = counts.withColumn("n", F.sum("_c").over(w)).withColumn("_to", upto)
+    x = range_parts(counts, group, value)
+    w = W.partitionBy(*group)  # one row a part
+    sizes = x.groupBy(*group, "_part").agg(F.sum("_c").alias("_s"))
+    sizes = sizes.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_part").alias("_p"), (F.sum("_s").over(w.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s")).alias("_before"), F.sum("_s").over(w).alias("n"))
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
+    x = x.join(sizes, reduce(lambda a, b: a & b, same, F.col("_part") == F.col("_p")))
+    inside = F.sum("_c").over(W.partitionBy(*group, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    x = x.withColumn("_to", F.col("_before") + inside)
     at = lambda p: (p < F.col("_to")) & (p >= F.col("_to") - F.col("_c"))
     mean = F.sum(F.col(value) * F.col("_c")) / F.sum("_c")
     return x.groupBy(*group).agg(*[F.max(F.when(at(p), F.col(value))).alias(k) for k, p in places.items()], F.max("n").alias("n"), mean.alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
@@ -117,16 +157,26 @@ def order_statistics(df: DataFrame, group: list[str], value: str, **places: Colu
 
 def score_summary(df: DataFrame, value: str) -> DataFrame:
     """n, mean, standard deviation, extremes and interpolated quartiles."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), q.alias("q"))
-    return out.select("n", "mean", "std", "min", "max", F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("q50"), F.get("q", F.lit(2)).alias("q75"))
+    ranks = {f"{k}_{end}": f((F.col("n") - 1) * p) for k, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)) for end, f in (("lo", F.floor), ("hi", F.ceil))}
+    places = order_statistics(df, [], value, **ranks)
+    between = lambda k, p: (F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * ((F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p))).alias(k)
+    # two tables of one row
+    x = places.drop("mean").join(df.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")))
+    return x.select("n", "mean", "std", "min", "max", between("q25", 0.25), between("q50", 0.5), between("q75", 0.75))
 
 
-def train_curve(df: DataFrame) -> DataFrame:
-    """Mean loss of the first and the last tenth of the steps, and the last step, by tag of (tag, step, total, loss)."""
-    total = df.groupBy("tag").agg(F.max_by("total", "step").alias("_total"), F.max("step").alias("last_step"))
-    x = df.join(total, "tag")
-    return x.groupBy("tag", "last_step").agg(mean_if(F.col("loss"), F.col("step") <= 0.1 * F.col("_total")).alias("first_loss"), mean_if(F.col("loss"), F.col("step") > 0.9 * F.col("_total")).alias("last_loss"))
+def selection_stats(df: DataFrame, group: list[str], score: str, section: Column, words: Column) -> DataFrame:
+    """group, n, mean, min, median (the upper one), max of a score, section_pct: rows with a section, and mean_words, of each selection."""
+    scores = order_statistics(df, group, score, median=F.floor(F.col("n") / 2))
+    more = df.groupBy(*group).agg((100.0 * F.avg(section.cast("int"))).alias("section_pct"), F.avg(words).alias("mean_words"))
+    return scores.join(more, group)
+
+
+def train_curve(df: DataFrame, by: tuple[str, ...] = ("tag",)) -> DataFrame:
+    """Mean loss of the first and the last tenth of the steps, and the last step, of (tag, step, total, loss) by tag, or by tag and series."""
+    total = df.groupBy(*by).agg(F.max_by("total", "step").alias("_total"), F.max("step").alias("last_step"))
+    x = df.join(total, list(by))
+    return x.groupBy(*by, "last_step").agg(mean_if(F.col("loss"), F.col("step") <= 0.1 * F.col("_total")).alias("first_loss"), mean_if(F.col("loss"), F.col("step") > 0.9 * F.col("_total")).alias("last_loss"))
 
 
 def funnel(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
@@ -146,14 +196,26 @@ def rescore(df: DataFrame, old: Column, new: Column) -> DataFrame:
 
 
 def film_report(df: DataFrame) -> DataFrame:
-    """Answers, reports and contradictions by group of (grp, closed, reports)."""
+    """Answers, reports and contradictions by group of (grp, closed, reports, lung)."""
     yes = F.col("closed") == "yes"
     return df.groupBy("grp").agg(
-        F.count("*").alias("n"), *[count_if(F.col("closed") == k).alias(k) for k in ("yes", "no", "other")], count_if(F.col("reports")).alias("reports"),
+        F.count("*").alias("n"), *[count_if(F.col("closed") == k).alias(k) for k in ("yes", "no", "other")], count_if(F.col("reports")).alias("reports"), count_if(F.col("lung")).alias("lung"),
         count_if(yes & ~F.col("reports")).alias("contradictions"), (100.0 * count_if(~F.col("reports")) / F.count("*")).alias("missed_pct"),
     )
 
 
+def film_summary(df: DataFrame) -> DataFrame:
+    """One row of (grp, closed, reports, lung): what the answers and the descriptions find and miss, in per cent; null where a group is empty."""
+    a, n, u = (F.col("grp") == k for k in ("abnormal", "normal", "uncertain_only"))
+    yes, no = F.col("closed") == "yes", F.col("closed") == "no"
+    pct = lambda part, of: 100.0 * share(part, of)
+    out = df.agg(
+        pct(yes, a).alias("sensitivity"), pct(no, n).alias("specificity"), count_if(a & ~yes).alias("missed"), pct(~yes, a).alias("missed_pct"), count_if(~yes & ~no).alias("unparsed"), pct(yes, u).alias("uncertain_yes_pct"),
+        pct(~F.col("reports"), a).alias("quiet_abnormal_pct"), pct(~F.col("lung"), a).alias("quiet_lung_pct"), pct(~F.col("reports"), n).alias("quiet_normal_pct"), pct(~F.col("reports"), a & yes).alias("contradiction_pct"),
+    )
+    return out.withColumn("discrimination", F.col("quiet_normal_pct") - F.col("quiet_abnormal_pct"))
+
+
 def per_finding_report(df: DataFrame, findings: list[str]) -> DataFrame:
     """finding, n, yes_pct, reports_pct; a film with several findings counts in each."""
     found = F.filter(F.array(*[F.when(F.col(k) == 1, k) for k in findings]), lambda x: x.isNotNull())
@@ -161,19 +223,44 @@ def per_finding_report(df: DataFrame, findings: list[str]) -> DataFrame:
     return each.groupBy("finding").agg(F.count("*").alias("n"), (100.0 * F.avg((F.col("closed") == "yes").cast("int"))).alias("yes_pct"), (100.0 * F.avg(F.col("reports").cast("int"))).alias("reports_pct"))
 
 
-def judge_report(df: DataFrame, first: str, second: str, finding: str) -> DataFrame:
-    """By group: items where the second judge reports nothing, agreement of the judges, and one finding named or uncertain."""
-    return df.groupBy("grp").agg(
-        F.count("*").alias("n"), count_if(F.col(second) == 1).alias("none_reported"), (100.0 * F.avg(F.col(first).eqNullSafe(F.col(second)).cast("int"))).alias("agreement"),
-        count_if(F.col(finding).isin(1.0, -1.0)).alias(f"{finding}_pos_or_uncertain"),
+def judge_report(df: DataFrame) -> DataFrame:
+    """By group, and over all (grp null), of (grp, closed, first, second): first and second say whether two judges find anything in a description.
+
+    n, flagged_pct and none_pct of the second judge, yes answers whose description it finds empty, the first judge's none_pct, and their agreement.
+    """
+    empty = ~F.col("second")
+    return by_groups(
+        df, [["grp"], []], n=F.count("*"), flagged_pct=100.0 * F.avg(F.col("second").cast("int")), none_pct=100.0 * F.avg(empty.cast("int")), contradictions=count_if((F.col("closed") == "yes") & empty),
+        contradiction_pct=100.0 * share(empty, F.col("closed") == "yes"), first_none_pct=100.0 * F.avg((~F.col("first")).cast("int")), agreement=100.0 * F.avg((F.col("first") == F.col("second")).cast("int")),
     )
 
 
+def judge_findings(truth: DataFrame, judged: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """finding, n, positive_pct, pos_or_uncertain_pct, negative_pct: what a judge's labels make of the films that truly have a finding."""
+    other = judged.select(key, *[F.col(k).alias(f"_{k}") for k in columns])
+    cells = F.array(*[F.struct(F.lit(k).alias("finding"), F.col(k).alias("value"), F.col(f"_{k}").alias("said")) for k in columns])
+    own = truth.join(other, key).select(F.inline(cells)).filter("value = 1.0")
+    pct = lambda *values: 100.0 * F.avg(F.coalesce(F.col("said").isin(*values), F.lit(False)).cast("int"))
+    return own.groupBy("finding").agg(F.count("*").alias("n"), pct(1.0).alias("positive_pct"), pct(1.0, -1.0).alias("pos_or_uncertain_pct"), pct(0.0).alias("negative_pct"))
+
+
 def polarity_audit(df: DataFrame) -> DataFrame:
     """Answers, distinct questions and images by kind of (kind, q, img)."""
     return df.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("q").alias("questions"), F.count_distinct("img").alias("images"))
 
 
+def image_verdicts(df: DataFrame) -> DataFrame:
+    """verdict, n: images by whether a question says that they are abnormal, else that they are normal, or neither; of (img, kind)."""
+    abnormal, normal = F.bool_or(F.col("kind").isin("pos_global", "pos_specific")), F.bool_or(F.col("kind") == "neg_global")
+    verdict = F.when(abnormal, "abnormal").when(normal, "normal").otherwise("no_finding_question")
+    return df.groupBy("img").agg(verdict.alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+def frequent_questions(df: DataFrame, kind: str = "neg_specific") -> DataFrame:
+    """q, n: the questions of a kind, the most frequent first."""
+    return df.filter(F.col("kind") == kind).groupBy(F.trim("q").alias("q")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "q")
+
+
 def elsewhere_flag(df: DataFrame) -> DataFrame:
     """item, elsewhere: a named disease that an image is said not to have, but another answer of the image names; of (item, img, q, a, kind)."""
     x = df.withColumn("disease", F.lower(F.regexp_extract("q", "Can (.+?) be observed", 1)))

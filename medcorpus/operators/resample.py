@@ -44,9 +44,16 @@ def paired_diff_ci(df: DataFrame, groups: list[str], keys: list[str], reference:
 
 
 def poisson_bootstrap(df: DataFrame, key: str, value: str, draws: int, seed: int) -> DataFrame:
-    """b, mean: the weighted mean of each replicate, with Poisson(1) weights from seeded hashes; sums are combined on the map side."""
-    b = df.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b"))
-    u = hash_number(F.lit(seed), F.col("b"), F.col(key)) / F.lit(4294967296.0)
+    """b, mean: the weighted mean of each replicate, with Poisson(1) weights from seeded hashes; sums are combined on the map side.
+
+    A row is hashed once; its draws are steps of a multiplicative generator from there, so they differ by row and by replicate.
+    """
+    first = hash_number(F.lit(seed), F.col(key))
+    b = df.select(first.alias("_h"), value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b"))
+    # below 2 ** 53 in every step, so that any engine gives the same numbers
+    mixed = (F.col("_h") % 65536 * 40503 + F.floor(F.col("_h") / 65536) * 30011 + F.col("b") * 2654435761) % 4294967296
+    again = (mixed % 65536 * 50021 + F.floor(mixed / 65536) * 62989 + mixed) % 4294967296
+    u = again / F.lit(4294967296.0)
     weight, below, term = F.lit(0), np.exp(-1), np.exp(-1)
     for k in range(1, 9):
         weight = weight + (u >= F.lit(float(below))).cast("int")

@@ -87,8 +87,11 @@ def _lcs_f(a: list[str], b: list[str], beta: float) -> float:
     return (1 + beta**2) * p * r / (r + beta**2 * p) if n else 0.0
 
 
-def cider(captions: DataFrame, max_n: int = 4) -> DataFrame:
-    """item, cider of captions(item, pred, refs): clipped tf-idf cosine of 1- to 4-grams, mean over references, without length penalty."""
+def cider(captions: DataFrame, max_n: int = 4, sigma: float | None = None) -> DataFrame:
+    """item, cider of captions(item, pred, refs): clipped tf-idf cosine of 1- to 4-grams, mean over references.
+
+    sigma: with a Gaussian penalty of that width on the difference of the two texts' numbers of tokens; without it there is none.
+    """
     side = captions.select("item", F.lit(-1).alias("ref"), latin_tokens(F.col("pred")).alias("t")).unionByName(
         captions.select("item", F.posexplode("refs").alias("ref", "r")).select("item", "ref", latin_tokens(F.col("r")).alias("t"))
     )
@@ -108,6 +111,11 @@ def cider(captions: DataFrame, max_n: int = 4) -> DataFrame:
     pred = F.when(F.col("h").isNotNull(), F.array(F.struct(F.lit(-1).alias("ref"), F.lit(0.0).alias("dot"), F.pow(F.col("h") * F.col("idf"), 2.0).alias("sq"))))
     parts = weighed.select("item", "n", F.inline(F.concat(squares, F.coalesce(pred, F.slice(squares, 1, 0)))))
     sums = parts.groupBy("item", "n", "ref").agg(F.sum("dot").alias("dot"), F.sum("sq").alias("sq"))
+    if sigma is not None:
+        sizes = side.select("item", "ref", F.size("t").alias("len"))
+        own = sizes.filter("ref >= 0").join(sizes.filter("ref < 0").select("item", F.col("len").alias("pred_len")), "item")
+        fade = F.exp(-F.pow((F.col("pred_len") - F.col("len")).cast("double"), 2.0) / (2 * sigma**2))
+        sums = sums.join(own.select("item", "ref", fade.alias("fade")), ["item", "ref"], "left").withColumn("dot", F.col("dot") * F.coalesce("fade", F.lit(1.0))).drop("fade")
     by_n = sums.groupBy("item", "n").agg(F.max(F.when(F.col("ref") < 0, F.col("sq"))).alias("hq"), F.collect_list(F.when(F.col("ref") >= 0, F.struct("dot", "sq"))).alias("rs"))
     cos = F.aggregate("rs", F.lit(0.0), lambda a, r: a + F.when((r["sq"] > 0) & (F.col("hq") > 0), r["dot"] / F.sqrt(r["sq"] * F.col("hq"))).otherwise(0.0))
     scores = by_n.groupBy("item").agg(F.sum(cos).alias("s"))
