@@ -8,7 +8,7 @@ from medcorpus.functions import scoring as S
 from medcorpus.functions import text as T
 from medcorpus.operators import dialogues as D
 from medcorpus.operators import records as R
-from medcorpus.queries.base import CAPTIONS, CLS, DIALOGUES, MCQ, REPORTS, SCREEN, VQA, query, with_
+from medcorpus.queries.base import CAPTIONS, CLS, DIALOGUES, MCQ, REPORTS, SCREEN, VQA, query, sql_h, sql_rank, with_
 
 c = F.col
 PUNCT = "'[!\"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]'"
@@ -114,9 +114,11 @@ def c15_token_count(t):
     return t.documents.select("doc_id", T.token_count(c("text")).alias("n"))
 
 
-@query("select coalesce(source = 'src0', false) as restricted, count(*) as n from documents group by 1")
+@query("select doc_id, (select count(*) from documents where source = 'src0') as n_dropped from documents where source is distinct from 'src0'")
 def c16_filter_licence_source(t):
-    return t.documents.groupBy(c("source").eqNullSafe("src0").alias("restricted")).agg(F.count("*").alias("n"))
+    kept, dropped = D.restricted_source(t.documents, "source", "src0")
+    # dropped is a table of one row
+    return kept.select("doc_id").join(dropped)
 
 
 @query("select p_partkey, case when p_size % 7 = 0 then [] else [p_brand, p_type] end as problems from part")
@@ -135,6 +137,19 @@ def c19_drop_reason_stats(t):
     return D.drop_reason_stats(_reasons(t), "source", "reason")
 
 
+@query(with_(DIALOGUES, REASONS) + f""", r as (select conv_id, source, reason, {sql_rank(5, 'p', 'conv_id')} rank from reasons), s as (select *, sum((reason is null)::int) over (partition by source order by rank, conv_id) k from r), x as (select *, k < 9 or (reason is null and k = 9) seen, reason is null and k <= 9 kept from s),
+    d as (select source, map_from_entries(list((reason, n) order by reason)) m from (select source, reason, count(*) n from x where seen and reason is not null group by all) group by source)
+    select source::varchar as source, count(*) as total, count(*) as pool, count(*) filter (where kept) as kept, 9 as target, any_value(list_transform(map_entries(m), lambda e: e.key || '=' || e.value)) as dropped from x left join d using (source) group by source""")
+def c19_target_stats(t):
+    from pyspark.sql import Window as W
+
+    x = _reasons(t).select("conv_id", c("source").cast("string").alias("source"), "reason", F.lit(None).cast("array<string>").alias("messages"), T.rank_key(5, "p", c("conv_id")).alias("rank"))
+    x = x.withColumn("k", F.sum(c("reason").isNull().cast("int")).over(W.partitionBy("source").orderBy("rank", "conv_id")))
+    x = x.withColumns({"seen": (c("k") < 9) | (c("reason").isNull() & (c("k") == 9)), "kept": c("reason").isNull() & (c("k") <= 9)})
+    out = D.target_stats(x, x.groupBy("source").agg(F.count("*").alias("total")), {"0": 9, "1": 9})
+    return out.select("source", "total", "pool", "kept", "target", F.transform(F.map_entries("dropped"), lambda e: F.concat_ws("=", e["key"], e["value"])).alias("dropped"))
+
+
 @query(with_(DIALOGUES) + "select conv_id, len(messages) as n, messages[1].content as first, messages[-1].role as last_role from dialogues")
 def b1_turns_to_messages(t):
     return t.dialogues.select("conv_id", F.size("messages").alias("n"), c("messages")[0]["content"].alias("first"), F.element_at("messages", -1)["role"].alias("last_role"))
@@ -186,9 +201,15 @@ def b7_final_answer_row(t):
     return t.dialogues.select("conv_id", R.final_answer_row(F.get("messages", F.lit(0))["content"], F.get("messages", F.lit(1))["content"])[1]["content"].alias("a"))
 
 
-@query(with_(REPORTS) + "select path, nullif(concat_ws(chr(10), case when trim(findings) <> '' then 'Findings: ' || trim(findings) end, case when trim(impression) <> '' then 'Impression: ' || trim(impression) end), '') as report from reports")
+PROMPTS = "[" + ", ".join(f"'<image>{p}'" for p in R.REPORT_PROMPTS) + "]"
+
+
+@query(with_(REPORTS) + f""", r as (select path, nullif(concat_ws(chr(10), case when trim(findings) <> '' then 'Findings: ' || trim(findings) end, case when trim(impression) <> '' then 'Impression: ' || trim(impression) end), '') report from reports)
+    select path, {PROMPTS}[{sql_h("42", "path")} % 3 + 1] as prompt, report, (select count(*) from r where report is null) as n_skipped from r where report is not null""")
 def b8_report_row(t):
-    return t.reports.select("path", R.report_text(c("findings"), c("impression")).alias("report"))
+    rows, skipped = R.report_rows(t.reports, "path", 42)
+    # skipped is a table of one row
+    return rows.select("path", c("messages")[0]["content"].alias("prompt"), c("messages")[1]["content"].alias("report")).join(skipped)
 
 
 @query("""select p_partkey, unnest(case when p_size % 7 = 0 then ['yes'] else ['no', p_brand || ', ' || p_type] end) as a from part""")
@@ -214,15 +235,27 @@ def b12_strip_prompt_suffix(t):
     return t.vqa.select("tag", "item", R.strip_prompt_suffix(R.vqa_row(c("gold"), c("gold"))[0]["content"]).alias("q"))
 
 
-@query("""with r as (select conv_id, turn, text, length(text) > 120 ok from conversations where role = 'assistant' and substr(md5(concat_ws(':', '7', 'rewrite', conv_id::varchar, turn::varchar)), 1, 1) in ('0', '1', '2', '3'))
-    select count(*) as requested, count(*) filter (where ok) as applied, count(*) filter (where not ok) as rejected from r""")
+#: Rewrites of the answers asked for: every third repeats the answer in a sentence, the others do not.
+FIT_REWRITE = f"not contains(x, chr(10)) and len({WORDS('x')}) between 4 and 40 and case when a in ('yes', 'no') then string_split(n, ' ')[1] = a else a <> '' and contains(' ' || n || ' ', ' ' || a || ' ') end"
+REWRITES = f"""v as (select item, gold q, gold a0 from vqa where tag = 'base'), asked as (select item from v where {sql_h("7", "'rewrite'", "item")} < 0.25 * 4294967296),
+    w as (select item, trim(case when item % 3 = 0 then a0 || ' is what this one shows' else 'nothing of it is to be seen' end) x, {NORM('a0')} a from v join asked using (item)), ok as (select item, x, {FIT_REWRITE} ok from (select *, {NORM('x')} n from w))"""
+
+
+def _rewrites(t):
+    rows = t.vqa.filter("tag = 'base'").select("item", c("gold").alias("question"), c("gold").alias("answer"))
+    asked = R.rewrite_requests(rows, "item", 0.25, 7)
+    said = F.when(c("item") % 3 == 0, F.concat("answer", F.lit(" is what this one shows"))).otherwise("nothing of it is to be seen")
+    return R.apply_rewrites(rows, asked.select("item", said.alias("rewrite")), "item")
+
+
+@query(with_(VQA, REWRITES) + "select item, case when ok then q || chr(10) || 'Answer in one sentence.' else q end as question, case when ok then x else a0 end as answer, ok as applied from v left join ok using (item)")
 def b13_apply_rewrites(t):
-    picked = F.substring(T.rank_key(7, "rewrite", c("conv_id"), c("turn")), 1, 1).isin("0", "1", "2", "3")
-    x = t.conversations.filter((c("role") == "assistant") & picked)
-    rewrites = x.select("conv_id", "turn", c("text").alias("rewrite"))
-    ok = F.length("rewrite") > 120
-    y = x.join(rewrites, ["conv_id", "turn"], "left")
-    return y.agg(F.count("*").alias("requested"), F.count(F.when(ok, 1)).alias("applied"), F.count(F.when(~ok, 1)).alias("rejected"))
+    return _rewrites(t)
+
+
+@query(with_(VQA, REWRITES) + "select count(*) as requested, count(*) filter (where ok) as applied, count(*) filter (where not ok) as rejected from ok")
+def b13_rewrite_stats(t):
+    return R.rewrite_stats(_rewrites(t), 0.01)
 
 
 @query(with_(VQA) + f"""select tag, item, not contains(x, chr(10)) and len({WORDS('x')}) between 4 and 40 and case when a in ('yes', 'no') then string_split(n, ' ')[1] = a else a <> '' and contains(' ' || n || ' ', ' ' || a || ' ') end as ok
@@ -231,11 +264,15 @@ def b14_rewrite_ok(t):
     return t.vqa.select("tag", "item", R.rewrite_ok(F.concat(c("pred"), F.lit(" it is "), c("pred"), F.lit(" as said")), c("gold")).alias("ok"))
 
 
-@query("select regexp_extract(url, '://([^/?#]*)', 1) as image, min(page_id) as page_id from pages group by 1")
+@query("select distinct regexp_extract(url, '://([^/?#]*)', 1) as image from pages")
 def b15_description_requests(t):
-    from medcorpus.operators.dedupe import dedupe_first
+    return R.description_requests(t.pages.select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("image")), "image")
+
 
-    return dedupe_first(t.pages.select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("image"), "page_id"), ["image"], ["page_id"])
+@query("select page_id as image, '<image>Describe this image.' as q, trim(url) as a from pages where page_id % 3 > 0 and trim(url) <> ''")
+def b15_description_samples(t):
+    x = R.description_samples(t.pages.select("page_id", F.when(c("page_id") % 3 > 0, c("url")).otherwise("  ").alias("text")), "page_id", "text")
+    return x.select(c("page_id").alias("image"), c("messages")[0]["content"].alias("q"), c("messages")[1]["content"].alias("a"))
 
 
 @query(with_(DIALOGUES) + f"""select conv_id, n * 2 as n_spans, coalesce(list_sum(list_transform(list_filter(messages[1:n], lambda m: m.role = 'assistant'), lambda m: length(m.content) + 11)), 0)::bigint as trained_chars from (select conv_id, messages, {FIT} * 2 n from dialogues)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from medcorpus.functions import scoring as S
@@ -48,6 +50,22 @@ def a4_macro_f1(t):
     return rounded(A.macro_f1(parsed(t), list(NAMES)), "macro_f1", "accuracy")
 
 
+@query(with_(CLS, PARSED) + """, e as (select tag, label, sum((pred = label and gold = label)::int)::bigint n_right, sum((pred = label)::int)::bigint n_pred, sum((gold = label)::int)::bigint n_gold from parsed, unnest(['yes', 'no', 'maybe']) l(label) group by all)
+    select *, round(case when n_pred > 0 then n_right / n_pred else 0 end, 6) as precision, round(case when n_gold > 0 then n_right / n_gold else 0 end, 6) as recall, round(case when n_pred + n_gold > 0 then 2 * n_right / (n_pred + n_gold) else 0 end, 6) as f1 from e""")
+def a4_label_table(t):
+    return rounded(A.label_table(parsed(t), list(NAMES)), "precision", "recall", "f1")
+
+
+@query(with_(CLS, PARSED) + "select x.gold, x.pred as old, y.pred as new, count(*) as n from parsed x join parsed y using (item) where x.tag = 'base' and y.tag = 'tuned' and x.pred <> y.pred group by all")
+def a4_answer_flips(t):
+    return A.answer_flips(parsed(t), "item", "base", "tuned")
+
+
+@query(with_(MCQ, CHOICES) + "select tag, letter, sum(g)::bigint as n_gold, sum(p)::bigint as n_pred from (select tag, gold letter, 1 g, 0 p from choices union all select tag, pred, 0, 1 from choices) group by all")
+def a5_letter_histograms(t):
+    return A.letter_histograms(choices(t))
+
+
 @query(with_(MCQ, CHOICES) + "select tag, category, count(*) as n, round(avg((gold = pred)::int), 6) as accuracy, count(*) filter (where pred = '') as unparsed from choices group by grouping sets ((tag), (tag, category))")
 def a5_choice_report(t):
     return rounded(A.choice_report(choices(t)), "accuracy")
@@ -75,10 +93,10 @@ def _films(t):
 
     x = t.labels14.withColumn("grp", A.film_group([c(k) for k in FIVE], c("nofinding")))
     n = h("a", c("path")) % 10
-    return x.withColumn("closed", F.when(n < 5, "yes").when(n < 9, "no").otherwise("other")).withColumn("reports", h("b", c("path")) % 3 > 0)
+    return x.withColumn("closed", F.when(n < 5, "yes").when(n < 9, "no").otherwise("other")).withColumn("reports", h("b", c("path")) % 3 > 0).withColumn("lung", c("reports") & (h("u", c("path")) % 2 == 0))
 
 
-FILMS = f"{sql_labels14('l14')}, films as (select *, {GROUP} grp, case when {sql_h(repr('a'), 'path')} % 10 < 5 then 'yes' when {sql_h(repr('a'), 'path')} % 10 < 9 then 'no' else 'other' end closed, {sql_h(repr('b'), 'path')} % 3 > 0 reports from l14)"
+FILMS = f"{sql_labels14('l14')}, films as (select *, {GROUP} grp, case when {sql_h(repr('a'), 'path')} % 10 < 5 then 'yes' when {sql_h(repr('a'), 'path')} % 10 < 9 then 'no' else 'other' end closed, {sql_h(repr('b'), 'path')} % 3 > 0 reports, {sql_h(repr('b'), 'path')} % 3 > 0 and {sql_h(repr('u'), 'path')} % 2 = 0 lung from l14)"
 
 
 @query(with_(FILMS) + "select grp, count(*) as n from films group by grp")
@@ -86,11 +104,27 @@ def a8_film_group(t):
     return _films(t).groupBy("grp").agg(F.count("*").alias("n"))
 
 
-@query(with_(FILMS) + "select grp, count(*) as n, count(*) filter (where closed = 'yes') as yes, count(*) filter (where closed = 'no') as no, count(*) filter (where closed = 'other') as other, count(*) filter (where reports) as reports, count(*) filter (where closed = 'yes' and not reports) as contradictions, round(100.0 * count(*) filter (where not reports) / count(*), 6) as missed_pct from films group by grp")
+@query(with_(FILMS) + "select grp, count(*) as n, count(*) filter (where closed = 'yes') as yes, count(*) filter (where closed = 'no') as no, count(*) filter (where closed = 'other') as other, count(*) filter (where reports) as reports, count(*) filter (where lung) as lung, count(*) filter (where closed = 'yes' and not reports) as contradictions, round(100.0 * count(*) filter (where not reports) / count(*), 6) as missed_pct from films group by grp")
 def a9_film_report(t):
     return rounded(A.film_report(_films(t)), "missed_pct")
 
 
+def _pct(part: str, of: str) -> str:
+    return f"100.0 * count(*) filter (where ({part}) and ({of})) / nullif(count(*) filter (where {of}), 0)"
+
+
+AB, NO_, UN = "grp = 'abnormal'", "grp = 'normal'", "grp = 'uncertain_only'"
+SUMMARY = {
+    "sensitivity": _pct("closed = 'yes'", AB), "specificity": _pct("closed = 'no'", NO_), "missed_pct": _pct("closed <> 'yes'", AB), "uncertain_yes_pct": _pct("closed = 'yes'", UN), "quiet_abnormal_pct": _pct("not reports", AB),
+    "quiet_lung_pct": _pct("not lung", AB), "quiet_normal_pct": _pct("not reports", NO_), "contradiction_pct": _pct("not reports", f"{AB} and closed = 'yes'"), "discrimination": f"{_pct('not reports', NO_)} - {_pct('not reports', AB)}",
+}
+
+
+@query(with_(FILMS) + "select count(*) filter (where " + AB + " and closed <> 'yes') as missed, count(*) filter (where closed = 'other') as unparsed, " + ", ".join(f"round({v}, 6) as {k}" for k, v in SUMMARY.items()) + " from films")
+def a9_film_summary(t):
+    return rounded(A.film_summary(_films(t)), *SUMMARY)
+
+
 @query(with_(FILMS) + "select finding, count(*) as n, round(100.0 * avg((closed = 'yes')::int), 6) as yes_pct, round(100.0 * avg(reports::int), 6) as reports_pct from (select closed, reports, unnest(list_filter([case when f1 = 1 then 'f1' end, case when f2 = 1 then 'f2' end, case when f3 = 1 then 'f3' end, case when f4 = 1 then 'f4' end, case when f5 = 1 then 'f5' end], lambda x: x is not null)) finding from films) group by finding")
 def a10_per_finding_report(t):
     return rounded(A.per_finding_report(_films(t), list(FIVE)), "yes_pct", "reports_pct")
@@ -104,10 +138,17 @@ def a11_labeler_agreement(t):
     return rounded(A.labeler_agreement(t.labels14, _labels14(t, "z"), "path", list(LABELS)), "agreement", "recovered")
 
 
-@query(f"with {sql_labels14('la')}, {sql_labels14('lb', 'z')}, lc as (select path, nofinding other from lb), x as (select la.*, other, {GROUP} grp from la join lc using (path)) select grp, count(*) as n, count(*) filter (where other = 1) as none_reported, round(100.0 * avg((nofinding is not distinct from other)::int), 6) as agreement, sum((f1 = 1)::int + (f1 = -1)::int)::bigint as f1_pos_or_uncertain from x where f1 is not null group by grp")
+@query("with " + FILMS + f", {sql_labels14('lb', 'z')}, x as (select films.*, coalesce(lb.f1 in (1, -1) or lb.f2 in (1, -1), false) said from films join lb using (path))" + """ select grp, count(*) as n, round(100.0 * avg(said::int), 6) as flagged_pct, round(100.0 * avg((not said)::int), 6) as none_pct, count(*) filter (where closed = 'yes' and not said) as contradictions,
+    round(100.0 * count(*) filter (where closed = 'yes' and not said) / nullif(count(*) filter (where closed = 'yes'), 0), 6) as contradiction_pct, round(100.0 * avg((not reports)::int), 6) as first_none_pct, round(100.0 * avg((said = reports)::int), 6) as agreement from x group by grouping sets ((grp), ())""")
 def a12_judge_report(t):
-    other = _labels14(t, "z").select("path", c("nofinding").alias("other"))
-    return rounded(A.judge_report(_films(t).join(other, "path").filter("f1 is not null"), "nofinding", "other", "f1"), "agreement")
+    said = F.coalesce(c("f1").isin(1.0, -1.0) | c("f2").isin(1.0, -1.0), F.lit(False))
+    x = _films(t).join(_labels14(t, "z").select("path", said.alias("second")), "path").withColumnRenamed("reports", "first")
+    return rounded(A.judge_report(x), "flagged_pct", "none_pct", "contradiction_pct", "first_none_pct", "agreement")
+
+
+@query("with " + BOTH + " select finding, count(*) as n, round(100.0 * avg(coalesce(b = 1, false)::int), 6) as positive_pct, round(100.0 * avg(coalesce(b in (1, -1), false)::int), 6) as pos_or_uncertain_pct, round(100.0 * avg(coalesce(b = 0, false)::int), 6) as negative_pct from both2 where a = 1 group by finding")
+def a12_judge_findings(t):
+    return rounded(A.judge_findings(t.labels14, _labels14(t, "z"), "path", list(LABELS)), "positive_pct", "pos_or_uncertain_pct", "negative_pct")
 
 
 @query(with_(POLARITY) + f"select {KIND} as kind, count(*) as n, count(distinct q) as questions, count(distinct img) as images from polarity group by 1")
@@ -115,6 +156,16 @@ def a13_polarity_audit(t):
     return A.polarity_audit(polarity(t))
 
 
+@query(with_(POLARITY) + f""", k as (select img, {KIND} kind from polarity), v as (select img, case when bool_or(kind in ('pos_global', 'pos_specific')) then 'abnormal' when bool_or(kind = 'neg_global') then 'normal' else 'no_finding_question' end verdict from k group by img) select verdict, count(*) as n from v group by verdict""")
+def a13_image_verdicts(t):
+    return A.image_verdicts(polarity(t))
+
+
+@query(with_(POLARITY) + f"select trim(q) as q, count(*) as n from polarity where {KIND} = 'neg_specific' group by 1")
+def a13_frequent_questions(t):
+    return A.frequent_questions(polarity(t))
+
+
 @query(with_(POLARITY) + f""", k as (select item, img, lower(trim(a)) a, case when q like 'Can % be observed?' then substr(q, 5, length(q) - 17) else '' end disease, {KIND} kind from polarity), said as (select distinct img, a from k where a not in ('yes', 'no'))
     select item, disease <> '' and exists (select 1 from said where said.img = k.img and contains(said.a, lower(disease))) as elsewhere from k where kind = 'neg_specific'""")
 def a14_elsewhere_flag(t):
@@ -136,10 +187,10 @@ def a17_score_summary(t):
     return rounded(A.score_summary(t.lineitem, "l_extendedprice"), "mean", "std", "q25", "q50", "q75", digits=4)
 
 
-@query("with r as (select l_returnflag, l_extendedprice v, row_number() over (partition by l_returnflag order by l_extendedprice) - 1 rn, count(*) over (partition by l_returnflag) n from lineitem) select l_returnflag, n, max(v) filter (where rn = n // 2) as median, round(avg(v), 4) as mean, min(v) as min, max(v) as max from r group by all")
+@query("with r as (select l_returnflag, l_extendedprice v, l_discount d, l_quantity q, row_number() over (partition by l_returnflag order by l_extendedprice) - 1 rn, count(*) over (partition by l_returnflag) n from lineitem) select l_returnflag, n, max(v) filter (where rn = n // 2) as median, round(avg(v), 4) as mean, min(v) as min, max(v) as max, round(100.0 * avg((d > 0)::int), 4) as section_pct, round(avg(q), 4) as mean_words from r group by all")
 def a18_selection_stats(t):
-    x = A.order_statistics(t.lineitem, ["l_returnflag"], "l_extendedprice", median=F.floor(c("n") / 2))
-    return rounded(x, "mean", digits=4)
+    x = A.selection_stats(t.lineitem, ["l_returnflag"], "l_extendedprice", c("l_discount") > 0, c("l_quantity"))
+    return rounded(x, "mean", "section_pct", "mean_words", digits=4)
 
 
 @query("with r as (select lang, len(string_split(text, ' ')) v, row_number() over (partition by lang order by len(string_split(text, ' '))) - 1 rn, count(*) over (partition by lang) n from documents) select lang, n, max(v) filter (where rn = n // 2) as median, max(v) filter (where rn = n * 9 // 10) as p90, round(avg(v), 6) as mean, min(v) as min, max(v) as max from r group by all")
@@ -153,6 +204,12 @@ def a20_train_curve_summary(t):
     return rounded(A.train_curve(t.log), "first_loss", "last_loss")
 
 
+@query(with_(LOG) + ", s as (select *, case when step % 5 = 0 then 'validation' else 'train' end series from log), e as (select tag, series, max(step) last_step, max_by(total, step) t from s group by all) select tag, series, last_step, round(avg(loss) filter (where step <= 0.1 * t), 6) as first_loss, round(avg(loss) filter (where step > 0.9 * t), 6) as last_loss from s join e using (tag, series) group by all")
+def a20_train_and_validation_curves(t):
+    x = t.log.withColumn("series", F.when(c("step") % 5 == 0, "validation").otherwise("train"))
+    return rounded(A.train_curve(x, ("tag", "series")), "first_loss", "last_loss")
+
+
 @query(with_(VQA) + "select content, closed, count(*) as n, round(avg((gold = pred)::int), 6) as accuracy from vqa group by all having count(*) >= 20")
 def a21_accuracy_by_type(t):
     return rounded(A.accuracy_by_type(t.vqa, ["content", "closed"], c("gold") == c("pred")), "accuracy")
@@ -186,16 +243,24 @@ def v3_mismatched_mean(t):
     return rounded(V.mismatched_mean(t.pairs), "mean")
 
 
-@query(with_(CAPTIONS) + """, side as (select item, -1 ref, regexp_extract_all(lower(pred), '[a-z0-9]+') t from captions union all select item, k - 1, regexp_extract_all(lower(refs[k]), '[a-z0-9]+') from (select item, refs, unnest(range(1, len(refs) + 1)) k from captions)),
-    g as (select item, ref, n, unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i+n-1], ' '))) g from side, range(1, 5) r(n) where len(t) >= n), tf as (select item, ref, n, g, count(*) tf from g group by all),
+CIDER = """, side as (select item, -1 ref, regexp_extract_all(lower(pred), '[a-z0-9]+') t from captions union all select item, k - 1, regexp_extract_all(lower(refs[k]), '[a-z0-9]+') from (select item, refs, unnest(range(1, len(refs) + 1)) k from captions)),
+    lens as (select item, ref, len(t) l from side), g as (select item, ref, n, unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i+n-1], ' '))) g from side, range(1, 5) r(n) where len(t) >= n), tf as (select item, ref, n, g, count(*) tf from g group by all),
     df as (select n, g, count(distinct item) df from tf where ref >= 0 group by all), v as (select item, ref, n, g, tf * (ln((select count(*) from captions)) - ln(greatest(1, coalesce(df, 0)))) w from tf left join df using (n, g)), nm as (select item, ref, n, sqrt(sum(w * w)) nrm from v group by all),
     dt as (select r.item, r.ref, r.n, sum(least(h.w, r.w) * r.w) d from v r join v h on r.item = h.item and r.n = h.n and r.g = h.g and h.ref = -1 where r.ref >= 0 group by all),
-    s as (select dt.item, sum(case when a.nrm > 0 and b.nrm > 0 then d / (a.nrm * b.nrm) else 0 end) s from dt join nm a on a.item = dt.item and a.ref = dt.ref and a.n = dt.n join nm b on b.item = dt.item and b.ref = -1 and b.n = dt.n group by 1)
-    select item, round(case when len(refs) > 0 then coalesce(s, 0) * 10 / 4 / len(refs) else 0 end, 5) as cider from captions left join s using (item)""")
+    s as (select dt.item, sum(case when a.nrm > 0 and b.nrm > 0 then d / (a.nrm * b.nrm) else 0 end * {fade}) s from dt join lens x on x.item = dt.item and x.ref = dt.ref join lens y on y.item = dt.item and y.ref = -1 join nm a on a.item = dt.item and a.ref = dt.ref and a.n = dt.n join nm b on b.item = dt.item and b.ref = -1 and b.n = dt.n group by 1)
+    select item, round(case when len(refs) > 0 then coalesce(s, 0) * 10 / 4 / len(refs) else 0 end, 5) as cider from captions left join s using (item)"""
+
+
+@query(with_(CAPTIONS) + CIDER.replace("{fade}", "1"))
 def v4_cider(t):
     return rounded(V.cider(t.captions), "cider", digits=5)
 
 
+@query(with_(CAPTIONS) + CIDER.replace("{fade}", "exp(-power(y.l - x.l, 2) / 72.0)"))
+def v4_cider_length_penalty(t):
+    return rounded(V.cider(t.captions, sigma=6.0), "cider", digits=5)
+
+
 def _subs(t):
     """tag, sub, item, score: scores of closed and open questions, and of labels."""
     own = R.sub_scores(scored(t), {"closed": (c("closed"), c("closed_score")), "open": (~c("closed"), c("recall"))})
@@ -215,9 +280,12 @@ def r2_paired_diff_ci(t):
     return R.paired_diff_ci(_subs(t), ["sub"], ["item"], "base")
 
 
-@query(f"""with u as (select l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey k, l_discount v from lineitem), x as (select b, v, {sql_h('7', 'b', 'k')} / 4294967296.0 p from u, range(1, 21) r(b)),
-    w as (select b, v, (p >= exp(-1.0))::int + (p >= exp(-1.0) * 2)::int + (p >= exp(-1.0) * 2.5)::int + (p >= exp(-1.0) * (2.5 + 1/6.0::double))::int + (p >= exp(-1.0) * (2.5 + 1/6.0::double + 1/24.0::double))::int + (p >= exp(-1.0) * (2.5 + 1/6.0::double + 1/24.0::double + 1/120.0::double))::int + (p >= exp(-1.0) * (2.5 + 1/6.0::double + 1/24.0::double + 1/120.0::double + 1/720.0::double))::int
-    + (p >= exp(-1.0) * (2.5 + 1/6.0::double + 1/24.0::double + 1/120.0::double + 1/720.0::double + 1/5040.0::double))::int w from x) select b, round(sum(w * v) / sum(w), 8) as mean, sum(w)::bigint as weight from w group by b""")
+DRAW = "(select b, v, (m % 65536 * 50021 + m // 65536 * 62989 + m) % 4294967296 / 4294967296.0 p from (select b, v, (h % 65536 * 40503 + h // 65536 * 30011 + b * 2654435761) % 4294967296 m from u, range(1, 21) r(b)))"
+STEPS = ["exp(-1.0) * (" + " + ".join(f"1 / {math.factorial(k)}::double" for k in range(n + 1)) + ")" for n in range(8)]
+
+
+@query(f"""with u as (select {sql_h('7', "l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey")} h, l_discount v from lineitem), x as {DRAW},
+    w as (select b, v, {" + ".join(f"(p >= {s})::int" for s in STEPS)} w from x) select b, round(sum(w * v) / sum(w), 8) as mean, sum(w)::bigint as weight from w group by b""")
 def r3_poisson_bootstrap(t):
     k = F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     x = R.poisson_bootstrap(t.lineitem.select(k.alias("k"), c("l_discount").alias("v")), "k", "v", 20, 7)

@@ -13,8 +13,8 @@ from medcorpus.operators import isolation as J
 from medcorpus.operators import records as R
 from medcorpus.operators import sampling as P
 from medcorpus.plans import jobs
-from medcorpus.queries.base import CLS, REPORTS, VQA, query, sql_h, sql_rank, with_
-from medcorpus.queries.cleaning import KEY
+from medcorpus.queries.base import CLS, DIALOGUES, MCQ, REPORTS, VQA, query, sql_h, sql_rank, with_
+from medcorpus.queries.cleaning import FIT, KEY, REASONS, _options
 from medcorpus.sources import readers
 from medcorpus.streaming import incremental
 
@@ -50,12 +50,14 @@ def s2_read_reports_csv(t):
     return readers.read_reports_csv(t.spark, path, "doc_id long, text string")
 
 
-@query("select source, string_agg(text, '' order by doc_id) is not null as read from documents group by source")
+@query("select doc_id, source, md5(coalesce(text, '') || chr(10)) as text_md5 from documents")
 def s3_read_text_docs(t):
     path = _folder(t)
-    t.documents.select("source", "text").repartition("source").write.partitionBy("source").text(path)
+    # every text is a file in a folder of its own, with a line feed at its end; a task writes the files of its rows
+    t.documents.select(F.concat_ws("_", "doc_id", "source").alias("name"), F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("name").text(path)
     x = readers.read_text_docs(t.spark, path + "/*")
-    return x.select(F.regexp_extract("doc_id", "source=([^/]+)/", 1).alias("source"), c("text").isNotNull().alias("read")).distinct()
+    part = lambda k: F.regexp_extract("doc_id", "name=([^_/]+)_([^/]*)/", k)
+    return x.select(part(1).cast("long").alias("doc_id"), part(2).alias("source"), F.md5(c("text").cast("binary")).alias("text_md5"))
 
 
 @query("select source, count(*) as n, sum(length(text))::bigint as chars from documents group by source")
@@ -74,7 +76,7 @@ def s4_read_zip_members(t):
                 z.writestr(f"docs/{p['source'].iloc[0]}_{d}.txt", text or "")
         return pd.DataFrame({"source": [p["source"].iloc[0]], "content": [out.getvalue()]})
 
-    zips = t.documents.select("source", "doc_id", "text", F.pmod("doc_id", F.lit(50)).alias("k")).groupBy("source", "k").applyInPandas(archive, "source string, content binary")
+    zips = t.documents.select("source", "doc_id", "text", F.floor(c("doc_id") / 200).alias("k")).groupBy("source", "k").applyInPandas(archive, "source string, content binary")
     # archives as rows of a binary file table: what binaryFile gives for files
     zips.select("content").write.parquet(path)
     members = t.spark.read.parquet(path).mapInPandas(readers.zip_members("docs/", ".txt"), "name string, text string")
@@ -89,9 +91,10 @@ def s5_read_parquet_source(t):
 @query(with_(CLS) + "select 'cls' as test, tag, item, gold, pred from cls")
 def s6_read_predictions(t):
     path = _folder(t)
-    t.cls.select("tag", "item", "gold", "pred").write.partitionBy("tag").json(path)
-    x = t.spark.read.schema("item long, gold string, pred string, tag string").json(path)
-    return x.select(F.lit("cls").alias("test"), "tag", "item", "gold", "pred")
+    own = t.cls.select("item", "gold", "pred", F.concat(F.lit("cls_"), c("tag"), F.lit("_preds.jsonl")).alias("name"))
+    # a folder named like a prediction file for each model: what the reader takes for its files' names
+    own.write.partitionBy("name").json(path)
+    return readers.read_predictions(t.spark, f"{path}/*_preds.jsonl", "item long, gold string, pred string").select("test", "tag", "item", "gold", "pred")
 
 
 @query("select lang, count(*) as n from documents group by lang")
@@ -103,7 +106,8 @@ def s7_write_training_set(t):
 
 @query("with e as (select source, count(*) + case when source = 'src1' then 1 else 0 end expected, count(*) n from documents group by source) select source, n, expected, n = expected as ok from e")
 def s8_check_expected_counts(t):
-    e = t.documents.groupBy("source").agg((F.count("*") + F.max(F.when(c("source") == "src1", 1).otherwise(0))).alias("expected"))
+    own = t.documents.groupBy("source").agg(F.count("*").alias("expected"))
+    e = own.withColumn("expected", c("expected") + F.when(c("source") == "src1", 1).otherwise(0))
     return readers.check_expected_counts(t.documents, "source", e)
 
 
@@ -118,6 +122,12 @@ def s10_infer_path_root(t):
     return readers.infer_path_root(x, "url", "rel")
 
 
+@query("select page_id, regexp_extract(url, '^([a-z]+://)', 1) as root from pages where starts_with(url, 'https://')")
+def s10_common_path_root(t):
+    x = t.pages.filter(F.startswith("url", F.lit("https://"))).select("page_id", "url", F.regexp_replace("url", "^[a-z]+://", "").alias("rel"))
+    return x.select("page_id", F.lit(readers.common_path_root(x, "url", "rel")).alias("root"))
+
+
 @query("select doc_id, '/root/' || source as image from documents where lang = 'de'")
 def s11_load_vqa_split(t):
     x = t.documents.select("doc_id", c("lang").alias("q_lang"), c("source").alias("img_name"))
@@ -173,6 +183,12 @@ def j7_isolation_matrix(t):
     return J.isolation_matrix(a, b, "lang", "k")
 
 
+@query(f"with {HALVES}, a as (select distinct lang train_group, k from train), b as (select distinct lang test_group, k from test) select train_group, test_group, count(*) as shared from a join b using (k) group by all")
+def j7_group_overlaps(t):
+    a, b = _halves(t)
+    return J.group_overlaps(a, b, "lang", "k")
+
+
 @query(with_(VQA, "s as (select v.*, content in (select source from documents where doc_id % 2 = 1 and lang = 'de') seen from vqa v)") + "select tag, seen, count(*) as n, round(avg((pred = gold)::int), 6) as accuracy from s group by grouping sets ((tag), (tag, seen))")
 def j8_seen_unseen_accuracy(t):
     seen = t.documents.filter("doc_id % 2 = 1 and lang = 'de'").select(c("source").alias("content"))
@@ -187,8 +203,9 @@ def j9_exclude_subjects(t):
 
 @query("select l_orderkey, min(l_linenumber) as line, min_by(l_partkey, (l_linenumber, l_partkey, l_suppkey)) as part from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'P') group by l_orderkey")
 def j10_attach_sections(t):
-    keys = t.orders.filter("o_orderstatus = 'P'").select(c("o_orderkey").alias("l_orderkey"))
-    x = J.first_of_each(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey", "l_linenumber", keys)
+    # orders without a line would be an error here
+    keys = t.orders.filter("o_orderstatus = 'P'").select(c("o_orderkey").alias("l_orderkey")).join(t.lineitem, "l_orderkey", "left_semi")
+    x = J.first_of_each(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey", "l_linenumber", keys, fail=True)
     return x.select("l_orderkey", c("l_linenumber").alias("line"), c("l_partkey").alias("part"))
 
 
@@ -254,6 +271,17 @@ def p1_sample_n(t):
     return P.sample_n(t.documents.select("doc_id"), 50, 42, "doc_id")
 
 
+@query(f"with {SPLIT} select half, count(*) as n, count(*) filter (where doc_id not in (select doc_id from documents where lang = 'en')) as missing from split group by half")
+def j13_split_misses(t):
+    return J.split_misses(t.documents.filter("lang = 'en'"), _split(t), "doc_id")
+
+
+@query(f"with {SPLIT}, r as (select doc_id, half from split union all select doc_id, 'train' from split where doc_id % 5 = 0) select count(*) as n_shared from (select doc_id from r group by doc_id having count(distinct half) > 1)")
+def j7_half_overlap(t):
+    x = _split(t).select("doc_id", "half")
+    return J.half_overlap(x.unionByName(x.filter("doc_id % 5 = 0").withColumn("half", F.lit("train"))), "doc_id")
+
+
 @query(f"select doc_id, quality from labels qualify row_number() over (partition by quality order by {sql_rank(42, 'group', 'doc_id')}, doc_id) <= 40")
 def p2_sample_per_group(t):
     return P.sample_per_group(t.labels.select("doc_id", "quality"), "quality", 40, 42, "doc_id")
@@ -273,7 +301,10 @@ def p4_oversample_per_group(t):
 
 @query(f"with {SPLIT} select doc_id, half from split")
 def p5_stratified_half_split(t):
-    return _split(t).select("doc_id", "half")
+    path = _folder(t)
+    first = P.write_split_once(_split(t).select("doc_id", "half"), path)
+    # a second split does not replace the stored one
+    return P.write_split_once(first.withColumn("half", F.lit("all")), path)
 
 
 @query(f"with r as (select doc_id from documents order by {sql_rank(42, 'ratio', 'doc_id')}, doc_id limit 500) select doc_id, case when row_number() over (order by {sql_rank(42, 'ratio', 'doc_id')}, doc_id) <= (select greatest(1, (count(*) * 0.1)::int) from r) then 'val' else 'train' end as split from r")
@@ -312,7 +343,7 @@ def p11_shortest_k(t):
 
 @query(f"select p_partkey from part where p_size % 3 > 0 order by {sql_rank(42, 'sample', 'p_partkey')}, p_partkey limit 40")
 def p12_single_choice_sample(t):
-    return P.sample_n(t.part.filter("p_size % 3 > 0").select("p_partkey"), 40, 42, "p_partkey").orderBy("p_partkey")
+    return P.sample_exactly(t.part.filter("p_size % 3 > 0").select("p_partkey"), 40, 42, "p_partkey")
 
 
 @query("select event_type, count(*) as n from events group by 1")
@@ -347,7 +378,7 @@ def k4_corpus_stats(t):
 
 @query("select doc_id, length(source || chr(10) || trim(text)) as chars from documents where length(trim(text)) >= 200")
 def k5_min_length_docs(t):
-    return t.documents.filter(F.length(F.trim("text")) >= 200).select("doc_id", F.length(F.concat_ws("\n", "source", F.trim("text"))).alias("chars"))
+    return K.min_length_docs(t.documents, "source", "text", 200).select("doc_id", F.length("text").alias("chars"))
 
 
 @query("select conv_id from (select distinct conv_id from conversations) where conv_id not in (select conv_id from conversations where turn = 3)")
@@ -376,10 +407,36 @@ def w1_build_corpus(t):
     return x.groupBy("source", "split").agg(F.count("*").alias("chunks"), F.sum("n_tokens").alias("tokens"))
 
 
-@query()
+WINDOWS = "list_distinct(list_transform(range(1, length(k) - 18), lambda i: substr(k, i, 20)))"
+
+
+def _pool(source: str, before: str, seed: int) -> str:
+    """SQL of a source's pool in order with its reasons, and of the keys it keeps."""
+    p = f"p{source}"
+    return f"""{p} as (select *, min(spot) filter (where r0 is null and late is null) over (partition by key) f from (select *, ({sql_rank(seed, 'pool', 'conv_id')}, conv_id) spot from b where source = '{source}' order by spot limit 60)),
+    {p}r as (select *, coalesce(r0, case when coalesce(spot > f, false) or {before} then 'duplicate' end, late) reason from {p}), {p}n as (select *, sum((reason is null)::int) over (order by spot) n from {p}r),
+    {p}k as (select conv_id, source, key, reason, n < 20 or (reason is null and n = 20) seen, reason is null and n <= 20 kept, fit from {p}n)"""
+
+
+@query(with_(DIALOGUES, REASONS) + f""", {Q}, asked as (select conv_id, {KEY('m.content')} k from (select conv_id, unnest(cut) m from reasons) where m.role = 'user'), aw as (select conv_id, k, {WINDOWS} ws from asked),
+    hits as (select conv_id, k, len(ws) n, count(*) h from (select *, unnest(ws) w from aw) join win using (w) group by all), bad as (select conv_id from hits where h >= 0.5 * n union select conv_id from asked where k in (select k from q where k <> '')),
+    c as (select conv_id, source::varchar source, reason r0, conv_id in (select conv_id from bad) hit, {KEY('cut[1].content')} key, {FIT.replace('messages', 'cut')} fit from reasons), b as (select conv_id, source, r0, case when hit then 'contaminated' when fit = 0 then 'long' end late, key, fit from c),
+    {_pool('0', 'false', 42)}, {_pool('1', 'key in (select key from p0k where kept)', 43)} select conv_id, source, reason, seen, kept, nullif(fit, 0) * 2 as n from (select * from p0k union all select * from p1k)""")
 def w2_build_dialogues(t):
-    x = jobs.build_dialogues(t.conversations, t.questions, 900, 42, 40)
-    return x.select("conv_id", "reason", "kept", F.size("messages").alias("n"))
+    turns = t.conversations.withColumn("source", (c("conv_id") % 2).cast("string"))
+    x = jobs.build_dialogues(turns, t.questions, {"0": 20, "1": 20}, 900, 42, 3.0, 2, 60, 100)
+    n = F.when(F.size("messages") > 0, F.size("messages")).cast("long")
+    return x.select("conv_id", "source", "reason", "seen", "kept", n.alias("n"))
+
+
+@query(with_(MCQ) + f""", {Q}, r as (select item id, gold, case when p_size % 2 = 0 then 'x' else 'y' end source, p_name || ' ' || p_type question, case when gold = 'D' and p_size % 3 = 0 then 'answer' when p_size % 3 = 0 then 'options' when length(p_name || p_type) < 20 then 'explanation' end reason from mcq where tag = 'base'),
+    p as (select *, {sql_rank(42, 'pool', 'id')} rank, 0 k from r where source = 'x' union all select *, {sql_rank(43, 'pool', 'id')}, 1 from r where source = 'y'), o as (select *, row_number() over (partition by source order by rank, id) rn from p),
+    s as (select *, sum((reason is null)::int) over (partition by source order by rn) n from o where rn <= 60) select id, source, reason, n < 20 or (reason is null and n = 20) as seen, reason is null and n <= 20 as kept from s""")
+def w2_build_exam_rows(t):
+    x = t.mcq.filter("tag = 'base'").withColumn("source", F.when(c("p_size") % 2 == 0, "x").otherwise("y"))
+    m, reason = R.mcq_explain(c("p_name"), _options(), c("gold"), F.concat("p_name", "p_type"))
+    rows = x.select("source", c("item").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("question"), m.alias("messages"), reason.alias("reason"))
+    return jobs.build_exam_rows(rows, t.questions, {"x": 20, "y": 20}, 900, 42).select("id", "source", "reason", "seen", "kept")
 
 
 @query("with " + REPORTS + f""", r as (select patient, study, min(path) path from reports where frontal and patient not in (select c_custkey from customer where c_mktsegment = 'MACHINERY') group by all),

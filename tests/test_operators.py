@@ -149,3 +149,161 @@ def test_corpus_job_conserves_words(spark):
     got = jobs.build_corpus(docs, q, 0.05, 100, 0, 1)
     assert {r.doc_id for r in got.collect()} == set(range(30)) - {3}
     assert got.agg(F.max("n_tokens")).first()[0] <= 100 and got.filter("split = 'val'").count() > 0
+
+
+def test_a_counter_of_nothing():
+    assert K.chunk_document(["Well. ? Yes."], lambda s: len(s.split()) - 1 if s != "?" else 0, 1, shortest=0)
+    assert K.within_limit("", len, 3) == [] and K.within_limit("abcdef", len, 3) == ["abc", "def"]
+
+
+def test_chunks_are_as_large_as_they_can_be():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        sizes, gaps = rng.integers(1, 9, 40), rng.integers(0, 3, 40)
+        begins = K.cut_places(sizes, gaps, 12)
+        cost = lambda a, b: int(sizes[a:b].sum() + gaps[a + 1 : b].sum())
+        for a, b in zip(begins, [*begins[1:], 40], strict=True):
+            assert cost(a, b) <= 12 and (b == 40 or cost(a, b + 1) > 12)
+
+
+def test_every_text_of_a_key_is_judged_by_itself(spark):
+    rng = np.random.default_rng(6)
+    item = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 140))
+    q = spark.createDataFrame([("t", item)], "source string, text string")
+    # each text has 30 of its 80 windows in the index; together they would have 60 of 80
+    other = lambda k: "".join(rng.choice(list("0123456789"), 50))
+    texts = [(1, item[:49] + other(1)), (1, item[40:89] + other(2)), (2, item[:95] + other(3)), (2, "another text of this key that shares nothing with it"), (3, "x" * 60)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    got = sorted((r.id, r.n_hits, r.contaminated) for r in isolation.contamination(df, "id", "text", q).collect())
+    assert got == [(1, 30, False), (1, 30, False), (2, 76, True)]
+    assert sorted(r.id for r in isolation.decontaminate(df, "id", "text", q).collect()) == [1, 1, 3]
+    large = isolation.BROADCAST_WINDOWS
+    try:
+        isolation.BROADCAST_WINDOWS = 0
+        assert sorted((r.id, r.n_hits, r.contaminated) for r in isolation.contamination(df, "id", "text", q).collect()) == got
+    finally:
+        isolation.BROADCAST_WINDOWS = large
+
+
+def test_window_hashes_miss_no_window(spark):
+    rng = np.random.default_rng(9)
+    text = lambda n: "".join(rng.choice(list("abé中👍"), n))
+    index = [text(20) for _ in range(30)]
+    rows = [text(40) + (index[k % 30] if k % 3 else "") + text(7) for k in range(90)] + ["", "short", index[0]]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "id long, k string")
+    got = {r.id for r in df.filter(isolation.shares_window(index, 20)(F.col("k"))).collect()}
+    want = {k for k, x in enumerate(rows) if any(w in x for w in index)}
+    assert want <= got and len(got - want) < 5
+
+
+def dialogue(c, source, *texts):
+    return [(source, c, k, "user" if k % 2 == 0 else "assistant", x) for k, x in enumerate(texts)]
+
+
+def test_dialogues_of_several_sources(spark):
+    asked = "Which of the following drugs lowers blood pressure most in the elderly patient?"
+    answer = "a long enough answer"
+    turns = dialogue("a1", "a", "first question", answer) + dialogue("a2", "a", "First question!", answer) + dialogue("a3", "a", asked, answer, "x" * 400, answer)
+    turns += dialogue("a4", "a", "harmless start", answer, asked, answer) + dialogue("b1", "b", "first question?", answer) + dialogue("b2", "b", "second question", answer) + dialogue("b3", "b", "a question that is too long", "y" * 9000)
+    df = spark.createDataFrame(turns, "source string, conv_id string, turn int, role string, text string")
+    q = spark.createDataFrame([("t", asked)], "source string, text string")
+    out = jobs.build_dialogues(df, q, {"a": 5, "b": 5}, 900, 1, 3.0)
+    got = {r.conv_id: (r.reason, r.kept) for r in out.collect()}
+    one, two = sorted([got["a1"], got["a2"]], key=str)
+    assert {one, two} == {("duplicate", False), (None, True)} and got["a3"] == got["a4"] == ("contaminated", False)
+    assert got["b1"] == ("duplicate", False) and got["b2"] == (None, True) and got["b3"] == ("long", False)
+    from medcorpus.operators.dialogues import target_stats
+
+    stats = {r.source: r for r in target_stats(out, df.groupBy("source").agg(F.count_distinct("conv_id").alias("total")), {"a": 5, "b": 5}).collect()}
+    assert stats["a"].kept == 1 and stats["a"].dropped == {"duplicate": 1, "contaminated": 2} and stats["b"].rounds == {"1": 1}
+
+
+def test_targets_against_a_plain_walk(spark):
+    rng = np.random.default_rng(12)
+    rows = [(str(rng.choice(["x", "y"])), k, [None, None, None, "short"][rng.integers(4)], [None, None, "long"][rng.integers(3)], f"k{rng.integers(25)}", ["m"]) for k in range(160)]
+    df = spark.createDataFrame(rows, "source string, id long, reason string, late_reason string, key string, messages array<string>")
+    out = {r.id: (r.reason, r.seen, r.kept) for r in jobs.fill_targets(df, {"x": 9, "y": 12}, 3.0, 4, once=True).collect()}
+    import hashlib
+
+    seen, want = set(), {}
+    for k, (name, target) in enumerate({"x": 9, "y": 12}.items()):
+        rank = lambda r, k=k: (hashlib.md5(f"{4 + k}:pool:{r[1]}".encode()).hexdigest(), r[1])
+        pool, kept = sorted((r for r in rows if r[0] == name), key=rank)[: int(target * 3.0)], 0
+        for r in pool:
+            if kept == target:
+                break
+            reason = r[2] or ("duplicate" if r[4] in seen else r[3])
+            want[r[1]] = (reason, True, reason is None)
+            if reason is None:
+                seen.add(r[4])
+                kept += 1
+    assert {k: v for k, v in out.items() if v[1]} == want
+
+
+def test_guards(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, "/r/x/1", "x/1"), ("a", 2, "/r/x/2", "x/2"), ("b", 3, "/s/x/3", "x/3")], "source string, id long, full string, rel string")
+    right = spark.createDataFrame([("a", 2), ("b", 1)], "source string, expected long")
+    wrong = spark.createDataFrame([("a", 3), ("b", 1)], "source string, expected long")
+    assert readers.require_expected_counts(df, "source", right).count() == 3
+    with pytest.raises(ValueError, match="a: 2 of 3"):
+        readers.require_expected_counts(df, "source", wrong)
+    with pytest.warns(UserWarning):
+        readers.require_expected_counts(df, "source", wrong, allow=True)
+    assert readers.common_path_root(df.filter("source = 'a'"), "full", "rel") == "/r/"
+    with pytest.raises(ValueError, match="no common root"):
+        readers.common_path_root(df, "full", "rel")
+    keys = spark.createDataFrame([(1,), (9,)], "id long")
+    assert isolation.first_of_each(df, "id", "source", keys).count() == 1
+    with pytest.raises(Exception, match="no row for id 9"):
+        isolation.first_of_each(df, "id", "source", keys, fail=True).collect()
+    with pytest.raises(ValueError, match="4 rows are wanted"):
+        sampling.sample_exactly(df, 4, 1, "id")
+    assert [r.id for r in sampling.sample_in_order(df, 2, 1, "id").collect()] == sorted(r.id for r in sampling.sample_n(df, 2, 1, "id").collect())
+    split = spark.createDataFrame([(1, "train")], "id long, half string")
+    sampling.write_split_once(split, str(tmp_path / "split"))
+    assert sampling.write_split_once(split.withColumn("half", F.lit("test")), str(tmp_path / "split")).first().half == "train"
+
+
+def test_counter_of_a_tokenizer(spark):
+    from medcorpus.functions.text import counter
+    from medcorpus.operators.dialogues import trim_rounds
+
+    df = spark.createDataFrame([(["one two three", "four"],), ([],), (None,)], "t array<string>")
+    words_of = counter(lambda: lambda s: len(s.split()))
+    assert [r[0] for r in df.select(words_of(F.col("t"))).collect()] == [[3, 1], [], None]
+    m = spark.createDataFrame([([("user", "a b"), ("assistant", "c"), ("user", "d"), ("assistant", "e f g")],)], "m array<struct<role: string, content: string>>")
+    assert [len(m.select(trim_rounds(F.col("m"), limit, words_of).alias("x")).first().x or []) for limit in (26, 27, 54, 55)] == [0, 2, 2, 4]
+
+
+def test_validation_walk_against_a_loop(spark):
+    import hashlib
+
+    rng = np.random.default_rng(3)
+    rows = [(f"s{s}", d, k) for s in range(12) for d in range(int(rng.integers(1, 30))) for k in range(int(rng.integers(1, 40)))]
+    got = {(r.source, r.doc_id, r.chunk_no) for r in sampling.val_split_by_document(spark.createDataFrame(rows, "source string, doc_id long, chunk_no int"), 0.05, 3, cap=20).filter("split = 'val'").collect()}
+    want = set()
+    for s in {r[0] for r in rows}:
+        sizes = {d: sum(r[:2] == (s, d) for r in rows) for d in {r[1] for r in rows if r[0] == s}}
+        total = sum(sizes.values())
+        need = min(20, max(1, round(total * 0.05))) if total >= 20 else 0
+        for place, d in enumerate(sorted(sizes, key=lambda d: (hashlib.md5(f"3:val:{d}".encode()).hexdigest(), d))):
+            if need <= 0 or place == len(sizes) - 1:
+                break
+            begin = 0 if sizes[d] <= max(2 * need, 3) else sizes[d] - need
+            want |= {(s, d, k) for k in range(begin, sizes[d])}
+            need -= sizes[d] - begin
+    assert got == want and want
+
+
+def test_paragraphs_of_wrapped_lines(spark):
+    from medcorpus.functions.text import paragraphs
+
+    df = spark.createDataFrame([("one \n two\n\n 中文 \n 行",)], "t string")
+    assert df.select(paragraphs(F.col("t"))).first()[0] == ["one two", "中文  行"]
+
+
+def test_event_windows(spark, tmp_path):
+    spark.sql("select timestamp'2024-01-01 00:01:00' ts, 'a' event_type, 1.0D value union all select timestamp'2024-01-01 00:03:00', 'a', 2.0D union all select timestamp'2024-01-01 00:07:00', 'b', 4.0D").write.parquet(str(tmp_path / "in"))
+    q = incremental.ingest_events(spark, str(tmp_path / "in"), "ts timestamp, event_type string, value double").writeStream.format("memory").queryName("event_counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.event_type, r.n, r.total) for r in spark.table("event_counts").collect()) == [("a", 2, 3.0), ("b", 1, 4.0)]
