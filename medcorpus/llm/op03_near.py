@@ -6,19 +6,27 @@
    a pair at the threshold of 0.85 with a chance of 4e-7.
 3. A candidate pair's signatures are compared batch by batch; it is dropped as soon as the posterior chance that its
    similarity reaches the threshold is below ``MISS``. What survives is verified on the full shingle sets.
-4. First every member of a bucket is compared with the bucket's smallest doc_id. Buckets whose members are then
-   one component need no more. In the others the members are dealt into blocks and the blocks are compared pair
-   by pair, so no task holds a whole bucket; within a pair of blocks only pairs of different components count,
-   each in the first band they share. The most similar pairs of each two components are verified first,
-   and once these have joined what they can, all that still stand between components.
-
-So the number of verified pairs does not grow with the square of a group of copies that are all alike.
-Comparing signatures in a bucket whose members are similar but not linked does take all pairs of its blocks, inside
-tasks; only survivors leave them. Shingles are held as 64-bit hashes.
+4. First every document is compared with one other: of the smallest doc_ids of its buckets the one it shares most
+   buckets with. Buckets whose members are then one component need no more. In the others only pairs of different components count, each in the first band they
+   share. The members of a bucket's largest component are dealt into blocks, so are all its other members, and
+   blocks meet in pairs unless both are of the largest component: a big group of copies is read once for each block of others.
+5. Where blocks meet, a pair is a candidate only if its documents share one of their rarest shingles: of n and m >= n
+   shingles in one fixed order, linked documents must share one of the first n - ceil(2 * t / (1 + t) * n) + 1 and
+   m - ceil(t * m) + 1, where t is the threshold. The order is by how often a shingle occurs among these documents
+   (counted in ``SLOTS`` hash slots, whatever their number). So text that many documents share makes no candidates. Then the
+   signatures are compared, and what passes must have enough 16-bit hashes of shingles in common, which are never fewer than
+   the common shingles; so neither check loses a link. The most similar pairs of each two components are
+   verified first, and once these have joined what they can, all that still stand between components.
+
+So the number of verified pairs does not grow with the square of a group of copies that are all alike, nor with that of a
+group that only shares a frequent passage. What does grow with the square of a bucket is the number of rows sent to
+pairs of blocks, divided by ``BLOCK``, if the bucket holds more than BLOCK documents outside its largest component. Nothing is
+capped. Shingles are held as 64-bit hashes.
 
 Cases: a null or empty text or one of white space has an empty set and is linked with nothing; fewer words than a
 shingle are one shingle; repeated rows are one class; rows with one doc_id and different texts are linked; a null doc_id is linked with
-nothing and has a null component; an empty table gives no rows; other columns are never read.
+nothing and has a null component; a very long text costs its set once for each pair it is verified in; ids must be integers;
+an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -30,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from medcorpus.llm.bitmaps import may_be_in
 from medcorpus.llm.common import saved, sliced, stored, table
 from medcorpus.llm.components import components
 from medcorpus.llm.shingles import MinHasher, set_digest, shingle_set
@@ -37,8 +46,12 @@ from medcorpus.llm.shingles import MinHasher, set_digest, shingle_set
 N_HASHES, BANDS, ROWS = 512, 25, 5
 BATCH = 64
 MISS = 1e-4
-#: Members of a bucket that a task compares with as many others at once.
-BLOCK = 128
+#: Members of a bucket that a task compares with as many others at once, and what they may hold.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
+#: Hash slots in which the shingles of mixed buckets are counted.
+SLOTS = 1 << 18
+#: Pairs whose signatures are compared at once.
+SLICE = 100_000
 #: Best pairs of two components that are verified before all others.
 FIRST = 2
 
@@ -84,6 +97,10 @@ class Verifier:
 
     def survivors(self, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs of rows i of a and j of b that no batch rules out, and their matches."""
+        parts = [self._part(a, b, i[at : at + SLICE], j[at : at + SLICE]) for at in range(0, max(1, len(i)), SLICE)]
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+    def _part(self, a, b, i, j):
         found = np.zeros(len(i), dtype=np.int64)
         for n, least in self.least:
             found = found + (a[i, n - BATCH : n] == b[j, n - BATCH : n]).sum(axis=1)
@@ -108,30 +125,103 @@ def _prune(batches, threshold: float, miss: float):
         yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(kept)) for k in (0, 1)], names=["a", "b"])
 
 
-def _block_pairs(batches, threshold: float, miss: float, first: int):
-    """Rows sorted by group (pair of blocks of a bucket): group, band, side, id, component, n, sig -> surviving pairs across components.
+def _counts(batches):
+    """Rows (id, set) -> how often a task's shingles fall into each slot."""
+    total = np.zeros(SLOTS, dtype=np.int64)
+    for batch in batches:
+        for x in batch.column(1):
+            total += np.bincount((np.frombuffer(x.as_py(), dtype=np.uint64) >> np.uint64(32)).astype(np.int64) % SLOTS, minlength=SLOTS)
+    slots = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(total[slots])], names=["slot", "n"])
+
+
+def rarest(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """So many of the rarest shingles that a document of the wanted similarity must share one of its own with them."""
+    n = len(shingles)
+    order = np.lexsort((shingles, counts[(shingles >> np.uint64(32)).astype(np.int64) % SLOTS]))
+    return shingles[order[: n + 1 + -percent * n // 100]].astype(np.uint32)
+
+
+def _rarest_of(batches, counts: np.ndarray, percent: int):
+    for batch in sliced(batches):
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in batch.column(1).to_pylist()]
+        rare, low = [rarest(x, counts, percent).tobytes() for x in sets], [x.astype(np.uint16).tobytes() for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rare, type=pa.binary()), pa.array(low, type=pa.binary())], names=["id", "rare", "low"])
+
+
+def sharing(rare: list[bytes], n: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of n shingles that share a rare one: of rows of side 0 with those of side 1, or of all if there is no side 1."""
+    sizes = np.array([len(x) // 4 for x in rare])
+    owner = np.repeat(np.arange(len(rare)), sizes)
+    value = np.frombuffer(b"".join(rare), dtype=np.uint32)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # the shorter document of a pair shares one of its very rarest
+    very = place < (n + 1 + -2 * percent * n // (100 + percent))[owner]
+    order = np.lexsort((owner, value))
+    owner, value, very = owner[order], value[order], very[order]
+    begin = np.flatnonzero(np.diff(value, prepend=~value[:1]))
+    length = np.diff(begin, append=len(value))
+    meets = np.zeros((len(rare),) * 2, dtype=bool)
+    for x, y in ((0, 1), (1, 0)):
+        two = begin[length == 2]
+        two = two[very[two + x]]
+        meets[owner[two + x], owner[two + y]] = True
+    for at, k in zip(begin[length > 2].tolist(), length[length > 2].tolist(), strict=True):
+        own = owner[at : at + k]
+        meets[own[very[at : at + k]][:, None], own] = True
+    meets &= n[:, None] <= n
+    meets |= meets.T
+    if side.any():
+        return np.nonzero(meets & (side[:, None] == 0) & (side == 1))
+    return np.nonzero(np.triu(meets, 1))
+
+
+def can_be_linked(low: list[bytes], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Of pairs of rows i and j, those whose 16-bit hashes of shingles have enough in common."""
+    values = [np.frombuffer(x, dtype=np.uint16) for x in low]
+    n = np.array(list(map(len, values)))
+    most = np.empty(len(i), dtype=np.int64)
+    for x, y in ((i, j), (j, i)):
+        order = np.argsort(x, kind="stable")
+        begin = np.flatnonzero(np.diff(x[order], prepend=-1))
+        for at, end in zip(begin, [*begin[1:], len(order)], strict=True):
+            own, others = x[order[at]], y[order[at:end]]
+            held = np.zeros(1 << 16, dtype=bool)
+            held[values[own]] = True
+            sizes = n[others]
+            found = np.add.reduceat(held[np.concatenate([values[k] for k in others])], np.cumsum(sizes) - sizes)
+            most[order[at:end]] = found if x is i else np.minimum(most[order[at:end]], found)
+    return (100 + percent) * most >= percent * (n[i] + n[j])
+
+
+def _block_pairs(batches, percent: int, miss: float, first: int):
+    """Rows sorted by group (pair of blocks of a bucket): group, band, side, id, component, n, sig, rare, low -> surviving pairs across components.
 
     first: of each two components only so many pairs, the most similar; 0: all.
     """
-    verifier, held, key = Verifier(threshold, miss), [], None
+    threshold, held, key = percent / 100, [], None
+    verifier = Verifier(threshold, miss)
 
     def pairs(rows: list[tuple]):
         if len({r[4] for r in rows}) < 2:
             return []
         band = rows[0][1]
         ids, comp, n = (np.array([r[k] for r in rows]) for k in (3, 4, 5))
-        side, sig = np.array([r[2] for r in rows]), _signatures([r[6] for r in rows])
-        within = not side.any()
-        i, j = np.nonzero(np.triu(np.ones((len(rows),) * 2, dtype=bool), 1)) if within else [x.ravel() for x in np.meshgrid(np.nonzero(side == 0)[0], np.nonzero(side == 1)[0], indexing="ij")]
+        i, j = sharing([r[7] for r in rows], n, np.array([r[2] for r in rows]), percent)
         keep = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
-        i, j = i[keep], j[keep]
+        if not keep.any():
+            return []
+        sig = _signatures([r[6] for r in rows])
+        i, j, found = verifier.survivors(sig, sig, i[keep], j[keep])
+        if len(i):
+            keep = can_be_linked([r[8] for r in rows], i, j, percent)
+            i, j, found = i[keep], j[keep], found[keep]
         if band and len(i):
             by_band = sig[:, : BANDS * ROWS].reshape(len(rows), BANDS, ROWS)
             before = np.zeros(len(i), dtype=bool)
             for k in range(band):
                 before |= (by_band[i, k] == by_band[j, k]).all(axis=1)
-            i, j = i[~before], j[~before]
-        i, j, found = verifier.survivors(sig, sig, i, j)
+            i, j, found = i[~before], j[~before], found[~before]
         if first and len(i):
             order = np.lexsort((ids[j], ids[i], -found))
             seen: dict[tuple, int] = {}
@@ -149,7 +239,7 @@ def _block_pairs(batches, threshold: float, miss: float, first: int):
 
     found: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+        for row in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
             if row[0] != key and held:
                 found += pairs(held)
                 held = []
@@ -187,8 +277,9 @@ class Linker:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         percent = self.percent
-        with_a = pairs.join(self.sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-        both = with_a.join(self.sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+        sets = may_be_in(self.sets, "id", pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+        both = with_a.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
         return both.mapInArrow(lambda it: _linked(it, percent), "a bigint, b bigint")
 
 
@@ -198,44 +289,60 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(base.mapInArrow(lambda it: _sign(it, shingle_words), "doc_id bigint, n bigint, digest binary, sig binary"))
     usable = signed.filter("digest is not null and doc_id is not null")
-    classes = saved(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    by_doc = usable.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep")
-    twice = by_doc.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).filter("a <> b").select("a", "b")
     # the place of the band is hashed too, so a bucket is of one band
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * ROWS + 1, ROWS)) for k in range(BANDS)])
-    narrow = usable.select("doc_id", "digest", "n", keys.alias("keys"))
-    reps = narrow.join(classes, "digest").filter("doc_id = rep").dropDuplicates(["rep", "digest"])
-    bands = reps.select(F.col("rep").alias("id"), "n", F.posexplode("keys").alias("band", "bucket"))
-    full = bands.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("leader")).filter("members > 1")
-    members = stored(bands.join(full, "bucket"))
-    needed = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = base.join(needed, "doc_id", "left_semi")
-    sets = stored(texts.select("doc_id", "text").mapInArrow(lambda it: _sets(it, shingle_words), "id bigint, set binary"))
+    reps = stored(usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n", keys.alias("keys"))).alias("rep")))
+    classes = reps.select("digest", F.col("rep.doc_id").alias("rep"))
+    by_doc = usable.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep")
+    twice = by_doc.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).filter("a <> b").select("a", "b")
+    bands = reps.select(F.col("rep.doc_id").alias("id"), F.col("rep.n").alias("n"), F.posexplode("rep.keys").alias("band", "bucket"))
+    full = stored(bands.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("leader")).filter("members > 1"))
+    members = stored(may_be_in(bands, "bucket", full).join(full, "bucket"))
+    needed = stored(members.select(F.col("id").alias("doc_id")).distinct())
+    # one pass over the texts of documents that are in a bucket, where they lie
+    sets = stored(may_be_in(base.filter("doc_id is not null"), "doc_id", needed, then=lambda it: _sets(it, shingle_words), schema="id bigint, set binary"))
     linker = Linker(sets, percent)
-    sig = stored(usable.join(needed, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "sig"))
+    sig = stored(may_be_in(usable.select(F.col("doc_id").alias("id"), "sig"), "id", needed, "doc_id"))
 
-    star = members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    # a document's leader of most buckets is the one it is most like
+    star = members.filter("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("shared"))
+    star = star.groupBy("id").agg(F.max(F.struct("shared", (-F.col("leader")).alias("back"))).alias("best"))
+    star = stored(star.select((-F.col("best.back")).alias("a"), F.col("id").alias("b")))
     with_a = star.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
     with_b = with_a.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
-    pruned = with_b.mapInArrow(lambda it: _prune(it, threshold, miss), "a bigint, b bigint")
+    pruned = stored(with_b.mapInArrow(lambda it: _prune(it, threshold, miss), "a bigint, b bigint"))
     edges = saved(linker.links(pruned).unionByName(twice))
     labels = components(edges)
-    checked = star
+    checked, payload = star, None
     for first in (FIRST, 0):
-        at = members.join(labels, "id", "left").select("id", "n", "band", "bucket", "members", F.coalesce("component", "id").alias("component"))
-        mixed = at.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-        at = at.join(mixed, "bucket").join(sig, "id").withColumn("blocks", blocks)
-        at = at.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        at = members.join(labels, "id", "left").select("id", "n", "band", "bucket", F.coalesce("component", "id").alias("component"))
+        size = F.count("*").alias("own")
+        mixed = at.groupBy("bucket", "component").agg(size, F.sum("n").alias("shingles")).groupBy("bucket")
+        mixed = mixed.agg(F.max(F.struct("own", "component")).alias("top"), F.sum("own").alias("members"), F.sum("shingles").alias("shingles"), F.count("*").alias("components"))
+        # a member holds its signature, its share of rarest shingles, and two bytes a shingle
+        mean = F.lit(N_HASHES) + F.col("shingles") / F.col("members") * ((1 - threshold) * 4 + 2)
+        most = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_BYTES / mean)))
+        blocks = lambda rows: F.ceil(rows / most).cast("int")
+        mixed = saved(mixed.filter("components > 1").select("bucket", F.col("top.component").alias("top"), blocks(F.col("top.own")).alias("tops"), blocks(F.col("members") - F.col("top.own")).alias("others")))
+        at = saved(at.join(mixed, "bucket"))
+        if payload is None:
+            own = sets.join(at.select("id").distinct(), "id", "left_semi")
+            counted = own.mapInArrow(_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+            counts = np.zeros(SLOTS, dtype=np.int64)
+            counts[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+            rare = own.mapInArrow(lambda it, counts=counts: _rarest_of(it, counts, percent), "id bigint, rare binary, low binary")
+            payload = stored(sig.join(rare, "id"))
+        at = at.withColumn("is_top", F.col("component") == F.col("top"))
+        within = F.pmod(F.xxhash64("id"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("others"))).cast("int")
+        at = at.withColumn("own", F.when(F.col("is_top"), within).otherwise(F.col("tops") + within))
+        at = at.withColumn("other", F.explode(F.sequence(F.when(F.col("is_top"), F.col("tops")).otherwise(F.lit(0)), F.col("tops") + F.col("others") - 1)))
         group = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-        at = at.select(group.alias("group"), "band", (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component", "n", "sig")
-        at = at.repartition("group").sortWithinPartitions("group")
-        found = at.mapInArrow(lambda it, first=first: _block_pairs(it, threshold, miss, first), "a bigint, b bigint").distinct()
+        at = at.select(group.alias("group"), "band", (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component", "n")
+        at = at.join(payload, "id").select("group", "band", "side", "id", "component", "n", "sig", "rare", "low").repartition("group").sortWithinPartitions("group")
+        found = at.mapInArrow(lambda it, first=first: _block_pairs(it, percent, miss, first), "a bigint, b bigint").distinct()
         found = saved(found.join(checked, ["a", "b"], "left_anti"))
         checked = checked.unionByName(found)
         new = saved(linker.links(found))
-        edges = edges.unionByName(new)
         labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new))
     final = by_doc.join(labels.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left")

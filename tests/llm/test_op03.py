@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from medcorpus.llm.components import components
-from medcorpus.llm.op03_near import least_matches, near_duplicates
+from medcorpus.llm.op03_near import Linker, can_be_linked, least_matches, near_duplicates, op3_near_dedup, rarest, sharing
 from medcorpus.llm.shingles import find_words, lowered
 
 
@@ -66,3 +66,43 @@ def test_components_of_a_path(spark):
 def test_least_matches():
     assert least_matches(512, 0.85, 1e-4) < 512 * 0.8 < least_matches(512, 0.85, 0.5)
     assert np.all(np.diff([least_matches(512, t, 1e-4) for t in (0.5, 0.7, 0.9)]) > 0)
+
+
+def test_alike_but_unlinked_texts_make_few_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(5000)]
+    head = [rng.choice(words) for _ in range(52)]
+    pairs, links = [], Linker.links
+    monkeypatch.setattr(Linker, "links", lambda self, found: pairs.append(found.count()) or links(self, found))
+    made = []
+    for n in (200, 400):
+        pairs.clear()
+        rows = [(k, " ".join([*head, *(rng.choice(words) for _ in range(8))])) for k in range(n)]
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+        assert all(r.kept for r in got) and len(got) == n
+        made.append(sum(pairs))
+    assert made[1] < 3 * made[0] + 200 and made[1] < 4000
+
+
+def test_linked_sets_share_a_rarest_shingle():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 9, 1 << 18)
+    base = [np.unique(rng.integers(0, 1 << 63, rng.integers(1, 80), dtype=np.uint64)) for _ in range(12)]
+    new = lambda n: rng.integers(0, 1 << 63, rng.integers(0, 1 + n // 8), dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(a)[: len(a) - rng.integers(0, 1 + len(a) // 8)], new(len(a))])) for a in base * 12]
+    n = np.array(list(map(len, sets)))
+    linked = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (n[i] + n[j] - k)}
+    found = sharing([rarest(s, counts, 80).tobytes() for s in sets], n, np.zeros(len(sets), dtype=int), 80)
+    assert linked and linked <= set(zip(*(c.tolist() for c in found), strict=True))
+    i, j = np.nonzero(np.triu(np.ones((len(sets),) * 2, dtype=bool), 1))
+    may = can_be_linked([s.astype(np.uint16).tobytes() for s in sets], i, j, 80)
+    passed = set(zip(i[may].tolist(), j[may].tolist(), strict=True))
+    assert linked <= passed and len(passed) <= len(linked) + 5
+
+
+def test_very_long_and_registered(spark, tmp_path):
+    rng = random.Random(2)
+    long = [f"w{rng.randrange(50_000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:-50], "end"])), (3, "short one here"), (4, None)]
+    spark.createDataFrame([(a, b, a) for a, b in rows], "doc_id long, text string, component_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in op3_near_dedup(spark, str(tmp_path)).collect()} == brute(rows, 3, 85)
