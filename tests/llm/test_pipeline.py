@@ -67,3 +67,31 @@ def test_stages(spark, tmp_path):
     firsts = {d for d, _, _, own in brute(left, 5, 80) if own}
     assert packed == firsts - hit
     assert sum(r.length for r in got) == sum(len(r.ids) for r in got) and find_words(lowered("A b")) == ["a", "b"]
+
+
+def test_edge_cases_of_every_stage(spark, tmp_path):
+    item = "the quick brown fox jumps over the lazy dog by the river bank"
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    text = " ".join(rng.choice(words) for _ in range(80))
+    long = " ".join(rng.choice(words) for _ in range(50_000))
+    rows = [(1, text), (1, text), (2, text + " more"), (3, long), (4, long + " tail"), (5, None), (6, ""), (7, " \n"), (None, "no id here"), (None, "no id here"), (8, f"x {item} y"), (1, "another text of document one")]
+    docs = spark.createDataFrame([(d, t, "en", 1, 2, True, "c") for d, t in rows], "doc_id long, text string, lang string, row long, print long, kept boolean, component_id string")
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (8, None, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stage, folder = dict(corpus_pipeline.STAGES), str(tmp_path)
+    texts = lambda df: sorted(((r.doc_id, (r.text or "")[:40]) for r in df.collect()), key=str)
+    all_of = lambda own: sorted(((d, (t or "")[:40]) for d, t in own), key=str)
+
+    good = stage["quality"](spark, docs, folder)
+    assert good.columns == docs.columns and set(texts(good)) <= set(all_of(rows))
+    single = stage["exact"](spark, docs, folder)
+    assert single.columns == docs.columns and texts(single) == all_of([(1, text), (2, text + " more"), (3, long), (4, long + " tail"), (6, ""), (7, " \n"), (None, "no id here"), (8, f"x {item} y"), (1, "another text of document one")])
+    near = stage["near"](spark, docs, folder)
+    assert near.columns == docs.columns and texts(near) == all_of([r for r in rows if r[0] not in (2, 4)])
+    clean = stage["decontaminate"](spark, docs, folder)
+    assert clean.columns == docs.columns and texts(clean) == all_of([r for r in rows if r[0] != 8])
+    packed = stage["packing"](spark, docs, folder).collect()
+    assert sum(r.doc_id == 5 for r in packed) == 1 and sum(r.length for r in packed if r.doc_id == 3) > 50_000
+    for f in stage.values():
+        assert f(spark, docs.limit(0), folder).count() == 0
