@@ -3,17 +3,20 @@
 A test item of m characters may occur with up to k = floor(m * error) edits. Cut into k + 1 pieces, at least one
 piece of such an occurrence is unchanged. All pieces of all items are found in one Aho-Corasick pass over each
 document; every hit names an item and a place, hits of one item at nearby places are one window, and in each window
-Myers' bit-parallel distance decides and gives the best occurrence. The search is exact: every occurrence
-within the budget is found.
+Myers' bit-parallel distance decides and gives the window's best occurrence. The search is exact: every document and item
+with an occurrence within the budget is found. By default a document's best occurrence of an item is returned; with ``every``
+all that do not overlap are, best first, one for each window.
 
 Text is compared lower-cased with white space as blanks, one character for one, so places are those of the document.
 
 The items are the stated query set: they go to the executors in blocks of at most ``BLOCK_CHARS`` characters, and the
-documents are read once for each block. Documents are neither shuffled nor collected.
+documents are read once for each block. The driver holds one block at a time; if there are more, what a block finds is stored
+before the next is read. Documents are neither shuffled nor collected.
 
 Cases: null and empty items match nothing; items shorter than ``MIN_CHARS`` match only as they are (no edits); a null
-or empty document has no match; repeated rows are matched once each; repeated items give a row each; other columns are
-never read; an empty table of either kind gives no rows.
+or empty document has no match; very long texts are searched whole; of occurrences of equal distance the first counts; repeated
+rows are matched once each; repeated items give a row each; item ids must be integers; other columns are never read, whatever
+their names; an empty table of either kind gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medcorpus.llm.common import sliced, table
+from medcorpus.llm.common import sliced, stored, table
 
 ERROR = 0.08
 MIN_CHARS = 30
@@ -103,8 +106,8 @@ class Matcher:
         if self.items:
             self.automaton.make_automaton()
 
-    def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, end, distance) of the best occurrence of each item within its budget."""
+    def find(self, text: str, every: bool = False) -> list[tuple[int, int, int, int]]:
+        """(item_id, start, end, distance) of the best occurrence of each item within its budget, or of every one that overlaps no better."""
         if not self.items or not text:
             return []
         low, hits = plain(text), {}
@@ -114,7 +117,7 @@ class Matcher:
         found = []
         for k, starts in hits.items():
             item_id, item, edits, pattern, reverse = self.items[k]
-            best, done = None, -1
+            own, done = [], -1
             starts.sort()
             i = 0
             while i < len(starts):
@@ -126,43 +129,50 @@ class Matcher:
                 b = min(len(low), starts[j] + len(item) + edits)
                 i = bisect_right(starts, starts[j], lo=j)
                 distance, end = pattern.best_end(low[a:b])
-                if distance <= edits and (best is None or distance < best[2]):
+                if distance <= edits and (every or not own or distance < own[0][0]):
                     tail = low[max(0, a + end - len(item) - edits) : a + end][::-1]
-                    best = (a + end - reverse.best_end(tail)[1], a + end, distance)
-            if best:
-                found.append((item_id, *best))
+                    hit = (distance, a + end - reverse.best_end(tail)[1], a + end)
+                    own = [*own, hit] if every else [hit]
+            kept: list[tuple[int, int, int]] = []
+            for hit in sorted(own):
+                if all(hit[2] <= x[1] or x[2] <= hit[1] for x in kept):
+                    kept.append(hit)
+            found += [(item_id, b, e, d) for d, b, e in kept]
         return found
 
 
-def _match(batches, items, error: float, min_chars: int):
+def _match(batches, items, error: float, min_chars: int, every: bool):
     matcher = Matcher(items, error, min_chars)
     for batch in sliced(batches):
-        rows = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in matcher.find(text or "")]
+        rows = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in matcher.find(text or "", every)]
         if rows:
             types = (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "item_id", "start", "end", "distance"])
 
 
-def _blocks(items: DataFrame, block_chars: int) -> list[list[tuple[int, str]]]:
-    """items(item_id, text) in blocks of about block_chars characters; one empty block if there are none."""
+def _blocks(items: DataFrame, block_chars: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """The number of blocks of about block_chars characters of items(item_id, text), one at least, and the blocks one after another."""
     items = items.select(F.col("item_id").cast("long"), "text").filter("length(text) > 0")
     n = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[tuple(r) for r in items.filter(part == k).orderBy("item_id", "text").collect()] for k in range(n)]
+    return n, ([tuple(r) for r in items.filter(part == k).orderBy("item_id", "text").collect()] for k in range(n))
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, error: float = ERROR, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, start, end, distance: the best occurrence of each item(item_id, text) in each document that has one."""
+def find_contamination(docs: DataFrame, items: DataFrame, error: float = ERROR, min_chars: int = MIN_CHARS, every: bool = False, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, item_id, start, end, distance: the best occurrence of each item(item_id, text) in each document that has one, or every one."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {dict(base.dtypes)['doc_id']}, item_id long, start long, end long, distance long"
-    found = [base.mapInArrow(lambda it, own=own: _match(it, own, error, min_chars), schema) for own in _blocks(items, block_chars)]
-    return reduce(DataFrame.unionByName, found)
+    n, blocks = _blocks(items, block_chars)
+    found = (base.mapInArrow(lambda it, own=own: _match(it, own, error, min_chars, every), schema) for own in blocks)
+    return next(found) if n == 1 else reduce(DataFrame.unionByName, map(stored, found))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, error: float = ERROR, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS, text_col: str = "text") -> DataFrame:
     """The rows of docs in which no item occurs, all their columns unchanged."""
-    for own in _blocks(items, block_chars):
+    n, blocks = _blocks(items, block_chars)
+    for own in blocks:
         docs = docs.filter(_is_clean(own, error, min_chars)(F.col(text_col)))
+        docs = docs if n == 1 else stored(docs)
     return docs
 
 

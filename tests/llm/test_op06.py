@@ -2,7 +2,7 @@
 
 import random
 
-from medcorpus.llm.op06_decontam import Matcher, Pattern, find_contamination, plain
+from medcorpus.llm.op06_decontam import Matcher, Pattern, drop_contaminated, find_contamination, op6_decontam, plain
 
 
 def distance_within(item, text):
@@ -52,3 +52,31 @@ def test_all_within_budget_are_found(spark):
 
 def test_no_items():
     assert Matcher([], 0.1, 30).find("text") == []
+
+
+def test_every_occurrence():
+    rng = random.Random(4)
+    item = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(6)) for _ in range(9))
+    changed = item[:20] + "X" + item[21:]
+    text = f"first {item} then {changed} and {item} end"
+    matcher = Matcher([(1, item)], 0.08, 30)
+    assert matcher.find(text) == [(1, 6, 6 + len(item), 0)]
+    found = sorted(matcher.find(text, every=True), key=lambda m: m[1])
+    assert [(m[3], text[m[1] : m[2]]) for m in found] == [(0, item), (1, changed), (0, item)]
+
+
+def test_registered_query_and_edge_cases(spark, tmp_path):
+    item = "the quick brown fox jumps over the lazy dog by the river bank"
+    long = "word " * 200_000
+    rows = [(1, f"a {item} b"), (1, f"a {item} b"), (2, long + item.upper()), (3, long), (4, None), (5, ""), (None, item)]
+    docs = spark.createDataFrame([(d, t, 1, 2, 3) for d, t in rows], "doc_id long, text string, item_id long, start long, distance int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, item), (7, item), (8, "an item that is nowhere to be found in any of these texts")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((tuple(r) for r in op6_decontam(spark, str(tmp_path)).collect()), key=str)
+    want = [(d, 7, a, a + len(item), 0) for d, a in ((1, 2), (1, 2), (2, len(long)), (None, 0)) for _ in range(2)]
+    assert got == sorted(want, key=str)
+    items = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    for block in (4_000_000, 50):
+        left = drop_contaminated(docs, items, block_chars=block)
+        assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5]
+    assert find_contamination(docs.limit(0), items).count() == 0 and find_contamination(docs, items.limit(0)).count() == 0
