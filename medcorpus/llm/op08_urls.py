@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medcorpus.llm.common import lower_ascii, table
+from medcorpus.llm.common import lower_ascii, stored, table
 
 #: Rules of the contract: action, host, path.
 RULES = (
@@ -88,7 +88,8 @@ def _strength(groups: DataFrame, n: str, bad: str, mean: str) -> float:
 def host_reputation(outcomes: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
     """Per host of outcomes (host, bad 0/1), or per distinct host of hosts (host) if given: n, mean and lower bound of the posterior bad share, shrunk level by level."""
     domain, suffix = host_levels(F.col("host"))
-    known = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum("bad").cast("double").alias("bad")).filter("n > 0")
+    # one row a host with outcomes; read by every fit below
+    known = stored(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum("bad").cast("double").alias("bad")).filter("n > 0"))
     levels = known.withColumns({"domain": domain, "suffix": suffix})
     domains = levels.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("db"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
@@ -163,14 +164,18 @@ def _oracle() -> str:
     h as (select host, n, bad, case when two in ({two}) then array_to_string(list_slice(a, -3, -1), '.') else two end domain, case when two in ({two}) then two else a[-1] end suffix from h1),
     d0 as (select domain, suffix, sum(n) dn, sum(bad) db from h group by 1, 2),
     s0 as (select suffix, sum(dn) sn, sum(db) sb from d0 group by 1),
-    g as (select coalesce((sum(sb) + 0.5) / (sum(sn) + 1), 0.5) share from s0), s1 as (select s0.*, share m0 from s0, g),
+    g as (select coalesce((sum(sb) + 0.5) / (sum(sn) + 1), 0.5) share, coalesce(sum(sn), 0) > 0 any_known from s0), s1 as (select s0.*, share m0 from s0, g),
     sk as {strength('s1', 'sn', 'sb', 'm0')}, s as (select suffix, (sb + k * m0) / (sn + k) sm from s1, sk),
     d1 as (select d0.*, sm from d0 join s using (suffix)), dk as {strength('d1', 'dn', 'db', 'sm')},
     d as (select domain, suffix, (db + k * sm) / (dn + k) dm from d1, dk),
     h2 as (select h.*, dm from h join d using (domain, suffix)), hk as {strength('h2', 'n', 'bad', 'dm')},
-    r as (select host, (bad + k * dm) / (n + k) mean, n + k + 1 nk from h2, hk)
+    ph as (select distinct host, string_split(host, '.') a, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') two from p),
+    pl as (select host, case when two in ({two}) then array_to_string(list_slice(a, -3, -1), '.') else two end domain, case when two in ({two}) then two else a[-1] end suffix from ph),
+    shares as (select hk.k kh, kh / (kh + 1) a, dk.k / (dk.k + 1) b, sk.k / (sk.k + 1) c, share, any_known from hk, dk, sk, g),
+    r as (select pl.host, (coalesce(bad, 0) + kh * coalesce(dm, sm, share)) / (coalesce(n, 0) + kh) mean, case when n > 0 then 1 / (n + kh + 1) when dm is not null then 1 - a when sm is not null then 1 - a * b else 1 - a * b * c end part
+        from pl left join h0 on h0.host = pl.host left join d on d.domain = pl.domain and d.suffix = pl.suffix left join s on s.suffix = pl.suffix, shares where any_known)
     select page_id, p.host, path, {case(lambda a, h, p: h + p)} end as rule,
-    {case(lambda a, h, p: a)} when mean - {BOUND_Z} * sqrt(mean * (1 - mean) / nk) > {MAX_BAD} then 'block' else 'allow' end as verdict
+    {case(lambda a, h, p: a)} when mean - {BOUND_Z} * sqrt(mean * (1 - mean) * part) > {MAX_BAD} then 'block' else 'allow' end as verdict
     from p left join r using (host)"""
 
 
