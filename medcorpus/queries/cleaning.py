@@ -127,7 +127,7 @@ def c17_problem_list(t):
     return t.part.select("p_partkey", T.problem_list(made).alias("problems"))
 
 
-@query(with_(SCREEN) + "select item, ['The lungs are clear.  .', 'There is a right pleural effusion and consolidation.', 'Normal chest X-ray  but the heart is enlarged.', 'Within normal limits.'][kind + 1] as rest from screen")
+@query(with_(SCREEN) + "select item, rest from screen")
 def c18_negation_scrub(t):
     return t.screen.select("item", T.negation_scrub(c("desc")).alias("rest"))
 
@@ -350,18 +350,22 @@ ZH_FOLD = "['yes', 'no', 'yes', 'no', 'other', 'yes', 'no', 'other', 'yes', 'no'
 
 
 def _zh(t):
-    words = F.array(*[F.lit(x) for x in ZH])
-    return t.part.select("p_partkey", F.get(words, (c("p_partkey") % 10).cast("int")).alias("g"), F.get(words, (c("p_size") % 10).cast("int")).alias("p"))
+    """g and p: one of the words and a piece of the part's name or brand."""
+    words, end = F.array(*[F.lit(x) for x in ZH]), F.substring("p_name", 1, 4)
+    own = F.when(c("p_size") % 3 == 0, end).otherwise(F.substring("p_brand", -2, 2))
+    return t.part.select("p_partkey", F.concat(F.get(words, (c("p_partkey") % 10).cast("int")), end).alias("g"), F.concat(F.get(words, (c("p_size") % 10).cast("int")), own).alias("p"))
 
 
-@query(f"""select p_partkey, g as yn, case when g <> 'other' then (p = g)::int::double else (p_partkey % 10 = p_size % 10)::int::double end as closed, (p_partkey % 10 = p_size % 10)::int::double as em
-    from (select *, {ZH_FOLD}[p_partkey % 10 + 1] g, {ZH_FOLD}[p_size % 10 + 1] p from part)""")
+ZH_PARTS = f"""zh as (select p_partkey, {ZH_FOLD}[p_partkey % 10 + 1] gy, {ZH_FOLD}[p_size % 10 + 1] py, lower(regexp_replace({ZH_SQL}[p_partkey % 10 + 1] || p_name[1:4], '[\\s。！]', '', 'g')) g,
+    lower(regexp_replace({ZH_SQL}[p_size % 10 + 1] || case when p_size % 3 = 0 then p_name[1:4] else p_brand[-2:] end, '[\\s。！]', '', 'g')) p from part)"""
+
+
+@query(with_(ZH_PARTS) + "select p_partkey, gy as yn, case when gy <> 'other' then (py = gy)::int::double else (p = g)::int::double end as closed, (p = g)::int::double as em from zh")
 def m8_closed_score_zh(t):
     return _zh(t).select("p_partkey", S.yes_no_zh(c("g")).alias("yn"), S.closed_score_zh(c("p"), c("g")).alias("closed"), S.exact_match_zh(c("p"), c("g")).alias("em"))
 
 
-@query(f"""select p_partkey, round(coalesce({OVERLAP('g', 'p')}, 0) / len(g), 6) as recall, round(2.0 * coalesce({OVERLAP('g', 'p')}, 0) / (len(g) + len(p)), 6) as f1 from (select p_partkey,
-    string_split(lower(regexp_replace({ZH_SQL}[p_partkey % 10 + 1], '[\\s。！]', '', 'g')), '') g, string_split(lower(regexp_replace({ZH_SQL}[p_size % 10 + 1], '[\\s。！]', '', 'g')), '') p from part)""")
+@query(with_(ZH_PARTS) + f"select p_partkey, round(coalesce({OVERLAP('g', 'p')}, 0) / len(g), 6) as recall, round(2.0 * coalesce({OVERLAP('g', 'p')}, 0) / (len(g) + len(p)), 6) as f1 from (select p_partkey, string_split(g, '') g, string_split(p, '') p from zh)")
 def m9_char_scores_zh(t):
     return _zh(t).select("p_partkey", F.round(S.char_recall_zh(c("p"), c("g")), 6).alias("recall"), F.round(S.char_f1_zh(c("p"), c("g")), 6).alias("f1"))
 
@@ -392,18 +396,18 @@ def m11_parse_choice(t):
     return choices(t).select("tag", "item", "pred")
 
 
-@query(with_(SCREEN) + "select item, kind = 3 as normal, kind in (1, 2) as any_word, kind = 1 as lung from screen")
+@query(with_(SCREEN) + "select item, claim and not found as normal, found as any_word, lung from screen")
 def m12_says_normal(t):
     return t.screen.select("item", S.says_normal(c("desc")).alias("normal"), S.reports_any(c("desc")).alias("any_word"), S.reports_lung(c("desc")).alias("lung"))
 
 
-@query(with_(SCREEN) + """select item, unnest(case kind when 1 then ['Consolidation', 'Lung Opacity', 'Pleural Effusion'] when 2 then ['Cardiomegaly'] else [] end) as finding from screen""")
+@query(with_(SCREEN) + "select item, unnest(findings) as finding from screen")
 def m13_mentions_finding(t):
     found = F.array(*[F.when(S.mentions(c("desc"), p), name) for name, p in S.FINDINGS.items()])
     return t.screen.select("item", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("finding"))
 
 
-@query(with_(SCREEN) + "select item, kind = 2 as modality, kind <> 3 as location from screen")
+@query(with_(SCREEN) + "select item, xray as modality, chest as location from screen")
 def m14_attribute_ok(t):
     return t.screen.select("item", S.lexicon_ok(c("desc"), F.lit("X-Ray"), S.MODALITY).alias("modality"), S.lexicon_ok(c("desc"), F.lit("Chest_mediastinal"), S.LOCATION | {"Chest_mediastinal": r"lung|pleura|heart|chest"}).alias("location"))
 

@@ -77,7 +77,7 @@ def a6_binary_screen_report(t):
     return rounded(A.screen_report(t.screen), "accuracy", "sensitivity", "specificity", "yes_rate")
 
 
-@query(with_(SCREEN) + """, x as (select round(avg((kind not in (1, 2))::int) filter (where label = 1), 6) as missed, round(avg((kind not in (1, 2))::int) filter (where label = 0), 6) as quiet_normal, count(*) filter (where closed = 'yes' and kind not in (1, 2)) as contradictions from screen)
+@query(with_(SCREEN) + """, x as (select round(avg((not found)::int) filter (where label = 1), 6) as missed, round(avg((not found)::int) filter (where label = 0), 6) as quiet_normal, count(*) filter (where closed = 'yes' and not found) as contradictions from screen)
     select *, round(quiet_normal - missed, 4) as discrimination from x""")
 def a7_omission_report(t):
     x = A.omission_report(t.screen.withColumn("reports", S.reports_any(c("desc"))))
