@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -49,7 +50,13 @@ def strip_attribution(col: Column) -> Column:
 
 
 def hits(col: Column, pattern: str) -> Column:
-    """All matches of a pattern."""
+    """All matches of a pattern. If it is a list of plain words, a place is tried only where one of their first characters can be."""
+    if re.fullmatch(r"[^\\()\[\]{}.*+?^$|-]+(\|[^\\()\[\]{}.*+?^$|-]+)*", pattern):
+        firsts = sorted({w[0] for w in pattern.split("|")})
+        latin, beyond = [c for c in firsts if c < "\u0100"], [c for c in firsts if c >= "\u0100"]
+        # one range for all that are not Latin: quick to test
+        span = f"{beyond[0]}-{beyond[-1]}" if beyond else ""
+        pattern = f"(?=[{''.join(latin)}{span}])(?:{pattern})"
     return F.regexp_extract_all(text_of(col), F.lit(f"({pattern})"), F.lit(1))
 
 
