@@ -1,25 +1,29 @@
-"""Substring deduplication by anchored windows of words, in place of suffix trees.
+"""Substring deduplication by prefix-partitioned suffix trees of words.
 
-A window of 13 words is repeated if a document with a smaller doc_id has it too. No suffix tree
-is built and no common-prefix length computed, since indexing every suffix would move the corpus many times over:
-stored suffixes start at anchors only and end a window after them. A window's anchor is the
-run of ``PREFIX`` words in it with the smallest hash; equal windows have the same anchor at the same place.
+A window of 13 words is repeated if a document with a smaller doc_id has it too. The trees hold the suffixes that begin
+at anchors: a window's anchor is the run of ``PREFIX`` words in it with the smallest hash, so equal windows have the same
+anchor at the same place, and the other suffixes need not be moved. Each suffix carries the words to its left that a
+window can reach, and ends a window after its anchor.
 
 1. Anchors that a single text has cannot be part of a repeat: their prefix leads to a leaf. They are found by
    counting, pre-aggregated, and left out.
-2. The other anchors' suffixes, with the words to their left, are dealt by prefix into groups.
-   A prefix too frequent for one task is lengthened by a word and then split by salt; groups
-   follow one another in a sorted stream, and a task holds about ``CHUNK`` suffixes at a time.
-3. For each of the RUNS places that an anchor can have in a window, a group's windows are sorted and equal neighbours
-   make a node: every window whose document is not the node's first is repeated. Longer repeats are runs of such
-   windows. Of split groups the first documents are compared once more by node.
-
-A text that equals that of a smaller doc_id is a repeat as a whole and needs no tree. Words are compared as 32-bit
-codes beside the 64-bit hash of the anchor.
+2. The other suffixes are dealt by their prefix, so each group is a subtree. A prefix too frequent for one task is
+   lengthened by a word; if it is still too frequent, its suffixes are dealt over several partial subtrees, of which
+   each node names its first document, and those are compared once more. Groups follow one another in a
+   sorted stream, and a task holds about ``CHUNK`` suffixes at a time.
+3. A subtree is its sorted suffixes with the lengths of their neighbours' common prefixes; an internal node of depth d is a
+   run of suffixes that share d words or more with their neighbours. The words on the left, read backwards, make a second
+   tree in the same way. Two windows that begin j words before their anchors are equal if their suffixes are below
+   one node of depth 13 - j of the first tree and one of depth j of the second: every window whose document is
+   not the first there is repeated. A maximal repeat of more than 13 words is the union of its windows.
+
+A text that equals that of a smaller doc_id is a repeat as a whole and needs no tree; such texts are found by their MD5, and
+by the text itself where rows share a doc_id. Words are compared as 32-bit codes beside the 64-bit hash of the anchor.
 
 Cases: a null or empty text has no words; texts shorter than a window lose nothing; repeats inside one document
-do not count; rows that share a doc_id are each judged by themselves and never repeat one another; a null doc_id neither
-repeats nor is repeated; other columns are never read; an empty table gives no rows.
+do not count; very long texts are more suffixes, dealt like all others; rows that share a doc_id are each judged by themselves
+and never repeat one another; a null doc_id neither repeats nor is repeated; ids must be integers; other columns are
+never read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ WINDOW, PREFIX = 13, 5
 #: Runs of PREFIX words in a window, and the words kept on the left of an anchor.
 RUNS = WINDOW - PREFIX + 1
 #: Suffixes that a group may hold, and that a task sorts at a time.
-GROUP_ROWS, CHUNK = 20_000, 200_000
+GROUP_ROWS, CHUNK = 8_000, 200_000
 _BLANK = np.iinfo(np.int64).min
 
 
@@ -140,15 +144,24 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _deep_nodes(group: np.ndarray, doc: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted order of the suffixes, and for each in that order the number of its node of full depth.
+def sorted_suffixes(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows of words within their groups, and each one's common prefix with the row before it (-1: other group)."""
+    n, width = words.shape
+    even = np.zeros((n, width + width % 2), dtype=np.uint64)
+    even[:, :width] = words
+    pairs = even[:, ::2] << np.uint64(32) | even[:, 1::2]
+    order = np.lexsort((*pairs.T[::-1], group))
+    differ = words[order[1:]] != words[order[:-1]]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    common[group[order[1:]] != group[order[:-1]]] = -1
+    return order, np.concatenate([[-1], common])
+
 
-    Suffixes are sorted within their groups; neighbours belong to one node where their common prefix is as long as
-    a window.
-    """
-    order = np.lexsort((doc, *windows.T[::-1], group))
-    same = (group[order][1:] == group[order][:-1]) & (windows[order][1:] == windows[order][:-1]).all(axis=1)
-    return order, np.concatenate([[0], np.cumsum(~same)])
+def nodes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """For each row, the number of its node of this depth."""
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(common < depth)
+    return out
 
 
 def _subtrees(batches):
@@ -161,23 +174,25 @@ def _subtrees(batches):
         group = np.concatenate([[0], np.cumsum((h[1:] != h[:-1]) | (salt[1:] != salt[:-1]))])
         hot = salt >= 1 << 40
         found = [[], [], [], []]
+        right = sorted_suffixes(group, codes[:, left:])
+        before = sorted_suffixes(np.zeros(len(group), dtype=np.int64), codes[:, :left][:, ::-1])
         for j in range(RUNS):
             # windows that begin j words before their anchor
             k = np.nonzero((lo <= j) & (j <= hi))[0]
             if not len(k):
                 continue
-            windows = codes[k, left - j : left - j + WINDOW]
-            order, node = _deep_nodes(group[k], doc[k], windows)
-            d = doc[k][order]
-            first = d[np.concatenate([[True], node[1:] != node[:-1]])][node]
-            later = d > first
-            rows = k[order][later]
+            node = nodes(*right, WINDOW - j)[k] * (len(group) + 1) + nodes(*before, j)[k]
+            order = np.lexsort((doc[k], node))
+            k, node = k[order], node[order]
+            begin = np.concatenate([[True], node[1:] != node[:-1]])
+            first = doc[k][begin][np.cumsum(begin) - 1]
+            later = doc[k] > first
+            rows = k[later]
             for c, v in zip(found, (doc[rows], at[rows] - j, at[rows] - j + WINDOW, np.full(len(rows), _BLANK)), strict=True):
                 c.append(v)
-            named = ~later & hot[k][order]
-            if named.any():
-                rows = k[order][named]
-                label = _row_hash(windows[order][named])
+            rows = k[~later & hot[k]]
+            if len(rows):
+                label = _row_hash(codes[rows, left - j : left - j + WINDOW])
                 for c, v in zip(found, (doc[rows], at[rows] - j, at[rows] - j + WINDOW, np.where(label == _BLANK, 0, label)), strict=True):
                     c.append(v)
         doc, a, b, label = (np.concatenate(c) for c in found)

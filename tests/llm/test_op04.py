@@ -4,9 +4,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
-from medcorpus.llm.op04_substrings import drop_repeats
+from medcorpus.llm.op04_substrings import drop_repeats, nodes, op4_substring_dedup, sorted_suffixes
 
 
 def brute(rows):
@@ -45,3 +46,26 @@ def test_same_as_plain_search(spark, group_rows):
 
 def test_empty_table(spark):
     assert drop_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_nodes_are_those_of_a_suffix_tree():
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 3, (300, 7)).astype(np.uint32)
+    group = np.sort(rng.integers(0, 4, 300))
+    order, common = sorted_suffixes(group, words)
+    rows = [(group[k], *words[k]) for k in order]
+    assert rows == sorted(rows)
+    for depth in range(8):
+        # inserting the suffixes word by word, the rows below one node of this depth are those with one path to it
+        path = {}
+        want = [path.setdefault((group[k], *words[k][:depth]), len(path)) for k in range(300)]
+        got = nodes(order, common, depth)
+        assert len(set(zip(want, got.tolist(), strict=True))) == len(path) == len(set(got.tolist()))
+
+
+def test_registered_query_with_very_long_text(spark, tmp_path):
+    rng = random.Random(6)
+    long = [f"w{rng.randrange(3000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[100:40_000])), (3, " ".join(["new", *long[50_000:50_020]])), (4, "short"), (5, None)]
+    spark.createDataFrame([(a, b, 0) for a, b in rows], "doc_id long, text string, n_removed long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((tuple(r) for r in op4_substring_dedup(spark, str(tmp_path)).collect()), key=str) == [r[:4] for r in brute(rows)]
