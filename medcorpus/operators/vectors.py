@@ -22,7 +22,8 @@ def retrieval_ranks(pairs: DataFrame, key: str = "id", block: int = BLOCK) -> Da
     """key, rank_ab, rank_ba: how many others score strictly more than the true partner, each way.
 
     Vectors are dealt in blocks; a task multiplies one block of a by one of b and returns only counts, so similarities are
-    never rows. Blocks hold a fixed number of vectors on average, whatever the table's size.
+    never rows. Blocks hold a fixed number of vectors on average, whatever the table's size. Ranks are exact and take every pair, so
+    each vector is sent to all n / block blocks of the other side: n * n / block vectors in all.
     """
     n_blocks = max(1, -(-pairs.count() // block))
     own = pairs.select(F.col(key).alias("id"), "a", "b", dot(F.col("a"), F.col("b")).alias("s"), F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int").alias("blk"))

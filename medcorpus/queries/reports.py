@@ -284,6 +284,16 @@ DRAW = "(select b, v, (m % 65536 * 50021 + m // 65536 * 62989 + m) % 4294967296
 STEPS = ["exp(-1.0) * (" + " + ".join(f"1 / {math.factorial(k)}::double" for k in range(n + 1)) + ")" for n in range(8)]
 
 
+@query(with_(VQA, SCORED, CLS, PARSED, SUBS) + "select tag, sub, count(*) as n, round(100 * avg(score), 6) as mean from subs group by all")
+def r1_bootstrap_means(t):
+    return rounded(R.bootstrap_ci(_subs(t), ["tag", "sub"], "score", draws=50), "mean").select("tag", "sub", "n", "mean")
+
+
+@query(with_(VQA, SCORED, CLS, PARSED, SUBS) + "select y.sub, y.tag, count(*) as n, round(100 * avg(y.score - x.score), 6) as mean from subs x join subs y using (sub, item) where x.tag = 'base' and y.tag <> 'base' group by all")
+def r2_paired_diff_means(t):
+    return rounded(R.paired_diff_ci(_subs(t), ["sub"], ["item"], "base", draws=50), "mean").select("sub", "tag", "n", "mean")
+
+
 @query(f"""with u as (select {sql_h('7', "l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey")} h, l_discount v from lineitem), x as {DRAW},
     w as (select b, v, {" + ".join(f"(p >= {s})::int" for s in STEPS)} w from x) select b, round(sum(w * v) / sum(w), 8) as mean, sum(w)::bigint as weight from w group by b""")
 def r3_poisson_bootstrap(t):

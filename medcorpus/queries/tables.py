@@ -29,10 +29,14 @@ def _halves(t):
 
 
 def _folder(t):
-    """A new folder that driver and executors share; a local one where the session names none (tests)."""
+    """A new folder that driver and executors share; a local session, where none is set, gets one of its own."""
     import uuid
 
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="medcorpus-")
+    base = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not t.spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="medcorpus-")
     return f"{base.rstrip('/')}/io-{uuid.uuid4().hex}"
 
 
@@ -99,9 +103,10 @@ def s6_read_predictions(t):
 
 @query("select lang, count(*) as n from documents group by lang")
 def s7_write_training_set(t):
-    folder, registry = _folder(t), tempfile.mkdtemp() + "/sets.json"
-    entry = readers.write_training_set(t.documents.select("doc_id", "lang"), folder, "docs", registry)
-    return t.spark.read.parquet(entry["path"]).groupBy("lang").agg(F.count("*").alias("n"))
+    folder, registry = _folder(t), _folder(t)
+    readers.write_training_set(t.documents.select("doc_id", "lang"), folder, "docs", registry)
+    readers.write_training_set(t.labels, folder, "labels", registry)
+    return readers.read_training_set(t.spark, registry, "docs").groupBy("lang").agg(F.count("*").alias("n"))
 
 
 @query("with e as (select source, count(*) + case when source = 'src1' then 1 else 0 end expected, count(*) n from documents group by source) select source, n, expected, n = expected as ok from e")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import warnings
 import zipfile
 from io import BytesIO
@@ -69,18 +68,24 @@ def read_predictions(spark: SparkSession, pattern: str, schema: StructType | str
 
 
 def write_training_set(df: DataFrame, folder: str, name: str, registry: str, fmt: str = "parquet", roles: dict | None = None) -> dict:
-    """Writes rows under a name and enters them in the registry, whose other entries stay. The registry is a small local JSON file of the driver."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").format(fmt).save(path)
-    entries = {}
-    if os.path.exists(registry):
-        with open(registry) as f:
-            entries = json.load(f)
-    entries[name] = {"path": path, "format": fmt, "columns": df.columns, "roles": roles or {}}
-    with open(registry + ".new", "w") as f:
-        json.dump(entries, f, indent=1, sort_keys=True)
-    os.replace(registry + ".new", registry)
-    return entries[name]
+    """Writes rows under a name and enters them in the registry, a folder with one entry a name, so that other entries stay."""
+    entry = {"path": f"{folder}/{name}", "format": fmt, "columns": df.columns, "roles": roles or {}}
+    df.write.mode("overwrite").format(fmt).save(entry["path"])
+    df.sparkSession.createDataFrame([(json.dumps({"name": name, **entry}, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{registry}/{name}")
+    return entry
+
+
+def read_registry(spark: SparkSession, registry: str) -> DataFrame:
+    """name, path, format, columns, roles of all entries."""
+    return spark.read.schema("name string, path string, format string, columns array<string>, roles map<string, string>").json(f"{registry}/*")
+
+
+def read_training_set(spark: SparkSession, registry: str, name: str) -> DataFrame:
+    """The rows that were entered under a name."""
+    entry = read_registry(spark, registry).filter(F.col("name") == name).first()
+    if entry is None:
+        raise ValueError(f"no training set {name}")
+    return spark.read.format(entry["format"]).load(entry["path"]).select(*entry["columns"])
 
 
 def check_expected_counts(df: DataFrame, source: str, expected: DataFrame) -> DataFrame:

@@ -1,7 +1,5 @@
 """Operators on small tables: properties that SQL does not show."""
 
-import json
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -127,10 +125,13 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in readers.read_zip_members(spark, str(tmp_path / "z.zip"), "p/").collect()] == [("p/x.txt", "eins")]
     (tmp_path / "abstracts_base_preds.jsonl").write_text('{"id": 1}\n')
     assert tuple(readers.read_predictions(spark, str(tmp_path / "*_preds.jsonl"), "id long").first()) == ("abstracts", "base", 1)
-    registry = str(tmp_path / "sets.json")
-    for name in ("one", "two"):
-        readers.write_training_set(spark.range(3), str(tmp_path), name, registry)
-    assert sorted(json.loads((tmp_path / "sets.json").read_text())) == ["one", "two"]
+    registry = str(tmp_path / "sets")
+    for name, fmt in (("one", "parquet"), ("two", "json"), ("one", "parquet")):
+        readers.write_training_set(spark.range(3), str(tmp_path), name, registry, fmt, {"user": "role"})
+    assert sorted((r.name, r.format, r.columns, r.roles) for r in readers.read_registry(spark, registry).collect()) == [("one", "parquet", ["id"], {"user": "role"}), ("two", "json", ["id"], {"user": "role"})]
+    assert sorted(r.id for r in readers.read_training_set(spark, registry, "two").collect()) == [0, 1, 2]
+    with pytest.raises(ValueError, match="no training set"):
+        readers.read_training_set(spark, registry, "three")
 
 
 def test_stream_goes_on(spark, tmp_path):

@@ -31,3 +31,91 @@ def test_query(spark, con, name):
 
     said = compare(spark, con, name, QUERIES[name], ORACLE_SQL.get(name), SF)
     assert not said.startswith("FAIL"), said
+
+
+def plain_paragraphs(text):
+    import re
+
+    parts = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
+    if len(parts) < 2 and text.count("\n") > 10:
+        parts = [line.strip() for line in text.split("\n") if line.strip()]
+    return [" ".join(line.strip() for line in p.split("\n")) for p in parts]
+
+
+def plain_chunks(text, limit, shortest=32):
+    """Words of SQL-free packing: pieces one by one, characters halved for tokens. Texts without Chinese, and with no sentence above the limit."""
+    import re
+
+    n = lambda s: max(1, len(s) // 2)
+    chunks, now = [], []
+
+    def size(own):
+        return sum(n(s) + (0 if k == 0 else g) for k, (s, g, _) in enumerate(own))
+
+    for paragraph in plain_paragraphs(text):
+        pieces = [paragraph] if n(paragraph) <= limit else [s for s in re.split(r"(?<=[。！？；!?;])|(?<=[.!?])\s+", paragraph) if s.strip()]
+        for k, piece in enumerate(pieces):
+            for at in range(0, len(piece), -(-len(piece) // -(-n(piece) // limit))):
+                part = piece[at : at + -(-len(piece) // -(-n(piece) // limit))].strip()
+                first = k == 0 and at == 0
+                if part:
+                    own = (part, 1, "\n\n" if first else " ")
+                    if now and size([*now, own]) > limit:
+                        chunks.append(now)
+                        now = []
+                    now.append(own)
+    text_of = lambda own: own[0][0] + "".join(sep + s for s, _, sep in own[1:])
+    out = [text_of(c) for c in chunks]
+    if now and size(now) >= shortest:
+        out.append(text_of(now))
+    elif now and out and n(out[-1]) + 1 + size(now) <= limit:
+        out[-1] += "\n\n" + text_of(now)
+    done = []
+    while out:
+        c = out.pop(0)
+        if n(c) <= limit:
+            done.append(c)
+            continue
+        middle = len(c) // 2
+        at = c.rfind("\n\n", 0, middle)
+        at = at if at > 0 else middle
+        out = [c[:at].strip(), c[at:].strip(), *out]
+    return done
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no tables here")
+def test_chunks_against_plain_packing(spark):
+    import hashlib
+
+    from medcorpus.queries import QUERIES
+
+    got = {(r.doc_id, r.chunk_no): (r.n_tokens, r.k) for r in QUERIES["k2_pack_chunks"](spark, SF).collect()}
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        for k, c in enumerate(plain_chunks(r.text or "", 300)):
+            want[r.doc_id, k] = (max(1, len(c) // 2), hashlib.md5(c.encode()).hexdigest())
+    assert got == want
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no tables here")
+def test_rouge_against_plain_subsequences(spark):
+    import re
+
+    from medcorpus.queries import QUERIES
+
+    def score(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            now = [0]
+            for j, y in enumerate(b, 1):
+                now.append(row[j - 1] + 1 if x == y else max(row[j], now[-1]))
+            row = now
+        p, r = row[-1] / max(1, len(a)), row[-1] / max(1, len(b))
+        return (1 + 1.44) * p * r / (r + 1.44 * p) if row[-1] else 0.0
+
+    got = {r.item: r.score for r in QUERIES["m15_rouge_l"](spark, SF).collect()}
+    words = lambda s: re.findall("[a-z0-9]+", s.lower())
+    for r in spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) < 1500").collect():
+        s = r.text.split(".")
+        refs = [x for x in s[1:] if x.strip(" ")]
+        assert abs(got[r.doc_id] - max((score(words(s[0]), words(x)) for x in refs), default=0.0)) < 1e-9
