@@ -5,21 +5,19 @@ registered domain, that towards its suffix, and that towards the share of all pa
 whose strengths come from the spread between the groups themselves (method of moments). A host without outcomes
 has the mean of its registered domain, else of its suffix, else of all pages; its variance is that of a host drawn
 from there, with every level that is not known drawn as well. A page is blocked if the lower posterior bound of its
-host's bad share is above ``max_bad``.
+host's bad share is above ``max_bad``. The bound is that of the normal distribution with the posterior's mean and variance.
 
 Everything is DataFrame expressions. Counts are pre-aggregated before they are shuffled, so a host that holds
 a third of all pages costs one row a task; hosts are judged once each; only three fitted strengths and one share reach the driver. The join of pages with
 hosts is left to adaptive execution, which splits a hot host's pages.
 
-Cases: a null url or one without ``://`` has an empty host and path, which no rule fits; its reputation is
+Cases: very long urls are judged whole; other columns are never read; an empty table gives no rows; a null url or one without ``://`` has an empty host and path, which no rule fits; its reputation is
 that of the empty host. Repeated pages are judged once each; a page's repeated labels count once, bad if any
 is; null outcomes do not count. Without labels nothing is blocked but by rule.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,7 +118,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: flo
     host, path = url_parts(F.col("url"))
     pages = pages.select("page_id", host.alias("host"), path.alias("path"))
     known = outcomes.filter("bad is not null and page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    reputation = host_reputation(pages.join(known, "page_id").select("host", "bad"), pages)
+    # stored, so that Spark knows its size, and a hot host's pages can be split where it is too large to broadcast
+    reputation = stored(host_reputation(pages.join(known, "page_id").select("host", "bad"), pages))
     rule = rule_of(F.col("host"), F.col("path"), rules)
     pages = pages.withColumn("k", rule)
     names = F.array(*[F.lit(h + p) for _, h, p in rules])

@@ -28,7 +28,6 @@ from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from medcorpus.llm.common import table
 
