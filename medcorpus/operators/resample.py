@@ -51,8 +51,9 @@ def poisson_bootstrap(df: DataFrame, key: str, value: str, draws: int, seed: int
     first = hash_number(F.lit(seed), F.col(key))
     b = df.select(first.alias("_h"), value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b"))
     # below 2 ** 53 in every step, so that any engine gives the same numbers
-    mixed = (F.col("_h") % 65536 * 40503 + F.floor(F.col("_h") / 65536) * 30011 + F.col("b") * 2654435761) % 4294967296
-    again = (mixed % 65536 * 50021 + F.floor(mixed / 65536) * 62989 + mixed) % 4294967296
+    low, high = lambda x: x.bitwiseAND(65535), lambda x: F.shiftright(x, 16)
+    mixed = (low(F.col("_h")) * 40503 + high(F.col("_h")) * 30011 + F.col("b") * F.lit(2654435761)).bitwiseAND(4294967295)
+    again = (low(mixed) * 50021 + high(mixed) * 62989 + mixed).bitwiseAND(4294967295)
     u = again / F.lit(4294967296.0)
     weight, below, term = F.lit(0), np.exp(-1), np.exp(-1)
     for k in range(1, 9):

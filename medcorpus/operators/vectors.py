@@ -91,10 +91,13 @@ def _lcs_f(a: list[str], b: list[str], beta: float) -> float:
 def cider(captions: DataFrame, max_n: int = 4, sigma: float | None = None) -> DataFrame:
     """item, cider of captions(item, pred, refs): clipped tf-idf cosine of 1- to 4-grams, mean over references.
 
+    Captions are dealt by item once, so of the counts that follow only those over all items move grams.
+
     sigma: with a Gaussian penalty of that width on the difference of the two texts' numbers of tokens; without it there is none.
     """
-    side = captions.select("item", F.lit(-1).alias("ref"), latin_tokens(F.col("pred")).alias("t")).unionByName(
-        captions.select("item", F.posexplode("refs").alias("ref", "r")).select("item", "ref", latin_tokens(F.col("r")).alias("t"))
+    dealt = captions.repartition("item")
+    side = dealt.select("item", F.lit(-1).alias("ref"), latin_tokens(F.col("pred")).alias("t")).unionByName(
+        dealt.select("item", F.posexplode("refs").alias("ref", "r")).select("item", "ref", latin_tokens(F.col("r")).alias("t"))
     )
     # the tokens are made once a text; all gram sizes come from them, as 64-bit hashes
     ngrams = lambda t, n: F.transform(F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice(t, i, F.lit(n))).alias("g")))
