@@ -326,6 +326,19 @@ def p7_val_split_by_document(t):
     return P.val_split_by_document(_chunks(t), 0.05, 42).select("source", "doc_id", "chunk_no", "split")
 
 
+@query(f"""with c as (select event_type source, user_id doc_id, row_number() over (partition by event_type, user_id order by ts, event_id) - 1 chunk_no from events), d as (select source, doc_id, count(*) n from c group by all),
+    r as (select *, sum(n) over (partition by source) total, count(*) over (partition by source) docs, row_number() over (partition by source order by {sql_rank(42, 'val', 'doc_id')}, doc_id) rn from d),
+    w as (select *, case when total >= 20 then least(100, greatest(1, round_even(total * 0.05, 0))) else 0 end - coalesce(sum(n) over (partition by source order by rn rows between unbounded preceding and 1 preceding), 0) wanted from r where rn <= 101),
+    x as (select *, n <= greatest(2 * wanted, 3) whole from w), y as (select *, wanted > 0 and rn < docs and coalesce(bool_and(whole) over (partition by source order by rn rows between unbounded preceding and 1 preceding), true) reached from x)
+    select c.source, c.doc_id, c.chunk_no, case when chunk_no >= case when whole then 0 else n - wanted end then 'val' else 'train' end as split from c left join y on y.source = c.source and y.doc_id = c.doc_id and reached""")
+def p7_val_split_of_events(t):
+    from pyspark.sql import Window as W
+
+    # a user's events of a type are few: they number the chunks of a document
+    n = F.row_number().over(W.partitionBy("event_type", "user_id").orderBy("ts", "event_id")) - 1
+    return P.val_split_by_document(t.events.select(c("event_type").alias("source"), c("user_id").alias("doc_id"), n.alias("chunk_no")), 0.05, 42).select("source", "doc_id", "chunk_no", "split")
+
+
 @query(with_(REPORTS) + "select patient, study, min(path) as path from reports where frontal group by patient, study")
 def p8_first_per_study(t):
     return D.dedupe_first(t.reports.filter("frontal").select("patient", "study", "path"), ["patient", "study"], ["path"])
