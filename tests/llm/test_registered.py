@@ -49,3 +49,40 @@ def test_url_filter_sql_with_hosts_without_outcomes(spark, tmp_path):
             con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{n}/{t}.parquet/*.parquet')")
         said = compare(spark, con, "op8_url_filter", registry.queries()["op8_url_filter"], registry.oracle_sql()["op8_url_filter"], f"{tmp_path}/{n}")
         assert said.startswith("same"), said
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no tables here")
+def test_packed_pieces_against_whole_encodings(spark):
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from medcorpus.llm.op01_packing import default_tokenizer
+
+    plain, pieces, sequences = Tokenizer.from_file(default_tokenizer()), {}, {}
+    for r in registry.queries()["op1_packing"](spark, SF).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert set(pieces) == set(docs)
+    for d, own in pieces.items():
+        ids = np.array(plain.encode(docs[d], add_special_tokens=False).ids + [1], dtype="<u4")
+        at = 0
+        for start, length, crc, total in sorted(own):
+            assert start == at and total == len(ids) and crc == zlib.crc32(ids[start : start + length].tobytes())
+            at += length
+        assert at == len(ids)
+    for own in sequences.values():
+        ends = np.cumsum([n for _, n in sorted(own)])
+        assert [a for a, _ in sorted(own)] == [0, *ends[:-1].tolist()] and ends[-1] <= 2048
+    # sequences with 1 % of room or less are written as they are; each partition may leave one with more
+    assert sum(n for own in sequences.values() for _, n in own) >= 0.98 * 2048 * len(sequences)
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no tables here")
+def test_near_duplicates_against_all_pairs(spark):
+    from tests.llm.test_op03 import brute
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert {tuple(r) for r in registry.queries()["op3_near_dedup"](spark, SF).collect()} == brute(docs, 3, 85)
