@@ -67,6 +67,13 @@ def scratch(spark: SparkSession):
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows with texts go to Python a thousand at a time, unless the session says how many: Arrow's buffers and workers then hold a few MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's own default
+        spark.conf.set(key, "1000")
+
+
 def lower_ascii(col):
     """A-Z lower-cased, all else unchanged."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medcorpus.llm.common import sliced, table
+from medcorpus.llm.common import sliced, small_batches, table
 
 CAPACITY = 2048
 END_ID = 1
@@ -290,6 +290,7 @@ def pack_documents(
     with_ids: bool = True,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids."""
+    small_batches(docs.sparkSession)
     tokenizer = tokenizer or default_tokenizer()
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids

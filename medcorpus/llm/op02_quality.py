@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medcorpus.llm.common import table
+from medcorpus.llm.common import small_batches, table
 
 FEATURES = (
     "log_words", "word_length", "distinct_words", "distinct_lines", "words_a_line", "top_word", "upper", "lower", "digits", "blanks",
@@ -171,6 +171,7 @@ def _features_of(texts: pd.Series) -> np.ndarray:
 
 def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
     """The model learnt from labels(doc_id, quality) of docs."""
+    small_batches(docs.sparkSession)
     own = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medcorpus.llm.bitmaps import may_be_in
-from medcorpus.llm.common import saved, sliced, stored, table
+from medcorpus.llm.common import saved, sliced, small_batches, stored, table
 from medcorpus.llm.components import components
 from medcorpus.llm.shingles import MinHasher, set_digest, shingle_set
 
@@ -285,6 +285,7 @@ class Linker:
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row of docs; linked: 100 * intersection >= percent * union."""
+    small_batches(docs.sparkSession)
     threshold = percent / 100
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(base.mapInArrow(lambda it: _sign(it, shingle_words), "doc_id bigint, n bigint, digest binary, sig binary"))

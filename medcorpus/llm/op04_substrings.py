@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medcorpus.llm.common import sliced, table
+from medcorpus.llm.common import sliced, small_batches, table
 from medcorpus.llm.shingles import find_words, gram_hashes, mixed, word_hashes
 
 WINDOW, PREFIX = 13, 5
@@ -250,6 +250,7 @@ def _cut(batches, with_text: bool):
 
 def drop_repeats(docs: DataFrame, with_text: bool = True, group_rows: int = GROUP_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the text that is left, per row of docs."""
+    small_batches(docs.sparkSession)
     # a bare column where it can be: behind an alias Spark would not see that the shuffled texts are the same in every branch
     own_id = F.col(id_col) if (id_col, dict(docs.dtypes)[id_col]) == ("doc_id", "bigint") else F.col(id_col).cast("long").alias("doc_id")
     base = docs.select(own_id, F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medcorpus.llm.common import sliced, table
+from medcorpus.llm.common import sliced, small_batches, table
 
 #: What licence notices of each family say.
 TEMPLATES = {
@@ -251,6 +251,7 @@ def _paragraphs(batches):
 
 def train_licences(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_paragraphs: int = SAMPLE_PARAGRAPHS, id_col: str = "doc_id", text_col: str = "text") -> LicenceModel:
     """The model against ordinary paragraphs, of the documents with the smallest hashes of their ids."""
+    small_batches(docs.sparkSession)
     ids = docs.select(F.col(id_col).alias("doc_id")).filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     # at most sample_docs ids are broadcast
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id").select("text")

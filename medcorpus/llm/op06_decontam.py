@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medcorpus.llm.common import sliced, stored, table
+from medcorpus.llm.common import sliced, small_batches, stored, table
 
 ERROR = 0.08
 MIN_CHARS = 30
@@ -152,6 +152,7 @@ def _match(batches, items, error: float, min_chars: int, every: bool):
 
 def _blocks(items: DataFrame, block_chars: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
     """The number of blocks of about block_chars characters of items(item_id, text), one at least, and the blocks one after another."""
+    small_batches(items.sparkSession)
     items = items.select(F.col("item_id").cast("long"), "text").filter("length(text) > 0")
     n = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
