@@ -15,8 +15,8 @@
    m - ceil(t * m) + 1, where t is the threshold. The order is by how often a shingle occurs among these documents
    (counted in ``SLOTS`` hash slots, whatever their number). So text that many documents share makes no candidates. Then the
    signatures are compared, and what passes must have enough 16-bit hashes of shingles in common, which are never fewer than
-   the common shingles; so neither check loses a link. The most similar pairs of each two components are
-   verified first, and once these have joined what they can, all that still stand between components.
+   the common shingles; so neither check loses a link. Of each two components the most similar pairs are
+   verified first; buckets with more than those are gone through once more, with all pairs, if they are still of several components.
 
 So the number of verified pairs does not grow with the square of a group of copies that are all alike, nor with that of a
 group that only shares a frequent passage. What does grow with the square of a bucket is the number of rows sent to
@@ -195,9 +195,9 @@ def can_be_linked(low: list[bytes], i: np.ndarray, j: np.ndarray, percent: int)
 
 
 def _block_pairs(batches, percent: int, miss: float, first: int):
-    """Rows sorted by group (pair of blocks of a bucket): group, band, side, id, component, n, sig, rare, low -> surviving pairs across components.
+    """Rows sorted by group (pair of blocks of a bucket): group, band, side, id, component, n, sig, rare, low, bucket -> surviving pairs across components.
 
-    first: of each two components only so many pairs, the most similar; 0: all.
+    first: of each two components only so many pairs, the most similar, and a row with the bucket if there are more; 0: all.
     """
     threshold, held, key = percent / 100, [], None
     verifier = Verifier(threshold, miss)
@@ -231,15 +231,21 @@ def _block_pairs(batches, percent: int, miss: float, first: int):
                 if seen.get(two, 0) < first:
                     seen[two] = seen.get(two, 0) + 1
                     kept.append(k)
+            more = len(kept) < len(i)
             i, j = i[kept], j[kept]
-        return [(min(x, y), max(x, y)) for x, y in zip(ids[i].tolist(), ids[j].tolist(), strict=True)]
+            if more:
+                return [(None, None, rows[0][9])] + both(ids, i, j)
+        return both(ids, i, j)
+
+    def both(ids, i, j):
+        return [(min(x, y), max(x, y), None) for x, y in zip(ids[i].tolist(), ids[j].tolist(), strict=True)]
 
     def out(found):
-        return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*found, strict=True)], names=["a", "b", "bucket"])
 
     found: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
+        for row in zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True):
             if row[0] != key and held:
                 found += pairs(held)
                 held = []
@@ -314,7 +320,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     pruned = stored(with_b.mapInArrow(lambda it: _prune(it, threshold, miss), "a bigint, b bigint"))
     edges = saved(linker.links(pruned).unionByName(twice))
     labels = components(edges)
-    checked, payload = star, None
+    checked, payload, again = star, None, None
     for first in (FIRST, 0):
         at = members.join(labels, "id", "left").select("id", "n", "band", "bucket", F.coalesce("component", "id").alias("component"))
         size = F.count("*").alias("own")
@@ -324,7 +330,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         mean = F.lit(N_HASHES) + F.col("shingles") / F.col("members") * ((1 - threshold) * 4 + 2)
         most = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_BYTES / mean)))
         blocks = lambda rows: F.ceil(rows / most).cast("int")
-        mixed = saved(mixed.filter("components > 1").select("bucket", F.col("top.component").alias("top"), blocks(F.col("top.own")).alias("tops"), blocks(F.col("members") - F.col("top.own")).alias("others")))
+        mixed = mixed.filter("components > 1") if again is None else mixed.filter("components > 1").join(again, "bucket", "left_semi")
+        mixed = saved(mixed.select("bucket", F.col("top.component").alias("top"), blocks(F.col("top.own")).alias("tops"), blocks(F.col("members") - F.col("top.own")).alias("others")))
         at = saved(at.join(mixed, "bucket"))
         if payload is None:
             own = sets.join(at.select("id").distinct(), "id", "left_semi")
@@ -338,13 +345,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         at = at.withColumn("own", F.when(F.col("is_top"), within).otherwise(F.col("tops") + within))
         at = at.withColumn("other", F.explode(F.sequence(F.when(F.col("is_top"), F.col("tops")).otherwise(F.lit(0)), F.col("tops") + F.col("others") - 1)))
         group = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-        at = at.select(group.alias("group"), "band", (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component", "n")
-        at = at.join(payload, "id").select("group", "band", "side", "id", "component", "n", "sig", "rare", "low").repartition("group").sortWithinPartitions("group")
-        found = at.mapInArrow(lambda it, first=first: _block_pairs(it, percent, miss, first), "a bigint, b bigint").distinct()
-        found = saved(found.join(checked, ["a", "b"], "left_anti"))
+        at = at.select(group.alias("group"), "band", (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component", "n", "bucket")
+        at = at.join(payload, "id").select("group", "band", "side", "id", "component", "n", "sig", "rare", "low", "bucket").repartition("group").sortWithinPartitions("group")
+        out = saved(at.mapInArrow(lambda it, first=first: _block_pairs(it, percent, miss, first), "a bigint, b bigint, bucket bigint"))
+        again = out.filter("bucket is not null").select("bucket").distinct()
+        found = saved(out.filter("a is not null").select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"))
         checked = checked.unionByName(found)
         new = saved(linker.links(found))
         labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new))
+        if not again.limit(1).count():
+            break
     final = by_doc.join(labels.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
