@@ -44,11 +44,22 @@ def saved(df: DataFrame) -> DataFrame:
 _scopes: list[list[str]] = []
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """A path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df as a compressed Parquet table in the shared folder: smaller than a checkpoint where rows hold text, and of known size."""
+    """df as a compressed Parquet table in the shared folder: smaller than a checkpoint where rows hold text, and of known size.
+
+    What no ``scratch`` around it deletes, as a result still reads it, goes when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    at, system = _hadoop(spark, path)
+    system.deleteOnExit(at)
     if _scopes:
         _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -61,10 +72,18 @@ def scratch(spark: SparkSession):
     try:
         yield _scopes[-1]
     finally:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for path in _scopes.pop():
-            at = hadoop(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            at, system = _hadoop(spark, path)
+            system.delete(at, True)
+
+
+def kept_by(paths: list[str], df: DataFrame) -> DataFrame:
+    """df, stored in the scope around the one of paths, whose other tables can go."""
+    out = stored(df)
+    own = paths.pop()
+    if len(_scopes) > 1:
+        _scopes[-2].append(own)
+    return out
 
 
 def small_batches(spark: SparkSession) -> None:

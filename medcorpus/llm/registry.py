@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("op01_packing", "op02_quality", "op03_near", "op04_substrings", "op05_licences", "op06_decontam", "op07_secrets", "op08_urls", "op09_chat", "op10_exact")
+MODULES = ("op01_packing", "op02_quality", "op03_near", "op04_substrings", "op05_licences", "op06_decontam", "op07_secrets", "op08_urls", "op09_chat", "op10_exact", "op11_tokens", "op12_audit", "op13_prefixes")
 
 
 def _modules():
