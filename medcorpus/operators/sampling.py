@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from medcorpus import storage
 from medcorpus.functions.text import hash_number, rank_key
 
 
@@ -71,6 +72,22 @@ def seeded_places(df: DataFrame, group: str, seed: int, salt: str, key: str, par
     return x.join(offsets, [group, "_part"]).withColumn("_rn", inside + F.col("_before")).drop("_rank", "_part", "_before")
 
 
+def seen_until_target(df: DataFrame, group: str, target: int, seed: int, salt: str, key: str, ok: Column, parts: int = 256) -> DataFrame:
+    """df with kept, the first target rows of each group's seeded order that are ok, and seen, all rows up to the last of them.
+
+    Two passes, as in seeded_places: the ok rows of the parts before are summed up, and rows are counted inside a part.
+    """
+    x = df.withColumn("_ok", ok.cast("int")).withColumn("_rank", rank_key(seed, salt, F.col(key)))
+    x = x.withColumn("_part", F.floor(F.conv(F.substring("_rank", 1, 4), 16, 10).cast("int") * parts / 65536).cast("int"))
+    # parts rows a group
+    before = F.coalesce(F.sum("_sum").over(W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = x.groupBy(group, "_part").agg(F.sum("_ok").alias("_sum")).select(F.col(group).alias("_group"), "_part", before.alias("_before"))
+    inside = F.sum("_ok").over(W.partitionBy(group, "_part").orderBy("_rank", key).rowsBetween(W.unboundedPreceding, 0))
+    x = x.join(offsets, x[group].eqNullSafe(offsets["_group"]) & (x["_part"] == offsets["_part"])).drop(offsets["_part"]).withColumn("_n", F.col("_before") + inside)
+    is_ok = F.col("_ok") == 1
+    return x.withColumns({"seen": (F.col("_n") < target) | (is_ok & (F.col("_n") == target)), "kept": is_ok & (F.col("_n") <= target)}).drop("_ok", "_rank", "_part", "_group", "_before", "_n")
+
+
 def oversample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int) -> DataFrame:
     """Exactly n rows of each group: without replacement where it has n, else with replacement. slot numbers them."""
     ranked = seeded_places(df, group, seed, "over", key)
@@ -88,9 +105,12 @@ def stratified_half_split(df: DataFrame, label: str, key: str, seed: int) -> Dat
 
 
 def write_split_once(split: DataFrame, path: str) -> DataFrame:
-    """The split stored at path, which is written if it is not there yet and never overwritten."""
-    split.write.mode("ignore").parquet(path)
-    return split.sparkSession.read.schema(split.schema).parquet(path)
+    """The split stored at path, which is written if none was finished there yet and never overwritten; of two writers the first one's split stays."""
+    spark = split.sparkSession
+    if not (found := storage.entries(spark, path).get("split")):
+        storage.enter(spark, path, "split", {"path": storage.write_data(split, path), "format": "parquet", "columns": split.columns})
+        found = storage.entries(spark, path)["split"]
+    return storage.read_entry(spark, found)
 
 
 def ratio_split(df: DataFrame, cap: int, ratio: float, seed: int, key: str) -> DataFrame:

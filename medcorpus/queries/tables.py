@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from medcorpus.functions import text as T
@@ -42,8 +43,20 @@ def _folder(t):
 
 @query("select conv_id, turn, role, text from conversations")
 def s1_read_json_any(t):
-    path = _folder(t)
-    t.conversations.write.json(path)
+    # lines of the even conversations; of the others an array for each part file
+    path, own = _folder(t), t.conversations.select("conv_id", "turn", "role", "text")
+    own.filter("conv_id % 2 = 0").write.json(f"{path}/lines")
+
+    def array(batches):
+        sep = "["
+        for b in batches:
+            rows = [f"{sep}{b.column(0)[0]}", *[f",{x}" for x in b.column(0)[1:]]] if b.num_rows else []
+            sep = "," if rows else sep
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if sep == "[" else "]"])], names=["value"])
+
+    own.filter("conv_id % 2 = 1").select(F.to_json(F.struct(*own.columns))).mapInArrow(array, "value string").write.text(f"{path}/arrays")
+    path = [f"{path}/lines", f"{path}/arrays"]
     return readers.read_json_any(t.spark, path, "conv_id long, turn long, role string, text string")
 
 
@@ -54,14 +67,13 @@ def s2_read_reports_csv(t):
     return readers.read_reports_csv(t.spark, path, "doc_id long, text string")
 
 
-@query("select doc_id, source, md5(coalesce(text, '') || chr(10)) as text_md5 from documents")
+@query("select source, md5(coalesce(text, '') || chr(10)) as text_md5 from documents")
 def s3_read_text_docs(t):
     path = _folder(t)
-    # every text is a file in a folder of its own, with a line feed at its end; a task writes the files of its rows
-    t.documents.select(F.concat_ws("_", "doc_id", "source").alias("name"), F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("name").text(path)
+    # every text is a file, with a line feed at its end, in the folder of its source
+    t.documents.select("source", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("source").option("maxRecordsPerFile", 1).text(path)
     x = readers.read_text_docs(t.spark, path + "/*")
-    part = lambda k: F.regexp_extract("doc_id", "name=([^_/]+)_([^/]*)/", k)
-    return x.select(part(1).cast("long").alias("doc_id"), part(2).alias("source"), F.md5(c("text").cast("binary")).alias("text_md5"))
+    return x.select(F.regexp_extract("doc_id", "source=([^/]*)/", 1).alias("source"), F.md5(c("text").cast("binary")).alias("text_md5"))
 
 
 @query("select source, count(*) as n, sum(length(text))::bigint as chars from documents group by source")
@@ -411,7 +423,7 @@ def t2_ingest_predictions_stream(t):
     x = t.cls.select("tag", "item", "pred")
     x.unionByName(x.filter("item % 5 = 0")).write.parquet(f"{path}/in")
     incremental.ingest_predictions(t.spark, f"{path}/in", "tag string, item long, pred string", f"{path}/out", f"{path}/state", ("tag", "item"), "parquet")
-    return t.spark.read.parquet(f"{path}/out")
+    return incremental.read_ingested(t.spark, f"{path}/out", "tag string, item long, pred string")
 
 
 @query(f"with {HITS} select source, count(*) as docs, sum(n_chars)::bigint as chars from documents where doc_id not in (select doc_id from hits where n_hits >= 0.05 * n_windows) group by source")

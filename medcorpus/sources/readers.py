@@ -2,35 +2,78 @@
 
 from __future__ import annotations
 
-import json
 import warnings
 import zipfile
 from io import BytesIO
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
-def read_json_any(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A JSON array or JSON lines; which one is seen from the first character that is not blank."""
-    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-    many = bool(first) and first[0][0].lstrip().startswith("[")
-    return spark.read.schema(schema).json(path, multiLine=many)
+from medcorpus import storage
+from medcorpus.sources import ranges
+
+
+def _ddl(schema: StructType | str) -> str:
+    return schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
+def _closed(begins: DataFrame) -> DataFrame:
+    """begins, if every file's quotes are even."""
+    if n := begins.filter("odd").select("file").distinct().count():
+        raise ValueError(f"{n} files end inside quotes")
+    return begins
+
+
+def read_json_any(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
+    """The objects of JSON files, each an array of objects or lines of them; which one is seen file by file from the first character that is not blank.
+
+    Lines are read by Spark's own reader. An array is cut into objects where its braces close, range by range, so one large
+    file is many tasks. Objects that do not fit the schema are null in what does not fit, as in Spark's reader.
+    """
+    begin = F.col("value").substr(1, 4096)
+    first = spark.read.text(path, lineSep="}").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), begin.alias("value"), F.monotonically_increasing_id().alias("n"))
+    # what a file begins with is in its first piece
+    firsts = first.filter("block = 0").groupBy("path").agg(F.min_by("value", "n").alias("value"))
+    arrays = {r["path"]: r["many"] for r in firsts.select("path", F.regexp_like("value", F.lit(r"^[\s\x{FEFF}]*\[")).alias("many")).collect()}
+    many, lines = [p for p, x in arrays.items() if x], [p for p, x in arrays.items() if not x]
+    out = spark.read.schema(schema).json(lines)
+    if many:
+        begins = _closed(ranges.begin_states(spark, many, "}", ranges.brace_sums))
+        text = F.col("text")
+        found = ranges.records(spark, many, "}", ranges.braces, begins, closing="}").select(F.substring(text, F.locate("{", text), F.length(text)).alias("text"))
+        objects = found.select(F.from_json("text", _ddl(schema)).alias("r")).select("r.*")
+        out = out.unionByName(objects) if lines else objects
+    return out
+
+
+def read_reports_csv(spark: SparkSession, path: str | list[str], schema: StructType | str, path_col: str | None = None) -> DataFrame:
+    """A table with quoted text over several lines; a leading slash of path_col goes.
+
+    A line feed ends a row where the quotes before it are even, so a large file is cut into ranges and read by many tasks. That asks for
+    quotes as RFC 4180 has them (around a field, doubled inside it); a file that ends inside quotes is an error.
+    """
+    begins = _closed(ranges.begin_states(spark, path, "\n", ranges.quote_sums))
+    rows = ranges.records(spark, path, "\n", ranges.quoted_line, begins).filter("not first")
+    text = F.regexp_replace("text", "\r$", "")
+    parsed = rows.select(F.from_csv(text, _ddl(schema), {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}).alias("r"), "text").filter(F.trim("text") != "")
+    df = parsed.select("r.*")
+    return df.withColumn(path_col, F.regexp_replace(F.trim(path_col), "^/+", "")) if path_col else df
 
 
-def read_reports_csv(spark: SparkSession, path: str, schema: StructType | str, path_col: str | None = None) -> DataFrame:
-    """A table with quoted text over several lines; a leading slash of path_col goes."""
-    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
-    return df.withColumn(path_col, F.regexp_replace(F.trim(path_col), "^/+", "")) if path_col else df
+def without_bad_bytes(text: Column) -> Column:
+    """The text without the bytes that are not UTF-8. A replacement character that was there stays: it is written as a hash while the bad bytes become such characters."""
+    bad, mark = F.lit("\ufffd"), F.concat(F.lit("<"), F.sha2(text.cast("binary"), 256), F.lit(">"))
+    held = F.replace(F.make_valid_utf8(F.replace(text, bad, mark)), bad, F.lit(""))
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(held, mark, bad))
 
 
 def read_text_docs(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id (folder/stem) and text, a document a file."""
+    """doc_id (folder/stem) and text, a document a file; bytes that are not UTF-8 are left out, and files without any byte. A task takes as many files as its bytes allow."""
     file = F.col("_metadata.file_path")
     doc_id = F.regexp_extract(F.url_decode(file), r"([^/]+/[^/]+?)(\.[^./]*)?$", 1)
-    return spark.read.text(path, wholetext=True).select(doc_id.alias("doc_id"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(doc_id.alias("doc_id"), without_bad_bytes(F.col("value")).alias("text"))
 
 
 def zip_members(prefix: str = "", suffix: str = ".txt"):
@@ -68,24 +111,27 @@ def read_predictions(spark: SparkSession, pattern: str, schema: StructType | str
 
 
 def write_training_set(df: DataFrame, folder: str, name: str, registry: str, fmt: str = "parquet", roles: dict | None = None) -> dict:
-    """Writes rows under a name and enters them in the registry, a folder with one entry a name, so that other entries stay."""
-    entry = {"path": f"{folder}/{name}", "format": fmt, "columns": df.columns, "roles": roles or {}}
-    df.write.mode("overwrite").format(fmt).save(entry["path"])
-    df.sparkSession.createDataFrame([(json.dumps({"name": name, **entry}, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{registry}/{name}")
-    return entry
+    """Writes rows under a name and enters them in the registry, where other names stay as they are.
+
+    Rows go to a new folder; the entry is the one step that makes them visible, so the set before is whole until then.
+    """
+    return storage.write_version(df, f"{folder}/{name}", f"{registry}/{name}", fmt, {"name": name, "roles": roles or {}})
 
 
 def read_registry(spark: SparkSession, registry: str) -> DataFrame:
-    """name, path, format, columns, roles of all entries."""
-    return spark.read.schema("name string, path string, format string, columns array<string>, roles map<string, string>").json(f"{registry}/*")
+    """name, path, format, columns, roles of the newest entry of each name."""
+    each = spark.read.schema("name string, path string, format string, columns array<string>, roles map<string, string>").json(f"{registry}/*/entry-*.json")
+    rest = ["path", "format", "columns", "roles"]
+    newest = each.groupBy("name").agg(F.max_by(F.struct(*rest), F.col("_metadata.file_name")).alias("r"))
+    return newest.select("name", *[f"r.{c}" for c in rest])
 
 
 def read_training_set(spark: SparkSession, registry: str, name: str) -> DataFrame:
-    """The rows that were entered under a name."""
-    entry = read_registry(spark, registry).filter(F.col("name") == name).first()
+    """The rows that were last entered under a name."""
+    entry = storage.last_version(spark, f"{registry}/{name}")
     if entry is None:
         raise ValueError(f"no training set {name}")
-    return spark.read.format(entry["format"]).load(entry["path"]).select(*entry["columns"])
+    return storage.read_entry(spark, entry)
 
 
 def check_expected_counts(df: DataFrame, source: str, expected: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from medcorpus import storage
 
 
 def pending_requests(requests: DataFrame, answers: DataFrame, key: str) -> DataFrame:
@@ -12,15 +16,40 @@ def pending_requests(requests: DataFrame, answers: DataFrame, key: str) -> DataF
     return requests.join(answers.select(key), key, "left_anti")
 
 
-def ingest_predictions(spark: SparkSession, source: str, schema: StructType | str, target: str, checkpoint: str, keys: tuple[str, ...] = ("tag", "id"), fmt: str = "json") -> None:
-    """Appends what is new in source to the Parquet table target, once a key, and ends.
+def ingest_predictions(spark: SparkSession, source: str, schema: StructType | str, target: str, checkpoint: str, keys: tuple[str, ...] = ("tag", "id"), fmt: str = "json", buckets: int = 64, files_a_batch: int | None = None) -> None:
+    """Appends what is new in source to the table at target (see ``read_ingested``), once a key, and ends.
 
-    The keys seen are kept as state: right for finite evaluation sets. The checkpoint makes a restart go on exactly
-    where the last run ended.
+    No keys are held as state: the table itself says what is there. Each batch is compared with the keys of the batches before, of those
+    buckets only that it touches, and is entered under its number in one step. A batch that is run again after a lost driver finds the same
+    rows before it, and either its entry, or none and writes anew; so no row is lost or doubled wherever the job was killed.
     """
-    rows = spark.readStream.format(fmt).schema(schema).load(source).dropDuplicates(list(keys))
-    query = rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    names = list(keys)
+
+    def write(batch: DataFrame, number: int) -> None:
+        own, done = batch.sparkSession, storage.entries(batch.sparkSession, target)
+        if f"{number:012}" in done:
+            return
+        new = batch.dropDuplicates(names).withColumn("_bucket", F.pmod(F.hash(*names), F.lit(buckets)))
+        before = [e["path"] for name, e in sorted(done.items()) if int(name) < number]
+        if before:
+            # of each earlier batch the keys of the buckets in question; buckets are folders
+            touched = [r[0] for r in new.select("_bucket").distinct().collect()]
+            there = own.read.schema(StructType([*[batch.schema[n] for n in names], StructField("_bucket", IntegerType())]))
+            old = reduce(DataFrame.unionByName, [there.option("basePath", p).parquet(p) for p in before])
+            new = new.join(old.filter(F.col("_bucket").isin(touched)).select(*names), names, "left_anti")
+        path = storage.write_data(new, target, by=("_bucket",))
+        storage.enter(own, target, f"{number:012}", {"path": path, "format": "parquet", "columns": batch.columns})
+
+    rows = spark.readStream.format(fmt).schema(schema)
+    rows = (rows.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else rows).load(source)
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_ingested(spark: SparkSession, target: str, schema: StructType | str) -> DataFrame:
+    """The rows of all batches that were entered at target."""
+    empty = spark.createDataFrame([], schema)
+    done = storage.entries(spark, target).values()
+    return reduce(DataFrame.unionByName, [spark.read.schema(empty.schema).parquet(e["path"]).select(*e["columns"]) for e in done], empty)
 
 
 def ingest_events(spark: SparkSession, source: str, schema: StructType | str, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:

@@ -141,7 +141,7 @@ def test_stream_goes_on(spark, tmp_path):
     incremental.ingest_predictions(spark, src, "tag string, id long", out, state)
     rows(2, 3).write.mode("append").json(src)
     incremental.ingest_predictions(spark, src, "tag string, id long", out, state)
-    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+    assert sorted(r.id for r in incremental.read_ingested(spark, out, "tag string, id long").collect()) == [1, 2, 3]
 
 
 def test_corpus_job_conserves_words(spark):
