@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medcorpus.functions.text import norm_key
+from medcorpus.operators.blooms import Bloom, bloom_of
+from medcorpus.storage import stored
 
 WINDOW_CHARS = 20
-#: An evaluation index up to so many windows is broadcast; a larger one is joined by shuffle.
-BROADCAST_WINDOWS = 2_000_000
+#: Characters of normalised texts that are hashed at once.
+CHARS_AT_ONCE = 1 << 21
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,48 +45,78 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
 
 
-def shares_window(index: list[str], chars: int):
-    """A function of a column of normalised keys: whether one of its windows may be in the index; the hashes can only say so too often."""
-    hashes = np.unique(window_hashes(_codes("".join(index)), chars)[::chars]) if index else np.zeros(0, dtype=np.uint64)
-    first = np.zeros(1 << 20, dtype=bool)
-    first[(hashes >> np.uint64(44)).astype(np.int64)] = True
-
-    @F.pandas_udf("boolean")
-    def shares(keys: pd.Series) -> pd.Series:
-        # all texts of a batch as one; a window over the end of a text can only be a needless candidate
-        own = window_hashes(_codes("".join(keys)), chars)
-        at = np.flatnonzero(first[(own >> np.uint64(44)).astype(np.int64)])
-        if len(at) and len(hashes):
-            place = np.minimum(np.searchsorted(hashes, own[at]), len(hashes) - 1)
-            at = at[hashes[place] == own[at]]
-        ends = np.cumsum(keys.str.len().to_numpy(dtype=np.int64))
-        hit = np.zeros(len(keys), dtype=bool)
-        hit[np.searchsorted(ends, at, side="right")] = True
-        return pd.Series(hit, index=keys.index)
-
-    return shares
+def _hashed(values: DataFrame, column: str, chars: int) -> DataFrame:
+    """The windows of a column as hashes: one a row, as its values are of chars characters."""
+
+    def hashed(batches):
+        for b in batches:
+            own = window_hashes(_codes("".join(b.column(0).to_pylist())), chars)[::chars] if b.num_rows else np.zeros(0, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["hash"])
+
+    return values.select(column).mapInArrow(hashed, "hash long")
+
+
+def _spans(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about CHARS_AT_ONCE characters; a longer text is one of its own."""
+    begin, size = 0, 0
+    for k, t in enumerate(texts):
+        if k > begin and size + len(t) > CHARS_AT_ONCE:
+            yield begin, k
+            begin, size = k, 0
+        size += len(t)
+    if texts:
+        yield begin, len(texts)
+
+
+def _candidates(batches, index: Bloom, exact: Bloom, chars: int) -> Iterator[pa.RecordBatch]:
+    """Of texts (key, text's digest, its first bytes as a number, normalised text) the windows that may be in the index, each once a text; and a row without one if the text itself may be."""
+    for b in batches:
+        digests, heads, texts = b.column(1), b.column(2).to_numpy().view(np.uint64), b.column(3).to_pylist()
+        whole = set(exact.where(heads).tolist())
+        rows, sizes, found = [], [], []
+        for begin, end in _spans(texts):
+            some = texts[begin:end]
+            own = window_hashes(_codes("".join(some)), chars)
+            at, stops = index.where(own), np.cumsum([len(t) for t in some])
+            text_of = np.searchsorted(stops, at, side="right")
+            # windows over a text's end are none
+            inside = at + chars <= stops[np.minimum(text_of, len(some) - 1)]
+            places = dict.fromkeys(text_of[inside].tolist(), ())
+            for k, p in zip(text_of[inside].tolist(), at[inside].tolist(), strict=True):
+                places[k] += (p,)
+            for k in sorted({*places, *(w - begin for w in whole if begin <= w < end)}):
+                first = int(stops[k]) - len(some[k])
+                mine = dict.fromkeys(some[k][p - first : p - first + chars] for p in places.get(k, ()))
+                n = len(np.unique(own[first : max(first, int(stops[k]) - chars + 1)]))
+                hits = [*mine, *([None] if k + begin in whole else [])]
+                rows += [begin + k] * len(hits)
+                sizes += [n] * len(hits)
+                found += hits
+        take = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(take), digests.take(take), pa.array(sizes, pa.int64()), pa.array(found, pa.string())], names=["key", "text", "n_windows", "w"])
 
 
 def contamination(texts: DataFrame, key: str, text: str, questions: DataFrame, frac: float = 0.5, chars: int = WINDOW_CHARS) -> DataFrame:
     """key, n_hits, n_windows, exact, contaminated per distinct normalised text of a key that shares anything with the questions.
 
-    A key may have several texts (turns): each is judged by itself. A small index goes to the tasks as hashes, and only texts that
-    share one are taken apart; a large one is joined with the windows of all texts.
+    A key may have several texts (turns): each is judged by itself. The index goes to the tasks as a Bloom filter of window hashes, whatever its
+    size, and is tested where the texts lie. Only windows that pass are moved and joined with the index on the string; the filter
+    lets pass too many, never too few. A text's windows are counted by 64-bit hashes. Texts are the same if their SHA-256 is.
     """
     exact, index, _ = build_eval_index(questions, chars)
-    keyed = texts.select(key, norm_key(F.col(text)).alias("_key"))
-    small = index.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    some = keyed
-    if small:
-        # at most BROADCAST_WINDOWS windows of chars characters
-        some = keyed.filter(shares_window(index.toArrow().column(0).to_pylist(), chars)(F.col("_key")))
-    some = some.distinct()
-    cut = some.select(key, F.md5("_key").alias("_text"), windows(F.col("_key"), chars).alias("_ws"))
-    # explode_outer: for explode Spark would infer a filter on the windows' number and make them twice
-    exploded = cut.select(key, "_text", F.size("_ws").alias("n_windows"), F.explode_outer("_ws").alias("w")).filter("w is not null")
-    hits = exploded.join(F.broadcast(index) if small else index, "w").groupBy(key, "_text", "n_windows").agg(F.count("*").alias("n_hits"))
-    same = keyed.join(exact.withColumnRenamed("key", "_key"), "_key", "left_semi").select(key, F.md5("_key").alias("_text"), F.lit(True).alias("exact")).distinct()
-    out = hits.join(same, [key, "_text"], "full").drop("_text").na.fill({"n_hits": 0, "n_windows": 0, "exact": False})
+    index = stored(index)
+    digest = F.sha2("_key", 256)
+    head = lambda d: F.conv(F.substring(d, 1, 15), 16, 10).cast("long")
+    exact = stored(exact.select(F.sha2("key", 256).alias("_text")))
+    seen, whole = bloom_of(_hashed(index, "w", chars), "hash", index.count()), bloom_of(exact.select(head(F.col("_text")).alias("hash")), "hash", exact.count())
+    keyed = texts.select(F.col(key).alias("_id"), norm_key(F.col(text)).alias("_key")).filter("_key <> ''")
+    some = keyed.select("_id", digest.alias("_text"), "_key").select("_id", "_text", head(F.col("_text")).alias("_head"), "_key")
+    kind = dict(texts.dtypes)[key]
+    cut = stored(some.mapInArrow(lambda it: _candidates(it, seen, whole, chars), f"_id {kind}, _text string, n_windows long, w string"))
+    hits = cut.filter("w is not null").join(index, "w").distinct().groupBy("_id", "_text", "n_windows").agg(F.count("*").alias("n_hits"))
+    same = cut.filter("w is null").join(exact, "_text", "left_semi").select("_id", "_text", F.col("n_windows").alias("_n"), F.lit(True).alias("exact")).distinct()
+    out = hits.join(same, ["_id", "_text"], "full").withColumn("n_windows", F.coalesce("n_windows", "_n")).drop("_text", "_n").na.fill({"n_hits": 0, "exact": False})
+    out = out.select(F.col("_id").alias(key), "n_hits", "n_windows", "exact")
     return out.withColumn("contaminated", F.col("exact") | ((F.col("n_windows") > 0) & (F.col("n_hits") >= frac * F.col("n_windows"))))
 
 

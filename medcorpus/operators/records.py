@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medcorpus.functions.scoring import normalize_answer
-from medcorpus.functions.text import hash_number, strip_answer_prefix, text_of
+from medcorpus.functions.text import strip_answer_prefix, text_of
+from medcorpus.operators.sampling import seeded_places
 
 #: What the prompts say.
 CLOSED_SUFFIX = "\nAnswer with yes or no only."
@@ -110,14 +111,19 @@ def strip_prompt_suffix(prompt: Column) -> Column:
     return F.when(F.endswith(prompt, F.lit(CLOSED_SUFFIX)), cut(CLOSED_SUFFIX)).when(F.endswith(prompt, F.lit(OPEN_SUFFIX)), cut(OPEN_SUFFIX)).otherwise(F.raise_error(F.lit("prompt without a known format line")))
 
 
+def _plain(col: Column) -> Column:
+    """Lower-cased, without ASCII punctuation, white space as single blanks; articles stay."""
+    bare = F.regexp_replace(F.lower(col), r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]", "")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
 def rewrite_ok(rewrite: Column, answer: Column) -> Column:
-    """One line of 4 to 40 words that begins with the yes or no, or holds the answer as whole words."""
-    x, a = F.trim(text_of(rewrite)), normalize_answer(answer)
+    """One line of 4 to 40 words that begins with the yes or no, or holds the answer with no letter or digit at its edges."""
+    x, a = F.regexp_replace(text_of(rewrite), r"^\s+|\s+$", ""), _plain(text_of(answer))
     n = F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
-    padded = F.concat(F.lit(" "), normalize_answer(x), F.lit(" "))
-    first = F.substring_index(normalize_answer(x), " ", 1)
-    held = F.when(a.isin("yes", "no"), first == a).otherwise((a != "") & F.contains(padded, F.concat(F.lit(" "), a, F.lit(" "))))
-    return ~F.contains(x, F.lit("\n")) & n.between(4, 40) & held
+    # what is left of an answer has no sign that a pattern could take for its own
+    held = F.regexp_like(_plain(x), F.concat(F.lit(r"(?<![a-z0-9])\Q"), a, F.lit(r"\E(?![a-z0-9])")))
+    return ~F.contains(x, F.lit("\n")) & n.between(4, 40) & F.when(a.isin("yes", "no"), F.substring_index(_plain(x), " ", 1) == a).otherwise((a != "") & held)
 
 
 #: Fixed value: what a rewritten answer is asked for, and the line that its question gets.
@@ -126,12 +132,12 @@ SENTENCE_SUFFIX = "\nAnswer in one sentence."
 
 
 def rewrite_requests(rows: DataFrame, key: str, share: float, seed: int) -> DataFrame:
-    """key, question, answer, prompt of a seeded share of rows(key, question, answer): a row is drawn by the hash of its key."""
-    drawn = hash_number(F.lit(seed), F.lit("rewrite"), F.col(key)) < share * 4294967296
+    """key, question, answer, prompt of a seeded share of rows(key, question, answer): the first round(n * share) of n in the keys' seeded order."""
+    placed = seeded_places(rows.select(key, "question", "answer").withColumn("_all", F.lit(0)), "_all", seed, "rewrite", key)
     a, rest = REWRITE_PROMPT.split("{question}")
     b, c = rest.split("{answer}")
     prompt = F.concat(F.lit(a), F.col("question"), F.lit(b), F.col("answer"), F.lit(c))
-    return rows.filter(drawn).select(key, "question", "answer", prompt.alias("prompt"))
+    return placed.filter(F.col("_rn") <= F.bround(F.col("_size") * F.lit(share))).select(key, "question", "answer", prompt.alias("prompt"))
 
 
 def apply_rewrites(rows: DataFrame, rewrites: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from medcorpus.functions.scoring import REFUSAL, distinct2, latin_tokens
+from medcorpus.storage import stored
 
 
 def mean_if(value: Column, when: Column) -> Column:
@@ -124,30 +125,46 @@ def labeler_agreement(a: DataFrame, b: DataFrame, key: str, columns: list[str])
     return both.rollup("finding").agg(F.count("*").alias("n"), (100.0 * F.avg(same.cast("double"))).alias("agreement"), (100.0 * share(F.coalesce(F.col("other") == 1.0, F.lit(False)), F.coalesce(pos, F.lit(False)))).alias("recovered"))
 
 
-def range_parts(df: DataFrame, group: list[str], value: str, parts: int = 512) -> DataFrame:
-    """df with _part: the part of its group's range of values that a row's value lies in. Null values have none."""
-    v = F.col(value).cast("double")
-    ends = df.groupBy(*[F.col(g).alias(f"_end_{g}") for g in group]).agg(F.min(v).alias("_low"), F.max(v).alias("_high"))
-    # the groups' ends are one row a group; a group with a null in its name is found again, too
-    same = [F.col(g).eqNullSafe(F.col(f"_end_{g}")) for g in group]
-    x = df.join(ends, reduce(lambda a, b: a & b, same)) if group else df.join(ends)
-    place = F.floor((v - F.col("_low")) / (F.col("_high") - F.col("_low")) * parts)
-    return x.select(*df.columns, F.when(F.col("_high") > F.col("_low"), F.least(place, F.lit(parts - 1))).otherwise(F.lit(0)).cast("int").alias("_part"))
+#: Rows of a part of a sorted table.
+PART_ROWS = 500_000
 
 
-def order_statistics(df: DataFrame, group: list[str], value: str, **places: Column) -> DataFrame:
+def range_parts(df: DataFrame, order: list[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """df, stored, with _part: rows in the order of columns, cut into parts of about part_rows rows.
+
+    The cuts are splitters that Spark samples from the rows themselves, so parts are even however the values lie. df is stored
+    before, for its size, and after, so that all that follows sees the same parts.
+    """
+    x = stored(df)
+    n = max(1, -(-x.count() // part_rows))
+    return stored(x.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def part_offsets(x: DataFrame, group: list[str], weight: Column) -> DataFrame:
+    """x with _before and _all: the weight of its group in earlier parts and in all."""
+    w = W.partitionBy(*[f"_of_{g}" for g in group])  # a row for each part that a group is in
+    sizes = x.groupBy(*[F.col(g).alias(f"_of_{g}") for g in group], F.col("_part").alias("_of_part")).agg(F.sum(weight).alias("_weight"))
+    before = F.sum("_weight").over(w.orderBy("_of_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_weight")
+    sizes = sizes.withColumns({"_before": before, "_all": F.sum("_weight").over(w)}).drop("_weight")
+    same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group]
+    return x.join(sizes, reduce(lambda a, b: a & b, same, F.col("_part") == F.col("_of_part"))).drop("_of_part", *[f"_of_{g}" for g in group])
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], number: str, size: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """df with each row's number from 1 in its group's order, and the group's size; no group is one task."""
+    x = part_offsets(range_parts(df, [*group, *order], part_rows), group, F.lit(1))
+    inside = F.row_number().over(W.partitionBy(*group, "_part").orderBy(*order))
+    return x.withColumn(number, F.col("_before") + inside).withColumnRenamed("_all", size).drop("_before", "_part")
+
+
+def order_statistics(df: DataFrame, group: list[str], value: str, part_rows: int = PART_ROWS, **places: Column) -> DataFrame:
     """Order statistics of value by group: places are 0-based ranks as columns of the group's size n.
 
-    Values are counted first; their range is cut into parts, the parts' sizes give each its offset, and running counts are
-    taken inside a part. So a table of two or three groups is still many tasks.
+    Values are counted first; the distinct ones are cut into even parts, the parts' sizes give each its offset, and running counts are
+    taken inside a part. So a table of two or three groups is still many tasks, whatever its values.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
-    x = range_parts(counts, group, value)
-    w = W.partitionBy(*group)  # one row a part
-    sizes = x.groupBy(*group, "_part").agg(F.sum("_c").alias("_s"))
-    sizes = sizes.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_part").alias("_p"), (F.sum("_s").over(w.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s")).alias("_before"), F.sum("_s").over(w).alias("n"))
-    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
-    x = x.join(sizes, reduce(lambda a, b: a & b, same, F.col("_part") == F.col("_p")))
+    x = part_offsets(range_parts(counts, [*group, value], part_rows), group, F.col("_c")).withColumnRenamed("_all", "n")
     inside = F.sum("_c").over(W.partitionBy(*group, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
     x = x.withColumn("_to", F.col("_before") + inside)
     at = lambda p: (p < F.col("_to")) & (p >= F.col("_to") - F.col("_c"))

@@ -2,33 +2,63 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from medcorpus.functions.text import hash_number
+from medcorpus.storage import stored
 
 
-def bootstrap_ci(df: DataFrame, groups: list[str], value: str, draws: int = 2000, seed: int = 0) -> DataFrame:
-    """groups, n, mean, lo, hi (in per cent): the 95 % interval of the mean of n draws with replacement.
+#: Distinct values of a group that one task draws from, and numbers that it draws at a time.
+PART_VALUES, DRAWN_AT_ONCE = 65_536, 1 << 22
 
-    Spark collapses each group to its distinct values; drawing n items is a multinomial over those, so the cost does not
-    depend on n. Values are few here (scores of items); see poisson_bootstrap for many.
-    """
-    hist = df.groupBy(*groups, value).agg(F.count("*").alias("_c"))
 
-    def ci(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(value)
-        x, c = p[value].to_numpy(dtype=float), p["_c"].to_numpy()
-        n = int(c.sum())
-        rng = np.random.default_rng(seed)
-        means = np.sort(rng.multinomial(n, c / n, size=draws) @ x / n) * 100
-        return pd.DataFrame([[*key, n, float(x @ c / n) * 100, means[int(0.025 * draws)], means[int(0.975 * draws) - 1]]])
+def bootstrap_ci(df: DataFrame, groups: list[str], value: str, draws: int = 2000, seed: int = 0, part_values: int = PART_VALUES) -> DataFrame:
+    """groups, n, mean, lo, hi (in per cent): the 95 % interval of the mean of n draws with replacement.
 
+    Spark collapses each group to its distinct values; drawing n items is a multinomial over those, so the cost does not depend on n. A group of
+    many values is dealt over parts: first the parts' totals of every draw are drawn, then each part draws its total from its own
+    values, which together is the same multinomial. A task so holds part_values values, and a draw is one sum for each part.
+    """
     kinds = dict(df.dtypes)
-    schema = ", ".join(f"{g} {kinds[g]}" for g in groups) + ", n long, mean double, lo double, hi double"
-    return hist.groupBy(*groups).applyInPandas(ci, schema)
+    own = ", ".join(f"`{g}` {kinds[g]}" for g in groups)
+    hist = stored(df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")))
+    parts = hist.groupBy(*groups).agg(F.count("*").alias("_values")).select(*[F.col(g).alias(f"_of_{g}") for g in groups], F.ceil(F.col("_values") / part_values).alias("_parts"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in groups])
+    dealt = hist.join(parts, same).withColumn("_part", F.pmod(F.xxhash64("_v"), "_parts").cast("int")).select(*groups, "_part", "_v", "_c")
+    sizes = dealt.groupBy(*groups, "_part").agg(F.sum("_c").alias("_n"))
+
+    def totals(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("_part")
+        n = p["_n"].to_numpy()
+        drawn = np.random.default_rng(seed).multinomial(int(n.sum()), n / n.sum(), size=draws)
+        return pd.DataFrame([[*key, part, drawn[:, k]] for k, part in enumerate(p["_part"])])
+
+    def sums(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("_v")
+        x, c, wanted = p["_v"].to_numpy(dtype=float), p["_c"].to_numpy(), np.asarray(p["_totals"].dropna().iloc[0])
+        rng, out = np.random.default_rng([seed, int(key[-1])]), np.empty(draws)
+        step = max(1, DRAWN_AT_ONCE // len(x))
+        for k in range(0, draws, step):
+            out[k : k + step] = rng.multinomial(wanted[k : k + step], c / c.sum()) @ x
+        return pd.DataFrame([[*key[:-1], int(c.sum()), float(x @ c), out]])
+
+    drawn = sizes.groupBy(*groups).applyInPandas(totals, f"{own}, _part int, _totals array<long>")
+    # a part's totals come once, with one of its values
+    first = F.row_number().over(W.partitionBy(*groups, "_part").orderBy("_v")) == 1
+    renamed = drawn.select(*[F.col(g).alias(f"_of_{g}") for g in groups], F.col("_part").alias("_of_part"), F.col("_totals"))
+    met = dealt.withColumn("_first", first).join(renamed, same & (F.col("_part") == F.col("_of_part")) & F.col("_first"), "left").select(*groups, "_part", "_v", "_c", "_totals")
+    each = met.groupBy(*groups, "_part").applyInPandas(sums, f"{own}, n long, total double, sums array<double>")
+    added = F.aggregate("_all", F.array_repeat(F.lit(0.0), draws), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    # a row for each part of a group
+    whole = each.groupBy(*groups).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.collect_list("sums").alias("_all")).withColumn("_means", F.sort_array(added))
+    at = lambda k: F.get("_means", F.lit(k)) / F.col("n") * 100
+    return whole.select(*groups, "n", (F.col("total") / F.col("n") * 100).alias("mean"), at(int(0.025 * draws)).alias("lo"), at(int(0.975 * draws) - 1).alias("hi"))
 
 
 def paired_differences(df: DataFrame, keys: list[str], reference: str) -> DataFrame:

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medcorpus.functions.scoring import latin_tokens
-from medcorpus.functions.text import let
+from medcorpus.operators.blooms import bloom_of
+from medcorpus.storage import stored
 
-BLOCK = 512
+#: Vectors of one side that a task holds at most, and rows of similarities that it has at a time.
+BLOCK, CHUNK = 16_384, 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -18,16 +25,21 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def retrieval_ranks(pairs: DataFrame, key: str = "id", block: int = BLOCK) -> DataFrame:
+def grid_side(n: int, tasks: int, block: int = BLOCK) -> int:
+    """Blocks of a side, so that the grid has a cell for each task, and no block over block vectors on average; small tables have fewer."""
+    return max(1, -(-n // block), min(math.isqrt(max(1, tasks - 1)) + 1, n // CHUNK))
+
+
+def retrieval_ranks(pairs: DataFrame, key: str = "id", block: int = BLOCK, tasks: int | None = None) -> DataFrame:
     """key, rank_ab, rank_ba: how many others score strictly more than the true partner, each way.
 
-    Vectors are dealt in blocks; a task multiplies one block of a by one of b and returns only counts, so similarities are
-    never rows. Blocks hold a fixed number of vectors on average, whatever the table's size. Ranks are exact and take every pair, so
-    each vector is sent to all n / block blocks of the other side: n * n / block vectors in all.
+    The pairs form a grid of blocks of a by blocks of b. A task multiplies a cell, CHUNK rows at a time, and returns only counts, so
+    similarities are never rows. Ranks are exact and take every pair; each vector is sent to the cells of its row or column, 2 * n * side
+    vectors in all, where the side follows the number of tasks and, beyond that, the memory of one.
     """
-    n_blocks = max(1, -(-pairs.count() // block))
-    own = pairs.select(F.col(key).alias("id"), "a", "b", dot(F.col("a"), F.col("b")).alias("s"), F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int").alias("blk"))
-    others = F.sequence(F.lit(0), F.lit(n_blocks - 1))
+    side = grid_side(pairs.count(), tasks or pairs.sparkSession.sparkContext.defaultParallelism, block)
+    own = pairs.select(F.col(key).alias("id"), "a", "b", dot(F.col("a"), F.col("b")).alias("s"), F.pmod(F.xxhash64(key), F.lit(side)).cast("int").alias("blk"))
+    others = F.sequence(F.lit(0), F.lit(side - 1))
     left = own.select("id", F.col("a").alias("v"), "s", F.lit(0).alias("side"), F.col("blk").alias("i"), F.explode(others).alias("j"))
     right = own.select("id", F.col("b").alias("v"), "s", F.lit(1).alias("side"), F.explode(others).alias("i"), F.col("blk").alias("j"))
 
@@ -35,12 +47,17 @@ def retrieval_ranks(pairs: DataFrame, key: str = "id", block: int = BLOCK) -> Da
         x, y = p[p["side"] == 0], p[p["side"] == 1]
         if not len(x) or not len(y):
             return pd.DataFrame({"id": [], "ab": [], "ba": []})
-        sim = np.array(x["v"].tolist(), dtype=np.float64) @ np.array(y["v"].tolist(), dtype=np.float64).T
-        same = x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None]
-        ab = ((sim > x["s"].to_numpy()[:, None] + 1e-12) & ~same).sum(axis=1)
-        ba = ((sim > y["s"].to_numpy()[None] + 1e-12) & ~same).sum(axis=0)
-        zero = lambda k: np.zeros(k, dtype=np.int64)
-        return pd.DataFrame({"id": np.concatenate([x["id"], y["id"]]), "ab": np.concatenate([ab, zero(len(y))]), "ba": np.concatenate([zero(len(x)), ba])})
+        matrix = lambda v: np.stack(v.to_numpy()).astype(np.float64)
+        a, b = matrix(x["v"]), matrix(y["v"]).T
+        least_a, least_b = x["s"].to_numpy() + 1e-12, y["s"].to_numpy() + 1e-12
+        ids, other = x["id"].to_numpy(), y["id"].to_numpy()
+        ab, ba = np.empty(len(x), dtype=np.int64), np.zeros(len(y), dtype=np.int64)
+        for k in range(0, len(x), CHUNK):
+            part = slice(k, k + CHUNK)
+            sim, differ = a[part] @ b, ids[part, None] != other[None]
+            ab[part] = ((sim > least_a[part, None]) & differ).sum(axis=1)
+            ba += ((sim > least_b[None]) & differ).sum(axis=0)
+        return pd.DataFrame({"id": np.concatenate([ids, other]), "ab": np.concatenate([ab, 0 * ba]), "ba": np.concatenate([0 * ab, ba])})
 
     counts = left.unionByName(right).groupBy("i", "j").applyInPandas(count, "id long, ab long, ba long")
     return counts.groupBy("id").agg(F.sum("ab").alias("rank_ab"), F.sum("ba").alias("rank_ba")).withColumnRenamed("id", key)
@@ -88,39 +105,122 @@ def _lcs_f(a: list[str], b: list[str], beta: float) -> float:
     return (1 + beta**2) * p * r / (r + beta**2 * p) if n else 0.0
 
 
+#: Items whose grams a task holds at a time.
+ITEMS = 256
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _ODD
+    return x ^ (x >> np.uint64(29))
+
+
+def _token_hashes(tokens: pa.Array) -> np.ndarray:
+    coded = tokens.dictionary_encode()
+    each = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in coded.dictionary.to_pylist()], dtype=np.uint64)
+    return each[coded.indices.to_numpy()] if len(coded) else np.zeros(0, dtype=np.uint64)
+
+
+def _grams(batches, max_n: int) -> Iterator[pa.RecordBatch]:
+    """item, its number of references, the distinct grams of all its texts with a mark of those in references, and (place of the gram, text, count) of each text that has it. Text 0 is the prediction."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ITEMS):
+            b = batch.slice(at, ITEMS)
+            texts, sizes = [], []
+            preds, refs = b.column(1).fill_null([]).to_pylist(), b.column(2).to_pylist()
+            for p, rs in zip(preds, refs, strict=True):
+                texts += [p, *[r or [] for r in rs or []]]
+                sizes.append(1 + len(rs or []))
+            hashes = _token_hashes(pa.array([w for t in texts for w in t], pa.string()))
+            lengths = np.array([len(t) for t in texts], dtype=np.int64)
+            item_of = np.repeat(np.arange(len(sizes)), sizes)
+            text_of = np.arange(len(texts)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            where = np.repeat(np.arange(len(texts)), lengths)
+            left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(hashes))  # tokens up to the text's end
+            found, state = [], np.zeros(len(hashes), dtype=np.uint64)
+            for n in range(1, max_n + 1):
+                state = _mixed(state[: len(hashes) - n + 1] + hashes[n - 1 :])
+                whole = left[: len(state)] >= n
+                # two bits of a gram's hash say how long it is
+                g = (state[whole] & ~np.uint64(3)) | np.uint64(n - 1 & 3)
+                found.append((where[: len(state)][whole], g.view(np.int64)))
+            text, gram = (np.concatenate(x) for x in zip(*found, strict=True))
+            item, text = item_of[text], text_of[text]
+            order = np.lexsort((text, gram, item))
+            item, gram, text = item[order], gram[order], text[order]
+            new_gram = np.ones(len(item), dtype=bool)
+            new_gram[1:] = (item[1:] != item[:-1]) | (gram[1:] != gram[:-1])
+            new = new_gram.copy()
+            new[1:] |= text[1:] != text[:-1]
+            first = np.flatnonzero(new)
+            counts = np.diff(np.append(first, len(item)))
+            place = np.cumsum(new_gram) - 1
+            heads = np.flatnonzero(new_gram)
+            in_refs = np.zeros(len(heads), dtype=bool)
+            in_refs[place[first][text[first] > 0]] = True
+            ends = lambda own: pa.array(np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(sizes)))]).astype(np.int32))
+            of_gram, of_entry = ends(item[heads]), ends(item[first])
+            inside = place[first] - of_gram.to_numpy()[item[first]]
+            lists = [(of_gram, gram[heads]), (of_gram, in_refs), (of_entry, inside.astype(np.int32)), (of_entry, text[first].astype(np.int32)), (of_entry, counts.astype(np.int32))]
+            lens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(lengths.astype(np.int32)))
+            arrays = [b.column(0), pa.array(np.array(sizes) - 1, pa.int32()), lens, *[pa.ListArray.from_arrays(o, pa.array(v)) for o, v in lists]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["item", "k", "lens", "gram", "in_refs", "place", "text", "n"])
+
+
+def _scored(batches, total: int, max_n: int, sigma: float | None) -> Iterator[pa.RecordBatch]:
+    """item and score of rows of _grams with rare and df, the items' numbers of their grams that several items' references have."""
+    full = np.log(float(max(1, total)))
+    for b in batches:
+        scores = []
+        for k, lens, gram, place, text, n, often, df in zip(*[c.to_pylist() for c in b.columns[1:]], strict=True):
+            if not k or not gram:
+                scores.append(0.0)
+                continue
+            gram, place, text, n = (np.array(x, dtype=np.int64) for x in (gram, place, text, n))
+            weight = np.full(len(gram), full)
+            if often:
+                weight[np.searchsorted(gram, np.array(often, dtype=np.int64))] = full - np.log(np.array(df, dtype=np.float64))
+            said = np.zeros(len(gram), dtype=np.int64)
+            said[place[text == 0]] = n[text == 0]
+            size, w = gram & 3, weight[place]
+            cell = size[place] * (k + 1) + text
+            sums = lambda x: np.bincount(cell, weights=x, minlength=4 * (k + 1)).reshape(4, k + 1)
+            square, dot_ = sums((n * w) ** 2), sums(np.minimum(said[place], n) * n * w * w)
+            if sigma is not None:
+                gap = np.array(lens, dtype=np.float64) - lens[0]
+                dot_ = dot_ * np.exp(-(gap**2) / (2 * sigma**2))
+            norm = np.sqrt(square[:, 1:] * square[:, :1])
+            cos = np.divide(dot_[:, 1:], norm, out=np.zeros_like(norm), where=norm > 0)
+            scores.append(float(cos.sum()) * 10 / max_n / k)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["item", "cider"])
+
+
 def cider(captions: DataFrame, max_n: int = 4, sigma: float | None = None) -> DataFrame:
     """item, cider of captions(item, pred, refs): clipped tf-idf cosine of 1- to 4-grams, mean over references.
 
-    Captions are dealt by item once, so of the counts that follow only those over all items move grams.
+    An item's grams are counted inside its row, as 64-bit hashes. A gram that no second item's references have weighs log N, so only grams that
+    several have are brought to the items that hold them; a Bloom filter of these keeps the others where they are.
 
     sigma: with a Gaussian penalty of that width on the difference of the two texts' numbers of tokens; without it there is none.
     """
-    dealt = captions.repartition("item")
-    side = dealt.select("item", F.lit(-1).alias("ref"), latin_tokens(F.col("pred")).alias("t")).unionByName(
-        dealt.select("item", F.posexplode("refs").alias("ref", "r")).select("item", "ref", latin_tokens(F.col("r")).alias("t"))
-    )
-    # the tokens are made once a text; all gram sizes come from them, as 64-bit hashes
-    ngrams = lambda t, n: F.transform(F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice(t, i, F.lit(n))).alias("g")))
-    every = let(F.col("t"), lambda t: F.concat(*[ngrams(t, n) for n in range(1, max_n + 1)]))
-    grams = side.select("item", "ref", F.explode_outer(every).alias("x")).filter("x is not null").select("item", "ref", "x.n", "x.g")
-    tf = grams.groupBy("item", "ref", "n", "g").agg(F.count("*").alias("tf"))
-    is_pred = F.col("ref") < 0
-    # one row per gram of an item: its count in the prediction and in each reference that has it
-    own = tf.groupBy("item", "n", "g").agg(F.max(F.when(is_pred, F.col("tf"))).alias("h"), F.collect_list(F.when(~is_pred, F.struct("ref", "tf"))).alias("r"))
-    df = own.filter(F.size("r") > 0).groupBy("n", "g").agg(F.count("*").alias("df"))
+    if not 1 <= max_n <= 4:
+        raise ValueError("grams of one to four tokens")
+    kind = dict(captions.dtypes)["item"]
+    tokens = captions.select("item", latin_tokens(F.col("pred")).alias("p"), F.transform("refs", latin_tokens).alias("r"))
+    rows = stored(tokens.mapInArrow(lambda it: _grams(it, max_n), f"item {kind}, k int, lens array<int>, gram array<long>, in_refs array<boolean>, place array<int>, text array<int>, n array<int>"))
+    cited = rows.select(F.explode(F.arrays_zip("gram", "in_refs")).alias("x")).filter("x.in_refs").select("x.gram")
+    often = stored(cited.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"))
+    seen = bloom_of(often, "gram", often.count())
+
+    def held(batches):
+        for b in batches:
+            lists = b.column(1)
+            at = seen.where(lists.flatten().to_numpy().view(np.uint64))
+            parents = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())[at]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(parents)), lists.flatten().take(pa.array(at))], names=["item", "gram"])
+
+    some = rows.select("item", "gram").mapInArrow(held, f"item {kind}, gram long").join(often, "gram")
+    mine = some.groupBy("item").agg(F.collect_list("gram").alias("often"), F.collect_list("df").alias("df"))
     total = captions.select("item").distinct().count()
-    idf = F.log(F.lit(float(max(1, total)))) - F.log(F.greatest(F.lit(1), F.coalesce("df", F.lit(0))).cast("double"))
-    weighed = own.join(df, ["n", "g"], "left").select("item", "n", "h", "r", idf.alias("idf"))
-    squares = F.transform("r", lambda r: F.struct(r["ref"].alias("ref"), (F.least(F.coalesce("h", F.lit(0)), r["tf"]) * r["tf"] * F.col("idf") * F.col("idf")).alias("dot"), F.pow(r["tf"] * F.col("idf"), 2.0).alias("sq")))
-    pred = F.when(F.col("h").isNotNull(), F.array(F.struct(F.lit(-1).alias("ref"), F.lit(0.0).alias("dot"), F.pow(F.col("h") * F.col("idf"), 2.0).alias("sq"))))
-    parts = weighed.select("item", "n", F.inline(F.concat(squares, F.coalesce(pred, F.slice(squares, 1, 0)))))
-    sums = parts.groupBy("item", "n", "ref").agg(F.sum("dot").alias("dot"), F.sum("sq").alias("sq"))
-    if sigma is not None:
-        sizes = side.select("item", "ref", F.size("t").alias("len"))
-        own = sizes.filter("ref >= 0").join(sizes.filter("ref < 0").select("item", F.col("len").alias("pred_len")), "item")
-        fade = F.exp(-F.pow((F.col("pred_len") - F.col("len")).cast("double"), 2.0) / (2 * sigma**2))
-        sums = sums.join(own.select("item", "ref", fade.alias("fade")), ["item", "ref"], "left").withColumn("dot", F.col("dot") * F.coalesce("fade", F.lit(1.0))).drop("fade")
-    by_n = sums.groupBy("item", "n").agg(F.max(F.when(F.col("ref") < 0, F.col("sq"))).alias("hq"), F.collect_list(F.when(F.col("ref") >= 0, F.struct("dot", "sq"))).alias("rs"))
-    cos = F.aggregate("rs", F.lit(0.0), lambda a, r: a + F.when((r["sq"] > 0) & (F.col("hq") > 0), r["dot"] / F.sqrt(r["sq"] * F.col("hq"))).otherwise(0.0))
-    scores = by_n.groupBy("item").agg(F.sum(cos).alias("s"))
-    return captions.select("item", F.size("refs").alias("k")).join(scores, "item", "left").select("item", F.when(F.col("k") > 0, F.coalesce("s", F.lit(0.0)) * 10 / max_n / F.col("k")).otherwise(0.0).alias("cider"))
+    met = rows.join(mine, "item", "left").select("item", "k", "lens", "gram", "place", "text", "n", "often", "df")
+    return met.mapInArrow(lambda it: _scored(it, total, max_n, sigma), f"item {kind}, cider double")

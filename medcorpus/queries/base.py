@@ -192,17 +192,10 @@ CAPTIONS = "captions as (select doc_id item, string_split(text, '.')[1] pred, li
 
 
 def _log(t: Tables) -> DataFrame:
-    """tag, step, total, loss: events in order as steps of a run; they are numbered in parts of the time that each run takes."""
-    from pyspark.sql import Window as W
+    """tag, step, total, loss: events in order as steps of a run."""
+    from medcorpus.operators.reports import numbered
 
-    from medcorpus.operators.reports import range_parts
-
-    x = range_parts(t.events.select(F.col("event_type").alias("tag"), F.expr("timestampdiff(microsecond, timestamp_ntz'1970-01-01', cast(ts as timestamp_ntz))").alias("at"), "event_id", F.col("value").alias("loss")), ["tag"], "at")
-    w = W.partitionBy("tag")  # one row a part
-    sizes = x.groupBy("tag", "_part").agg(F.count("*").alias("_n"))
-    sizes = sizes.select("tag", "_part", (F.sum("_n").over(w.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("total"))
-    step = F.col("_before") + F.row_number().over(W.partitionBy("tag", "_part").orderBy("at", "event_id"))
-    return x.join(sizes, ["tag", "_part"]).select("tag", step.alias("step"), "total", "loss")
+    return numbered(t.events.select(F.col("event_type").alias("tag"), "ts", "event_id", F.col("value").alias("loss")), ["tag"], ["ts", "event_id"], "step", "total").select("tag", "step", "total", "loss")
 
 
 LOG = "log as (select event_type tag, row_number() over (partition by event_type order by ts, event_id) step, count(*) over (partition by event_type) total, value loss from events)"

@@ -8,6 +8,7 @@ from medcorpus.functions import scoring as S
 from medcorpus.functions import text as T
 from medcorpus.operators import dialogues as D
 from medcorpus.operators import records as R
+from medcorpus.operators import sampling as P
 from medcorpus.queries.base import CAPTIONS, CLS, DIALOGUES, MCQ, REPORTS, SCREEN, VQA, query, sql_h, sql_rank, with_
 
 c = F.col
@@ -141,11 +142,8 @@ def c19_drop_reason_stats(t):
     d as (select source, map_from_entries(list((reason, n) order by reason)) m from (select source, reason, count(*) n from x where seen and reason is not null group by all) group by source)
     select source::varchar as source, count(*) as total, count(*) as pool, count(*) filter (where kept) as kept, 9 as target, any_value(list_transform(map_entries(m), lambda e: e.key || '=' || e.value)) as dropped from x left join d using (source) group by source""")
 def c19_target_stats(t):
-    from pyspark.sql import Window as W
-
-    x = _reasons(t).select("conv_id", c("source").cast("string").alias("source"), "reason", F.lit(None).cast("array<string>").alias("messages"), T.rank_key(5, "p", c("conv_id")).alias("rank"))
-    x = x.withColumn("k", F.sum(c("reason").isNull().cast("int")).over(W.partitionBy("source").orderBy("rank", "conv_id")))
-    x = x.withColumns({"seen": (c("k") < 9) | (c("reason").isNull() & (c("k") == 9)), "kept": c("reason").isNull() & (c("k") <= 9)})
+    x = _reasons(t).select("conv_id", c("source").cast("string").alias("source"), "reason", F.lit(None).cast("array<string>").alias("messages"))
+    x = P.seen_until_target(x, "source", 9, 5, "p", "conv_id", c("reason").isNull())
     out = D.target_stats(x, x.groupBy("source").agg(F.count("*").alias("total")), {"0": 9, "1": 9})
     return out.select("source", "total", "pool", "kept", "target", F.transform(F.map_entries("dropped"), lambda e: F.concat_ws("=", e["key"], e["value"])).alias("dropped"))
 
@@ -236,9 +234,10 @@ def b12_strip_prompt_suffix(t):
 
 
 #: Rewrites of the answers asked for: every third repeats the answer in a sentence, the others do not.
-FIT_REWRITE = f"not contains(x, chr(10)) and len({WORDS('x')}) between 4 and 40 and case when a in ('yes', 'no') then string_split(n, ' ')[1] = a else a <> '' and contains(' ' || n || ' ', ' ' || a || ' ') end"
-REWRITES = f"""v as (select item, gold q, gold a0 from vqa where tag = 'base'), asked as (select item from v where {sql_h("7", "'rewrite'", "item")} < 0.25 * 4294967296),
-    w as (select item, trim(case when item % 3 = 0 then a0 || ' is what this one shows' else 'nothing of it is to be seen' end) x, {NORM('a0')} a from v join asked using (item)), ok as (select item, x, {FIT_REWRITE} ok from (select *, {NORM('x')} n from w))"""
+PLAIN = lambda x: f"trim(regexp_replace(regexp_replace(lower({x}), {PUNCT}, '', 'g'), '\\s+', ' ', 'g'))"
+FIT_REWRITE = f"not contains(x, chr(10)) and len({WORDS('x')}) between 4 and 40 and case when a in ('yes', 'no') then string_split(n, ' ')[1] = a else a <> '' and regexp_matches(n, '(^|[^a-z0-9])' || a || '([^a-z0-9]|$)') end"
+REWRITES = f"""v as (select item, gold q, gold a0 from vqa where tag = 'base'), asked as (select item from v qualify row_number() over (order by {sql_rank(7, 'rewrite', 'item')}, item) <= round_even(count(*) over () * 0.25, 0)),
+    w as (select item, trim(case when item % 3 = 0 then a0 || ' is what this one shows' else 'nothing of it is to be seen' end) x, {PLAIN('a0')} a from v join asked using (item)), ok as (select item, x, {FIT_REWRITE} ok from (select *, {PLAIN('x')} n from w))"""
 
 
 def _rewrites(t):
@@ -258,10 +257,9 @@ def b13_rewrite_stats(t):
     return R.rewrite_stats(_rewrites(t), 0.01)
 
 
-@query(with_(VQA) + f"""select tag, item, not contains(x, chr(10)) and len({WORDS('x')}) between 4 and 40 and case when a in ('yes', 'no') then string_split(n, ' ')[1] = a else a <> '' and contains(' ' || n || ' ', ' ' || a || ' ') end as ok
-    from (select tag, item, x, a, {NORM('x')} n from (select tag, item, trim(pred || ' it is ' || pred || ' as said') x, {NORM('gold')} a from vqa))""")
+@query(with_(VQA) + f"select tag, item, {FIT_REWRITE} as ok from (select tag, item, x, a, {PLAIN('x')} n from (select tag, item, trim(pred || ' it is the ' || pred || ' as said') x, {PLAIN('gold')} a from vqa))")
 def b14_rewrite_ok(t):
-    return t.vqa.select("tag", "item", R.rewrite_ok(F.concat(c("pred"), F.lit(" it is "), c("pred"), F.lit(" as said")), c("gold")).alias("ok"))
+    return t.vqa.select("tag", "item", R.rewrite_ok(F.concat(c("pred"), F.lit(" it is the "), c("pred"), F.lit(" as said")), c("gold")).alias("ok"))
 
 
 @query("select distinct regexp_extract(url, '://([^/?#]*)', 1) as image from pages")

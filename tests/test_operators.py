@@ -178,23 +178,41 @@ def test_every_text_of_a_key_is_judged_by_itself(spark):
     got = sorted((r.id, r.n_hits, r.contaminated) for r in isolation.contamination(df, "id", "text", q).collect())
     assert got == [(1, 30, False), (1, 30, False), (2, 76, True)]
     assert sorted(r.id for r in isolation.decontaminate(df, "id", "text", q).collect()) == [1, 1, 3]
-    large = isolation.BROADCAST_WINDOWS
-    try:
-        isolation.BROADCAST_WINDOWS = 0
-        assert sorted((r.id, r.n_hits, r.contaminated) for r in isolation.contamination(df, "id", "text", q).collect()) == got
-    finally:
-        isolation.BROADCAST_WINDOWS = large
 
 
-def test_window_hashes_miss_no_window(spark):
+def plain_contamination(rows, items, chars=20):
+    norm = lambda t: "".join(c for c in t if c.isalnum()).lower()
+    keys = {norm(x) for x in items}
+    index = {k[i : i + chars] for k in keys for i in range(len(k) - chars + 1)}
+    out = set()
+    for d, t in {(d, norm(t)) for d, t in rows}:
+        own = {t[i : i + chars] for i in range(len(t) - chars + 1)}
+        if t and (own & index or t in keys):
+            out.add((d, len(own & index), len(own), t in keys))
+    return out
+
+
+@pytest.mark.parametrize("at_once", [50, 1 << 21])
+def test_contamination_is_that_of_all_windows(spark, monkeypatch, at_once):
+    monkeypatch.setattr(isolation, "CHARS_AT_ONCE", at_once)
     rng = np.random.default_rng(9)
-    text = lambda n: "".join(rng.choice(list("abé中👍"), n))
-    index = [text(20) for _ in range(30)]
-    rows = [text(40) + (index[k % 30] if k % 3 else "") + text(7) for k in range(90)] + ["", "short", index[0]]
-    df = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "id long, k string")
-    got = {r.id for r in df.filter(isolation.shares_window(index, 20)(F.col("k"))).collect()}
-    want = {k for k, x in enumerate(rows) if any(w in x for w in index)}
-    assert want <= got and len(got - want) < 5
+    text = lambda n: "".join(rng.choice(list("abé中 ,x"), n))
+    items = [text(60) for _ in range(20)] + ["abab" * 20, "short", "中"]
+    rows = [(k, text(40) + (items[k % 20][5:50] if k % 3 else "") + text(7)) for k in range(90)] + [(90, "Short!"), (91, items[0]), (91, items[0]), (92, "ab" * 500), (93, "!?"), (94, "long " * 9000)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    q = spark.createDataFrame([("t", x) for x in items], "source string, text string")
+    got = [(r.id, r.n_hits, r.n_windows, r.exact) for r in isolation.contamination(df, "id", "text", q).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_contamination(rows, items)
+
+
+def test_few_windows_pass_the_filter_of_a_large_index(spark):
+    from medcorpus.operators.blooms import bloom_of
+
+    n = 300_000
+    filled = bloom_of(spark.range(n).select(F.xxhash64("id").alias("h")), "h", n)
+    others = spark.range(n, 2 * n).select(F.xxhash64("id").alias("h")).toArrow().column(0).to_numpy().view(np.uint64)
+    own = spark.range(n).select(F.xxhash64("id").alias("h")).toArrow().column(0).to_numpy().view(np.uint64)
+    assert len(filled.where(own)) == n and len(filled.where(others)) < 0.001 * n
 
 
 def dialogue(c, source, *texts):
