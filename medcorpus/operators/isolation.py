@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from medcorpus.functions.text import norm_key
 from medcorpus.operators.blooms import Bloom, bloom_of
-from medcorpus.storage import stored
+from medcorpus.storage import spread, stored
 
 WINDOW_CHARS = 20
 #: Characters of normalised texts that are hashed at once.
@@ -109,7 +109,7 @@ def contamination(texts: DataFrame, key: str, text: str, questions: DataFrame, f
     head = lambda d: F.conv(F.substring(d, 1, 15), 16, 10).cast("long")
     exact = stored(exact.select(F.sha2("key", 256).alias("_text")))
     seen, whole = bloom_of(_hashed(index, "w", chars), "hash", index.count()), bloom_of(exact.select(head(F.col("_text")).alias("hash")), "hash", exact.count())
-    keyed = texts.select(F.col(key).alias("_id"), norm_key(F.col(text)).alias("_key")).filter("_key <> ''")
+    keyed = spread(texts.select(F.col(key).alias("_id"), F.col(text).alias("_raw"))).select("_id", norm_key(F.col("_raw")).alias("_key")).filter("_key <> ''")
     some = keyed.select("_id", digest.alias("_text"), "_key").select("_id", "_text", head(F.col("_text")).alias("_head"), "_key")
     kind = dict(texts.dtypes)[key]
     cut = stored(some.mapInArrow(lambda it: _candidates(it, seen, whole, chars), f"_id {kind}, _text string, n_windows long, w string"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from medcorpus.functions.scoring import latin_tokens
 from medcorpus.operators.blooms import bloom_of
-from medcorpus.storage import stored
+from medcorpus.storage import spread, stored
 
 #: Vectors of one side that a task holds at most, and rows of similarities that it has at a time.
 BLOCK, CHUNK = 16_384, 512
@@ -115,34 +114,37 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _token_hashes(tokens: pa.Array) -> np.ndarray:
-    coded = tokens.dictionary_encode()
-    each = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in coded.dictionary.to_pylist()], dtype=np.uint64)
-    return each[coded.indices.to_numpy()] if len(coded) else np.zeros(0, dtype=np.uint64)
+def _flat(column: pa.Array, kind=np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and where each list begins and ends among them."""
+    offsets = column.offsets.to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False), (offsets - offsets[0]).astype(np.int64)
 
 
 def _grams(batches, max_n: int) -> Iterator[pa.RecordBatch]:
-    """item, its number of references, the distinct grams of all its texts with a mark of those in references, and (place of the gram, text, count) of each text that has it. Text 0 is the prediction."""
+    """Of (item, tokens' hashes of the prediction, and of each reference) the item, its number of references, its texts' lengths, the distinct grams of all texts, those of references, and (place of the gram, text, count) of each text that has it. Text 0 is the prediction."""
     for batch in batches:
         for at in range(0, batch.num_rows, ITEMS):
             b = batch.slice(at, ITEMS)
-            texts, sizes = [], []
-            preds, refs = b.column(1).fill_null([]).to_pylist(), b.column(2).to_pylist()
-            for p, rs in zip(preds, refs, strict=True):
-                texts += [p, *[r or [] for r in rs or []]]
-                sizes.append(1 + len(rs or []))
-            hashes = _token_hashes(pa.array([w for t in texts for w in t], pa.string()))
-            lengths = np.array([len(t) for t in texts], dtype=np.int64)
-            item_of = np.repeat(np.arange(len(sizes)), sizes)
-            text_of = np.arange(len(texts)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            where = np.repeat(np.arange(len(texts)), lengths)
+            items = b.num_rows
+            said, said_ends = _flat(b.column(1))
+            refs = b.column(2).flatten()
+            cited, cited_ends = _flat(refs)
+            ends = b.column(2).offsets.to_numpy().astype(np.int64)
+            ends -= ends[0]
+            k = np.diff(ends)
+            # predictions first, then all references
+            hashes = np.concatenate([said, cited]).view(np.uint64)
+            lengths = np.concatenate([np.diff(said_ends), np.diff(cited_ends)])
+            item_of = np.concatenate([np.arange(items), np.repeat(np.arange(items), k)])
+            text_of = np.concatenate([np.zeros(items, np.int64), 1 + np.arange(k.sum()) - np.repeat(ends[:-1], k)])
+            where = np.repeat(np.arange(len(lengths)), lengths)
             left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(hashes))  # tokens up to the text's end
             found, state = [], np.zeros(len(hashes), dtype=np.uint64)
             for n in range(1, max_n + 1):
-                state = _mixed(state[: len(hashes) - n + 1] + hashes[n - 1 :])
+                state = _mixed(state[: max(0, len(hashes) - n + 1)] + hashes[n - 1 :])
                 whole = left[: len(state)] >= n
                 # two bits of a gram's hash say how long it is
-                g = (state[whole] & ~np.uint64(3)) | np.uint64(n - 1 & 3)
+                g = (state[whole] & ~np.uint64(3)) | np.uint64(n - 1)
                 found.append((where[: len(state)][whole], g.view(np.int64)))
             text, gram = (np.concatenate(x) for x in zip(*found, strict=True))
             item, text = item_of[text], text_of[text]
@@ -152,47 +154,44 @@ def _grams(batches, max_n: int) -> Iterator[pa.RecordBatch]:
             new_gram[1:] = (item[1:] != item[:-1]) | (gram[1:] != gram[:-1])
             new = new_gram.copy()
             new[1:] |= text[1:] != text[:-1]
-            first = np.flatnonzero(new)
-            counts = np.diff(np.append(first, len(item)))
-            place = np.cumsum(new_gram) - 1
-            heads = np.flatnonzero(new_gram)
+            first, heads = np.flatnonzero(new), np.flatnonzero(new_gram)
+            counts, place = np.diff(np.append(first, len(item))), np.cumsum(new_gram) - 1
             in_refs = np.zeros(len(heads), dtype=bool)
             in_refs[place[first][text[first] > 0]] = True
-            ends = lambda own: pa.array(np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(sizes)))]).astype(np.int32))
-            of_gram, of_entry = ends(item[heads]), ends(item[first])
-            inside = place[first] - of_gram.to_numpy()[item[first]]
-            lists = [(of_gram, gram[heads]), (of_gram, in_refs), (of_entry, inside.astype(np.int32)), (of_entry, text[first].astype(np.int32)), (of_entry, counts.astype(np.int32))]
-            lens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(lengths.astype(np.int32)))
-            arrays = [b.column(0), pa.array(np.array(sizes) - 1, pa.int32()), lens, *[pa.ListArray.from_arrays(o, pa.array(v)) for o, v in lists]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["item", "k", "lens", "gram", "in_refs", "place", "text", "n"])
+            lists = lambda own, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(own, minlength=items))]).astype(np.int32)), pa.array(values))
+            begins = np.concatenate([[0], np.cumsum(np.bincount(item[heads], minlength=items))])
+            inside = place[first] - begins[item[first]]
+            sizes = np.lexsort((text_of, item_of))
+            arrays = [b.column(0), pa.array(k.astype(np.int32)), lists(item_of, lengths[sizes].astype(np.int32)), lists(item[heads], gram[heads]), lists(item[heads][in_refs], gram[heads][in_refs])]
+            arrays += [lists(item[first], x.astype(np.int32)) for x in (inside, text[first], counts)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["item", "k", "lens", "gram", "cited", "place", "text", "n"])
 
 
 def _scored(batches, total: int, max_n: int, sigma: float | None) -> Iterator[pa.RecordBatch]:
     """item and score of rows of _grams with rare and df, the items' numbers of their grams that several items' references have."""
     full = np.log(float(max(1, total)))
     for b in batches:
-        scores = []
-        for k, lens, gram, place, text, n, often, df in zip(*[c.to_pylist() for c in b.columns[1:]], strict=True):
-            if not k or not gram:
-                scores.append(0.0)
+        (lens, of_len), (gram, of_gram), (place, of_place), (text, _), (n, _), (often, of_often), (df, _) = map(_flat, b.columns[2:])
+        scores = np.zeros(b.num_rows)
+        for i, k in enumerate(b.column(1).to_pylist()):
+            mine, entry, repeated = (slice(o[i], o[i + 1]) for o in (of_gram, of_place, of_often))
+            own, p, t, c = gram[mine], place[entry], text[entry], n[entry]
+            if not k or not len(own):
                 continue
-            gram, place, text, n = (np.array(x, dtype=np.int64) for x in (gram, place, text, n))
-            weight = np.full(len(gram), full)
-            if often:
-                weight[np.searchsorted(gram, np.array(often, dtype=np.int64))] = full - np.log(np.array(df, dtype=np.float64))
-            said = np.zeros(len(gram), dtype=np.int64)
-            said[place[text == 0]] = n[text == 0]
-            size, w = gram & 3, weight[place]
-            cell = size[place] * (k + 1) + text
+            weight = np.full(len(own), full)
+            weight[np.searchsorted(own, often[repeated])] = full - np.log(df[repeated].astype(np.float64))
+            said = np.zeros(len(own), dtype=np.int64)
+            said[p[t == 0]] = c[t == 0]
+            cell, w = (own & 3)[p] * (k + 1) + t, weight[p]
             sums = lambda x: np.bincount(cell, weights=x, minlength=4 * (k + 1)).reshape(4, k + 1)
-            square, dot_ = sums((n * w) ** 2), sums(np.minimum(said[place], n) * n * w * w)
+            square, dot_ = sums((c * w) ** 2), sums(np.minimum(said[p], c) * c * w * w)
             if sigma is not None:
-                gap = np.array(lens, dtype=np.float64) - lens[0]
-                dot_ = dot_ * np.exp(-(gap**2) / (2 * sigma**2))
+                gap = lens[of_len[i] : of_len[i + 1]].astype(np.float64)
+                dot_ = dot_ * np.exp(-((gap - gap[0]) ** 2) / (2 * sigma**2))
             norm = np.sqrt(square[:, 1:] * square[:, :1])
             cos = np.divide(dot_[:, 1:], norm, out=np.zeros_like(norm), where=norm > 0)
-            scores.append(float(cos.sum()) * 10 / max_n / k)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["item", "cider"])
+            scores[i] = cos.sum() * 10 / max_n / k
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores)], names=["item", "cider"])
 
 
 def cider(captions: DataFrame, max_n: int = 4, sigma: float | None = None) -> DataFrame:
@@ -206,9 +205,10 @@ def cider(captions: DataFrame, max_n: int = 4, sigma: float | None = None) -> Da
     if not 1 <= max_n <= 4:
         raise ValueError("grams of one to four tokens")
     kind = dict(captions.dtypes)["item"]
-    tokens = captions.select("item", latin_tokens(F.col("pred")).alias("p"), F.transform("refs", latin_tokens).alias("r"))
-    rows = stored(tokens.mapInArrow(lambda it: _grams(it, max_n), f"item {kind}, k int, lens array<int>, gram array<long>, in_refs array<boolean>, place array<int>, text array<int>, n array<int>"))
-    cited = rows.select(F.explode(F.arrays_zip("gram", "in_refs")).alias("x")).filter("x.in_refs").select("x.gram")
+    hashed = lambda text: F.transform(latin_tokens(text), lambda w: F.xxhash64(w))
+    tokens = captions.select("item", hashed(F.col("pred")).alias("p"), F.coalesce(F.transform("refs", hashed), F.array().cast("array<array<long>>")).alias("r"))
+    rows = stored(spread(tokens).mapInArrow(lambda it: _grams(it, max_n), f"item {kind}, k int, lens array<int>, gram array<long>, cited array<long>, place array<int>, text array<int>, n array<int>"))
+    cited = rows.select(F.explode("cited").alias("gram"))
     often = stored(cited.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"))
     seen = bloom_of(often, "gram", often.count())
 
@@ -222,5 +222,6 @@ def cider(captions: DataFrame, max_n: int = 4, sigma: float | None = None) -> Da
     some = rows.select("item", "gram").mapInArrow(held, f"item {kind}, gram long").join(often, "gram")
     mine = some.groupBy("item").agg(F.collect_list("gram").alias("often"), F.collect_list("df").alias("df"))
     total = captions.select("item").distinct().count()
-    met = rows.join(mine, "item", "left").select("item", "k", "lens", "gram", "place", "text", "n", "often", "df")
+    lists = [F.coalesce(c, F.array().cast("array<long>")).alias(c) for c in ("often", "df")]
+    met = rows.join(mine, "item", "left").select("item", "k", "lens", "gram", "place", "text", "n", *lists)
     return met.mapInArrow(lambda it: _scored(it, total, max_n, sigma), f"item {kind}, cider double")

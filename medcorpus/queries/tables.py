@@ -78,25 +78,33 @@ def s3_read_text_docs(t):
 
 @query("select source, count(*) as n, sum(length(text))::bigint as chars from documents group by source")
 def s4_read_zip_members(t):
-    import pandas as pd
-
     path = _folder(t)
 
-    def archive(p: pd.DataFrame) -> pd.DataFrame:
-        import io
-        import zipfile
-
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            for d, text in zip(p["doc_id"], p["text"], strict=True):
-                z.writestr(f"docs/{p['source'].iloc[0]}_{d}.txt", text or "")
-        return pd.DataFrame({"source": [p["source"].iloc[0]], "content": [out.getvalue()]})
-
-    zips = t.documents.select("source", "doc_id", "text", F.floor(c("doc_id") / 200).alias("k")).groupBy("source", "k").applyInPandas(archive, "source string, content binary")
-    # archives as rows of a binary file table: what binaryFile gives for files
-    zips.select("content").write.parquet(path)
-    members = t.spark.read.parquet(path).mapInPandas(readers.zip_members("docs/", ".txt"), "name string, text string")
-    return members.groupBy(F.regexp_extract("name", "docs/([^_]+)_", 1).alias("source")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    def archive(batches):
+        """The members of an archive, one a row without its signature, which the writer puts between rows; the directory is at the end."""
+        import zlib
+
+        from medcorpus.sources.archives import ENTRY, HEADER, LISTED
+
+        directory, place = [], 0
+        for b in batches:
+            rows = [] if directory else [b""]
+            for name, text in zip(*[x.to_pylist() for x in b.columns], strict=True):
+                data, squeeze = (text or "").encode(), zlib.compressobj(wbits=-15)
+                packed, n = squeeze.compress(data) + squeeze.flush(), name.encode()
+                own = (0, 8, 0, 0, zlib.crc32(data), len(packed), len(data), len(n), 0)
+                rows.append(HEADER.pack(20, *own) + n + packed)
+                directory.append(ENTRY + LISTED.pack(20, 20, *own, 0, 0, 0, 0, place) + n)
+                place += 4 + len(rows[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
+        # the last row goes behind a signature, too: an empty member with the directory behind it
+        end = HEADER.pack(20, 0, 0, 0, 0, 0, 0, 0, 3, 0) + b"end"
+        yield pa.RecordBatch.from_arrays([pa.array([end + b"".join(directory)] if directory else [], pa.binary())], names=["value"])
+
+    members = t.documents.select(F.concat(F.lit("docs/"), "source", F.lit("_"), "doc_id", F.lit(".txt")).alias("name"), "text").mapInArrow(archive, "value binary")
+    members.select(c("value").cast("string")).write.option("lineSep", "PK\x03\x04").text(path)
+    found = readers.read_zip_members(t.spark, path, "docs/", ".txt")
+    return found.groupBy(F.regexp_extract("name", "docs/([^_]+)_", 1).alias("source")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("select doc_id, lang from documents")

@@ -59,6 +59,12 @@ def pieces(spark: SparkSession, path: str | list[str], separator: str) -> DataFr
     return spark.read.text(path, lineSep=separator).select(F.xxhash64(meta["file_path"]).alias("file"), meta["file_block_start"].alias("block"), F.col("value"))
 
 
+def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, as in pieces, and archive, the file's path."""
+    own = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("archive"))
+    return own.select(F.xxhash64("archive").alias("file"), F.url_decode("archive").alias("archive"))
+
+
 def quote_sums(value: Column) -> list[Column]:
     """quotes, and the change of depth from either state, of a line."""
     return [(F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))).alias("quotes"), F.lit(0).alias("from_out"), F.lit(0).alias("from_in")]

@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import warnings
-import zipfile
-from io import BytesIO
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from medcorpus import storage
-from medcorpus.sources import ranges
+from medcorpus.sources import archives, ranges
 
 
 def _ddl(schema: StructType | str) -> str:
@@ -76,25 +73,16 @@ def read_text_docs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(doc_id.alias("doc_id"), without_bad_bytes(F.col("value")).alias("text"))
 
 
-def zip_members(prefix: str = "", suffix: str = ".txt"):
-    """A function of batches with archives in column content: name and text of their members."""
+def read_zip_members(spark: SparkSession, path: str | list[str], prefix: str = "", suffix: str = ".txt", strict: bool = True) -> DataFrame:
+    """name and text of archives' members, with many tasks an archive (see sources.archives).
 
-    def members(batches):
-        for b in batches:
-            for content in b["content"]:
-                with zipfile.ZipFile(BytesIO(content)) as z:
-                    names = [n for n in z.namelist() if n.startswith(prefix) and n.endswith(suffix)]
-                    # a few members at a time are unpacked
-                    for at in range(0, len(names), 100):
-                        own = names[at : at + 100]
-                        yield pd.DataFrame({"name": own, "text": [z.read(n).decode("utf-8", "ignore") for n in own]})
-
-    return members
-
-
-def read_zip_members(spark: SparkSession, path: str, prefix: str = "", suffix: str = ".txt") -> DataFrame:
-    """name and text of archives' members; a task takes one archive at a time. Repack large archives as Parquet once."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(zip_members(prefix, suffix), "name string, text string")
+    strict: a member that is listed but cannot be read is an error that names it; else it has no text and the column problem says why.
+    """
+    found = archives.zip_members(spark, path, prefix, suffix)
+    if not strict:
+        return found.select("name", "text", "problem")
+    said = F.raise_error(F.concat(F.lit("member "), "name", F.lit(" of "), "archive", F.lit(": "), "problem"))
+    return found.select("name", F.when(F.col("problem").isNotNull(), said).otherwise(F.col("text")).alias("text"))
 
 
 def read_parquet_source(spark: SparkSession, path: str, *columns: str) -> DataFrame:

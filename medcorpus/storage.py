@@ -39,6 +39,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it comes in fewer parts than there are, as a small file does; a larger table stays where it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def entries(spark: SparkSession, root: str) -> dict[str, dict]:
     """The entries made under root by name; none if root is not there."""
     at, system = _at(spark, root)
