@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -78,20 +81,32 @@ def poisson_bootstrap(df: DataFrame, key: str, value: str, draws: int, seed: int
 
     A row is hashed once; its draws are steps of a multiplicative generator from there, so they differ by row and by replicate.
     """
-    first = hash_number(F.lit(seed), F.col(key))
-    b = df.select(first.alias("_h"), value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b"))
-    # below 2 ** 53 in every step, so that any engine gives the same numbers
-    low, high = lambda x: x.bitwiseAND(65535), lambda x: F.shiftright(x, 16)
-    mixed = (low(F.col("_h")) * 40503 + high(F.col("_h")) * 30011 + F.col("b") * F.lit(2654435761)).bitwiseAND(4294967295)
-    again = (low(mixed) * 50021 + high(mixed) * 62989 + mixed).bitwiseAND(4294967295)
-    u = again / F.lit(4294967296.0)
-    weight, below, term = F.lit(0), np.exp(-1), np.exp(-1)
-    for k in range(1, 9):
-        weight = weight + (u >= F.lit(float(below))).cast("int")
-        term /= k
-        below += term
-    w = b.withColumn("w", weight)
-    return w.groupBy("b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("mean"), F.sum("w").alias("weight"))
+    rows = df.select(hash_number(F.lit(seed), F.col(key)).alias("_h"), F.col(value).cast("double").alias("_v"))
+    return rows.mapInArrow(lambda it: _poisson_sums(it, draws), "b int, total double, weight long").groupBy("b").agg((F.sum("total") / F.sum("weight")).alias("mean"), F.sum("weight").alias("weight"))
+
+
+#: The multipliers of the generator, and where a Poisson(1) number passes 1 to 8.
+MIX, AGAIN, STEP = (40503, 30011), (50021, 62989), 2654435761
+BELOW = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+
+
+def _poisson_sums(batches, draws: int) -> Iterator[pa.RecordBatch]:
+    """The weighted sums of a partition's rows for each replicate, added up in place, so that no row is copied by the number of replicates."""
+    total, weight, b = np.zeros(draws), np.zeros(draws, dtype=np.int64), np.arange(1, draws + 1, dtype=np.int64)
+    some = False
+    for batch in batches:
+        h, v = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+        for at in range(0, len(h), max(1, (1 << 20) // draws)):
+            part = slice(at, at + max(1, (1 << 20) // draws))
+            x, own = h[part, None], v[part]
+            mixed = (x & 65535) * MIX[0] + (x >> 16) * MIX[1] + b[None] * STEP & 4294967295
+            u = ((mixed & 65535) * AGAIN[0] + (mixed >> 16) * AGAIN[1] + mixed & 4294967295) / 4294967296.0
+            w = np.searchsorted(BELOW, u, side="right")
+            total += np.where(np.isnan(own), 0.0, own) @ w
+            weight += w.sum(axis=0)
+            some = True
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(total), pa.array(weight)], names=["b", "total", "weight"])
 
 
 def sub_scores(df: DataFrame, rules: dict[str, tuple[Column, Column]]) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,6 +12,7 @@ from pyspark.sql import Window as W
 from medcorpus.functions import text as T
 from medcorpus.functions.text import rank_key
 from medcorpus.operators import chunking, dedupe, dialogues, isolation, reports, sampling
+from medcorpus.storage import spread, stored
 
 
 def clean_corpus(docs: DataFrame, min_chars: int = 200) -> DataFrame:
@@ -25,10 +25,11 @@ def clean_corpus(docs: DataFrame, min_chars: int = 200) -> DataFrame:
 def build_corpus(docs: DataFrame, questions: DataFrame, frac: float, limit: int, budget: int, seed: int) -> DataFrame:
     """Chunks of a clean corpus that the evaluation does not touch, within a budget a source, with their split.
 
-    The chunks are made once and kept on the executors' disks, since budget and split each read them twice.
+    What is read more than once is a table in the shared folder: the cleaned documents, and the chunks, of which budget and split first
+    read the counts alone.
     """
-    clean = isolation.decontaminate(clean_corpus(docs).persist(StorageLevel.DISK_ONLY), "doc_id", "text", questions, frac)
-    chunks = chunking.pack_chunks(clean, limit).persist(StorageLevel.DISK_ONLY)
+    clean = stored(clean_corpus(spread(docs)))
+    chunks = stored(chunking.pack_chunks(isolation.decontaminate(clean, "doc_id", "text", questions, frac), limit))
     return sampling.val_split_by_document(chunking.take_token_budget(chunks, budget, seed), 0.01, seed)
 
 
@@ -55,7 +56,8 @@ def fill_targets(rows: DataFrame, targets: dict[str, int], oversample: float, se
         fit = F.col("reason").isNull()
         pool = pool.withColumn("_n", F.sum(fit.cast("int")).over(W.orderBy("_at").rowsBetween(W.unboundedPreceding, 0)))
         pool = pool.withColumns({"seen": (F.col("_n") < target) | (fit & (F.col("_n") == target)), "kept": fit & (F.col("_n") <= target)})
-        part = pool.select(*[c for c in rows.columns if c != "late_reason"], "seen", "kept").persist(StorageLevel.MEMORY_AND_DISK)
+        part = pool.select(*[c for c in rows.columns if c != "late_reason"], "seen", "kept")
+        part = stored(part)
         if once:
             keys = part.filter("kept").select("key")
             taken = keys if taken is None else taken.unionByName(keys)

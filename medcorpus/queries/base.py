@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medcorpus.functions.text import hash_number
+from medcorpus.functions.scoring import ABNORMAL, FINDINGS, LUNG, MODALITY, NORMAL_CLAIM
+from medcorpus.functions.text import NEGATED, hash_number
 from medcorpus.operators.dialogues import turns_to_messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,38 +100,34 @@ MCQ = f"""mcq as (select *, case {sql_h("'f'", "item")} % 3 when 0 then 'Answer:
     select p_partkey item, p_type category, p_type, p_name, p_brand, p_size, {_TAG} tag, 'ABCD'[{sql_h("'g'", "p_partkey")} % 4 + 1] gold from part)))"""
 
 
-#: Sentences of descriptions, without their negated parts, and what they say: a claim to be normal, anything abnormal, anything of the lung, findings, a
-#: radiograph, the chest.
+#: Sentences of descriptions.
 PHRASES = (
-    ("The lungs are clear. No evidence of effusion or nodule.", "The lungs are clear.  .", 0, 0, 0, (), 0, 1),
-    ("There is a right pleural effusion and consolidation.", "There is a right pleural effusion and consolidation.", 0, 1, 1, ("Consolidation", "Lung Opacity", "Pleural Effusion"), 0, 1),
-    ("Normal chest X-ray without pneumonia but the heart is enlarged.", "Normal chest X-ray  but the heart is enlarged.", 1, 1, 0, ("Cardiomegaly",), 1, 1),
-    ("Within normal limits.", "Within normal limits.", 1, 0, 0, (), 0, 0),
-    ("No pneumothorax; the heart size is normal.", " ; the heart size is normal.", 1, 0, 0, (), 0, 1),
-    ("A nodule and mild edema.", "A nodule and mild edema.", 0, 1, 1, ("Edema", "Lung Lesion"), 0, 0),
+    "The lungs are clear. No evidence of effusion or nodule.", "There is a right pleural effusion and consolidation.", "Normal chest X-ray without pneumonia but the heart is enlarged.", "Within normal limits.",
+    "No pneumothorax; the heart size is normal.", "A nodule and mild edema.", "No acute lesion, however a fracture", "absence of fluid although thickening is seen; not visible", "CT of the head: mass ruled out", "Unremarkable. Free of",
 )
 
 
 def _screen(t: Tables) -> DataFrame:
-    """item, label, closed, desc: a finding, a yes/no answer and a description of two sentences and the document's source and number."""
+    """item, label, closed, desc: a finding, a yes/no answer, and a description: two of the sentences around the beginning of the document."""
     a = h("c", F.col("doc_id")) % 10
     closed = F.when(a == 9, "unclear").when((a < 7) == (F.col("quality") == 0), "yes").otherwise("no")
-    one = lambda salt: F.get(F.array(*[F.lit(p[0]) for p in PHRASES]), (h(salt, F.col("doc_id")) % len(PHRASES)).cast("int"))
-    desc = F.concat(one("d"), F.lit(" "), one("e"), F.lit(" Seen in "), F.col("source"), F.lit(" of "), F.col("doc_id").cast("string"), F.lit("."))
-    x = t.labels.join(t.documents.select("doc_id", "source"), "doc_id")
+    one = lambda salt: F.get(F.array(*[F.lit(p) for p in PHRASES]), (h(salt, F.col("doc_id")) % len(PHRASES)).cast("int"))
+    # in plain letters, since engines differ in where words of others begin
+    own = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 60), "[^ -~]", " ")
+    desc = F.concat(one("d"), F.lit(" "), own, F.lit(" "), one("e"), F.lit(" Seen in "), F.col("source"), F.lit(" of "), F.col("doc_id").cast("string"), F.lit("."))
+    x = t.labels.join(t.documents.select("doc_id", "source", "text"), "doc_id")
     return x.select(F.col("doc_id").alias("item"), (F.col("quality") == 0).cast("int").alias("label"), closed.alias("closed"), desc.alias("desc"))
 
 
-def _phrase(k: int, text: bool = False) -> str:
-    """SQL list of what the sentences say."""
-    if k == 5:
-        return "[" + ", ".join("[" + ", ".join(f"'{x}'" for x in p[5]) + "]::varchar[]" for p in PHRASES) + "]"
-    return "[" + ", ".join(f"'{p[k]}'" if text else str(bool(p[k])).lower() for p in PHRASES) + "]"
-
-
-SCREEN = f"""screen as (select *, {_phrase(2)}[k1] or {_phrase(2)}[k2] claim, {_phrase(3)}[k1] or {_phrase(3)}[k2] found, {_phrase(4)}[k1] or {_phrase(4)}[k2] lung, list_distinct({_phrase(5)}[k1] || {_phrase(5)}[k2]) findings, {_phrase(6)}[k1] or {_phrase(6)}[k2] xray, {_phrase(7)}[k1] or {_phrase(7)}[k2] chest,
-    {_phrase(1, True)}[k1] || ' ' || {_phrase(1, True)}[k2] || ' Seen in ' || source || ' of ' || item || '.' rest from (select doc_id item, source, (quality = 0)::int label, case when {sql_h("'c'", "doc_id")} % 10 = 9 then 'unclear' when ({sql_h("'c'", "doc_id")} % 10 < 7) = (quality = 0) then 'yes' else 'no' end closed,
-    {sql_h("'d'", "doc_id")} % {len(PHRASES)} + 1 k1, {sql_h("'e'", "doc_id")} % {len(PHRASES)} + 1 k2 from labels join documents using (doc_id)))"""
+#: SQL of a text without its negated parts: where they end at the latest is marked first, as this engine's patterns cannot look ahead.
+SCRUBBED = lambda x: f"replace(regexp_replace(regexp_replace({x}, '(?i)(\\b(?:but|however|although)\\b|[.;])', chr(1) || '\\1', 'g'), '{NEGATION}[^' || chr(1) || ']*', ' ', 'g'), chr(1), '')"
+NEGATION = NEGATED.split("[^.;]*?")[0]
+_PHRASE = "[" + ", ".join(f"'{p}'" for p in PHRASES) + "]"
+_FOUND = "list_filter([" + ", ".join(f"case when regexp_matches(lower(rest), '{p}') then '{name}' end" for name, p in FINDINGS.items()) + "], lambda x: x is not null)"
+SCREEN = f"""screen as (select *, regexp_matches(rest, '{ABNORMAL}') found, regexp_matches(rest, '{LUNG}') lung, regexp_matches("desc", '{NORMAL_CLAIM}') and not regexp_matches({SCRUBBED(f"""regexp_replace("desc", '{NORMAL_CLAIM}', ' ', 'g')""")}, '{ABNORMAL}') normal,
+    {_FOUND} findings, regexp_matches(lower("desc"), '{MODALITY["X-Ray"]}') xray, regexp_matches(lower("desc"), 'lung|pleura|heart|chest') chest from (select *, {SCRUBBED('"desc"')} rest from (
+    select doc_id item, (quality = 0)::int label, case when {sql_h("'c'", "doc_id")} % 10 = 9 then 'unclear' when ({sql_h("'c'", "doc_id")} % 10 < 7) = (quality = 0) then 'yes' else 'no' end closed, {_PHRASE}[{sql_h("'d'", "doc_id")} % {len(PHRASES)} + 1] || ' '
+    || regexp_replace(substr(coalesce(text, ''), 1, 60), '[^ -~]', ' ', 'g') || ' ' || {_PHRASE}[{sql_h("'e'", "doc_id")} % {len(PHRASES)} + 1] || ' Seen in ' || source || ' of ' || doc_id || '.' as "desc" from labels join documents using (doc_id))))"""
 
 
 def _dialogues(t: Tables) -> DataFrame:

@@ -394,7 +394,7 @@ def m11_parse_choice(t):
     return choices(t).select("tag", "item", "pred")
 
 
-@query(with_(SCREEN) + "select item, claim and not found as normal, found as any_word, lung from screen")
+@query(with_(SCREEN) + "select item, normal, found as any_word, lung from screen")
 def m12_says_normal(t):
     return t.screen.select("item", S.says_normal(c("desc")).alias("normal"), S.reports_any(c("desc")).alias("any_word"), S.reports_lung(c("desc")).alias("lung"))
 

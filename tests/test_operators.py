@@ -155,6 +155,8 @@ def test_corpus_job_conserves_words(spark):
 def test_a_counter_of_nothing():
     assert K.chunk_document(["Well. ? Yes."], lambda s: len(s.split()) - 1 if s != "?" else 0, 1, shortest=0)
     assert K.within_limit("", len, 3) == [] and K.within_limit("abcdef", len, 3) == ["abc", "def"]
+    assert K.within_limit("ab\n\ncd ef", len, 6) == ["ab", "cd ef"] and K.within_limit("abcd\n\nef", len, 5) == ["abcd", "ef"] and K.within_limit("  x", len, 3) == ["  x"]
+    assert K.within_limit("a\n\nbb\n\nccc\n\ndddd", len, 4) == ["a", "bb", "ccc", "dddd"] and K.within_limit("abc", lambda s: 9, 1) == ["a", "b", "c"]
 
 
 def test_chunks_are_as_large_as_they_can_be():
