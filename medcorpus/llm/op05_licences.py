@@ -1,6 +1,7 @@
 """Licence scans by a trained paragraph classifier.
 
-A paragraph is a line, or several lines in a row that only together make a notice (a wrapped notice); blank lines end it. It is
+A paragraph is a line, or several lines in a row that only together make a notice (a wrapped notice): lines are joined while each raises the share
+of some template that is held, however many there are, and those in front without a part in it are left out; blank lines end it. It is
 a sparse set of word 1-grams and 2-grams, of its words as written and with hyphens split. A multinomial logistic
 regression over the n-grams of templates and SPDX identifiers has a class for no licence, one for each family, and ``unknown``.
 It is trained here on variants of the families' templates (words dropped, ordinary words put in), on variants of the notices of
@@ -11,7 +12,8 @@ notices of ``HELD_OTHERS``, which it has never seen, are taken for a family.
 
 A predicted family is confirmed only if the paragraph holds at least ``CONFIRM`` of the n-grams of one of the family's templates, or
 one of its identifiers; otherwise it is ``unknown``. A licence-like paragraph that holds a template whole is of the family of
-the largest such template. Every paragraph with an n-gram of the templates is scored; no word list is asked first.
+the largest such template. Every paragraph is scored whose n-grams could together outweigh "no licence", or that holds enough of a template;
+no word list is asked first.
 
 The model is a table of weights, learnt on the driver; the scan is one pass over the documents without a shuffle.
 
@@ -23,8 +25,10 @@ empty table gives no rows; other columns are never read. Places are code points,
 
 from __future__ import annotations
 
+import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,10 +80,8 @@ OTHERS = (
 )
 HELD_OTHERS = ("licensed under the european union public licence 1.2", "released under the open software license 3.0", "made available under the open database license", "distributed under the terms of the cecill license")
 UNKNOWN = "unknown"
-#: The share of a template's n-grams that makes a licence-like paragraph one of an unknown licence, and lines worth joining with their neighbours.
+#: The share of a template's n-grams that makes a licence-like paragraph one of an unknown licence, and joined lines worth a look.
 LIKE, PART = 0.5, 0.2
-#: Lines that a wrapped notice may take.
-MOST_LINES = 4
 FAMILIES = tuple(TEMPLATES)
 SURE, CONFIRM, WRONG = 0.8, 0.6, 0.02
 #: Documents whose paragraphs are the ordinary ones, and paragraphs kept of them, at most; variants of each template.
@@ -106,6 +108,13 @@ TEMPLATE_GRAMS = [[frozenset(grams(_find(t))) for t in TEMPLATES[f]] for f in FA
 OWN_GRAMS = [frozenset().union(*texts) - frozenset().union(*(t for other in TEMPLATE_GRAMS if other is not texts for t in other)) for texts in TEMPLATE_GRAMS]
 
 
+#: The templates that have an n-gram, by number, and the templates' sizes; identifiers, each of which is held whole or not.
+SIZES = [len(t) for texts in TEMPLATE_GRAMS for t in texts]
+TEMPLATES_OF: dict[str, list[int]] = {}
+for _k, _t in enumerate(t for texts in TEMPLATE_GRAMS for t in texts):
+    for _g in _t:
+        TEMPLATES_OF.setdefault(_g, []).append(_k)
+IDENTIFIERS = frozenset(i for f in TEMPLATES for i in identifiers(f))
 _OTHER_GRAMS = [frozenset(grams(_find(t))) for t in (*OTHERS, *HELD_OTHERS)]
 #: 1-grams that tell a licence notice from other text, and so are put into ordinary paragraphs one at a time.
 CUES = sorted({g for texts in TEMPLATE_GRAMS for t in texts for g in t if g.isalpha() and len(g) > 3})
@@ -125,6 +134,16 @@ def whole_size(own: set[str], family: int) -> int:
     return max((len(t) for t in TEMPLATE_GRAMS[family] if t <= own), default=0)
 
 
+def template_hits(own: set[str]) -> Counter:
+    """How many of each template's n-grams are held."""
+    return Counter(k for g in own for k in TEMPLATES_OF.get(g, ()))
+
+
+def top_share(own: set[str]) -> float:
+    """The largest share of any template that is held."""
+    return max((n / SIZES[k] for k, n in template_hits(own).items()), default=0.0)
+
+
 @dataclass
 class LicenceModel:
     """Weights of n-grams for no licence, for each family, and for ``unknown``."""
@@ -135,6 +154,17 @@ class LicenceModel:
     temperature: float = 1.0
     sure: float = SURE
 
+    def __post_init__(self):
+        #: What an n-gram can do at most for a class against no licence.
+        self.gains = dict(zip(self.index, (self.weights[:, 1:].max(axis=1) - self.weights[:, 0]).clip(0).tolist(), strict=True))
+        self.head_start = float(self.bias[1:].max() - self.bias[0])
+
+    def may_be_notice(self, own: set[str]) -> bool:
+        """False only if no licence is more likely than all else, and no template or identifier is held: then the paragraph is none."""
+        gains, n_other = self.gains, len(self.bias) - 1
+        most = self.head_start + sum(gains[g] for g in own if g in gains)
+        return most > -self.temperature * math.log(n_other) or not own.isdisjoint(IDENTIFIERS) or top_share(own) >= CONFIRM
+
     def probabilities(self, own: set[str]) -> np.ndarray:
         z = (self.bias + self.weights[[self.index[g] for g in own if g in self.index]].sum(axis=0)) / self.temperature
         e = np.exp(z - z.max())
@@ -142,8 +172,10 @@ class LicenceModel:
 
     def judged(self, words: list[str]) -> tuple[str | None, float]:
         """The family that a paragraph names, ``unknown``, or None; and how much of a family's template it holds."""
-        own = grams(words)
-        if own.isdisjoint(self.index):
+        return self.judged_grams(grams(words))
+
+    def judged_grams(self, own: set[str]) -> tuple[str | None, float]:
+        if own.isdisjoint(self.index) or not self.may_be_notice(own):
             return None, 0.0
         p = self.probabilities(own)
         named = p[1:-1]
@@ -259,29 +291,55 @@ def train_licences(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_parag
     return fit_licences([_find(r["line"].lower()) for r in lines.collect()])
 
 
+def _wrapped(lines: list[tuple], k: int, model: LicenceModel) -> tuple[int, int, str, tuple[bool, float]] | None:
+    """First and last line, family and worth of the best notice that begins by line k and takes more lines; None if there is none."""
+    hits = template_hits(lines[k][4])
+    share = max((n / SIZES[t] for t, n in hits.items()), default=0.0)
+    own, before, best = set(lines[k][4]), lines[k][2], None
+    for e in range(k + 1, len(lines)):
+        words, family = lines[e][2:4]
+        if not share or not words or family not in (None, UNKNOWN):
+            break
+        more = (lines[e][4] | grams([before[-1], words[0]])) - own
+        hits.update(template_hits(more))
+        now = max(n / SIZES[t] for t, n in hits.items())
+        if now <= share:
+            break
+        own, before, share = own | more, words, now
+        if share >= PART:
+            said, held = model.judged_grams(own)
+            if said and (best is None or (said != UNKNOWN, held) > best[3]):
+                best = (k, e, said, (said != UNKNOWN, held))
+    if best is None:
+        return None
+    # lines in front that hold nothing of the template that is held most
+    joined = lambda a: grams([w for line in lines[a : best[1] + 1] for w in line[2]])
+    begin = k
+    while begin < best[1] and top_share(joined(begin + 1)) >= top_share(joined(begin)):
+        begin += 1
+    return begin, *best[1:]
+
+
 def licence_spans(text: str, model: LicenceModel) -> list[tuple[int, int, str]]:
     """(start, end, family) of the paragraphs that name a licence."""
     lines, at = [], 0
     for line in text.split("\n"):
         words = _find(line.lower())
-        lines.append((at, at + len(line), words, *(model.judged(words) if words else (None, 0.0))))
+        own = grams(words) if words else set()
+        family, held = model.judged_grams(own)
+        lines.append((at, at + len(line), words, family, own, held))
         at += len(line) + 1
     out, k = [], 0
     while k < len(lines):
-        start, end, words, family, held = lines[k]
-        best, used = (family not in (None, UNKNOWN), held), 1
-        # a wrapped notice: a line and the next ones, while each holds a part of a template
-        joined = words
-        for n in range(1, MOST_LINES):
-            if held < PART or k + n >= len(lines) or lines[k + n][4] < PART or lines[k + n][3] not in (None, UNKNOWN):
-                break
-            joined = joined + lines[k + n][2]
-            said, share = model.judged(joined)
-            if said and (said != UNKNOWN, share) > best:
-                best, used, family, end = (said != UNKNOWN, share), n + 1, said, lines[k + n][1]
+        start, end, words, family, own, held = lines[k]
+        found = _wrapped(lines, k, model) if words else None
+        if found and found[3] > (family not in (None, UNKNOWN), held if family else -1.0):
+            out.append((lines[found[0]][0], lines[found[1]][1], found[2]))
+            k = found[1] + 1
+            continue
         if family:
             out.append((start, end, family))
-        k += used
+        k += 1
     return out
 
 

@@ -101,6 +101,111 @@ def test_wrapped_notices():
     assert all(b - a < 60 for a, b, _ in licence_spans(broken, model))
 
 
+def by_definition(text, model):
+    """Spans from the templates, the weights and the docstring's rules, with nothing of the operator's own counting."""
+    import re
+
+    find = lambda t: re.findall(r"[a-z0-9]+(?:[-.][a-z0-9]+)*", t.lower())
+
+    def ngrams(words):
+        out = set()
+        for own in (words, [p for w in words for p in w.split("-")]):
+            out |= {" ".join(own[k : k + n]) for n in (1, 2) for k in range(len(own) - n + 1)}
+        return out
+
+    templates = {f: [ngrams(find(t)) for t in TEMPLATES[f]] for f in FAMILIES}
+    only = {f: set().union(*templates[f]) - set().union(*(t for g in FAMILIES if g != f for t in templates[g])) for f in FAMILIES}
+    named = {f: {x for i in SPDX.get(f, ()) for x in ([f"spdx-license-identifier {i}"] + [i] * ("-" in i))} for f in FAMILIES}
+
+    def share(own, f):
+        return 1.0 if own & named[f] else max(len(t & own) / len(t) if own & t & only[f] else 0.0 for t in templates[f])
+
+    def size(own, f):
+        return 1000 if own & named[f] else max((len(t) for t in templates[f] if t <= own), default=0)
+
+    def judged(own):
+        if not any(g in model.index for g in own):
+            return None, 0.0
+        z = [float(model.bias[c]) + sum(float(model.weights[model.index[g]][c]) for g in own if g in model.index) for c in range(len(FAMILIES) + 2)]
+        e = [math.exp((x - max(z)) / model.temperature) for x in z]
+        p = [x / sum(e) for x in e]
+        best = max(range(len(FAMILIES)), key=lambda k: (p[k + 1], -k))
+        held = share(own, FAMILIES[best])
+        if p[0] >= 0.5 and held < CONFIRM:
+            return None, held
+        if p[0] < 0.5:
+            whole, _, k = max((size(own, f), p[k + 1], k) for k, f in enumerate(FAMILIES))
+            if whole:
+                return FAMILIES[k], 1.0
+        if p[best + 1] >= model.sure and held >= CONFIRM:
+            return FAMILIES[best], held
+        return ("unknown", held) if p[0] < 0.5 and (held >= 0.5 or p[-1] >= 0.5) else (None, held)
+
+    top = lambda own: max(len(t & own) / len(t) for f in FAMILIES for t in templates[f])
+    lines = [(m.start(), m.end(), find(m[0])) for m in re.finditer(r"(?m)^.*$", text)]
+    alone = [judged(ngrams(w)) for *_, w in lines]
+    joined = lambda a, b: ngrams([w for line in lines[a : b + 1] for w in line[2]])
+    out, k = [], 0
+    while k < len(lines):
+        family, held = alone[k]
+        best, e = None, k
+        while lines[k][2] and e + 1 < len(lines) and lines[e + 1][2] and alone[e + 1][0] in (None, "unknown") and 0 < top(joined(k, e)) < top(joined(k, e + 1)):
+            e += 1
+            if top(joined(k, e)) >= 0.2:
+                said, share_ = judged(joined(k, e))
+                if said and (best is None or (said != "unknown", share_) > best[2]):
+                    best = (e, said, (said != "unknown", share_))
+        if best and best[2] > (family not in (None, "unknown"), held if family else -1.0):
+            begin = k
+            while begin < best[0] and top(joined(begin + 1, best[0])) >= top(joined(begin, best[0])):
+                begin += 1
+            out.append((lines[begin][0], lines[best[0]][1], best[1]))
+            k = best[0] + 1
+            continue
+        if family:
+            out.append((*lines[k][:2], family))
+        k += 1
+    return out
+
+
+def wrapped(text, n):
+    words = text.split()
+    return "\n".join(" ".join(words[k : k + n]) for k in range(0, len(words), n))
+
+
+def test_spans_by_definition():
+    model, rng = fit_licences(ordinary()), random.Random(21)
+    pool = [*NOTICES, *(t for f in FAMILIES for t in TEMPLATES[f]), *HELD_OTHERS, "SPDX-License-Identifier: MIT", "cc-by-sa-4.0", "mit"]
+    checked = 0
+    for _ in range(150):
+        parts = [rng.choice(["", "plain words of the river", " ".join(rng.choice(ordinary())[:12]), wrapped(rng.choice(pool), rng.randrange(2, 9)), rng.choice(pool)]) for _ in range(6)]
+        text = "\n".join(parts)
+        want = by_definition(text, model)
+        assert licence_spans(text, model) == want, text
+        checked += len(want)
+    assert checked > 100
+
+
+def test_notices_wrapped_over_many_lines():
+    model = fit_licences(ordinary())
+    full = {"mit": TEMPLATES["mit"][2], "isc": TEMPLATES["isc"][0], "bsd": TEMPLATES["bsd"][0], "unlicense": TEMPLATES["unlicense"][0]}
+    for family, notice in full.items():
+        for n in (2, 3, 4, 6):
+            text = f"an ordinary line\n{wrapped(notice, n)}\n\nlast"
+            spans = licence_spans(text, model)
+            assert [f for *_, f in spans] == [family], (family, n, spans)
+            begin, end = text.index(notice.split()[0] + " "), len(text) - 6
+            assert spans[0][0] <= begin + 20 and spans[0][1] >= end - 25, (family, n, spans)
+
+
+def test_families_that_tie():
+    model = fit_licences(ordinary())
+    both = "released under the mit license and licensed under the apache license version 2.0"
+    assert [f for *_, f in licence_spans(both, model)] == ["apache"] == [f for *_, f in by_definition(both, model)]
+    two = "SPDX-License-Identifier: MIT SPDX-License-Identifier: ISC"
+    assert licence_spans(two, model) == by_definition(two, model) and len(licence_spans(two, model)) == 1
+
+
 def test_registered_query(spark, tmp_path):
     lines = [" ".join(p) for p in ordinary()]
     long = "\n".join(lines * 40)
