@@ -19,9 +19,11 @@
    verified first; buckets with more than those are gone through once more, with all pairs, if they are still of several components.
 
 So the number of verified pairs does not grow with the square of a group of copies that are all alike, nor with that of a
-group that only shares a frequent passage. What does grow with the square of a bucket is the number of rows sent to
-pairs of blocks, divided by ``BLOCK``, if the bucket holds more than BLOCK documents outside its largest component. Nothing is
-capped. Shingles are held as 64-bit hashes.
+group that only shares a frequent passage. Where a bucket's other members fill more than one block, those are left out first that share
+no rare shingle with another component there, which takes their ids and rare shingles alone: a bucket of documents that are not
+alike enough goes to no block at all. What is left to grow with the square of a bucket, divided by ``BLOCK``, are the rows of members that
+do share rare shingles outside its largest component. Nothing is capped. Shingles are held as 64-bit hashes: two different shingles of
+one document and another are taken for one with a chance of 2e-20 a pair, 2e-9 for any two of 1e5 in a pair of documents.
 
 Cases: a null or empty text or one of white space has an empty set and is linked with nothing; fewer words than a
 shingle are one shingle; repeated rows are one class; rows with one doc_id and different texts are linked; a null doc_id is linked with
@@ -149,6 +151,27 @@ def _rarest_of(batches, counts: np.ndarray, percent: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rare, type=pa.binary()), pa.array(low, type=pa.binary())], names=["id", "rare", "low"])
 
 
+def _flat_rare(batches):
+    """(id, rare) -> a row for each rare shingle."""
+    for batch in batches:
+        values = batch.column(1).to_pylist()
+        ids = np.repeat(np.arange(batch.num_rows), [len(x) // 4 for x in values])
+        shingles = np.frombuffer(b"".join(values), dtype=np.uint32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(shingles)], names=["id", "shingle"])
+
+
+def that_can_meet(at: DataFrame, rare: DataFrame) -> DataFrame:
+    """Rows of at(bucket, id, component, ...) that share a rare shingle with another component in their bucket: all that a link could be with.
+
+    Only ids and shingles are moved; rare(id, rare).
+    """
+    each = rare.join(at.select("id").distinct(), "id", "left_semi").select("id", "rare").mapInArrow(_flat_rare, "id bigint, shingle bigint")
+    cells = at.select("bucket", "id", "component").join(each, "id")
+    met = cells.groupBy("bucket", "shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
+    alive = stored(cells.join(stored(met.select("bucket", "shingle")), ["bucket", "shingle"], "left_semi").select("bucket", "id").distinct())
+    return at.join(alive, ["bucket", "id"], "left_semi")
+
+
 def sharing(rare: list[bytes], n: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of n shingles that share a rare one: of rows of side 0 with those of side 1, or of all if there is no side 1."""
     sizes = np.array([len(x) // 4 for x in rare])
@@ -331,7 +354,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         most = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_BYTES / mean)))
         blocks = lambda rows: F.ceil(rows / most).cast("int")
         mixed = mixed.filter("components > 1") if again is None else mixed.filter("components > 1").join(again, "bucket", "left_semi")
-        mixed = saved(mixed.select("bucket", F.col("top.component").alias("top"), blocks(F.col("top.own")).alias("tops"), blocks(F.col("members") - F.col("top.own")).alias("others")))
+        mixed = saved(mixed.select("bucket", F.col("top.component").alias("top"), most.alias("most"), blocks(F.col("top.own")).alias("tops"), blocks(F.col("members") - F.col("top.own")).alias("others")))
         at = saved(at.join(mixed, "bucket"))
         if payload is None:
             own = sets.join(at.select("id").distinct(), "id", "left_semi")
@@ -341,6 +364,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
             rare = own.mapInArrow(lambda it, counts=counts: _rarest_of(it, counts, percent), "id bigint, rare binary, low binary")
             payload = stored(sig.join(rare, "id"))
         at = at.withColumn("is_top", F.col("component") == F.col("top"))
+        wide = at.filter("others > 1")
+        if wide.limit(1).count():
+            # rows would go to many blocks: those that can meet none are left out, and the rest are dealt over as many blocks as they take
+            alive = saved(that_can_meet(wide, payload.select("id", "rare")).drop("tops", "others"))
+            sizes = alive.groupBy("bucket").agg(F.ceil(F.count(F.when(F.col("is_top"), 1)) / F.max("most")).cast("int").alias("tops"), F.ceil(F.count(F.when(~F.col("is_top"), 1)) / F.max("most")).cast("int").alias("others"))
+            alive = alive.join(sizes.filter("others > 0"), "bucket")
+            at = at.filter("others <= 1").unionByName(alive)
         within = F.pmod(F.xxhash64("id"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("others"))).cast("int")
         at = at.withColumn("own", F.when(F.col("is_top"), within).otherwise(F.col("tops") + within))
         at = at.withColumn("other", F.explode(F.sequence(F.when(F.col("is_top"), F.col("tops")).otherwise(F.lit(0)), F.col("tops") + F.col("others") - 1)))

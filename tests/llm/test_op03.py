@@ -51,6 +51,40 @@ def test_same_as_all_pairs(spark, size, percent):
     assert {tuple(r) for r in near_duplicates(df, size, percent).collect()} == brute(rows, size, percent)
 
 
+def test_wide_buckets_are_the_same_as_all_pairs(spark, monkeypatch):
+    import medcorpus.llm.op03_near as op
+
+    called, real = [], op.that_can_meet
+    monkeypatch.setattr(op, "BLOCK", 6)
+    monkeypatch.setattr(op, "that_can_meet", lambda at, rare: called.append(at.count()) or real(at, rare))
+    rng = random.Random(15)
+    words = [f"w{k}" for k in range(900)]
+    rows, d = [], 0
+    for _ in range(3):
+        text = [rng.choice(words) for _ in range(70)]
+        for k in range(40):
+            own = list(text)
+            for at in range(rng.choice([1, 6, 14])):
+                own[-1 - at] = rng.choice(words)  # alike in front, linked or not
+            rows.append((d := d + 1, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {tuple(r) for r in near_duplicates(df, 5, 80).collect()} == brute(rows, 5, 80) and called
+
+
+def test_members_that_can_meet_none_are_left_out(spark):
+    from medcorpus.llm.op03_near import that_can_meet
+
+    sets = {1: [1, 2], 2: [2, 3], 3: [9], 4: [1], 5: [7, 8], 6: [7], 7: [5]}
+    rare = spark.createDataFrame([(d, bytearray(np.array(s, dtype=np.uint32).tobytes())) for d, s in sets.items()], "id long, rare binary")
+    at = [(10, 1, 1), (10, 2, 2), (10, 3, 3), (10, 4, 1), (20, 4, 1), (20, 1, 1), (20, 5, 5), (20, 6, 6), (30, 7, 7)]
+    got = that_can_meet(spark.createDataFrame(at, "bucket long, id long, component long"), rare).collect()
+    assert sorted((r.bucket, r.id) for r in got) == [(10, 1), (10, 2), (20, 5), (20, 6)]
+    # many that share nothing cost a row each for their rare shingles, and go nowhere
+    n = 3000
+    alone = spark.createDataFrame([(k, bytearray(np.arange(3 * k, 3 * k + 3, dtype=np.uint32).tobytes())) for k in range(n)], "id long, rare binary")
+    assert that_can_meet(spark.range(n).selectExpr("1L as bucket", "id", "id as component"), alone).count() == 0
+
+
 def test_defined_cases(spark):
     df = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "x y z u v"), (2, "a b c d"), (5, "x y z u v")], "doc_id long, text string")
     got = sorted(near_duplicates(df, 3, 85).collect(), key=str)
