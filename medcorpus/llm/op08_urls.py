@@ -18,6 +18,8 @@ is; null outcomes do not count. Without labels nothing is blocked but by rule.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Suffixes of two labels under which names are registered; any other suffix is the last label.
+#: Suffixes of two labels under which names are registered; any other suffix is the last label. A caller gives its own list, of whatever length, such as a public one.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
 MAX_BAD = 0.25
 #: Posterior standard deviations between the mean and the bound.
@@ -58,10 +60,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def host_levels(host: Column) -> tuple[Column, Column]:
+def host_levels(host: Column, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
     """Registered domain and suffix of a host."""
     two = F.substring_index(host, ".", -2)
-    is_two = two.isin(*TWO_LABEL_SUFFIXES)
+    is_two = two.isin(*two_label)
     suffix = F.when(is_two, two).otherwise(F.substring_index(host, ".", -1))
     domain = F.when(is_two, F.substring_index(host, ".", -3)).otherwise(two)
     return domain, suffix
@@ -83,9 +85,9 @@ def _strength(groups: DataFrame, n: str, bad: str, mean: str) -> float:
     return high if rho <= 1 / (high + 1) else min(high, max(low, 1 / rho - 1))
 
 
-def host_reputation(outcomes: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+def host_reputation(outcomes: DataFrame, hosts: DataFrame | None = None, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """Per host of outcomes (host, bad 0/1), or per distinct host of hosts (host) if given: n, mean and lower bound of the posterior bad share, shrunk level by level."""
-    domain, suffix = host_levels(F.col("host"))
+    domain, suffix = host_levels(F.col("host"), two_label)
     # one row a host with outcomes; read by every fit below
     known = stored(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum("bad").cast("double").alias("bad")).filter("n > 0"))
     levels = known.withColumns({"domain": domain, "suffix": suffix})
@@ -113,13 +115,13 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame | None = None) -> Data
     return judged.select("host", n.alias("n"), held(mean).alias("bad_mean"), held(bound).alias("bad_bound"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = MAX_BAD) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = MAX_BAD, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, bad_mean, bad_bound per page of pages(page_id, url); outcomes(page_id, bad)."""
     host, path = url_parts(F.col("url"))
     pages = pages.select("page_id", host.alias("host"), path.alias("path"))
     known = outcomes.filter("bad is not null and page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     # stored, so that Spark knows its size, and a hot host's pages can be split where it is too large to broadcast
-    reputation = stored(host_reputation(pages.join(known, "page_id").select("host", "bad"), pages))
+    reputation = stored(host_reputation(pages.join(known, "page_id").select("host", "bad"), pages, two_label))
     rule = rule_of(F.col("host"), F.col("path"), rules)
     pages = pages.withColumn("k", rule)
     names = F.array(*[F.lit(h + p) for _, h, p in rules])

@@ -8,7 +8,7 @@ collide. A 64-bit fingerprint is only used to leave out texts that no other row
 fingerprint and length are unique has no copy.
 
 DataFrame operations only. Distinct blocks are pre-aggregated before the shuffle, so copies cost one row a
-task; ranks are taken within hash buckets of distinct blocks, whose number follows the input, and are the same
+task; ranks are taken within hash buckets of distinct blocks, four for each of the session's shuffle partitions, and are the same
 however often a task runs again. What joins give to rows (marks of fingerprints, names of blocks, the row that stays)
 is written to the shared folder first. So Spark knows its size and broadcasts it where it is small, and else both sides
 of the join are plain shuffles, of which adaptive execution splits the partitions that a hot text fills.

@@ -65,3 +65,12 @@ def test_hosts_without_outcomes(spark):
     assert {r.host: r.verdict for r in got if r.page_id >= 9000} == new
     mean = {r.host: r.bad_mean for r in got}
     assert mean["new.d0.org"] > 0.9 > 0.5 > mean["new.other.org"] > mean["new.d9.org"] and mean["new.other.bad"] > 0.9 and abs(mean["new.other.info"] - (15 * 40 + 0.5) / (36 * 40 + 1)) < 1e-9
+
+
+def test_very_long_urls_and_own_suffixes(spark):
+    host, path = "a." * 40_000 + "example.com", "/en/" + "x" * 200_000
+    pages = spark.createDataFrame([(1, f"http://{host}{path}"), (2, f"http://www.example.com{path}")], "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.verdict) for r in filter_urls(pages, spark.createDataFrame([], "page_id long, bad int")).collect()}
+    assert got == {1: (host, path, "block"), 2: ("www.example.com", path, "allow")}
+    own = spark.createDataFrame([("x.y.gov.pl",), ("x.y.co.uk",)], "h string").select(F.struct(*host_levels(F.col("h"), [f"s{k}.pl" for k in range(3000)] + ["gov.pl"]))).collect()
+    assert [tuple(r[0]) for r in own] == [("y.gov.pl", "gov.pl"), ("co.uk", "uk")]
