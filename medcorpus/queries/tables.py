@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from medcorpus import storage
 from medcorpus.functions import text as T
 from medcorpus.operators import chunking as K
 from medcorpus.operators import dedupe as D
@@ -30,15 +31,8 @@ def _halves(t):
 
 
 def _folder(t):
-    """A new folder that driver and executors share; a local session, where none is set, gets one of its own."""
-    import uuid
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not t.spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="medcorpus-")
-    return f"{base.rstrip('/')}/io-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{storage.shared_dir(t.spark)}/io-{uuid.uuid4().hex}"
 
 
 @query("select conv_id, turn, role, text from conversations")

@@ -14,13 +14,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; a local session without one gets a folder of its own."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found and not (sc.master == "local" or sc.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (found or "file://" + tempfile.mkdtemp(prefix="medcorpus-")).rstrip("/")
+    if not found:
+        if sc.applicationId not in _local:
+            _local[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="medcorpus-")
+        found = _local[sc.applicationId]
+    return found.rstrip("/")
 
 
 def _at(spark: SparkSession, path: str):
