@@ -5,16 +5,60 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from medcorpus.functions import text as T
 from medcorpus.functions.text import rank_key
-from medcorpus.operators import chunking, dedupe, dialogues, isolation, reports, sampling
+from medcorpus.operators import chunking, dedupe, dialogues, isolation, records, reports, sampling
+from medcorpus.sources import readers
 from medcorpus.storage import spread, stored
 
 
+#: The fields of a guideline file.
+GUIDELINE = "id string, source string, title string, clean_text string"
+
+
+def read_corpus(spark: SparkSession, books: dict[str, str], guidelines: dict[str, str], archives: dict[str, tuple[str, str, bool]], ads: str | None = None, ads_share: float | None = None) -> DataFrame:
+    """source, doc_id, text of a corpus's files, by the name of each source: folders of texts, JSON of guidelines, and archives (path, prefix of the members, whether promotion goes).
+
+    Books lose attribution lines; a guideline has 200 characters at least and its title in front; ads and ads_share: what is taken for promotion, if not what looks_like_ad takes.
+    """
+    out = [readers.read_text_docs(spark, path).select(F.lit(name).alias("source"), "doc_id", T.strip_attribution(F.col("text")).alias("text")) for name, path in books.items()]
+    for name, path in guidelines.items():
+        rows = chunking.min_length_docs(readers.read_json_any(spark, path, GUIDELINE), "title", "clean_text")
+        known = lambda c: F.coalesce(F.col(c), F.lit("?"))
+        out.append(rows.select(F.lit(name).alias("source"), F.concat(known("source"), F.lit("/"), known("id")).alias("doc_id"), "text"))
+    is_ad = T.looks_like_ad(F.col("text"), *([ads, ads_share] if ads else []))
+    for name, (path, prefix, drop_ads) in archives.items():
+        rows = readers.read_zip_members(spark, path, prefix, ".txt").select(F.lit(name).alias("source"), F.substring_index("name", "/", -1).alias("doc_id"), "text")
+        out.append(rows.filter(~is_ad) if drop_ads else rows)
+    return reduce(DataFrame.unionByName, out)
+
+
+def report_pool(spark: SparkSession, path: str, schema: str, subset: DataFrame, n: int, seed: int, frontal: str = "Frontal") -> tuple[DataFrame, DataFrame]:
+    """n seeded patients' studies of a table of reports in files, and a funnel (step, n) of its rows, studies and patients.
+
+    The table has patient, study, path, view, findings and impression; a patient of subset(patient, image_path, path) is left out, and the one root of
+    subset's pictures is put before the paths. Of a study the first frontal picture counts, of a patient one study.
+    """
+    root = readers.common_path_root(subset, "image_path", "path")
+    text = records.report_text(F.col("findings"), F.col("impression"))
+    rows = readers.read_reports_csv(spark, path, schema, "path").select("patient", "study", "path", F.trim("view").alias("view"), text.alias("text"))
+    out = subset.select("patient").distinct().withColumn("_out", F.lit(True))
+    step = F.when(F.coalesce(F.col("view") != frontal, F.lit(True)), "not frontal").when(F.col("text").isNull(), "empty").when(F.col("_out"), "excluded")
+    rows = stored(rows.join(out, "patient", "left").select("patient", "study", "path", "text", step.alias("step")))
+    fit = rows.filter("step is null").drop("step")
+    studies = stored(dedupe.dedupe_first(fit, ["patient", "study"], ["path"]))
+    chosen = studies.join(sampling.one_per_subject(studies, "patient", "study", n, seed), ["patient", "study"], "left_semi")
+    chosen = stored(chosen.withColumn("image_path", F.concat(F.lit(root), "path")))
+    counts = rows.groupBy(F.coalesce("step", F.lit("candidate")).alias("step")).agg(F.count("*").alias("n"))
+    more = studies.agg(F.count("*").alias("study"), F.count_distinct("patient").alias("patient")).join(chosen.agg(F.count("*").alias("chosen")))  # two tables of one row
+    funnel = counts.unionByName(more.select(F.inline(F.array(*[F.struct(F.lit(k).alias("step"), F.col(k).alias("n")) for k in ("study", "patient", "chosen")]))))
+    return chosen, funnel
+
+
 def clean_corpus(docs: DataFrame, min_chars: int = 200) -> DataFrame:
     """Documents without attribution, promotion and page remains, long enough, the first of each text."""
     own = docs.filter(~T.looks_like_ad(F.col("text"))).withColumn("text", T.clean_text(T.strip_attribution(F.col("text"))))

@@ -21,6 +21,8 @@ from medcorpus.sources import readers
 from medcorpus.streaming import incremental
 
 c = F.col
+#: SQL of a text without its attribution lines.
+ATTRIBUTED = lambda x: rf"array_to_string(list_filter(string_split({x}, chr(10)), lambda s: not regexp_matches(s, '(?i)Provided by:|Located at:|License:|Authored by:|creativecommons\.org|Public Domain:|\bCC BY(-[A-Z]+)*(\s\d\.\d)?\s*:')), chr(10))"
 #: Documents of one half are the training rows, of the other the test rows.
 HALVES = "train as (select doc_id, lang, source, n_chars, md5(text) k from documents where doc_id % 2 = 0), test as (select doc_id, lang, source, n_chars, md5(text) k from documents where doc_id % 2 = 1)"
 
@@ -73,6 +75,13 @@ def s3_read_text_docs(t):
 @query("select source, count(*) as n, sum(length(text))::bigint as chars from documents group by source")
 def s4_read_zip_members(t):
     path = _folder(t)
+    _write_zip(t.documents.select(F.concat(F.lit("docs/"), "source", F.lit("_"), "doc_id", F.lit(".txt")).alias("name"), "text"), path)
+    found = readers.read_zip_members(t.spark, path, "docs/", ".txt")
+    return found.groupBy(F.regexp_extract("name", "docs/([^_]+)_", 1).alias("source")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+def _write_zip(rows, path):
+    """An archive of rows(name, text) for each part."""
 
     def archive(batches):
         """The members of an archive, one a row without its signature, which the writer puts between rows; the directory is at the end."""
@@ -95,10 +104,7 @@ def s4_read_zip_members(t):
         end = HEADER.pack(20, 0, 0, 0, 0, 0, 0, 0, 3, 0) + b"end"
         yield pa.RecordBatch.from_arrays([pa.array([end + b"".join(directory)] if directory else [], pa.binary())], names=["value"])
 
-    members = t.documents.select(F.concat(F.lit("docs/"), "source", F.lit("_"), "doc_id", F.lit(".txt")).alias("name"), "text").mapInArrow(archive, "value binary")
-    members.select(c("value").cast("string")).write.option("lineSep", "PK\x03\x04").text(path)
-    found = readers.read_zip_members(t.spark, path, "docs/", ".txt")
-    return found.groupBy(F.regexp_extract("name", "docs/([^_]+)_", 1).alias("source")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    rows.mapInArrow(archive, "value binary").select(c("value").cast("string")).write.option("lineSep", "PK\x03\x04").text(path)
 
 
 @query("select doc_id, lang from documents")
@@ -408,9 +414,10 @@ def k4_corpus_stats(t):
     return K.corpus_stats(_pieces(t))
 
 
-@query("select doc_id, length(source || chr(10) || trim(text)) as chars from documents where length(trim(text)) >= 200")
+@query("select doc_id, length(trim(text)) + case when doc_id % 3 = 0 then 0 else length(source) + 2 end as chars from documents where length(trim(text)) >= 200")
 def k5_min_length_docs(t):
-    return K.min_length_docs(t.documents, "source", "text", 200).select("doc_id", F.length("text").alias("chars"))
+    titled = t.documents.withColumn("title", F.when(c("doc_id") % 3 > 0, c("source")).when(c("doc_id") % 2 == 0, " "))
+    return K.min_length_docs(titled, "title", "text", 200).select("doc_id", F.length("text").cast("long").alias("chars"))
 
 
 @query("select conv_id from (select distinct conv_id from conversations) where conv_id not in (select conv_id from conversations where turn = 3)")
@@ -439,6 +446,21 @@ def w1_build_corpus(t):
     return x.groupBy("source", "split").agg(F.count("*").alias("chunks"), F.sum("n_tokens").alias("tokens"))
 
 
+@query(f"""with d as (select doc_id, lang, coalesce(text, '') t, source from documents), s as (select 'books' as source, null as doc_id, {ATTRIBUTED("t || chr(10)")} as text from d where lang = 'de'
+    union all select 'guides', source || '/' || doc_id, case when doc_id % 2 = 0 then source || chr(10) || chr(10) else '' end || trim(t) from d where lang = 'en' and length(trim(t)) >= 200
+    union all select 'pages', doc_id || '.txt', t from d where lang = 'es' and len(regexp_extract_all(t, 'que|los')) * 1000 / greatest(1, length(t)) <= 9.0 union all select 'archive', doc_id || '.txt', t from d where lang = 'fr') select source, doc_id, md5(text) as k from s""")
+def w1_read_corpus(t):
+    path, d = _folder(t), t.documents.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
+    d.filter("lang = 'de'").select("source", "text").write.partitionBy("source").option("maxRecordsPerFile", 1).text(f"{path}/books")
+    guides = d.filter("lang = 'en'").select(c("doc_id").alias("id"), "source", F.when(c("doc_id") % 2 == 0, c("source")).alias("title"), c("text").alias("clean_text"))
+    guides.write.json(f"{path}/guides")
+    for lang in ("es", "fr"):
+        _write_zip(d.filter(c("lang") == lang).select(F.concat(F.lit("in/"), "doc_id", F.lit(".txt")).alias("name"), "text"), f"{path}/{lang}")
+    archives = {"pages": (f"{path}/es", "in/", True), "archive": (f"{path}/fr", "in/", False)}
+    x = jobs.read_corpus(t.spark, {"books": f"{path}/books/*"}, {"guides": f"{path}/guides"}, archives, "que|los", 9.0)
+    return x.select("source", F.when(c("source") != "books", c("doc_id")).alias("doc_id"), F.md5("text").alias("k"))
+
+
 WINDOWS = "list_distinct(list_transform(range(1, length(k) - 18), lambda i: substr(k, i, 20)))"
 
 
@@ -471,6 +493,29 @@ def w2_build_exam_rows(t):
     return jobs.build_exam_rows(rows, t.questions, {"x": 20, "y": 20}, 900, 42).select("id", "source", "reason", "seen", "kept")
 
 
+POOL = f"""f as (select *, case when not frontal then 'not frontal' when trim(findings) = '' and trim(impression) = '' then 'empty' when patient in (select c_custkey from customer where c_mktsegment = 'MACHINERY') then 'excluded' end step from reports),
+    s as (select patient, study, min(path) path from f where step is null group by all), one as (select patient, min_by(study, ({sql_rank(42, 'item', 'study')}, study)) study from s group by patient), chosen as (select * from one order by {sql_rank(42, 'subject', 'patient')}, patient limit 100)"""
+
+
+def _report_pool(t):
+    path = _folder(t)
+    own = t.reports.select("patient", "study", F.concat(F.lit("/"), "path").alias("path"), F.when(c("frontal"), "Frontal").otherwise("Lateral").alias("view"), "findings", "impression")
+    own.write.csv(f"{path}/reports", header=True, quote='"', escape='"', quoteAll=True)
+    subset = t.customer.filter("c_mktsegment = 'MACHINERY'").select(c("c_custkey").alias("patient"), F.concat(F.lit("/films/"), c("c_custkey").cast("string")).alias("image_path"), c("c_custkey").cast("string").alias("path"))
+    return jobs.report_pool(t.spark, f"{path}/reports", "patient long, study long, path string, view string, findings string, impression string", subset, 100, 42)
+
+
+@query("with " + REPORTS + ", " + POOL + """ select patient, study, path, '/films/' || path as image_path, md5((case when trim(findings) <> '' then 'Findings: ' || trim(findings) || case when trim(impression) <> '' then chr(10) else '' end else '' end)
+    || case when trim(impression) <> '' then 'Impression: ' || trim(impression) else '' end) as text_md5 from s join chosen using (patient, study) join (select path, findings, impression from reports) using (path)""")
+def w4_report_pool(t):
+    return _report_pool(t)[0].select("patient", "study", "path", "image_path", F.md5("text").alias("text_md5"))
+
+
+@query("with " + REPORTS + ", " + POOL + """ select coalesce(step, 'candidate') as step, count(*) as n from f group by all union all select 'study', count(*) from s union all select 'patient', count(*) from one union all select 'chosen', count(*) from chosen""")
+def w4_report_pool_funnel(t):
+    return _report_pool(t)[1]
+
+
 @query("with " + REPORTS + f""", r as (select patient, study, min(path) path from reports where frontal and patient not in (select c_custkey from customer where c_mktsegment = 'MACHINERY') group by all),
     one as (select patient, min_by(study, ({sql_rank(42, 'item', 'study')}, study)) study from r group by patient), chosen as (select * from one order by {sql_rank(42, 'subject', 'patient')}, patient limit 100) select patient, study, path from r join chosen using (patient, study)""")
 def w4_select_reports(t):
