@@ -66,8 +66,9 @@ def final_answer_row(question: Column, response: Column) -> Column:
 
 
 def report_text(findings: Column, impression: Column) -> Column:
-    """The sections that are there, or null."""
-    part = lambda name, c: F.when(F.trim(text_of(c)) != "", F.concat(F.lit(f"{name}: "), F.trim(c)))
+    """The sections that are there, without white space around them, or null."""
+    bare = lambda c: F.regexp_replace(text_of(c), r"^\s+|\s+$", "")
+    part = lambda name, c: F.when(bare(c) != "", F.concat(F.lit(f"{name}: "), bare(c)))
     return F.nullif(F.concat_ws("\n", part("Findings", findings), part("Impression", impression)), F.lit(""))
 
 

@@ -202,7 +202,7 @@ def b7_final_answer_row(t):
 PROMPTS = "[" + ", ".join(f"'<image>{p}'" for p in R.REPORT_PROMPTS) + "]"
 
 
-@query(with_(REPORTS) + f""", r as (select path, nullif(concat_ws(chr(10), case when trim(findings) <> '' then 'Findings: ' || trim(findings) end, case when trim(impression) <> '' then 'Impression: ' || trim(impression) end), '') report from reports)
+@query(with_(REPORTS) + f""", r as (select path, nullif(concat_ws(chr(10), case when regexp_replace(findings, '^\\s+|\\s+$', '', 'g') <> '' then 'Findings: ' || regexp_replace(findings, '^\\s+|\\s+$', '', 'g') end, case when regexp_replace(impression, '^\\s+|\\s+$', '', 'g') <> '' then 'Impression: ' || regexp_replace(impression, '^\\s+|\\s+$', '', 'g') end), '') report from reports)
     select path, {PROMPTS}[{sql_h("42", "path")} % 3 + 1] as prompt, report, (select count(*) from r where report is null) as n_skipped from r where report is not null""")
 def b8_report_row(t):
     rows, skipped = R.report_rows(t.reports, "path", 42)

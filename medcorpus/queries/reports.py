@@ -215,7 +215,7 @@ def a21_accuracy_by_type(t):
     return rounded(A.accuracy_by_type(t.vqa, ["content", "closed"], c("gold") == c("pred")), "accuracy")
 
 
-@query(with_(REPORTS) + "select case when not frontal then 'not_frontal' when trim(findings) = '' and trim(impression) = '' then 'empty' when patient % 10 = 0 then 'excluded' else 'kept' end as step, count(*) as n from reports group by 1")
+@query(with_(REPORTS) + "select case when not frontal then 'not_frontal' when regexp_replace(findings, '^\\s+|\\s+$', '', 'g') = '' and regexp_replace(impression, '^\\s+|\\s+$', '', 'g') = '' then 'empty' when patient % 10 = 0 then 'excluded' else 'kept' end as step, count(*) as n from reports group by 1")
 def a22_funnel_counts(t):
     empty = (F.trim("findings") == "") & (F.trim("impression") == "")
     return A.funnel(t.reports, [("not_frontal", ~c("frontal")), ("empty", empty), ("excluded", c("patient") % 10 == 0)])

@@ -234,7 +234,7 @@ def j10_attach_sections(t):
     return x.select("l_orderkey", c("l_linenumber").alias("line"), c("l_partkey").alias("part"))
 
 
-@query(with_(REPORTS) + "select study, min(path) as path from reports where frontal and (trim(findings) <> '' or trim(impression) <> '') group by study")
+@query(with_(REPORTS) + "select study, min(path) as path from reports where frontal and (regexp_replace(findings, '^\\s+|\\s+$', '', 'g') <> '' or regexp_replace(impression, '^\\s+|\\s+$', '', 'g') <> '') group by study")
 def j11_reports_with_first_image(t):
     x = t.reports.filter(c("frontal") & R.report_text(c("findings"), c("impression")).isNotNull())
     return D.dedupe_first(x.select("study", "path"), ["study"], ["path"])
@@ -493,7 +493,7 @@ def w2_build_exam_rows(t):
     return jobs.build_exam_rows(rows, t.questions, {"x": 20, "y": 20}, 900, 42).select("id", "source", "reason", "seen", "kept")
 
 
-POOL = f"""f as (select *, case when not frontal then 'not frontal' when trim(findings) = '' and trim(impression) = '' then 'empty' when patient in (select c_custkey from customer where c_mktsegment = 'MACHINERY') then 'excluded' end step from reports),
+POOL = f"""f as (select *, case when not frontal then 'not frontal' when regexp_replace(findings, '^\\s+|\\s+$', '', 'g') = '' and regexp_replace(impression, '^\\s+|\\s+$', '', 'g') = '' then 'empty' when patient in (select c_custkey from customer where c_mktsegment = 'MACHINERY') then 'excluded' end step from reports),
     s as (select patient, study, min(path) path from f where step is null group by all), one as (select patient, min_by(study, ({sql_rank(42, 'item', 'study')}, study)) study from s group by patient), chosen as (select * from one order by {sql_rank(42, 'subject', 'patient')}, patient limit 100)"""
 
 
@@ -505,8 +505,8 @@ def _report_pool(t):
     return jobs.report_pool(t.spark, f"{path}/reports", "patient long, study long, path string, view string, findings string, impression string", subset, 100, 42)
 
 
-@query("with " + REPORTS + ", " + POOL + """ select patient, study, path, '/films/' || path as image_path, md5((case when trim(findings) <> '' then 'Findings: ' || trim(findings) || case when trim(impression) <> '' then chr(10) else '' end else '' end)
-    || case when trim(impression) <> '' then 'Impression: ' || trim(impression) else '' end) as text_md5 from s join chosen using (patient, study) join (select path, findings, impression from reports) using (path)""")
+@query("with " + REPORTS + ", " + POOL + """ select patient, study, path, '/films/' || path as image_path, md5((case when regexp_replace(findings, '^\\s+|\\s+$', '', 'g') <> '' then 'Findings: ' || regexp_replace(findings, '^\\s+|\\s+$', '', 'g') || case when regexp_replace(impression, '^\\s+|\\s+$', '', 'g') <> '' then chr(10) else '' end else '' end)
+    || case when regexp_replace(impression, '^\\s+|\\s+$', '', 'g') <> '' then 'Impression: ' || regexp_replace(impression, '^\\s+|\\s+$', '', 'g') else '' end) as text_md5 from s join chosen using (patient, study) join (select path, findings, impression from reports) using (path)""")
 def w4_report_pool(t):
     return _report_pool(t)[0].select("patient", "study", "path", "image_path", F.md5("text").alias("text_md5"))
 
