@@ -52,6 +52,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it is not there."""
+    at, system = _at(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(at)) if system.exists(at) else []
+
+
 def entries(spark: SparkSession, root: str) -> dict[str, dict]:
     """The entries made under root by name; none if root is not there."""
     at, system = _at(spark, root)

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from medcorpus import storage
 
@@ -30,15 +30,16 @@ def ingest_predictions(spark: SparkSession, source: str, schema: StructType | st
         if f"{number:012}" in done:
             return
         new = batch.dropDuplicates(names).withColumn("_bucket", F.pmod(F.hash(*names), F.lit(buckets)))
-        before = [e["path"] for name, e in sorted(done.items()) if int(name) < number]
+        touched = {f"_bucket={r[0]}" for r in new.select("_bucket").distinct().collect()}
+        # of each earlier batch the keys of the buckets in question; buckets are folders
+        before = [f"{e['path']}/{b}" for name, e in done.items() if int(name) < number for b in e["buckets"] if b in touched]
         if before:
-            # of each earlier batch the keys of the buckets in question; buckets are folders
-            touched = [r[0] for r in new.select("_bucket").distinct().collect()]
-            there = own.read.schema(StructType([*[batch.schema[n] for n in names], StructField("_bucket", IntegerType())]))
-            old = reduce(DataFrame.unionByName, [there.option("basePath", p).parquet(p) for p in before])
-            new = new.join(old.filter(F.col("_bucket").isin(touched)).select(*names), names, "left_anti")
+            old = own.read.schema(StructType([batch.schema[n] for n in names])).option("recursiveFileLookup", True).parquet(*before)
+            same = reduce(lambda a, b: a & b, [F.col(f"new.`{n}`").eqNullSafe(F.col(f"old.`{n}`")) for n in names])
+            new = new.alias("new").join(old.alias("old"), same, "left_anti")
         path = storage.write_data(new, target, by=("_bucket",))
-        storage.enter(own, target, f"{number:012}", {"path": path, "format": "parquet", "columns": batch.columns})
+        written = [b for b in storage.children(own, path) if b.startswith("_bucket=")]
+        storage.enter(own, target, f"{number:012}", {"path": path, "format": "parquet", "columns": batch.columns, "buckets": written})
 
     rows = spark.readStream.format(fmt).schema(schema)
     rows = (rows.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else rows).load(source)
@@ -48,8 +49,9 @@ def ingest_predictions(spark: SparkSession, source: str, schema: StructType | st
 def read_ingested(spark: SparkSession, target: str, schema: StructType | str) -> DataFrame:
     """The rows of all batches that were entered at target."""
     empty = spark.createDataFrame([], schema)
-    done = storage.entries(spark, target).values()
-    return reduce(DataFrame.unionByName, [spark.read.schema(empty.schema).parquet(e["path"]).select(*e["columns"]) for e in done], empty)
+    paths = [e["path"] for e in storage.entries(spark, target).values() if e["buckets"]]
+    # the buckets' folders are no column of the rows
+    return spark.read.schema(empty.schema).option("recursiveFileLookup", True).parquet(*paths) if paths else empty
 
 
 def ingest_events(spark: SparkSession, source: str, schema: StructType | str, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:

@@ -159,5 +159,12 @@ def test_a_stream_that_is_killed_loses_and_doubles_nothing(spark, tmp_path, monk
             incremental.ingest_predictions(spark, src, "tag string, id long", out, state, files_a_batch=1, buckets=4)
     incremental.ingest_predictions(spark, src, "tag string, id long", out, state, files_a_batch=1, buckets=4)
     assert sorted(r.id for r in incremental.read_ingested(spark, out, "tag string, id long").collect()) == list(range(25))
+    # a key with a null is a key; a batch without anything new is entered, too
+    spark.createDataFrame([("t", None), (None, 3)], "tag string, id long").coalesce(1).write.mode("append").json(src)
+    spark.createDataFrame([("t", None), (None, 3), ("t", 4)], "tag string, id long").coalesce(1).write.mode("append").json(src)
+    incremental.ingest_predictions(spark, src, "tag string, id long", out, state, files_a_batch=1, buckets=4)
+    want = {*(("t", k) for k in range(25)), ("t", None), (None, 3)}
+    rows = [tuple(r) for r in incremental.read_ingested(spark, out, "tag string, id long").collect()]
+    assert len(rows) == 27 and set(rows) == want
     # nothing is held as state
     assert not (tmp_path / "state" / "state").exists()
