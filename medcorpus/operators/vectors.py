@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medcorpus.functions.scoring import latin_tokens
-from medcorpus.operators.blooms import bloom_of
+from medcorpus.operators.blooms import Bloom, bloom_of
 from medcorpus.storage import spread, stored
 
 #: Vectors of one side that a task holds at most, and rows of similarities that it has at a time.
@@ -104,8 +105,10 @@ def _lcs_f(a: list[str], b: list[str], beta: float) -> float:
     return (1 + beta**2) * p * r / (r + beta**2 * p) if n else 0.0
 
 
-#: Items whose grams a task holds at a time.
-ITEMS = 256
+#: Items whose grams a task holds at a time, and items whose references' grams it counts at a time.
+ITEMS, CITED = 256, 1024
+#: Grams whose numbers go to every task, those of the most items; the others' are joined.
+HOT = 1 << 21
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,65 +123,95 @@ def _flat(column: pa.Array, kind=np.int64) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False), (offsets - offsets[0]).astype(np.int64)
 
 
-def _grams(batches, max_n: int) -> Iterator[pa.RecordBatch]:
-    """Of (item, tokens' hashes of the prediction, and of each reference) the item, its number of references, its texts' lengths, the distinct grams of all texts, those of references, and (place of the gram, text, count) of each text that has it. Text 0 is the prediction."""
+def _levels(hashes: np.ndarray, lengths: np.ndarray, max_n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n from 1 to max_n the grams of texts of so many tokens: those that begin at each place, and whether they end inside the place's text."""
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(hashes))  # tokens up to the text's end
+    state = np.zeros(len(hashes), dtype=np.uint64)
+    for n in range(1, max_n + 1):
+        state = _mixed(state[: max(0, len(hashes) - n + 1)] + hashes[n - 1 :])
+        # two bits of a gram's hash say how long it is
+        yield (state & ~np.uint64(3)) | np.uint64(n - 1), left[: len(state)] >= n
+
+
+def _cited(batches, n: int, shorter: Bloom | None) -> Iterator[pa.RecordBatch]:
+    """Of (tokens' hashes of each reference) of items the grams of n tokens, and how many items have each; only those whose two grams of n - 1 tokens may be in shorter."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, CITED):
+            lists = batch.column(0).slice(at, CITED)
+            refs = lists.flatten()
+            hashes, ends = _flat(refs)
+            *before, (gram, whole) = _levels(hashes.view(np.uint64), np.diff(ends), n)
+            if shorter is not None:
+                often = np.zeros(len(before[-1][0]), dtype=bool)
+                often[shorter.where(before[-1][0])] = True
+                whole = whole & often[:-1] & often[1:]
+            of_ref = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+            item = np.repeat(of_ref, np.diff(ends))[: len(gram)][whole]
+            gram = gram[whole]
+            order = np.argsort(gram, kind="stable")  # items stay in order
+            gram, item = gram[order], item[order]
+            new = np.ones(len(gram), dtype=bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (item[1:] != item[:-1])
+            own, count = np.unique(gram[new], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(count.astype(np.int64))], names=["gram", "n"])
+
+
+def _grams(b: pa.RecordBatch, max_n: int) -> list[pa.Array]:
+    """Of (item, tokens' hashes of the prediction, and of each reference) the item, its number of references, its texts' lengths, the distinct grams of all texts, and (place of the gram, text, count) of each text that has it. Text 0 is the prediction."""
+    items = b.num_rows
+    said, said_ends = _flat(b.column(1))
+    refs = b.column(2).flatten()
+    cited, cited_ends = _flat(refs)
+    ends = b.column(2).offsets.to_numpy().astype(np.int64)
+    ends -= ends[0]
+    k = np.diff(ends)
+    # predictions first, then all references
+    hashes = np.concatenate([said, cited]).view(np.uint64)
+    lengths = np.concatenate([np.diff(said_ends), np.diff(cited_ends)])
+    item_of = np.concatenate([np.arange(items), np.repeat(np.arange(items), k)])
+    text_of = np.concatenate([np.zeros(items, np.int64), 1 + np.arange(k.sum()) - np.repeat(ends[:-1], k)])
+    where = np.repeat(np.arange(len(lengths)), lengths)
+    found = [(where[: len(g)][whole], g[whole].view(np.int64)) for g, whole in _levels(hashes, lengths, max_n)]
+    text, gram = (np.concatenate(x) for x in zip(*found, strict=True))
+    item, text = item_of[text], text_of[text]
+    order = np.lexsort((text, gram, item))
+    item, gram, text = item[order], gram[order], text[order]
+    new_gram = np.ones(len(item), dtype=bool)
+    new_gram[1:] = (item[1:] != item[:-1]) | (gram[1:] != gram[:-1])
+    new = new_gram.copy()
+    new[1:] |= text[1:] != text[:-1]
+    first, heads = np.flatnonzero(new), np.flatnonzero(new_gram)
+    counts, place = np.diff(np.append(first, len(item))), np.cumsum(new_gram) - 1
+    lists = lambda own, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(own, minlength=items))]).astype(np.int32)), pa.array(values))
+    begins = np.concatenate([[0], np.cumsum(np.bincount(item[heads], minlength=items))])
+    inside = place[first] - begins[item[first]]
+    sizes = np.lexsort((text_of, item_of))
+    arrays = [b.column(0), pa.array(k.astype(np.int32)), lists(item_of, lengths[sizes].astype(np.int32)), lists(item[heads], gram[heads])]
+    return arrays + [lists(item[first], x.astype(np.int32)) for x in (inside, text[first], counts)]
+
+
+def _in_slices(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, ITEMS):
-            b = batch.slice(at, ITEMS)
-            items = b.num_rows
-            said, said_ends = _flat(b.column(1))
-            refs = b.column(2).flatten()
-            cited, cited_ends = _flat(refs)
-            ends = b.column(2).offsets.to_numpy().astype(np.int64)
-            ends -= ends[0]
-            k = np.diff(ends)
-            # predictions first, then all references
-            hashes = np.concatenate([said, cited]).view(np.uint64)
-            lengths = np.concatenate([np.diff(said_ends), np.diff(cited_ends)])
-            item_of = np.concatenate([np.arange(items), np.repeat(np.arange(items), k)])
-            text_of = np.concatenate([np.zeros(items, np.int64), 1 + np.arange(k.sum()) - np.repeat(ends[:-1], k)])
-            where = np.repeat(np.arange(len(lengths)), lengths)
-            left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(hashes))  # tokens up to the text's end
-            found, state = [], np.zeros(len(hashes), dtype=np.uint64)
-            for n in range(1, max_n + 1):
-                state = _mixed(state[: max(0, len(hashes) - n + 1)] + hashes[n - 1 :])
-                whole = left[: len(state)] >= n
-                # two bits of a gram's hash say how long it is
-                g = (state[whole] & ~np.uint64(3)) | np.uint64(n - 1)
-                found.append((where[: len(state)][whole], g.view(np.int64)))
-            text, gram = (np.concatenate(x) for x in zip(*found, strict=True))
-            item, text = item_of[text], text_of[text]
-            order = np.lexsort((text, gram, item))
-            item, gram, text = item[order], gram[order], text[order]
-            new_gram = np.ones(len(item), dtype=bool)
-            new_gram[1:] = (item[1:] != item[:-1]) | (gram[1:] != gram[:-1])
-            new = new_gram.copy()
-            new[1:] |= text[1:] != text[:-1]
-            first, heads = np.flatnonzero(new), np.flatnonzero(new_gram)
-            counts, place = np.diff(np.append(first, len(item))), np.cumsum(new_gram) - 1
-            in_refs = np.zeros(len(heads), dtype=bool)
-            in_refs[place[first][text[first] > 0]] = True
-            lists = lambda own, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(own, minlength=items))]).astype(np.int32)), pa.array(values))
-            begins = np.concatenate([[0], np.cumsum(np.bincount(item[heads], minlength=items))])
-            inside = place[first] - begins[item[first]]
-            sizes = np.lexsort((text_of, item_of))
-            arrays = [b.column(0), pa.array(k.astype(np.int32)), lists(item_of, lengths[sizes].astype(np.int32)), lists(item[heads], gram[heads]), lists(item[heads][in_refs], gram[heads][in_refs])]
-            arrays += [lists(item[first], x.astype(np.int32)) for x in (inside, text[first], counts)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["item", "k", "lens", "gram", "cited", "place", "text", "n"])
-
-
-def _scored(batches, total: int, max_n: int, sigma: float | None) -> Iterator[pa.RecordBatch]:
-    """item and score of rows of _grams with rare and df, the items' numbers of their grams that several items' references have."""
+            yield batch.slice(at, ITEMS)
+
+
+def _scored(batches, total: int, max_n: int, sigma: float | None, hot: np.ndarray, hot_df: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """item and score of (item, prediction, references, rare, df): the items' numbers of their grams that several items' references have, beside those of hot."""
     full = np.log(float(max(1, total)))
-    for b in batches:
-        (lens, of_len), (gram, of_gram), (place, of_place), (text, _), (n, _), (often, of_often), (df, _) = map(_flat, b.columns[2:])
+    for b in _in_slices(batches):
+        items, counts, *rest = _grams(b, max_n)
+        (lens, of_len), (gram, of_gram), (place, of_place), (text, _), (n, _), (often, of_often), (df, _) = map(_flat, [*rest, b.column(3), b.column(4)])
+        spot = np.minimum(np.searchsorted(hot, gram), max(0, len(hot) - 1))
+        known = hot[spot] == gram if len(hot) else np.zeros(len(gram), dtype=bool)
+        weights = np.full(len(gram), full)
+        weights[known] -= np.log(hot_df[spot[known]].astype(np.float64))
         scores = np.zeros(b.num_rows)
-        for i, k in enumerate(b.column(1).to_pylist()):
+        for i, k in enumerate(counts.to_pylist()):
             mine, entry, repeated = (slice(o[i], o[i + 1]) for o in (of_gram, of_place, of_often))
-            own, p, t, c = gram[mine], place[entry], text[entry], n[entry]
+            own, p, t, c, weight = gram[mine], place[entry], text[entry], n[entry], weights[mine]
             if not k or not len(own):
                 continue
-            weight = np.full(len(own), full)
             weight[np.searchsorted(own, often[repeated])] = full - np.log(df[repeated].astype(np.float64))
             said = np.zeros(len(own), dtype=np.int64)
             said[p[t == 0]] = c[t == 0]
@@ -191,14 +224,46 @@ def _scored(batches, total: int, max_n: int, sigma: float | None) -> Iterator[pa
             norm = np.sqrt(square[:, 1:] * square[:, :1])
             cos = np.divide(dot_[:, 1:], norm, out=np.zeros_like(norm), where=norm > 0)
             scores[i] = cos.sum() * 10 / max_n / k
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores)], names=["item", "cider"])
+        yield pa.RecordBatch.from_arrays([items, pa.array(scores)], names=["item", "cider"])
+
 
+def repeated_grams(refs: DataFrame, max_n: int) -> DataFrame:
+    """gram, df of the grams that the references of several items have; refs holds tokens' hashes, a list of lists an item.
 
-def cider(captions: DataFrame, max_n: int = 4, sigma: float | None = None) -> DataFrame:
+    Grams grow by one token a round: one that several items have begins and ends with one that several have, so all others are left out
+    where they lie, by a Bloom filter of the round before, and only what may be repeated is moved.
+    """
+    out, shorter = [], None
+    for n in range(1, max_n + 1):
+        counted = refs.mapInArrow(lambda it, n=n, shorter=shorter: _cited(it, n, shorter), "gram long, n long")
+        own = stored(counted.groupBy("gram").agg(F.sum("n").alias("df")).filter("df > 1"))
+        shorter = bloom_of(own, "gram", own.count())
+        out.append(own)
+    return reduce(DataFrame.unionByName, out)
+
+
+def _hot(often: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The least df of which at most so many grams have that much or more, and those grams in order with their df."""
+    least, room = None, most
+    for r in often.groupBy("df").agg(F.count("*").alias("n")).orderBy(F.desc("df")).toLocalIterator():
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["df"]
+    if least is None:
+        return 1 << 62, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = often.filter(F.col("df") >= least).toArrow()
+    gram, df = (found.column(c).to_numpy() for c in ("gram", "df"))
+    order = np.argsort(gram)
+    return least, gram[order], df[order].astype(np.int32 if len(df) and df.max() < 1 << 31 else np.int64)
+
+
+def cider(captions: DataFrame, max_n: int = 4, sigma: float | None = None, hot: int = HOT) -> DataFrame:
     """item, cider of captions(item, pred, refs): clipped tf-idf cosine of 1- to 4-grams, mean over references.
 
-    An item's grams are counted inside its row, as 64-bit hashes. A gram that no second item's references have weighs log N, so only grams that
-    several have are brought to the items that hold them; a Bloom filter of these keeps the others where they are.
+    Only the tokens, as 64-bit hashes, are stored; an item's grams are made anew from them wherever they are needed. A gram that no second item's
+    references have weighs log N. Of those that several have, the hot ones of the most items go to every task with their df; only the others are
+    brought to the items that hold them, and a Bloom filter of these keeps all else where it is.
 
     sigma: with a Gaussian penalty of that width on the difference of the two texts' numbers of tokens; without it there is none.
     """
@@ -206,22 +271,23 @@ def cider(captions: DataFrame, max_n: int = 4, sigma: float | None = None) -> Da
         raise ValueError("grams of one to four tokens")
     kind = dict(captions.dtypes)["item"]
     hashed = lambda text: F.transform(latin_tokens(text), lambda w: F.xxhash64(w))
-    tokens = captions.select("item", hashed(F.col("pred")).alias("p"), F.coalesce(F.transform("refs", hashed), F.array().cast("array<array<long>>")).alias("r"))
-    rows = stored(spread(tokens).mapInArrow(lambda it: _grams(it, max_n), f"item {kind}, k int, lens array<int>, gram array<long>, cited array<long>, place array<int>, text array<int>, n array<int>"))
-    cited = rows.select(F.explode("cited").alias("gram"))
-    often = stored(cited.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"))
-    seen = bloom_of(often, "gram", often.count())
+    tokens = captions.select("item", F.coalesce(hashed(F.col("pred")), F.array().cast("array<long>")).alias("p"), F.coalesce(F.transform("refs", hashed), F.array().cast("array<array<long>>")).alias("r"))
+    rows = stored(spread(tokens))
+    often = repeated_grams(rows.select("r"), max_n)
+    least, gram, df = _hot(often, hot)
+    rare = often.filter(F.col("df") < least)
+    seen = bloom_of(rare, "gram", rare.count())
 
     def held(batches):
-        for b in batches:
-            lists = b.column(1)
+        for b in _in_slices(batches):
+            lists = _grams(b, max_n)[3]
             at = seen.where(lists.flatten().to_numpy().view(np.uint64))
             parents = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())[at]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(parents)), lists.flatten().take(pa.array(at))], names=["item", "gram"])
 
-    some = rows.select("item", "gram").mapInArrow(held, f"item {kind}, gram long").join(often, "gram")
+    some = rows.mapInArrow(held, f"item {kind}, gram long").join(rare, "gram")
     mine = some.groupBy("item").agg(F.collect_list("gram").alias("often"), F.collect_list("df").alias("df"))
-    total = captions.select("item").distinct().count()
+    total = rows.select("item").distinct().count()
     lists = [F.coalesce(c, F.array().cast("array<long>")).alias(c) for c in ("often", "df")]
-    met = rows.join(mine, "item", "left").select("item", "k", "lens", "gram", "place", "text", "n", *lists)
-    return met.mapInArrow(lambda it: _scored(it, total, max_n, sigma), f"item {kind}, cider double")
+    met = rows.join(mine, "item", "left").select("item", "p", "r", *lists)
+    return met.mapInArrow(lambda it: _scored(it, total, max_n, sigma, gram, df), f"item {kind}, cider double")

@@ -90,3 +90,24 @@ def test_requests_are_an_exact_share(spark, n, want):
     df = spark.range(n).select("id", F.lit("q").alias("question"), F.lit("a").alias("answer"))
     drawn = [sorted(r.id for r in records.rewrite_requests(df, "id", 0.25, seed).collect()) for seed in (1, 2)]
     assert [len(d) for d in drawn] == [want] * 2 and (n < 100 or drawn[0] != drawn[1])
+
+
+def test_only_grams_that_may_be_repeated_are_moved(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    item = lambda: [" ".join(rng.choice(["a", "b", "c", "d", f"w{rng.integers(1 << 30)}"], size=12)) for _ in range(3)]
+    rows = [(k, *item()[:1], item()) for k in range(300)] + [(300, None, ["a b"]), (301, "a b", None), (302, "a b c d", [])]
+    df = spark.createDataFrame(rows, "item long, pred string, refs array<string>").repartition(5)
+    stored, tables = vectors.stored, []
+    monkeypatch.setattr(vectors, "stored", lambda x: tables.append(stored(x)) or tables[-1])
+    grams = lambda t, n: {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
+    own = [[set().union(*(grams(r.split(), n) for r in refs or ())) for _, _, refs in rows] for n in range(1, 5)]
+    want = sum(n > 1 for sets in own for n in {g: sum(g in s for s in sets) for g in set().union(*sets)}.values())
+    everywhere = {r.item: r.cider for r in vectors.cider(df).collect()}
+    counts = [t.count() for t in tables if t.columns == ["gram", "df"]]
+    # beside the tokens only repeated grams are stored, and no single one of two tokens goes on to three
+    assert sum(counts) == want and len(counts) == 4 and [t.columns for t in tables if "df" not in t.columns] == [["item", "p", "r"]]
+    single = spark.createDataFrame([([[1, 2, 3]],), ([[2, 3, 4]],)], "r array<array<long>>")
+    assert vectors.repeated_grams(single, 4).count() == 3
+    for hot in (0, 20):
+        got = {r.item: r.cider for r in vectors.cider(df, hot=hot).collect()}
+        assert got.keys() == everywhere.keys() and all(abs(got[k] - everywhere[k]) < 1e-9 for k in got)
