@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 import warnings
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from medcorpus import storage
 from medcorpus.sources import archives, ranges
+from medcorpus.storage import spread
 
 
 def _ddl(schema: StructType | str) -> str:
@@ -73,6 +78,40 @@ def read_text_docs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(doc_id.alias("doc_id"), without_bad_bytes(F.col("value")).alias("text"))
 
 
+def write_text_docs(df: DataFrame, path: str, folder: str, stem: str, text: str) -> int:
+    """Writes every row as a file of its own under path, <folder>/<stem>_<part>_<row>.txt, and returns their number.
+
+    The tasks write the files themselves, in a store that pyarrow.fs knows by its URI: Spark's own writer opens, checks in and renames each file as
+    if it were a table's. A file is moved to its name when it is whole, and a task that runs again writes the same names. Folder and stem must be fit for file names; null ones are empty.
+    """
+    at, system = storage._at(df.sparkSession, path)
+    uri = re.sub("^file:/+", "file:///", system.makeQualified(at).toString())
+    draft = uuid.uuid4().hex
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        store, root = fs.FileSystem.from_uri(uri)
+        n, made = 0, set()
+        for b in batches:
+            for rows in (b.slice(k, 200) for k in range(0, b.num_rows, 200)):
+                for own, name, value in zip(*[x.to_pylist() for x in rows.columns], strict=True):
+                    to = f"{root}/{own or ''}".rstrip("/")
+                    if to not in made:
+                        store.create_dir(to)
+                        made.add(to)
+                    part = f"{to}/_{draft}-{task.taskAttemptId()}"
+                    with store.open_output_stream(part) as out:
+                        out.write((value or "").encode())
+                    store.move(part, f"{to}/{name or ''}_{task.partitionId()}_{n}.txt")
+                    n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    own = df.select(*[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate((folder, stem, text))])
+    return spread(own).mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def read_zip_members(spark: SparkSession, path: str | list[str], prefix: str = "", suffix: str = ".txt", strict: bool = True) -> DataFrame:
     """name and text of archives' members, with many tasks an archive (see sources.archives).
 

@@ -1,6 +1,7 @@
 """Readers of large single files, and results that are whole or not there."""
 
 import csv
+import hashlib
 import io
 import json
 import random
@@ -168,3 +169,18 @@ def test_a_stream_that_is_killed_loses_and_doubles_nothing(spark, tmp_path, monk
     assert len(rows) == 27 and set(rows) == want
     # nothing is held as state
     assert not (tmp_path / "state" / "state").exists()
+
+
+def test_a_file_a_document_with_its_id(spark, tmp_path):
+    from collections import Counter
+
+    from medcorpus.queries import QUERIES
+
+    rows = [(1, "a/b c+d", "x\n"), (1, "a/b c+d", "x\n"), (-2, None, "é"), (None, "web", ""), (3, "web", None), (4, "", "y"), (5, "%41_1", "z")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter(map(tuple, QUERIES["s3_read_text_docs"](spark, str(tmp_path)).select("doc_id", "source", "text_md5").collect()))
+    assert got == Counter((d, s, hashlib.md5(((t or "") + "\n").encode()).hexdigest()) for d, s, t in rows)
+    docs = spark.range(30).select(F.lit("f").alias("folder"), F.col("id").cast("string").alias("stem"), F.col("id").cast("string").alias("text"))
+    assert readers.write_text_docs(docs, f"{tmp_path}/out", "folder", "stem", "text") == 30
+    assert sorted(r.text for r in readers.read_text_docs(spark, f"{tmp_path}/out/*").collect()) == sorted(map(str, range(30)))
+    assert not [p for p in (tmp_path / "out" / "f").iterdir() if p.name.startswith("_")]
