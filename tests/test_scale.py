@@ -111,3 +111,17 @@ def test_only_grams_that_may_be_repeated_are_moved(spark, monkeypatch):
     for hot in (0, 20):
         got = {r.item: r.cider for r in vectors.cider(df, hot=hot).collect()}
         assert got.keys() == everywhere.keys() and all(abs(got[k] - everywhere[k]) < 1e-9 for k in got)
+
+
+def test_whether_a_report_has_sections_takes_no_text(spark):
+    cases = [None, "", " \t\n\x0b\f\r", " a \n b\r\n", "\r\n ", "x" * 5000 + " \n"]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate((a, b) for a in cases for b in cases)], "path long, findings string, impression string")
+    said, text = records.has_sections(F.col("findings"), F.col("impression")), records.report_text(F.col("findings"), F.col("impression"))
+    bare = lambda x: (x or "").strip(" \t\n\x0b\f\r")
+    for r in df.select("*", said.alias("said"), text.alias("text")).collect():
+        want = "\n".join(f"{k}: {bare(x)}" for k, x in (("Findings", r.findings), ("Impression", r.impression)) if bare(x)) or None
+        assert r.text == want and r.said == (want is not None)
+    rows, skipped = records.report_rows(df, "path", 42)
+    assert skipped.first().n_skipped == 9 and rows.count() == 27
+    # white space around long texts is cut without a search in all of them
+    assert "regexp_replace" not in rows._jdf.queryExecution().optimizedPlan().toString()
