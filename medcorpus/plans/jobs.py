@@ -44,15 +44,17 @@ def report_pool(spark: SparkSession, path: str, schema: str, subset: DataFrame,
     subset's pictures is put before the paths. Of a study the first frontal picture counts, of a patient one study.
     """
     root = readers.common_path_root(subset, "image_path", "path")
-    text = records.report_text(F.col("findings"), F.col("impression"))
-    rows = readers.read_reports_csv(spark, path, schema, "path").select("patient", "study", "path", F.trim("view").alias("view"), text.alias("text"))
+    table = readers.read_reports_csv(spark, path, schema, "path")
     out = subset.select("patient").distinct().withColumn("_out", F.lit(True))
-    step = F.when(F.coalesce(F.col("view") != frontal, F.lit(True)), "not frontal").when(F.col("text").isNull(), "empty").when(F.col("_out"), "excluded")
-    rows = stored(rows.join(out, "patient", "left").select("patient", "study", "path", "text", step.alias("step")))
-    fit = rows.filter("step is null").drop("step")
-    studies = stored(dedupe.dedupe_first(fit, ["patient", "study"], ["path"]))
+    step = F.when(F.coalesce(F.trim("view") != frontal, F.lit(True)), "not frontal").when(~records.has_sections(F.col("findings"), F.col("impression")), "empty").when(F.col("_out"), "excluded")
+    # texts stay where they are until it is known whose are wanted
+    rows = stored(table.join(out, "patient", "left").select("patient", "study", "path", step.alias("step")))
+    studies = stored(dedupe.dedupe_first(rows.filter("step is null").drop("step"), ["patient", "study"], ["path"]))
     chosen = studies.join(sampling.one_per_subject(studies, "patient", "study", n, seed), ["patient", "study"], "left_semi")
-    chosen = stored(chosen.withColumn("image_path", F.concat(F.lit(root), "path")))
+    text = records.report_text(F.col("findings"), F.col("impression"))
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("patient", "study", "path")]
+    own = table.filter(F.trim("view") == frontal).select("patient", "study", "path", text.alias("text")).filter("text is not null").alias("t").join(chosen.alias("c"), same, "left_semi")
+    chosen = stored(dedupe.dedupe_first(own, ["patient", "study"], ["path"]).withColumn("image_path", F.concat(F.lit(root), "path")))
     counts = rows.groupBy(F.coalesce("step", F.lit("candidate")).alias("step")).agg(F.count("*").alias("n"))
     more = studies.agg(F.count("*").alias("study"), F.count_distinct("patient").alias("patient")).join(chosen.agg(F.count("*").alias("chosen")))  # two tables of one row
     funnel = counts.unionByName(more.select(F.inline(F.array(*[F.struct(F.lit(k).alias("step"), F.col(k).alias("n")) for k in ("study", "patient", "chosen")]))))

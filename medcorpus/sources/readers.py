@@ -58,7 +58,7 @@ def read_reports_csv(spark: SparkSession, path: str | list[str], schema: StructT
     """
     begins = _closed(ranges.begin_states(spark, path, "\n", ranges.quote_sums))
     rows = ranges.records(spark, path, "\n", ranges.quoted_line, begins).filter("not first")
-    text = F.regexp_replace("text", "\r$", "")
+    text = F.when(F.endswith("text", F.lit("\r")), F.substring("text", F.lit(1), F.length("text") - 1)).otherwise(F.col("text"))
     parsed = rows.select(F.from_csv(text, _ddl(schema), {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}).alias("r"), "text").filter(F.trim("text") != "")
     df = parsed.select("r.*")
     return df.withColumn(path_col, F.regexp_replace(F.trim(path_col), "^/+", "")) if path_col else df
