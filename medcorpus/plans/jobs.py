@@ -53,7 +53,8 @@ def report_pool(spark: SparkSession, path: str, schema: str, subset: DataFrame,
     chosen = studies.join(sampling.one_per_subject(studies, "patient", "study", n, seed), ["patient", "study"], "left_semi")
     text = records.report_text(F.col("findings"), F.col("impression"))
     same = [F.col(f"t.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("patient", "study", "path")]
-    own = table.filter(F.trim("view") == frontal).select("patient", "study", "path", text.alias("text")).filter("text is not null").alias("t").join(chosen.alias("c"), same, "left_semi")
+    fit = table.filter((F.trim("view") == frontal) & records.has_sections(F.col("findings"), F.col("impression"))).alias("t")
+    own = fit.join(chosen.alias("c"), same, "left_semi").select("patient", "study", "path", text.alias("text"))
     chosen = stored(dedupe.dedupe_first(own, ["patient", "study"], ["path"]).withColumn("image_path", F.concat(F.lit(root), "path")))
     counts = rows.groupBy(F.coalesce("step", F.lit("candidate")).alias("step")).agg(F.count("*").alias("n"))
     more = studies.agg(F.count("*").alias("study"), F.count_distinct("patient").alias("patient")).join(chosen.agg(F.count("*").alias("chosen")))  # two tables of one row
