@@ -103,3 +103,15 @@ def test_recall_on_formats_without_their_assignments():
     recall = {name: sum(model.score(t) >= model.threshold for t in ts[90:]) / 30 for name, ts in made.items()}
     assert min(recall["prefixed"], recall["base64"]) >= 0.95 and min(recall.values()) >= 0.9, recall
     assert sum(model.score(w) >= model.threshold for w in words[300:]) <= 1
+
+
+def test_model_of_all_documents(spark):
+    """Every credential and every other long token is learnt from, those of documents without an id, too; repeated ones count once."""
+    rng = random.Random(23)
+    hexes = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(3300)]
+    words = sorted({"".join(rng.choice(("tion", "er", "the", "ing", "ment", "lich")) for _ in range(7)) for _ in range(3300)})
+    texts = [f"token = {h}" for h in hexes] + [f"a {w} b {words[0]}" for w in words] + [f"token = {hexes[0]}"]
+    df = spark.createDataFrame([(k if k % 5 else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    model = train_formats(df)
+    assert model == fit_formats(hexes, words) and model != fit_formats(hexes[:3000], words[:3000])
+    assert train_formats(df.repartition(13)) == model
