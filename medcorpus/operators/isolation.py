@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from medcorpus.functions.text import norm_key
 from medcorpus.operators.blooms import Bloom, bloom_of
-from medcorpus.storage import spread, stored
+from medcorpus.storage import small_batches, spread, stored
 
 WINDOW_CHARS = 20
-#: Characters of normalised texts that are hashed at once.
-CHARS_AT_ONCE = 1 << 21
+#: Characters of normalised texts that are hashed at once: few, so that a task's arrays are small and stay in its core's cache.
+CHARS_AT_ONCE = 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -32,12 +32,19 @@ def build_eval_index(questions: DataFrame, chars: int = WINDOW_CHARS) -> tuple[D
 
 
 def window_hashes(codes: np.ndarray, chars: int) -> np.ndarray:
-    """A 64-bit hash of each run of chars code points."""
+    """A 64-bit hash of each run of chars code points: a polynomial, of which that of a run is made of those of its halves."""
     n = max(0, len(codes) - chars + 1)
-    out = np.zeros(n, dtype=np.uint64)
-    for k in range(chars):
-        out = out * _STEP + codes[k : k + n]
-    out ^= out >> np.uint64(32)
+    if not n:
+        return np.zeros(0, dtype=np.uint64)
+    out, size, step = codes, 1, int(_STEP)
+    for bit in f"{chars:b}"[1:]:
+        # two runs in a row, and then one more character
+        out, size = out[: len(out) - size] * np.uint64(step) + out[size:], 2 * size
+        step = step * step % 2**64
+        if bit == "1":
+            out, size = out[: len(codes) - size] * _STEP + codes[size:], size + 1
+            step = step * int(_STEP) % 2**64
+    out = out ^ out >> np.uint64(32)
     return out * _STEP
 
 
@@ -56,6 +63,13 @@ def _hashed(values: DataFrame, column: str, chars: int) -> DataFrame:
     return values.select(column).mapInArrow(hashed, "hash long")
 
 
+def sliced(batches, rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in small slices, so that a task holds few texts as Python strings at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _spans(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about CHARS_AT_ONCE characters; a longer text is one of its own."""
     begin, size = 0, 0
@@ -70,7 +84,7 @@ def _spans(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def _candidates(batches, index: Bloom, exact: Bloom, chars: int) -> Iterator[pa.RecordBatch]:
     """Of texts (key, text's digest, its first bytes as a number, normalised text) the windows that may be in the index, each once a text; and a row without one if the text itself may be."""
-    for b in batches:
+    for b in sliced(batches):
         digests, heads, texts = b.column(1), b.column(2).to_numpy().view(np.uint64), b.column(3).to_pylist()
         whole = set(exact.where(heads).tolist())
         rows, sizes, found = [], [], []
@@ -103,13 +117,16 @@ def contamination(texts: DataFrame, key: str, text: str, questions: DataFrame, f
     size, and is tested where the texts lie. Only windows that pass are moved and joined with the index on the string; the filter
     lets pass too many, never too few. A text's windows are counted by 64-bit hashes. Texts are the same if their SHA-256 is.
     """
+    small_batches(texts.sparkSession)
     exact, index, _ = build_eval_index(questions, chars)
     index = stored(index)
     digest = F.sha2("_key", 256)
     head = lambda d: F.conv(F.substring(d, 1, 15), 16, 10).cast("long")
     exact = stored(exact.select(F.sha2("key", 256).alias("_text")))
     seen, whole = bloom_of(_hashed(index, "w", chars), "hash", index.count()), bloom_of(exact.select(head(F.col("_text")).alias("hash")), "hash", exact.count())
-    keyed = spread(texts.select(F.col(key).alias("_id"), F.col(text).alias("_raw"))).select("_id", norm_key(F.col("_raw")).alias("_key")).filter("_key <> ''")
+    # exploded, not filtered: a filter would make the key once more
+    own = F.filter(F.array(norm_key(F.col("_raw"))), lambda k: k != "")
+    keyed = spread(texts.select(F.col(key).alias("_id"), F.col(text).alias("_raw"))).select("_id", F.explode(own).alias("_key"))
     some = keyed.select("_id", digest.alias("_text"), "_key").select("_id", "_text", head(F.col("_text")).alias("_head"), "_key")
     kind = dict(texts.dtypes)[key]
     cut = stored(some.mapInArrow(lambda it: _candidates(it, seen, whole, chars), f"_id {kind}, _text string, n_windows long, w string"))

@@ -52,6 +52,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows with texts go to Python a thousand at a time, unless the session says how many, so that a task's batch is a few MB however long its partition is."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's own default
+        spark.conf.set(key, "1000")
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """The names in a folder; none if it is not there."""
     at, system = _at(spark, path)

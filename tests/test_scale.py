@@ -1,11 +1,12 @@
 """What must stay even or bounded, whatever the values."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from medcorpus.functions.text import rank_key
-from medcorpus.operators import records, reports, resample, sampling, vectors
+from medcorpus.operators import blooms, isolation, records, reports, resample, sampling, vectors
 
 
 def frames(spark):
@@ -125,3 +126,32 @@ def test_whether_a_report_has_sections_takes_no_text(spark):
     assert skipped.first().n_skipped == 9 and rows.count() == 27
     # white space around long texts is cut without a search in all of them
     assert "regexp_replace" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_contamination_holds_few_texts_at_a_time():
+    """A batch of many texts takes little more memory in a task than one of few."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", dtype=np.uint8)
+    texts = ["".join(map(chr, letters[rng.integers(0, 26, 400)])) for _ in range(12_000)]
+    known = isolation.window_hashes(isolation._codes(texts[7][:20] + texts[11_000][100:120]), 20)[[0, 20]]
+    bits = np.zeros(1 << 18, dtype=np.uint8)
+    index = blooms.Bloom(bits)
+    for h in known.tolist():
+        for k in range(blooms.PLACES):
+            place = ((h & int(index.mask)) + k * ((h >> 32) & int(index.mask) | 1)) & int(index.mask)
+            bits[place >> 3] |= 1 << (place & 7)
+    none = blooms.Bloom(np.zeros(1 << 15, dtype=np.uint8))
+
+    def peak(n):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["d"] * n), pa.array([0] * n, pa.int64()), pa.array(texts[:n])], names=["k", "d", "h", "t"])
+        tracemalloc.start()
+        found = [r for out in isolation._candidates([batch], index, none, 20) for r in out.to_pylist()]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most, [(r["key"], r["n_windows"], r["w"]) for r in found]
+
+    few, many = peak(400), peak(12_000)
+    assert few[1] == [(7, 381, texts[7][:20])] and many[1] == [*few[1], (11_000, 381, texts[11_000][100:120])]
+    assert many[0] < 1.5 * few[0]
