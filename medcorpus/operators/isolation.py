@@ -125,8 +125,7 @@ def contamination(texts: DataFrame, key: str, text: str, questions: DataFrame, f
     exact = stored(exact.select(F.sha2("key", 256).alias("_text")))
     seen, whole = bloom_of(_hashed(index, "w", chars), "hash", index.count()), bloom_of(exact.select(head(F.col("_text")).alias("hash")), "hash", exact.count())
     # exploded, not filtered: a filter would make the key once more
-    own = F.filter(F.array(norm_key(F.col("_raw"))), lambda k: k != "")
-    keyed = spread(texts.select(F.col(key).alias("_id"), F.col(text).alias("_raw"))).select("_id", F.explode(own).alias("_key"))
+    keyed = spread(texts.select(F.col(key).alias("_id"), F.col(text).alias("_raw"))).select("_id", F.explode(F.array(norm_key(F.col("_raw")))).alias("_key")).filter("_key <> ''")
     some = keyed.select("_id", digest.alias("_text"), "_key").select("_id", "_text", head(F.col("_text")).alias("_head"), "_key")
     kind = dict(texts.dtypes)[key]
     cut = stored(some.mapInArrow(lambda it: _candidates(it, seen, whole, chars), f"_id {kind}, _text string, n_windows long, w string"))

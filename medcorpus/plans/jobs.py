@@ -64,7 +64,8 @@ def report_pool(spark: SparkSession, path: str, schema: str, subset: DataFrame,
 
 def clean_corpus(docs: DataFrame, min_chars: int = 200) -> DataFrame:
     """Documents without attribution, promotion and page remains, long enough, the first of each text."""
-    own = docs.filter(~T.looks_like_ad(F.col("text"))).withColumn("text", T.clean_text(T.strip_attribution(F.col("text"))))
+    # exploded: a filter on a column that is worked out would work it out once more
+    own = docs.filter(~T.looks_like_ad(F.col("text"))).withColumn("text", F.explode(F.array(T.clean_text(T.strip_attribution(F.col("text"))))))
     own = own.filter(F.length("text") >= min_chars).withColumn("_digest", F.sha2(F.col("text").cast("binary"), 256))
     return dedupe.dedupe_first(own, ["_digest"], ["doc_id"]).drop("_digest")
 

@@ -1,10 +1,13 @@
 """Jobs that begin with files."""
 
 import json
+import random
+import re
 import zipfile
 
 import pytest
 
+from medcorpus.operators import chunking
 from medcorpus.plans import jobs
 
 
@@ -42,3 +45,20 @@ def test_report_pool(spark, tmp_path):
     assert {r.step: r.n for r in funnel.collect()} == {"not frontal": 2, "empty": 1, "excluded": 1, "candidate": 3, "study": 2, "patient": 2, "chosen": 2}
     with pytest.raises(ValueError, match="no common root"):
         jobs.report_pool(spark, str(tmp_path / "r.csv"), schema, subset.unionByName(subset.limit(1).selectExpr("patient", "'/other/x' as image_path", "'x' as path")), 10, 1)
+
+
+def test_clean_corpus_cleans_once(spark):
+    """A text is cleaned once, not again for its filter."""
+    docs = spark.createDataFrame([(1, "a", "x" * 250 + "\n\n\n\nend"), (2, "b", "short"), (3, "b", "x" * 250 + "\n\n\nend "), (4, "c", None)], "doc_id long, source string, text string")
+    clean = jobs.clean_corpus(docs)
+    plan = clean._jdf.queryExecution().executedPlan().toString()
+    assert [plan.count(p) for p in (r"\n{3,}", "Authored by", r"\d{1,4}\s*$")] == [1, 1, 1]
+    assert [(r.doc_id, r.text) for r in clean.collect()] == [(1, "x" * 250 + "\n\nend")]
+
+
+def test_sentences_as_the_pattern_says():
+    pattern = re.compile(r"(?<=[。！？；!?;])|(?<=[.!?])\s+")
+    rng = random.Random(2)
+    for _ in range(5000):
+        text = "".join(rng.choice("ab.!?; \n。；\u3000") for _ in range(rng.randrange(14)))
+        assert chunking.sentences(text) == [s for s in pattern.split(text) if s.strip()]
