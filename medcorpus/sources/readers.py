@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from medcorpus import storage
 from medcorpus.sources import archives, ranges
@@ -50,8 +50,8 @@ def read_json_any(spark: SparkSession, path: str | list[str], schema: StructType
     return out
 
 
-def read_reports_csv(spark: SparkSession, path: str | list[str], schema: StructType | str, path_col: str | None = None) -> DataFrame:
-    """A table with quoted text over several lines; a leading slash of path_col goes.
+def read_reports_csv(spark: SparkSession, path: str | list[str], schema: StructType | str, path_col: str | None = None, null: str = "") -> DataFrame:
+    """A table with quoted text over several lines; a leading slash of path_col goes. null: what stands for a missing value; if that is not the empty text, an empty text in quotes is one.
 
     A line feed ends a row where the quotes before it are even, so a large file is cut into ranges and read by many tasks. That asks for
     quotes as RFC 4180 has them (around a field, doubled inside it); a file that ends inside quotes is an error.
@@ -59,8 +59,13 @@ def read_reports_csv(spark: SparkSession, path: str | list[str], schema: StructT
     begins = _closed(ranges.begin_states(spark, path, "\n", ranges.quote_sums))
     rows = ranges.records(spark, path, "\n", ranges.quoted_line, begins).filter("not first")
     text = F.when(F.endswith("text", F.lit("\r")), F.substring("text", F.lit(1), F.length("text") - 1)).otherwise(F.col("text"))
-    parsed = rows.select(F.from_csv(text, _ddl(schema), {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}).alias("r"), "text").filter(F.trim("text") != "")
-    df = parsed.select("r.*")
+    # the parser leaves zero characters out, so they go through it as a hash of the row
+    zero, has = F.lit("\0"), F.contains("text", F.lit("\0"))
+    mark = F.when(has, F.concat(F.lit("<"), F.sha2(F.col("text").cast("binary"), 256), F.lit(">")))
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true", "nullValue": null}
+    parsed = rows.filter(F.trim("text") != "").select(F.from_csv(F.when(has, F.replace(text, zero, mark)).otherwise(text), _ddl(schema), options).alias("r"), mark.alias("_mark"))
+    back = lambda c: F.when(F.col("_mark").isNotNull(), F.replace(c, F.col("_mark"), zero)).otherwise(c)
+    df = parsed.select(*[(back(F.col("r")[f.name]) if isinstance(f.dataType, StringType) else F.col("r")[f.name]).alias(f.name) for f in parsed.schema["r"].dataType.fields])
     return df.withColumn(path_col, F.regexp_replace(F.trim(path_col), "^/+", "")) if path_col else df
 
 

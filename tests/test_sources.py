@@ -184,3 +184,16 @@ def test_a_file_a_document_with_its_id(spark, tmp_path):
     assert readers.write_text_docs(docs, f"{tmp_path}/out", "folder", "stem", "text") == 30
     assert sorted(r.text for r in readers.read_text_docs(spark, f"{tmp_path}/out/*").collect()) == sorted(map(str, range(30)))
     assert not [p for p in (tmp_path / "out" / "f").iterdir() if p.name.startswith("_")]
+
+
+def test_any_text_comes_back_from_a_table_in_quotes(spark, tmp_path):
+    from medcorpus.queries.base import QUERIES
+
+    texts = [None, "", " ", "\n", " a ", "\ta\x0b\n", "\r", "a\r\n", '"', '""', 'a"', "\\", '\\"', "\0", "\0a\0 \0", " a　", "null", "\\N", ",", "#a", "﻿a", " "]
+    rows = [(None, "x"), (-1, "y"), *enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in QUERIES["s2_read_reports_csv"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(rows, key=repr)
+    # without a value of its own for what is missing, an empty field is missing
+    (tmp_path / "r.csv").write_text('id,text\n1,""\n2,\n')
+    assert [r.text for r in readers.read_reports_csv(spark, str(tmp_path / "r.csv"), "id long, text string").collect()] == [None, None]
