@@ -46,11 +46,13 @@ def report_pool(spark: SparkSession, path: str, schema: str, subset: DataFrame,
     root = readers.common_path_root(subset, "image_path", "path")
     table = readers.read_reports_csv(spark, path, schema, "path")
     out = subset.select("patient").distinct().withColumn("_out", F.lit(True))
-    step = F.when(F.coalesce(F.trim("view") != frontal, F.lit(True)), "not frontal").when(~records.has_sections(F.col("findings"), F.col("impression")), "empty").when(F.col("_out"), "excluded")
-    # texts stay where they are until it is known whose are wanted
-    rows = stored(table.join(out, "patient", "left").select("patient", "study", "path", step.alias("step")))
+    own = F.when(F.coalesce(F.trim("view") != frontal, F.lit(True)), "not frontal").when(~records.has_sections(F.col("findings"), F.col("impression")), "empty")
+    # texts are looked at before rows meet the patients, and stay where they are until it is known whose are wanted
+    keys = table.select("patient", "study", "path", own.alias("own"))
+    rows = stored(keys.join(out, "patient", "left").select("patient", "study", "path", F.coalesce("own", F.when(F.col("_out"), "excluded")).alias("step")))
     studies = stored(dedupe.dedupe_first(rows.filter("step is null").drop("step"), ["patient", "study"], ["path"]))
-    chosen = studies.join(sampling.one_per_subject(studies, "patient", "study", n, seed), ["patient", "study"], "left_semi")
+    # of known size when it meets the texts: so few go to all tasks, and no text is moved for them
+    chosen = stored(studies.join(sampling.one_per_subject(studies, "patient", "study", n, seed), ["patient", "study"], "left_semi"))
     text = records.report_text(F.col("findings"), F.col("impression"))
     same = [F.col(f"t.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("patient", "study", "path")]
     fit = table.filter((F.trim("view") == frontal) & records.has_sections(F.col("findings"), F.col("impression"))).alias("t")

@@ -153,7 +153,10 @@ def _put_together(batches, step: Step, glue: bytes, closing: bytes) -> Iterator[
 
 
 def records(spark: SparkSession, path: str | list[str], separator: str, step: Step, begins: DataFrame, closing: str = "") -> DataFrame:
-    """first (of its file) and text of all records; begins: from begin_states. Pieces are joined by the separator, and closing ends a record."""
+    """first (of its file) and text of all records; begins: from begin_states. Pieces are joined by the separator, and closing ends a record.
+
+    Records are stored only if some may go over the end of a range; else they are put together where they are used.
+    """
     cut = pieces(spark, path, separator)
     states = begins.select("file", "block", "inside", "depth")
     if begins.count() <= BROADCAST_RANGES:
@@ -163,7 +166,11 @@ def records(spark: SparkSession, path: str | list[str], separator: str, step: St
     unseen = F.when(F.col("inside").isNull(), F.raise_error(F.lit("files were cut into other ranges than before"))).otherwise(F.col("inside"))
     rows = met.select("file", "block", unseen.cast("int").alias("inside"), F.col("depth").cast("int").alias("depth"), F.col("value").cast("binary").alias("value"))
     glue, end = separator.encode(), closing.encode()
-    found = stored(rows.mapInArrow(lambda it: _put_together(it, step, glue, end), "file long, block long, at int, begins boolean, first boolean, text binary"))
+    found = rows.mapInArrow(lambda it: _put_together(it, step, glue, end), "file long, block long, at int, begins boolean, first boolean, text binary")
+    if not begins.filter("block > 0").head(1):
+        # every file is one range, as a compressed one always is: no record goes over a border, so none has to wait for its other parts
+        return found.select("first", F.col("text").cast("string").alias("text"))
+    found = stored(found)
     order = W.partitionBy("file").orderBy("block", "at").rowsBetween(W.unboundedPreceding, 0)  # two parts a range at most
     parts = found.filter("block is not null").withColumn("record", F.sum(F.col("begins").cast("int")).over(order))
     inside = F.sort_array(F.collect_list(F.struct("block", "at", F.hex("text").alias("text"))))

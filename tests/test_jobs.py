@@ -62,3 +62,20 @@ def test_sentences_as_the_pattern_says():
     for _ in range(5000):
         text = "".join(rng.choice("ab.!?; \n。；\u3000") for _ in range(rng.randrange(14)))
         assert chunking.sentences(text) == [s for s in pattern.split(text) if s.strip()]
+
+
+def test_report_pool_moves_no_texts(spark, tmp_path, monkeypatch):
+    """Rows meet the excluded patients without their texts, even where that takes a shuffle; the chosen studies are known when texts meet them."""
+    (tmp_path / "r.csv").write_text("patient,study,path,view,findings,impression\n1,2,/p,Frontal,seen,\n3,4,/q,Frontal,seen,\n")
+    subset = spark.createDataFrame([(3, "/d/q", "q")], "patient long, image_path string, path string")
+    stored, tables = jobs.stored, []
+    monkeypatch.setattr(jobs, "stored", lambda x: tables.append(x) or stored(x))
+    chosen, _ = jobs.report_pool(spark, str(tmp_path / "r.csv"), "patient long, study long, path string, view string, findings string, impression string", subset, 10, 1)
+    assert [tuple(r) for r in chosen.select("patient", "study", "path", "text").collect()] == [(1, 2, "p", "Findings: seen")]
+    joins = [t._jdf.queryExecution().optimizedPlan() for t in tables]
+    for k, plan in enumerate(joins):
+        while plan.nodeName() != "Join" and plan.children().size():
+            plan = plan.children().head()
+        joins[k] = plan.children().head().output().mkString(" ") if plan.nodeName() == "Join" else ""
+    assert "own" in joins[0] and "findings" not in joins[0] and "impression" not in joins[0]
+    assert [t.columns for t in tables][2] == ["patient", "study", "path"]

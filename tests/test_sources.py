@@ -197,3 +197,19 @@ def test_any_text_comes_back_from_a_table_in_quotes(spark, tmp_path):
     # without a value of its own for what is missing, an empty field is missing
     (tmp_path / "r.csv").write_text('id,text\n1,""\n2,\n')
     assert [r.text for r in readers.read_reports_csv(spark, str(tmp_path / "r.csv"), "id long, text string").collect()] == [None, None]
+
+
+@pytest.mark.parametrize("name", ["r.csv", "r.csv.gz"])
+def test_records_are_stored_only_if_files_are_cut(spark, tmp_path, split_at, monkeypatch, name):
+    import gzip
+
+    text = 'id,text\n' + "".join(f'{k},"a ""{k}""\n{"x" * k}"\n' for k in range(60))
+    (tmp_path / name).write_bytes(gzip.compress(text.encode()) if name.endswith("gz") else text.encode())
+    stored, tables = ranges.stored, []
+    monkeypatch.setattr(ranges, "stored", lambda x: tables.append(x.columns) or stored(x))
+    for size in (100_000, 90):
+        tables.clear()
+        split_at(size)  # or less: a file that can be cut is one range for each core at least
+        got = sorted(tuple(r) for r in readers.read_reports_csv(spark, str(tmp_path / name), "id long, text string").collect())
+        assert got == [(k, f'a "{k}"\n{"x" * k}') for k in range(60)]
+        assert sum("text" in columns for columns in tables) == (name == "r.csv")
