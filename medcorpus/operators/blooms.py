@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from medcorpus.storage import short_lived_shuffles, stored
+
 BITS_A_KEY, MOST_BITS, LEAST_BITS = 32, 1 << 29, 1 << 18
 PLACES = 4
 #: Spark's bitmaps are of this many bits.
@@ -41,7 +43,9 @@ def bloom_of(hashes: DataFrame, column: str, n: int) -> Bloom:
     step = F.shiftrightunsigned(F.col(column), 32).bitwiseAND(size - 1).bitwiseOR(1)
     places = F.array(*[(low + k * step).bitwiseAND(size - 1) for k in range(PLACES)])
     # Spark's bitmaps count from 1
-    parts = hashes.select(F.explode(places).alias("place")).select((F.col("place") + 1).alias("place")).groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).toArrow()
+    bitmaps = hashes.select(F.explode(places).alias("place")).select((F.col("place") + 1).alias("place")).groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    with short_lived_shuffles(hashes.sparkSession):  # a task's bitmaps may be as large as the filter
+        parts = stored(bitmaps).toArrow()
     bits = np.zeros(size // 8, dtype=np.uint8)
     for part, own in zip(parts.column("part").to_pylist(), parts.column("bits").to_pylist(), strict=True):
         bits[(part - 1) * (_PART // 8) : part * (_PART // 8)] = np.frombuffer(own, dtype=np.uint8)

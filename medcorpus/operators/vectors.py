@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from medcorpus.functions.scoring import latin_tokens
 from medcorpus.operators.blooms import Bloom, bloom_of
-from medcorpus.storage import spread, stored
+from medcorpus.storage import short_lived_shuffles, spread, stored
 
 #: Vectors of one side that a task holds at most, and rows of similarities that it has at a time.
 BLOCK, CHUNK = 16_384, 512
@@ -109,6 +109,8 @@ def _lcs_f(a: list[str], b: list[str], beta: float) -> float:
 ITEMS, CITED = 256, 1024
 #: Grams whose numbers go to every task, those of the most items; the others' are joined.
 HOT = 1 << 21
+#: Rows of a block, and repeated grams of a range, about.
+BLOCK_ROWS, RANGE = 512, 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -196,35 +198,152 @@ def _in_slices(batches) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ITEMS)
 
 
-def _scored(batches, total: int, max_n: int, sigma: float | None, hot: np.ndarray, hot_df: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """item and score of (item, prediction, references, rare, df): the items' numbers of their grams that several items' references have, beside those of hot."""
+def _scores(b: pa.RecordBatch, max_n: int, sigma: float | None, weigh: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
+    """item and score of (item, prediction, references); weigh: the weights of grams."""
+    items, counts, *rest = _grams(b, max_n)
+    (lens, of_len), (gram, of_gram), (place, of_place), (text, _), (n, _) = map(_flat, rest)
+    weights, scores = weigh(gram), np.zeros(b.num_rows)
+    for i, k in enumerate(counts.to_pylist()):
+        mine, entry = (slice(o[i], o[i + 1]) for o in (of_gram, of_place))
+        own, p, t, c, weight = gram[mine], place[entry], text[entry], n[entry], weights[mine]
+        if not k or not len(own):
+            continue
+        said = np.zeros(len(own), dtype=np.int64)
+        said[p[t == 0]] = c[t == 0]
+        cell, w = (own & 3)[p] * (k + 1) + t, weight[p]
+        sums = lambda x: np.bincount(cell, weights=x, minlength=4 * (k + 1)).reshape(4, k + 1)
+        square, dot_ = sums((c * w) ** 2), sums(np.minimum(said[p], c) * c * w * w)
+        if sigma is not None:
+            gap = lens[of_len[i] : of_len[i + 1]].astype(np.float64)
+            dot_ = dot_ * np.exp(-((gap - gap[0]) ** 2) / (2 * sigma**2))
+        norm = np.sqrt(square[:, 1:] * square[:, :1])
+        cos = np.divide(dot_[:, 1:], norm, out=np.zeros_like(norm), where=norm > 0)
+        scores[i] = cos.sum() * 10 / max_n / k
+    return pa.RecordBatch.from_arrays([items, pa.array(scores)], names=["item", "cider"])
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """64-bit numbers as all their first bytes, then all second ones and so on: high bytes that are zero lie side by side, and take no room when compressed."""
+    return x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
+
+
+def _asked(b: pa.RecordBatch, n: int, seen: Bloom) -> np.ndarray:
+    """In order the distinct grams of n tokens that may be in seen, of all texts of rows (item, prediction, references)."""
+    said, said_ends = _flat(b.column("p"))
+    cited, cited_ends = _flat(b.column("r").flatten())
+    *_, (gram, whole) = _levels(np.concatenate([said, cited]).view(np.uint64), np.concatenate([np.diff(said_ends), np.diff(cited_ends)]), n)
+    gram = gram[whole]
+    return np.unique(gram[seen.where(gram)].view(np.int64))
+
+
+def _runs(batches) -> Iterator[tuple[pa.RecordBatch, int, int, int, int]]:
+    """Rows (item, p, r, file, id) that lie side by side in a block, with their file, block, and first and last id."""
+    for batch in batches:
+        if batch.num_rows:
+            file, ids = (batch.column(c).to_numpy() for c in ("file", "id"))
+            block = ids // BLOCK_ROWS
+            starts = np.flatnonzero(np.append(True, (file[1:] != file[:-1]) | (ids[1:] != ids[:-1] + 1) | (block[1:] != block[:-1])))
+            for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
+                yield batch.slice(at, end - at), file[at], block[at], ids[at], ids[end - 1]
+
+
+def _questions(batches, n: int, seen: Bloom, bits: int) -> Iterator[pa.RecordBatch]:
+    """What rows ask for: by range of grams the grams, as differences. first and last say which rows of the block ask."""
+    names = ["part", "file", "block", "first", "last", "n", "gram"]
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+    for run, *place in _runs(batches):
+        gram = _asked(run, n, seen)
+        if len(gram):
+            part = gram >> (64 - bits)
+            heads = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            rows = [(part[i], *place, n, _packed(np.diff(own, prepend=np.uint64(0)))) for i, own in zip(heads, np.split(gram.view(np.uint64), heads[1:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def _spelled(b: pa.RecordBatch, spell: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
+    """Rows with other numbers for their tokens; spell: of all of them, in order."""
+    said, said_ends = _flat(b.column("p"))
+    cited, cited_ends = _flat(b.column("r").flatten())
+    new = spell(np.concatenate([said, cited]))
+    lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+    refs = b.column("r").offsets.to_numpy()
+    arrays = [b.column("item"), lists(said_ends, pa.array(new[: len(said)])), lists(refs - refs[0], lists(cited_ends, pa.array(new[len(said) :]))), b.column("id")]
+    return pa.RecordBatch.from_arrays(arrays, names=["item", "p", "r", "id"])
+
+
+def _boxes(batches) -> Iterator[pa.RecordBatch]:
+    """Rows as one value for each run of them, with tokens as numbers of the run's words: hashes take no less room when they are compressed."""
+    for run, file, block, *_ in _runs(batches):
+        words = []
+
+        def spell(tokens: np.ndarray, words=words) -> np.ndarray:
+            own, at = np.unique(tokens, return_inverse=True)
+            words.append(own)
+            return at.astype(np.int32)
+
+        own, out = _spelled(run, spell), pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_batch(own)
+        values = [[file], [block], [out.getvalue().to_pybytes()], [words[0].tobytes()]]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(values, kinds, strict=True)], names=["file", "block", "rows", "words"])
+
+
+def _unboxed(boxes: pa.Table) -> pa.RecordBatch:
+    """The rows of a block's runs, in order."""
+    found = []
+    for x, words in zip(boxes.column("rows").to_pylist(), boxes.column("words").to_pylist(), strict=True):
+        own = np.frombuffer(words, np.int64)
+        found += [_spelled(b, lambda at, own=own: own[at]) for b in pa.ipc.open_stream(x)]
+    return pa.Table.from_batches(found).sort_by("id").combine_chunks().to_batches()[0]
+
+
+def _answers(asked: pa.Table, often: pa.Table) -> pa.Table:
+    """The questions with df in the place of grams: 1 of those that are not often."""
+    gram, df = (often.column(c).to_numpy() for c in ("gram", "df"))
+    order = np.argsort(gram)
+    gram, df = np.append(gram[order], 0), np.append(df[order], 1)
+    found = []
+    for x in asked.column("gram").to_pylist():
+        own = np.cumsum(_unpacked(x), dtype=np.uint64).view(np.int64)
+        at = np.searchsorted(gram[:-1], own)
+        found.append(_packed(np.where(gram[at] == own, df[at], 1)))
+    return asked.drop_columns(["gram"]).append_column("df", pa.array(found, pa.binary()))
+
+
+def _known(b: pa.RecordBatch, answers: pa.Table, seen: list[Bloom]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams that a block's rows, in order of id, asked for, and their df."""
+    ids, grams, dfs, own = b.column("id").to_numpy(), [], [], {}
+    for n, first, last, part, df in zip(*[answers.column(c).to_pylist() for c in ("n", "first", "last", "part", "df")], strict=True):
+        own.setdefault((n, first, last), []).append((part, df))
+    for (n, first, last), parts in own.items():
+        at = np.searchsorted(ids, first)
+        grams.append(_asked(b.slice(at, np.searchsorted(ids, last, "right") - at), n, seen[n - 1]))
+        dfs.append(np.concatenate([_unpacked(df) for _, df in sorted(parts)]))
+        if len(grams[-1]) != len(dfs[-1]):
+            raise ValueError("a block's rows do not ask for what was answered")
+    gram, first = np.unique(np.concatenate([np.zeros(0, np.int64), *grams]), return_index=True)
+    return gram, np.concatenate([np.zeros(0, np.uint64), *dfs])[first]
+
+
+def _weights(total: int, *tables: tuple[np.ndarray, np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+    """Weights of grams by tables of (gram, in order, and df); a gram in none has that of one item."""
     full = np.log(float(max(1, total)))
-    for b in _in_slices(batches):
-        items, counts, *rest = _grams(b, max_n)
-        (lens, of_len), (gram, of_gram), (place, of_place), (text, _), (n, _), (often, of_often), (df, _) = map(_flat, [*rest, b.column(3), b.column(4)])
-        spot = np.minimum(np.searchsorted(hot, gram), max(0, len(hot) - 1))
-        known = hot[spot] == gram if len(hot) else np.zeros(len(gram), dtype=bool)
+
+    def weigh(gram: np.ndarray) -> np.ndarray:
         weights = np.full(len(gram), full)
-        weights[known] -= np.log(hot_df[spot[known]].astype(np.float64))
-        scores = np.zeros(b.num_rows)
-        for i, k in enumerate(counts.to_pylist()):
-            mine, entry, repeated = (slice(o[i], o[i + 1]) for o in (of_gram, of_place, of_often))
-            own, p, t, c, weight = gram[mine], place[entry], text[entry], n[entry], weights[mine]
-            if not k or not len(own):
-                continue
-            weight[np.searchsorted(own, often[repeated])] = full - np.log(df[repeated].astype(np.float64))
-            said = np.zeros(len(own), dtype=np.int64)
-            said[p[t == 0]] = c[t == 0]
-            cell, w = (own & 3)[p] * (k + 1) + t, weight[p]
-            sums = lambda x: np.bincount(cell, weights=x, minlength=4 * (k + 1)).reshape(4, k + 1)
-            square, dot_ = sums((c * w) ** 2), sums(np.minimum(said[p], c) * c * w * w)
-            if sigma is not None:
-                gap = lens[of_len[i] : of_len[i + 1]].astype(np.float64)
-                dot_ = dot_ * np.exp(-((gap - gap[0]) ** 2) / (2 * sigma**2))
-            norm = np.sqrt(square[:, 1:] * square[:, :1])
-            cos = np.divide(dot_[:, 1:], norm, out=np.zeros_like(norm), where=norm > 0)
-            scores[i] = cos.sum() * 10 / max_n / k
-        yield pa.RecordBatch.from_arrays([items, pa.array(scores)], names=["item", "cider"])
+        for own, df in tables:
+            if len(own):
+                spot = np.minimum(np.searchsorted(own, gram), len(own) - 1)
+                known = own[spot] == gram
+                weights[known] = full - np.log(df[spot[known]].astype(np.float64))
+        return weights
+
+    return weigh
 
 
 def repeated_grams(refs: DataFrame, max_n: int) -> DataFrame:
@@ -236,7 +355,8 @@ def repeated_grams(refs: DataFrame, max_n: int) -> DataFrame:
     out, shorter = [], None
     for n in range(1, max_n + 1):
         counted = refs.mapInArrow(lambda it, n=n, shorter=shorter: _cited(it, n, shorter), "gram long, n long")
-        own = stored(counted.groupBy("gram").agg(F.sum("n").alias("df")).filter("df > 1"))
+        with short_lived_shuffles(refs.sparkSession):
+            own = stored(counted.groupBy("gram").agg(F.sum("n").alias("df")).filter("df > 1"))
         shorter = bloom_of(own, "gram", own.count())
         out.append(own)
     return reduce(DataFrame.unionByName, out)
@@ -262,8 +382,9 @@ def cider(captions: DataFrame, max_n: int = 4, sigma: float | None = None, hot:
     """item, cider of captions(item, pred, refs): clipped tf-idf cosine of 1- to 4-grams, mean over references.
 
     Only the tokens, as 64-bit hashes, are stored; an item's grams are made anew from them wherever they are needed. A gram that no second item's
-    references have weighs log N. Of those that several have, the hot ones of the most items go to every task with their df; only the others are
-    brought to the items that hold them, and a Bloom filter of these keeps all else where it is.
+    references have weighs log N. Of those that several have, the hot ones of the most items go to every task with their df. For the others
+    a block of rows asks once, by ranges of grams; answers are the numbers in the order of the grams, which the block makes anew when it
+    meets them. Bloom filters keep all else where it is. This goes by the number of tokens, so one part of it is moved at a time.
 
     sigma: with a Gaussian penalty of that width on the difference of the two texts' numbers of tokens; without it there is none.
     """
@@ -276,18 +397,29 @@ def cider(captions: DataFrame, max_n: int = 4, sigma: float | None = None, hot:
     often = repeated_grams(rows.select("r"), max_n)
     least, gram, df = _hot(often, hot)
     rare = often.filter(F.col("df") < least)
-    seen = bloom_of(rare, "gram", rare.count())
-
-    def held(batches):
-        for b in _in_slices(batches):
-            lists = _grams(b, max_n)[3]
-            at = seen.where(lists.flatten().to_numpy().view(np.uint64))
-            parents = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())[at]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(parents)), lists.flatten().take(pa.array(at))], names=["item", "gram"])
-
-    some = rows.mapInArrow(held, f"item {kind}, gram long").join(rare, "gram")
-    mine = some.groupBy("item").agg(F.collect_list("gram").alias("often"), F.collect_list("df").alias("df"))
     total = rows.select("item").distinct().count()
-    lists = [F.coalesce(c, F.array().cast("array<long>")).alias(c) for c in ("often", "df")]
-    met = rows.join(mine, "item", "left").select("item", "p", "r", *lists)
-    return met.mapInArrow(lambda it: _scored(it, total, max_n, sigma, gram, df), f"item {kind}, cider double")
+    out = f"item {kind}, cider double"
+    # the two low bits of a gram say how long it is
+    levels = {n: k for n, k in rare.groupBy((F.col("gram").bitwiseAND(3) + 1).alias("n")).count().collect()}
+    if not levels:
+        return rows.mapInArrow(lambda it: (_scores(b, max_n, sigma, _weights(total, (gram, df))) for b in _in_slices(it)), out)
+
+    # a row's place in its file, which is the same whenever it is read
+    placed = rows.select("item", "p", "r", F.xxhash64("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("id"))
+    seen, answers = [], []
+    for n in range(1, max_n + 1):
+        own, count = rare.filter(F.col("gram").bitwiseAND(3) == n - 1), levels.get(n, 0)
+        seen.append(bloom_of(own, "gram", count))
+        bits = max(1, max(placed.sparkSession.sparkContext.defaultParallelism, count // RANGE).bit_length())
+        asked = placed.mapInArrow(lambda it, n=n, bits=bits, own_seen=seen[-1]: _questions(it, n, own_seen, bits), "part long, file long, block long, first long, last long, n int, gram binary")
+        met = asked.groupBy("part").cogroup(own.withColumn("part", F.shiftright("gram", 64 - bits)).groupBy("part"))
+        with short_lived_shuffles(placed.sparkSession):
+            answers.append(stored(met.applyInArrow(lambda a, o: _answers(a, o), "part long, file long, block long, first long, last long, n int, df binary")))
+
+    def scored(boxes: pa.Table, found: pa.Table) -> pa.Table:
+        own = _unboxed(boxes)
+        weigh = _weights(total, _known(own, found, seen), (gram, df))
+        return pa.Table.from_batches([_scores(b.select(["item", "p", "r"]), max_n, sigma, weigh) for b in _in_slices([own])])
+
+    blocks = placed.mapInArrow(_boxes, "file long, block long, rows binary, words binary").groupBy("file", "block")
+    return blocks.cogroup(reduce(DataFrame.unionByName, answers).groupBy("file", "block")).applyInArrow(lambda a, o: scored(a, o), out)

@@ -155,3 +155,42 @@ def test_contamination_holds_few_texts_at_a_time():
     few, many = peak(400), peak(12_000)
     assert few[1] == [(7, 381, texts[7][:20])] and many[1] == [*few[1], (11_000, 381, texts[11_000][100:120])]
     assert many[0] < 1.5 * few[0]
+
+
+def test_blocks_of_captions_ask_once_for_a_gram(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join(rng.choice(list("abcdefgh") + [f"w{rng.integers(1 << 30)}"], size=9))
+    rows = [(k // 2, text(), [text(), text()]) for k in range(200)] + [(None, "a b c d e", ["a b c d e f", "b c d"]), (500, None, None), (501, "", [])]
+    df = spark.createDataFrame(rows, "item long, pred string, refs array<string>").repartition(3)
+    want = sorted(map(tuple, vectors.cider(df, sigma=6.0).select("item", F.round("cider", 9)).collect()), key=repr)
+    stored, tables = vectors.stored, []
+    monkeypatch.setattr(vectors, "stored", lambda x: tables.append(stored(x)) or tables[-1])
+    got = sorted(map(tuple, vectors.cider(df, sigma=6.0, hot=0).select("item", F.round("cider", 9)).collect()), key=repr)
+    # items without a number or with the same one, too
+    assert got == want and len(got) == len(rows)
+    answers = [t for t in tables if "block" in t.columns]
+    assert len(answers) == 4
+    for n, table in enumerate(answers, 1):
+        # an answer is a number for each gram that a run of rows asked for, whatever rows and texts have it
+        runs = {}
+        for r in table.collect():
+            runs.setdefault((r.file, r.block, r.first, r.last), []).append(len(vectors._unpacked(r.df)))
+        assert all(r.last - r.first < vectors.BLOCK_ROWS and r.last // vectors.BLOCK_ROWS == r.block for r in table.collect())
+        assert n > 1 or all(sum(sizes) <= 40 for sizes in runs.values())
+
+
+@pytest.mark.parametrize("n", [0, 1, 1000])
+def test_numbers_packed_by_their_bytes(n):
+    x = np.random.default_rng(n).integers(0, 1 << 63, size=n, dtype=np.uint64) * np.uint64(2)
+    assert (vectors._unpacked(vectors._packed(x)) == x).all() and len(vectors._packed(x)) == 8 * n
+
+
+def test_shuffle_files_of_a_stored_table_go_with_its_query(spark):
+    from medcorpus.storage import short_lived_shuffles, stored
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    with short_lived_shuffles(spark):
+        x = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key) == before and x.agg(F.sum("count")).first()[0] == 1000
